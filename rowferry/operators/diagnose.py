@@ -74,7 +74,7 @@ def repair_plan(
     """
     known = errors.join(entities, ["source_entity", "target_table"], "left")
     single = F.size("primary_key") == 1
-    from_key = single & F.col("mapped_column").eqNullSafe(F.col("primary_key")[0])
+    from_key = single & F.col("mapped_column").eqNullSafe(F.get("primary_key", F.lit(0)))
     reference = _reference_of_target_id()
     prepared = known.withColumn("external_reference", F.when(from_key, reference)) \
         .join(targets.select("target_table", "target_id").distinct().withColumn("_there", F.lit(True)),
@@ -94,7 +94,7 @@ def repair_plan(
         F.when(~F.coalesce(single, F.lit(False)), "entity has a composite or unknown primary key"),
         F.when(single & ~from_key, F.concat(
             F.col("target_table"), F.lit(" is mapped from '"), F.coalesce("mapped_column", F.lit("None")),
-            F.lit("', not source primary key '"), F.col("primary_key")[0], F.lit("'"))),
+            F.lit("', not source primary key '"), F.get("primary_key", F.lit(0)), F.lit("'"))),
         F.when(F.col("_there").isNull(), "target row does not exist; duplicate error may be stale"),
         F.when(foreign, "target id is already claimed by another crosswalk row"),
     ), lambda r: r.isNotNull())

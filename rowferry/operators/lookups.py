@@ -183,7 +183,7 @@ def reconcile(
     names = F.array(*[F.lit(c) for c in candidates])
     return source.withColumn("_key", match_key(F.col(match))).join(best, "_key", "left").withColumns({
         "target_id": F.col("_best._id"),
-        "matched_on": names[F.col("_best._order")],
+        "matched_on": F.get(names, F.col("_best._order")),
     }).drop("_key", "_best")
 
 

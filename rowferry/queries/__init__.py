@@ -1,6 +1,6 @@
 """One query per operator, with the SQL that must give the same rows."""
 
 from .registry import ORACLES, QUERIES
-from . import checks, scalars, scans  # noqa: F401,E402
+from . import checks, counts, joins, scalars, scans, states  # noqa: F401,E402
 
 __all__ = ["ORACLES", "QUERIES"]
