@@ -54,9 +54,11 @@ def decode_envelope(feed: DataFrame, row: T.StructType | str, value: str = "valu
         image.alias("row")).select("operation", "source_updated_at", "row.*")
 
 
-def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def drain(
+    stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> None:
     """Handles everything that is there and stops; a later call goes on from the checkpoint."""
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint) \
+    stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start().awaitTermination()
 
 
@@ -147,6 +149,12 @@ def hold_until_due(
     return handle
 
 
+def still_waiting(delivered: ChangeLog, waiting: ChangeLog, key: str = "event_id") -> DataFrame:
+    """Events that are not delivered yet, each once."""
+    held = first_per_key(waiting.rows(), [key], [F.col("batch").desc()]).drop("batch")
+    return held.join(delivered.rows().select(key), key, "left_anti")
+
+
 def distinct_events(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """Drops re-delivered events. State is kept for the delay only, so it does not grow."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
@@ -157,7 +165,3 @@ def throughput(events: DataFrame, time: str, width: str, by: str, delay: str | N
     source = events.withWatermark(time, delay) if delay else events
     counted = source.groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("events"))
     return counted.select(F.col("w.start").alias("window_start"), by, "events")
-
-
-def deduplicate(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    return first_per_key(rows, [key], [F.col(c) for c in order])
