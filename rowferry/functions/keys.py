@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ def reference_for(df: DataFrame, system: str, schema: str, entity: str, keys: Se
     return external_reference(system, schema, entity, [(F.col(k), df.schema[k].dataType) for k in keys])
 
 
-def _escape_non_ascii(json: Column) -> Column:
+def _escape_non_ascii(text: Column) -> Column:
     def unit(code: Column) -> Column:
         return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
 
@@ -54,44 +55,58 @@ def _escape_non_ascii(json: Column) -> Column:
         )
         return F.when(code < 128, ch).when(code < 0x10000, unit(code)).otherwise(pair)
 
-    escaped = F.array_join(F.transform(F.split(json, ""), escape), "")
-    return F.when(json.rlike(r"[^\x00-\x7F]"), escaped).otherwise(json)
+    escaped = F.array_join(F.transform(F.split(text, ""), escape), "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), escaped).otherwise(text)
 
 
 def _json_string(text: Column) -> Column:
     quoted = F.to_json(F.array(text))
-    return _escape_non_ascii(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
 
-def json_value(c: Column, dtype: T.DataType) -> Column:
-    """Compact JSON text of one value; dates, decimals and the like become strings."""
+def _json_value(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
         text = c.cast("string")
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
         text = float_text(c.cast("double"))
     elif isinstance(dtype, T.StructType):
-        text = canonical_json([(f.name, c[f.name], f.dataType) for f in dtype.fields])
+        text = _json_object([(f.name, c[f.name], f.dataType) for f in dtype.fields])
     elif isinstance(dtype, T.ArrayType):
-        items = F.transform(c, lambda item: json_value(item, dtype.elementType))
+        items = F.transform(c, lambda item: _json_value(item, dtype.elementType))
         text = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
     else:
         text = _json_string(plain_text(c, dtype))
-    return F.when(c.isNull(), F.lit("null")).otherwise(text)
+    return F.coalesce(text, F.lit("null"))
 
 
-def canonical_json(fields: Sequence[tuple[str, Column, T.DataType]]) -> Column:
-    """Key-sorted JSON without blanks, nulls kept."""
+def _json_object(fields: Sequence[tuple[str, Column, T.DataType]]) -> Column:
     parts: list[Column] = []
     for name, c, dtype in sorted(fields, key=lambda f: f[0]):
-        parts += [F.lit("," if parts else "{"), _json_string(F.lit(name)), F.lit(":"), json_value(c, dtype)]
+        parts += [F.lit(("," if parts else "{") + json.dumps(name, ensure_ascii=False) + ":"), _json_value(c, dtype)]
     return F.concat(*parts, F.lit("}")) if parts else F.lit("{}")
 
 
+def json_value(c: Column, dtype: T.DataType) -> Column:
+    """Compact JSON text of one value; dates, decimals and the like become strings."""
+    return _escape_non_ascii(_json_value(c, dtype))
+
+
+def canonical_json(fields: Sequence[tuple[str, Column, T.DataType]]) -> Column:
+    """Key-sorted JSON without blanks, nulls kept, characters beyond ASCII escaped."""
+    text = _json_object(fields)
+    plain = not any(_holds_text(dtype) for _, _, dtype in fields) and all(name.isascii() for name, _, _ in fields)
+    return text if plain else _escape_non_ascii(text)
+
+
+def _holds_text(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StringType, T.StructType, T.ArrayType, T.MapType, T.VariantType))
+
+
 def row_json(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """Canonical JSON of the named columns (all by default)."""
     return canonical_json([(n, F.col(f"`{n}`"), df.schema[n].dataType) for n in columns or df.columns])
 
 
-def checksum(json: Column) -> Column:
+def checksum(document: Column) -> Column:
     """SHA-256 of a canonical JSON text, as lower-case hex."""
-    return F.sha2(json, 256)
+    return F.sha2(document, 256)

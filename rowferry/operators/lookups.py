@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import external_reference
 from ..functions.text import match_key
+from ..sources.workspace import materialise
 from .ordering import allocate_ids, first_match
 from .skew import spread_join
 
@@ -57,12 +58,14 @@ def _mask(columns: Sequence[str]) -> Column:
     return total
 
 
-def resolve_by_values(rows: DataFrame, columns: Sequence[str], lookup: DataFrame, pk: str) -> DataFrame:
+def resolve_by_values(
+    rows: DataFrame, columns: Sequence[str], lookup: DataFrame, pk: str, wanted: Column | None = None
+) -> DataFrame:
     """Natural-key lookup where only the non-null values of a row have to agree.
 
     Instead of a theta join the lookup is expanded to one row per set of columns a source row may
     supply, so the match is an equality join on that set and its values. The smallest key wins
-    where several rows match.
+    where several rows match. Rows outside `wanted` are not looked up.
     """
     sets = F.explode(F.sequence(F.lit(1), F.lit((1 << len(columns)) - 1)))
     expanded = lookup.select(F.col(pk), *columns, sets.alias("_set")).filter(
@@ -71,7 +74,8 @@ def resolve_by_values(rows: DataFrame, columns: Sequence[str], lookup: DataFrame
              for i, c in enumerate(columns)]
     entries = expanded.select(pk, "_set", *value) \
         .groupBy("_set", *[f"_v{i}" for i in range(len(columns))]).agg(F.min(pk).alias("target_id"))
-    keyed = rows.withColumn("_mask", _mask(columns))
+    mask = _mask(columns) if wanted is None else F.when(wanted, _mask(columns)).otherwise(0)
+    keyed = rows.withColumn("_mask", mask)
     agree = F.col("_mask") == F.col("_set")
     for i, c in enumerate(columns):
         agree = agree & keyed[c].eqNullSafe(F.col(f"_v{i}"))
@@ -93,31 +97,31 @@ def match_or_allocate(
     live = live_crosswalk(crosswalk, target, pk).select(
         "external_reference", F.col("target_id").cast(id_type).alias("_live"))
     known = rows.join(live, "external_reference", "left")
-    settled = known.filter(F.col("_live").isNotNull()).withColumn("target_id", F.col("_live")) \
-        .withColumn("action", F.lit("update"))
-    open_rows = known.filter(F.col("_live").isNull())
-    done = settled
+    found = F.col("_live")
     if natural:
-        tried = resolve_by_values(open_rows, natural, target.select(pk, *natural), pk)
-        done = done.unionByName(tried.filter(F.col("target_id").isNotNull()).withColumn("action", F.lit("match")))
-        open_rows = tried.filter(F.col("target_id").isNull()).drop("target_id")
-    highest = target.agg(F.max(pk).alias("_max"))
-    first = F.greatest(F.lit(start), F.coalesce(F.col("_max") + 1, F.lit(start))).cast("bigint")
-    first_id = highest.select(first.alias("_first")).scalar()
+        looked = resolve_by_values(known, natural, target.select(pk, *natural), pk, F.col("_live").isNull())
+        # Read several times below: once whole, and by key for groups and ids.
+        known = materialise(looked.withColumnRenamed("target_id", "_match"))
+        found = F.coalesce("_live", "_match")
+    settled = known.filter(found.isNotNull()).withColumns({
+        "target_id": found, "action": F.when(F.col("_live").isNotNull(), "update").otherwise("match")})
+    fresh = known.filter(found.isNull())
+    first = F.greatest(F.lit(start), F.coalesce(F.max(pk) + 1, F.lit(start))).cast("bigint")
+    first_id = target.agg(first.alias("_first")).scalar()
     if natural:
         blank = _mask(natural) == 0
         same = F.when(blank, F.col("external_reference")).otherwise(F.to_json(F.struct(*natural)))
-        open_rows = open_rows.withColumn("_same", same)
-        groups = open_rows.groupBy("_same").agg(F.min("external_reference").alias("_ref"))
+        fresh = fresh.withColumn("_same", same)
+        groups = fresh.groupBy("_same").agg(F.min("external_reference").alias("_ref"))
         ids = allocate_ids(groups, "_ref", "target_id", first_id).select(
             "_same", "_ref", F.col("target_id").cast(id_type).alias("target_id"))
-        fresh = spread_join(open_rows, ids, "_same", "inner", ["external_reference"])
         action = F.when(F.col("external_reference") == F.col("_ref"), "insert").otherwise("match")
-        fresh = fresh.withColumn("action", action).drop("_same", "_ref")
+        fresh = spread_join(fresh, ids, "_same", "inner", ["external_reference"]) \
+            .withColumn("action", action).drop("_same", "_ref")
     else:
-        fresh = allocate_ids(open_rows, "external_reference", "target_id", first_id) \
-            .withColumn("target_id", F.col("target_id").cast(id_type)).withColumn("action", F.lit("insert"))
-    return done.unionByName(fresh).drop("_live")
+        fresh = allocate_ids(fresh, "external_reference", "target_id", first_id).withColumns({
+            "target_id": F.col("target_id").cast(id_type), "action": F.lit("insert")})
+    return settled.unionByName(fresh).drop("_live", "_match")
 
 
 def carried_ids(rows: DataFrame, crosswalk: DataFrame, pk: str) -> DataFrame:

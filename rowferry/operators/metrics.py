@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def queue_by_entity(outbox: DataFrame) -> DataFrame:
@@ -63,30 +62,31 @@ def footprint(mapping: DataFrame) -> DataFrame:
     return pairs.groupBy("source_entity").agg(F.sort_array(F.collect_list("target_table")).alias("target_tables"))
 
 
-_FAILURE = "array<struct<entity:string,table:string,source_table:string,status:string,error:string>>"
-_NESTED = f"struct<results:{_FAILURE},entities:{_FAILURE}>"
+# Where job results keep their entries, and the states that count as failed.
 _LISTS = ("results", "entities", "redeliver")
+_FAILED = ("failed", "skipped", "error")
+_ENTRY = "array<struct<entity:string,table:string,source_table:string,status:string,error:string>>"
 
 
 def job_failures(jobs: DataFrame, key: str = "job_id", result: str = "result") -> DataFrame:
     """Failed, skipped and errored entries inside the JSON results of jobs.
 
-    A list stands under results, entities or redeliver, directly or one object deeper.
+    A list stands under results, entities or redeliver, directly or one object deeper. The top level is
+    parsed once into raw texts, and only the lists that are there are parsed further.
     """
-    flat = T._parse_datatype_string(f"struct<{','.join(f'{n}:{_FAILURE}' for n in _LISTS)}>")
-    deep = T._parse_datatype_string(f"struct<{','.join(f'{n}:{_NESTED}' for n in _LISTS)}>")
-    empty = F.array().cast(_FAILURE)
-    lists = []
-    for name in _LISTS:
-        nested = F.coalesce(
-            F.when(F.size(f"_deep.{name}.results") > 0, F.col(f"_deep.{name}.results")),
-            F.col(f"_deep.{name}.entities"), empty)
-        lists.append(F.when(F.substring(F.get_json_object(result, f"$.{name}"), 1, 1) == "{", nested)
-                     .otherwise(F.coalesce(F.col(f"_flat.{name}"), empty)))
-    rows = jobs.withColumns({"_flat": F.from_json(result, flat), "_deep": F.from_json(result, deep)}) \
-        .select(key, F.explode(F.concat(*lists)).alias("f"))
+    empty = F.array().cast(_ENTRY)
+
+    def entries(name: str) -> Column:
+        raw = F.col(f"_top.{name}")
+        inner = F.from_json(F.when(raw.startswith("{"), raw), f"results {_ENTRY}, entities {_ENTRY}")
+        nested = F.when(F.size(inner["results"]) > 0, inner["results"]).otherwise(inner["entities"])
+        listed = F.from_json(F.when(raw.startswith("["), raw), _ENTRY)
+        return F.coalesce(listed, nested, empty)
+
+    top = jobs.withColumn("_top", F.from_json(result, ", ".join(f"{n} string" for n in _LISTS)))
+    rows = top.select(key, F.explode(F.concat(*[entries(n) for n in _LISTS])).alias("f"))
     state = F.lower(F.coalesce("f.status", F.lit("")))
-    failed = state.isin("failed", "skipped", "error") | (F.coalesce("f.error", F.lit("")) != "")
+    failed = state.isin(*_FAILED) | (F.coalesce("f.error", F.lit("")) != "")
     named = F.coalesce(*[F.when(F.col(f"f.{n}") != "", F.col(f"f.{n}")) for n in ("entity", "table", "source_table")])
     return rows.filter(failed).select(
         key, named.alias("entity"),

@@ -22,7 +22,8 @@ def spread_join(
     """Left or inner join of many rows to one row per key, with heavy keys cut into `copies` parts.
 
     Only heavy keys are copied on the other side, so it grows by 50 * copies rows at most. The part
-    of a row comes from a hash of its values, which keeps a recomputed task identical.
+    of a row comes from a hash of its values, which keeps a recomputed task identical. Rows without a
+    key match nothing and are parted as well, so they do not meet in one task either.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -30,7 +31,7 @@ def spread_join(
     heavy = F.broadcast(heavy_keys(rows, key, share).withColumn("_heavy", F.lit(True)))
     part = F.pmod(F.xxhash64(*(spread_by or rows.columns)), F.lit(copies)).cast("int")
     parted = rows.join(heavy, key, "left").withColumn(
-        "_part", F.when(F.col("_heavy"), part).otherwise(0)).drop("_heavy")
+        "_part", F.when(F.col("_heavy") | F.col(key).isNull(), part).otherwise(0)).drop("_heavy")
     every = F.sequence(F.lit(0), F.lit(copies - 1))
     copied = other.join(heavy, key, "left").withColumn(
         "_part", F.explode(F.when(F.col("_heavy"), every).otherwise(F.array(F.lit(0))))).drop("_heavy")

@@ -17,8 +17,8 @@ from ..operators.lookups import (
     resolve_references, unresolved,
 )
 from ..operators.merge import scoped_delete
-from ..operators.projection import ERRORS, fan_out, stage
-from ..operators.validation import check_staged
+from ..operators.projection import ERRORS, stage
+from ..operators.validation import check_staged, quarantine_upsert
 from ..sources.workspace import materialise
 
 REFERENCE = "external_reference"
@@ -97,9 +97,8 @@ def write_rows(
     misses: DataFrame | None = None
     for name in contract.parents_first(names):
         table = contract.table(name)
-        rows = fan_out(staged, name, [REFERENCE])
-        mapped = [c for c in rows.columns if c != REFERENCE]
-        rows, links, missed = _foreign_keys(rows, staged, table, entity, state, produced, system)
+        mapped = staged.schema[name].dataType.names
+        rows, links, missed = _foreign_keys(staged, table, entity, state, produced, system)
         misses = missed if misses is None else misses.unionByName(missed) if missed is not None else misses
         known = entity_crosswalk(crosswalk, entity.name, profile.name, name)
         pk = table.primary_key
@@ -125,31 +124,29 @@ def write_rows(
 
 
 def _foreign_keys(
-    rows: DataFrame, staged: DataFrame, table: TableContract, entity: Entity, state: TargetState,
-    produced: dict[str, DataFrame], system: str,
+    staged: DataFrame, table: TableContract, entity: Entity, state: TargetState, produced: dict[str, DataFrame],
+    system: str,
 ) -> tuple[DataFrame, list[str], DataFrame | None]:
-    """Fills the foreign keys of one table: source references first, then parents of the same row."""
-    links: list[str] = []
-    misses: DataFrame | None = None
+    """Rows of one table with their foreign keys: source references first, then parents of the same row."""
     sources = {m.target_column: m.source_column for m in entity.mappings if m.target_table == table.name}
+    referring = [fk for fk in table.foreign_keys if fk.column in sources and entity.references.get(fk.ref_table)]
+    carried = [F.col(f"_source.{sources[fk.column]}").alias(f"_from_{fk.column}") for fk in referring]
+    rows = staged.select(REFERENCE, F.col(f"{table.name}.*"), *carried)
+    misses: DataFrame | None = None
+    for fk in referring:
+        given = f"_from_{fk.column}"
+        rows = resolve_references(
+            rows, given, fk.column, state.crosswalk.filter(F.col("target_table") == fk.ref_table),
+            state.tables[fk.ref_table], fk.ref_column, entity.references[fk.ref_table], system, entity.schema, [REFERENCE])
+        missed = unresolved(rows, given, fk.column, table.name, fk.column) \
+            .withColumn("source_column", F.lit(sources[fk.column]))
+        misses = missed if misses is None else misses.unionByName(missed)
+    links = [fk.column for fk in referring]
     for fk in table.foreign_keys:
-        source = sources.get(fk.column)
-        candidates = entity.references.get(fk.ref_table, ())
-        if source is not None and candidates:
-            values = staged.select(REFERENCE, F.col(f"_source.{source}").alias("_fk"))
-            found = resolve_references(values, "_fk", fk.column, state.crosswalk.filter(
-                F.col("target_table") == fk.ref_table), state.tables[fk.ref_table], fk.ref_column, candidates,
-                system, entity.schema, [REFERENCE])
-            missed = unresolved(found, "_fk", fk.column, table.name, fk.column) \
-                .withColumn("source_column", F.lit(source))
-            misses = missed if misses is None else misses.unionByName(missed)
-            rows = rows.join(found.drop("_fk"), REFERENCE, "left")
-            links.append(fk.column)
         if fk.ref_table in produced and fk.ref_table != table.name:
             rows = propagate_parent(rows, fk.column, produced[fk.ref_table])
-            if fk.column not in links:
-                links.append(fk.column)
-    return rows, links, misses
+            links += [fk.column] if fk.column not in links else []
+    return rows.drop(*[f"_from_{fk.column}" for fk in referring]), links, misses
 
 
 def stage_rows(rows: DataFrame, entity: Entity, contract: TargetContract, keep: Sequence[str], as_of: Column | None
@@ -182,13 +179,12 @@ def deliver_events(
     staged = materialise(stage_rows(rows, entity, contract, head, as_of))
     good = staged.filter(F.size(ERRORS) == 0)
     bad = staged.filter(F.size(ERRORS) > 0)
-    target = write_rows(outbox_ops.last_event_per_key(good), state, entity, contract, profile, system)
+    latest = materialise(outbox_ops.last_event_per_key(good))
+    target = write_rows(latest, state, entity, contract, profile, system)
     outcomes = staged.select("event_id", F.when(F.size(ERRORS) == 0, "delivered").otherwise("quarantined")
                              .alias("outcome"), F.array_join(ERRORS, "; ").alias("message"))
     after = apply_outcomes(outbox, outcomes, as_of)
     failed = bad.select("event_id", F.col(ERRORS).alias("errors"), F.col("payload").alias("payload_snapshot"))
-    from ..operators.validation import quarantine_upsert
-
     return Delivery(target, after, quarantine_upsert(quarantine, failed),
                     outbox_ops.upsert_envelope(envelope, outbox_ops.envelope(good, as_of)), outcomes)
 
