@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import checksum, json_value
+from .union import union_all
 
 _TEXT = T.StringType()
 
@@ -100,7 +101,7 @@ def contract_changes(before: DataFrame, after: DataFrame) -> DataFrame:
                 .otherwise("column_changed").alias("kind"),
                 F.when(F.col("old").isNull(), ~F.col("new.nullable")).when(F.col("new").isNull(), True)
                 .otherwise(narrowed).alias("breaking"), "changes")
-    return whole.unionByName(columns)
+    return union_all(whole, columns)
 
 
 def structural_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def source_changes(entities: DataFrame, documents: DataFrame, approved: DataFram
     names = approved.join(documented, "source_entity", "left_anti").select(
         "source_entity", "column_name", F.lit(None).cast("string").alias("data_type"),
         F.lit(None).cast("boolean").alias("nullable"), F.lit(True).alias("_names"))
-    old = full.unionByName(names).withColumn("_old", F.lit(True))
+    old = union_all(full, names).withColumn("_old", F.lit(True))
     now = live.select(F.col("table_name").alias("source_entity"), "column_name", F.col("data_type").alias("_type"),
                       F.col("nullable").alias("_nullable"), F.lit(True).alias("_new"))
     now = now.join(entities.select("source_entity"), "source_entity", "left_semi")

@@ -12,6 +12,7 @@ from ..functions.text import match_key
 from ..sources.workspace import materialise
 from .ordering import allocate_ids, first_match
 from .skew import spread_join
+from .union import union_all
 
 CROSSWALK_KEY = ("source_system", "source_entity", "external_reference", "target_system", "target_table")
 
@@ -121,7 +122,7 @@ def match_or_allocate(
     else:
         fresh = allocate_ids(fresh, "external_reference", "target_id", first_id).withColumns({
             "target_id": F.col("target_id").cast(id_type), "action": F.lit("insert")})
-    return settled.unionByName(fresh).drop("_live", "_match")
+    return union_all(settled, fresh).drop("_live", "_match")
 
 
 def carried_ids(rows: DataFrame, crosswalk: DataFrame, pk: str) -> DataFrame:
@@ -206,5 +207,5 @@ def referenced_rows(
         rows = kept.get(child, needed.get(child))
         used = rows.select(F.col(column).alias(key)).filter(F.col(key).isNotNull()).distinct()
         hit = lookups[parent].join(used, key, "left_semi")
-        needed[parent] = needed[parent].unionByName(hit).distinct() if parent in needed else hit
+        needed[parent] = union_all(needed[parent], hit).distinct() if parent in needed else hit
     return needed

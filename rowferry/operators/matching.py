@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..contracts import ENVELOPE_FIELDS
 from ..functions.text import name_key, substrings
 from .ordering import first_per_key, top_per_group
+from .union import union_all
 
 # Confidence limits and name scores.
 ACCEPT_AT = 0.95
@@ -33,7 +34,7 @@ def match_columns(source: DataFrame, target: DataFrame) -> DataFrame:
     within = asked.join(inside, "_name").select("_name", F.lit(1).alias("_kind"), "_hit")
     around = asked.select(F.col("_name").alias("_asked"), F.explode(substrings(F.col("_name"))).alias("_name")) \
         .join(names, "_name").select(F.col("_asked").alias("_name"), F.lit(1).alias("_kind"), "_hit")
-    best = exact.unionByName(within).unionByName(around).groupBy("_name").agg(
+    best = union_all(exact, within, around).groupBy("_name").agg(
         F.min(F.struct("_kind", "_hit")).alias("_best"))
     score = F.when(F.col("_best._kind") == 0, EXACT_COLUMN).when(F.col("_best._kind") == 1, PARTIAL_COLUMN) \
         .otherwise(0.0)
@@ -76,8 +77,8 @@ def rank_tables(source: DataFrame, target: DataFrame, k: int = CANDIDATES) -> Da
     # `opening` has 2 * k rows.
     rest = asks.withColumn("_any", F.lit(1)).join(F.broadcast(opening), "_any") \
         .select("_asked", "target_table", "position", blank.alias("score"))
-    pool = scored(exact, EXACT_TABLE).unionByName(scored(within, PARTIAL_TABLE)) \
-        .unionByName(scored(around, PARTIAL_TABLE)).unionByName(scored(shared, PART_TABLE)).unionByName(rest)
+    pool = union_all(scored(exact, EXACT_TABLE), scored(within, PARTIAL_TABLE), scored(around, PARTIAL_TABLE),
+                     scored(shared, PART_TABLE), rest)
     best = pool.groupBy("_asked", "position", "target_table").agg(F.max("score").alias("score"))
     ranked = top_per_group(best, ["_asked"], [F.col("score").desc(), F.col("position")], k)
     return asked.join(ranked, "_asked").select("source_table", "rank", "target_table", "score")
@@ -163,7 +164,7 @@ def blocking(report: DataFrame, unsatisfiable: DataFrame) -> DataFrame:
     parents = unsatisfiable.select(table, F.concat(
         table, F.lit("."), F.col("column_name"), F.lit(" requires a "), F.col("ref_table"), F.lit(" row, but "),
         F.col("ref_table"), F.lit(" is neither written by this mapping nor seeded")).alias("problem"))
-    return tables.unionByName(unknown).unionByName(missing).unionByName(parents)
+    return union_all(tables, unknown, missing, parents)
 
 
 def unsatisfiable_keys(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import checksum, row_json
 from .ordering import first_per_key
+from .union import union_all
 
 
 def _touched(current: DataFrame, batch_keys: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -30,9 +31,9 @@ def upsert_newer(
     order = [F.col(time).desc_nulls_last(), *[F.col(a).desc_nulls_last() for a in arrival]]
     incoming = first_per_key(batch, keys, order).select(*current.columns)
     untouched, touched = _touched(current, incoming.select(*keys), keys)
-    rivals = touched.withColumn("_incoming", F.lit(0)).unionByName(incoming.withColumn("_incoming", F.lit(1)))
+    rivals = union_all(touched.withColumn("_incoming", F.lit(0)), incoming.withColumn("_incoming", F.lit(1)))
     winner = first_per_key(rivals, keys, [F.col(time).desc_nulls_last(), F.col("_incoming").desc()])
-    return untouched.unionByName(winner.drop("_incoming"))
+    return union_all(untouched, winner.drop("_incoming"))
 
 
 def upsert_last(
@@ -45,14 +46,14 @@ def upsert_last(
     incoming = incoming.select(*current.columns)
     if set(current.columns) <= set(keys):
         return insert_absent(current, incoming, keys)
-    return current.join(incoming.select(*keys), list(keys), "left_anti").unionByName(incoming)
+    return union_all(current.join(incoming.select(*keys), list(keys), "left_anti"), incoming)
 
 
 def insert_absent(current: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds only rows whose key is not there yet; the first of equal keys in the batch is used."""
     fresh = batch.select(*current.columns).join(current.select(*keys), list(keys), "left_anti")
     rest = [c for c in current.columns if c not in keys]
-    return current.unionByName(first_per_key(fresh, keys, [F.col(c) for c in rest or keys]))
+    return union_all(current, first_per_key(fresh, keys, [F.col(c) for c in rest or keys]))
 
 
 def unseen(rows: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -72,18 +73,17 @@ def scoped_delete(
     owned = (F.col("source_entity") == entity) & (F.col("target_system") == system) \
         & F.col("target_table").isin(*written)
     left: dict[str, DataFrame] = {}
-    counts = None
+    counts = []
     for name, (rows, pk) in tables.items():
         if name in lookups:
             left[name] = rows
             continue
         mine = crosswalk.filter(owned & (F.col("target_table") == name) & F.col("target_id").isNotNull()) \
-            .select(F.col("target_id").cast(rows.schema[pk].dataType).alias(pk)).distinct()
+            .select(F.col("target_id").try_cast(rows.schema[pk].dataType).alias(pk)).distinct()
         left[name] = rows.join(mine, pk, "left_anti")
-        gone = rows.select(pk).join(mine, pk, "left_semi").agg(F.count("*").alias("deleted")) \
-            .select(F.lit(name).alias("target_table"), "deleted")
-        counts = gone if counts is None else counts.unionByName(gone)
-    return left, crosswalk.filter(~owned), counts
+        counts.append(rows.select(pk).join(mine, pk, "left_semi").agg(F.count("*").alias("deleted"))
+                      .select(F.lit(name).alias("target_table"), "deleted"))
+    return left, crosswalk.filter(~owned), union_all(*counts)
 
 
 def split_sets(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

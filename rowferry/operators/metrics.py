@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .union import union_all
+
 
 def queue_by_entity(outbox: DataFrame) -> DataFrame:
     return outbox.groupBy("source_entity", "status").agg(
@@ -20,7 +22,7 @@ def unresolved_backlog(quarantine: DataFrame, drift: DataFrame) -> DataFrame:
         return df.agg(F.count_if(F.col("resolved_at").isNull()).alias("unresolved")).select(
             F.lit(name).alias("backlog"), "unresolved")
 
-    return open_count(quarantine, "quarantine").unionByName(open_count(drift, "drift"))
+    return union_all(open_count(quarantine, "quarantine"), open_count(drift, "drift"))
 
 
 def crosswalk_counts(crosswalk: DataFrame) -> DataFrame:

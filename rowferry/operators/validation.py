@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..contracts import ENVELOPE_FIELDS, FieldMapping, TableContract, TargetContract
 from ..functions.text import plain_text
 from .projection import ERRORS, compact, project
+from .union import union_all
 
 
 def column_errors(table: TableContract, schema: T.StructType, value=F.col) -> list[Column]:
@@ -111,13 +112,12 @@ def referential_report(links: Sequence[tuple[str, DataFrame, str, str, DataFrame
 
     Children are counted per key value before the join, so one hot key is one row of the shuffle.
     """
-    report = None
+    report = []
     for child_name, child, column, parent_name, parent, key in links:
         counted = child.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_k")).count()
         lost = counted.join(parent.select(F.col(key).alias("_k")), "_k", "left_anti")
-        row = lost.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("orphans"),
+        report.append(lost.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("orphans"),
                        F.count("*").alias("missing_keys")).select(
             F.lit(f"{child_name}.{column}").alias("child"), F.lit(f"{parent_name}.{key}").alias("parent"),
-            "orphans", "missing_keys")
-        report = row if report is None else report.unionByName(row)
-    return report
+            "orphans", "missing_keys"))
+    return union_all(*report)

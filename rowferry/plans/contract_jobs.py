@@ -11,6 +11,7 @@ from ..operators.drift import (
     affected_entities, contract_changes, entity_fingerprints, impacted_by_breaking, monitor, structural_changes,
 )
 from ..operators.matching import gate_counts, match_columns, review_status, unmet_required
+from ..operators.union import union_all
 
 
 def contract_scan(
@@ -23,8 +24,8 @@ def contract_scan(
     """
     changes = contract_changes(approved, observed)
     flags = monitor(entities, source_now, entity_fingerprints(observed, footprints, system))
-    paused = impacted_by_breaking(changes, footprints).unionByName(
-        flags.filter("paused").select("source_entity")).distinct()
+    paused = union_all(impacted_by_breaking(changes, footprints),
+                       flags.filter("paused").select("source_entity")).distinct()
     return changes, flags, paused
 
 

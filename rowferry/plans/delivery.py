@@ -18,6 +18,7 @@ from ..operators.lookups import (
 )
 from ..operators.merge import scoped_delete
 from ..operators.projection import ERRORS, stage
+from ..operators.union import union_all
 from ..operators.validation import check_staged, quarantine_upsert
 from ..sources.workspace import materialise
 
@@ -62,7 +63,7 @@ def _crosswalk_after(crosswalk: DataFrame, ids: DataFrame, entity: str, system:
     mine = ((F.col("source_entity") == entity) & (F.col("source_system") == system)
             & (F.col("target_system") == target) & (F.col("target_table") == table))
     kept = crosswalk.filter(mine).join(incoming.select(REFERENCE), REFERENCE, "left_anti")
-    return crosswalk.filter(~mine).unionByName(kept).unionByName(incoming)
+    return union_all(crosswalk.filter(~mine), kept, incoming)
 
 
 def _write_table(current: DataFrame, rows: DataFrame, pk: str, mapped: Sequence[str], keys: Sequence[str]
@@ -94,12 +95,12 @@ def write_rows(
     names = [f.name for f in staged.schema.fields if contract.table(f.name) is not None]
     tables, crosswalk = dict(state.tables), state.crosswalk
     produced: dict[str, DataFrame] = {}
-    misses: DataFrame | None = None
+    misses: list[DataFrame] = []
     for name in contract.parents_first(names):
         table = contract.table(name)
         mapped = staged.schema[name].dataType.names
         rows, links, missed = _foreign_keys(staged, table, entity, state, produced, system)
-        misses = missed if misses is None else misses.unionByName(missed) if missed is not None else misses
+        misses += missed
         known = entity_crosswalk(crosswalk, entity.name, profile.name, name)
         pk = table.primary_key
         if name in profile.lookup_tables or (table.lookup_only and name not in profile.app_assigned
@@ -120,27 +121,26 @@ def write_rows(
         produced[name] = ids.select(REFERENCE, "target_id")
         tables[name] = _write_table(tables[name], ids, pk, mapped, links)
         crosswalk = _crosswalk_after(crosswalk, ids, entity.name, system, profile.name, name)
-    return TargetState(tables, crosswalk, misses)
+    return TargetState(tables, crosswalk, union_all(*misses) if misses else None)
 
 
 def _foreign_keys(
     staged: DataFrame, table: TableContract, entity: Entity, state: TargetState, produced: dict[str, DataFrame],
     system: str,
-) -> tuple[DataFrame, list[str], DataFrame | None]:
+) -> tuple[DataFrame, list[str], list[DataFrame]]:
     """Rows of one table with their foreign keys: source references first, then parents of the same row."""
     sources = {m.target_column: m.source_column for m in entity.mappings if m.target_table == table.name}
     referring = [fk for fk in table.foreign_keys if fk.column in sources and entity.references.get(fk.ref_table)]
     carried = [F.col(f"_source.{sources[fk.column]}").alias(f"_from_{fk.column}") for fk in referring]
     rows = staged.select(REFERENCE, F.col(f"{table.name}.*"), *carried)
-    misses: DataFrame | None = None
+    misses: list[DataFrame] = []
     for fk in referring:
         given = f"_from_{fk.column}"
         rows = resolve_references(
             rows, given, fk.column, state.crosswalk.filter(F.col("target_table") == fk.ref_table),
             state.tables[fk.ref_table], fk.ref_column, entity.references[fk.ref_table], system, entity.schema, [REFERENCE])
-        missed = unresolved(rows, given, fk.column, table.name, fk.column) \
-            .withColumn("source_column", F.lit(sources[fk.column]))
-        misses = missed if misses is None else misses.unionByName(missed)
+        misses.append(unresolved(rows, given, fk.column, table.name, fk.column)
+                      .withColumn("source_column", F.lit(sources[fk.column])))
     links = [fk.column for fk in referring]
     for fk in table.foreign_keys:
         if fk.ref_table in produced and fk.ref_table != table.name:

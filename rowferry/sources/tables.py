@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.union import union_all
+
 BATCH_ROWS = 1000  # Fixed value: rows per round trip of a database read or write.
 
 
@@ -34,11 +36,8 @@ def scan_jdbc(
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table; parquet answers these from its footers."""
-    counts = None
-    for name, df in tables.items():
-        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    return union_all(*[df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+                       for name, df in tables.items()])
 
 
 def since(df: DataFrame, time: str, after: Column) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import first_per_key, latest_per_key
+from ..operators.union import union_all
 
 # Defaults of the delivery loop.
 BATCH_EVENTS = 100
@@ -141,7 +142,7 @@ def hold_until_due(
     the same way when it derives from the rows.
     """
     def handle(rows: DataFrame, batch: int) -> None:
-        pending = rows.unionByName(waiting.batch(batch - 1)) if batch > 0 else rows
+        pending = union_all(rows, waiting.batch(batch - 1)) if batch > 0 else rows
         now = clock(rows)
         delivered.write(pending.filter(F.col("available_at") <= now), batch)
         waiting.write(pending.filter(F.col("available_at") > now), batch)
