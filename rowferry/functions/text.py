@@ -60,16 +60,18 @@ def plain_text(c: Column, dtype: T.DataType) -> Column:
     return text
 
 
-def substrings(c: Column) -> Column:
-    """All distinct non-empty substrings of a name, as an array.
+def substrings(c: Column, longest: Column | None = None) -> Column:
+    """All distinct non-empty substrings, as an array; only those up to a length when one is given.
 
-    Turns a containment test into an equality join. Meant for identifiers, whose length the
-    database engines bound (64 characters or so).
+    Turns a containment test into an equality join. Names are short (engines allow 64 characters or
+    so); for other words pass the length of the longest name looked for.
     """
     size = F.length(c)
     starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     pieces = F.transform(
         starts,
-        lambda at: F.transform(F.sequence(F.lit(1), size - at + 1), lambda n: F.substring(c, at, n)),
+        lambda at: F.transform(
+            F.sequence(F.lit(1), size - at + 1 if longest is None else F.least(size - at + 1, longest)),
+            lambda n: F.substring(c, at, n)),
     )
     return F.array_distinct(F.flatten(pieces))

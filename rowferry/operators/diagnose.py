@@ -117,8 +117,10 @@ def last_job_per_entity(jobs: DataFrame, entities: DataFrame) -> DataFrame:
     words = jobs.select(F.struct("created_at", "job_id").alias("_job"), F.explode(F.array_distinct(
         F.split(F.lower("text"), r"\W+"))).alias("_word")).filter(F.col("_word") != "")
     newest = words.groupBy("_word").agg(F.max("_job").alias("_job"))
-    pieces = newest.select("_job", F.explode(substrings(F.col("_word"))).alias("_name"))
     named = entities.select("source_entity", F.lower("source_entity").alias("_name"))
+    longest = named.agg(F.greatest(F.max(F.length("_name")), F.lit(1)).alias("_longest")).scalar()
+    pieces = newest.withColumn("_longest", longest).select(
+        "_job", F.explode(substrings(F.col("_word"), F.col("_longest"))).alias("_name"))
     return named.join(pieces, "_name").groupBy("source_entity").agg(F.max("_job").alias("_job")) \
         .select("source_entity", F.col("_job.job_id").alias("job_id"))
 

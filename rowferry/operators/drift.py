@@ -70,38 +70,37 @@ def contract_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     Breaking: a table or column is gone, a type or key flag changed, a column became or came required.
     """
     attributes = ("data_type", "nullable", "is_primary_key")
+    no_changes = F.array().cast("array<struct<attribute:string,before:string,after:string>>")
 
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select("table_name", "column_name",
-                         F.struct(*[F.col(a) for a in attributes]).alias(prefix))
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("table_name", "column_name", F.struct(*attributes).alias(name))
 
     both = side(before, "old").join(side(after, "new"), ["table_name", "column_name"], "full_outer")
     tables = both.groupBy("table_name").agg(
-        F.bool_or(F.col("old").isNotNull()).alias("_had"), F.bool_or(F.col("new").isNotNull()).alias("_has"))
-    whole = tables.filter(~F.col("_had") | ~F.col("_has")).select(
-        "table_name", F.lit(None).cast("string").alias("column_name"),
+        F.bool_or(F.col("old").isNotNull()).alias("_had"), F.bool_or(F.col("new").isNotNull()).alias("_has"),
+        F.collect_list(F.when(~F.col("old").eqNullSafe(F.col("new")), F.struct("column_name", "old", "new")))
+        .alias("_columns"))
+
+    def judge(c: Column) -> Column:
+        old, new = c["old"], c["new"]
+        changes = F.filter(F.array(*[
+            F.when(old[a] != new[a], F.struct(F.lit(a).alias("attribute"), old[a].cast("string").alias("before"),
+                                              new[a].cast("string").alias("after")))
+            for a in attributes]), lambda change: change.isNotNull())
+        broken = (old["data_type"] != new["data_type"]) | (old["is_primary_key"] != new["is_primary_key"]) \
+            | (old["nullable"] & ~new["nullable"])
+        kind = F.when(old.isNull(), "column_added").when(new.isNull(), "column_removed").otherwise("column_changed")
+        return F.struct(
+            c["column_name"].alias("column_name"), kind.alias("kind"),
+            F.when(old.isNull(), ~new["nullable"]).when(new.isNull(), True).otherwise(broken).alias("breaking"),
+            F.when(old.isNull() | new.isNull(), no_changes).otherwise(changes).alias("changes"))
+
+    whole = F.array(F.struct(
+        F.lit(None).cast("string").alias("column_name"),
         F.when(F.col("_had"), "table_removed").otherwise("table_added").alias("kind"),
-        F.col("_had").alias("breaking"),
-        F.array().cast("array<struct<attribute:string,before:string,after:string>>").alias("changes"))
-    kept = both.join(tables.filter(F.col("_had") & F.col("_has")).select("table_name"), "table_name", "left_semi")
-    changes = F.filter(F.array(*[
-        F.when(F.col(f"old.{a}") != F.col(f"new.{a}"), F.struct(
-            F.lit(a).alias("attribute"), F.col(f"old.{a}").cast("string").alias("before"),
-            F.col(f"new.{a}").cast("string").alias("after")))
-        for a in attributes]), lambda c: c.isNotNull())
-    there = F.col("old").isNotNull() & F.col("new").isNotNull()
-    narrowed = (F.col("old.data_type") != F.col("new.data_type")) \
-        | (F.col("old.is_primary_key") != F.col("new.is_primary_key")) \
-        | (F.col("old.nullable") & ~F.col("new.nullable"))
-    columns = kept.withColumn("changes", F.when(there, changes).otherwise(F.array().cast(
-        "array<struct<attribute:string,before:string,after:string>>"))) \
-        .filter(~there | (F.size("changes") > 0)) \
-        .select("table_name", "column_name",
-                F.when(F.col("old").isNull(), "column_added").when(F.col("new").isNull(), "column_removed")
-                .otherwise("column_changed").alias("kind"),
-                F.when(F.col("old").isNull(), ~F.col("new.nullable")).when(F.col("new").isNull(), True)
-                .otherwise(narrowed).alias("breaking"), "changes")
-    return union_all(whole, columns)
+        F.col("_had").alias("breaking"), no_changes.alias("changes")))
+    listed = F.when(F.col("_had") & F.col("_has"), F.transform("_columns", judge)).otherwise(whole)
+    return tables.select("table_name", F.inline(listed))
 
 
 def structural_changes(before: DataFrame, after: DataFrame) -> DataFrame:

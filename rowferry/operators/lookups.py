@@ -100,10 +100,10 @@ def match_or_allocate(
     known = rows.join(live, "external_reference", "left")
     found = F.col("_live")
     if natural:
-        looked = resolve_by_values(known, natural, target.select(pk, *natural), pk, F.col("_live").isNull())
-        # Read several times below: once whole, and by key for groups and ids.
-        known = materialise(looked.withColumnRenamed("target_id", "_match"))
+        known = resolve_by_values(known, natural, target.select(pk, *natural), pk, F.col("_live").isNull()) \
+            .withColumnRenamed("target_id", "_match")
         found = F.coalesce("_live", "_match")
+    known = materialise(known)  # read several times below: settled rows, groups, new ids
     settled = known.filter(found.isNotNull()).withColumns({
         "target_id": found, "action": F.when(F.col("_live").isNotNull(), "update").otherwise("match")})
     fresh = known.filter(found.isNull())

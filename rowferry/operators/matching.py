@@ -71,12 +71,13 @@ def rank_tables(source: DataFrame, target: DataFrame, k: int = CANDIDATES) -> Da
     around = asks.select("_asked", F.explode(substrings(F.col("_asked"))).alias("_name")).join(whole, "_name")
     parts = asks.select("_asked", F.explode(F.array_distinct(F.split("_asked", "_"))).alias("_piece"))
     shared = parts.filter(F.col("_piece") != "").join(pieces, "_piece")
-    opening = names.orderBy("position").limit(depth).select("position", "target_table", F.lit(1).alias("_any"))
-    # An empty name part is contained in every name, so those tables start at the lower score.
+    # An empty name part is contained in every name, so such tables start at the lower score.
     blank = F.when(F.array_contains(F.split("_asked", "_"), ""), PART_TABLE).otherwise(0.0)
-    # `opening` has 2 * k rows.
-    rest = asks.withColumn("_any", F.lit(1)).join(F.broadcast(opening), "_any") \
-        .select("_asked", "target_table", "position", blank.alias("score"))
+    # The first targets in order, 2 * k at most, fill the places no similar name takes.
+    opening = names.orderBy("position").limit(depth).agg(
+        F.collect_list(F.struct("position", "target_table")).alias("_first")).scalar()
+    rest = asks.withColumn("_first", opening).select("_asked", blank.alias("score"), F.inline("_first")) \
+        .select("_asked", "target_table", "position", "score")
     pool = union_all(scored(exact, EXACT_TABLE), scored(within, PARTIAL_TABLE), scored(around, PARTIAL_TABLE),
                      scored(shared, PART_TABLE), rest)
     best = pool.groupBy("_asked", "position", "target_table").agg(F.max("score").alias("score"))
@@ -122,30 +123,30 @@ def coverage(
     `catalog` adds has_default and generated to the usual columns; `foreign_keys` is (table_name,
     column_name, ref_table); `mapping` is (target_table, target_column).
     """
-    mapped = mapping.select(F.col("target_table").alias("table_name"), F.col("target_column").alias("column_name")) \
-        .filter(F.col("column_name").isNotNull()).distinct().withColumn("_mapped", F.lit(True))
-    tables = mapping.select(F.col("target_table").alias("table_name")).distinct()
     filled = foreign_keys.select("table_name", "column_name").distinct().withColumn("_fk", F.lit(True))
-    known = catalog.join(tables, "table_name", "left_semi").select(
-        "table_name", "column_name", "nullable", "is_primary_key", "has_default", "generated",
-        F.lit(True).alias("_known")).join(filled, ["table_name", "column_name"], "left")
-    both = known.join(mapped, ["table_name", "column_name"], "full_outer")
-    system = F.coalesce("_fk", F.lit(False)) | (
-        F.col("table_name").isin(*app_assigned) & F.coalesce("is_primary_key", F.lit(False)))
-    required = ~F.col("nullable") & ~F.col("has_default") & ~F.col("generated") & ~system
+    known = catalog.join(filled, ["table_name", "column_name"], "left").select(
+        "table_name", "column_name", F.lit(False).alias("_mapped"), F.lit(True).alias("_known"),
+        (F.coalesce("_fk", F.lit(False)) | (F.col("table_name").isin(*app_assigned) & F.col("is_primary_key")))
+        .alias("_system"), (~F.col("nullable") & ~F.col("has_default") & ~F.col("generated")).alias("_required"))
+    mapped = mapping.select(
+        F.col("target_table").alias("table_name"), F.col("target_column").alias("column_name"),
+        F.lit(True).alias("_mapped"), F.lit(False).alias("_known"), F.lit(False).alias("_system"),
+        F.lit(False).alias("_required"))
+    flags = ("_mapped", "_known", "_system", "_required")
+    columns = union_all(known, mapped).groupBy("table_name", "column_name").agg(
+        *[F.bool_or(c).alias(c) for c in flags])
 
     def names(condition: Column) -> Column:
         return F.sort_array(F.collect_list(F.when(condition, F.col("column_name"))))
 
-    lists = both.groupBy("table_name").agg(
-        F.bool_or(F.coalesce("_known", F.lit(False))).alias("table_exists"),
+    report = columns.groupBy("table_name").agg(
+        F.bool_or("_mapped").alias("_used"), F.bool_or("_known").alias("table_exists"),
         names(F.col("_mapped")).alias("mapped_columns"),
-        names(F.col("_known").isNull()).alias("unknown_columns"),
-        names(F.col("_known") & required & F.col("_mapped").isNull()).alias("required_missing"),
-        names(F.col("_known") & system).alias("system_handled"))
+        names(~F.col("_known")).alias("unknown_columns"),
+        names(F.col("_required") & ~F.col("_system") & ~F.col("_mapped")).alias("required_missing"),
+        names(F.col("_system")).alias("system_handled")).filter("_used")
     none = F.array().cast("array<string>")
     there = F.col("table_exists")
-    report = tables.join(lists, "table_name", "left").withColumn("table_exists", F.coalesce(there, F.lit(False)))
     return report.select("table_name", "table_exists", *[
         F.when(there, F.col(c)).otherwise(none).alias(c)
         for c in ("mapped_columns", "unknown_columns", "required_missing", "system_handled")])

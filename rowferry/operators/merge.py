@@ -12,28 +12,30 @@ from .ordering import first_per_key
 from .union import union_all
 
 
-def _touched(current: DataFrame, batch_keys: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows of the snapshot the batch does not name, rows it does).
-
-    With a batch below the broadcast limit neither side shuffles the snapshot.
-    """
-    return (current.join(batch_keys, list(keys), "left_anti"),
-            current.join(batch_keys, list(keys), "left_semi"))
-
-
 def upsert_newer(
     current: DataFrame, batch: DataFrame, keys: Sequence[str], time: str, arrival: Sequence[str] = (),
+    small_batch: bool = False,
 ) -> DataFrame:
     """Insert or update by key where an older row never replaces a newer one.
 
-    Equal times take the incoming row; among incoming rows of equal time the last arrival wins.
+    Equal times take the incoming row; among incoming rows of equal time the last arrival wins. One
+    shuffle brings both sides together. With `small_batch` only the rows the batch names are compared:
+    while the batch stays below the broadcast limit, the snapshot is then not shuffled at all.
     """
-    order = [F.col(time).desc_nulls_last(), *[F.col(a).desc_nulls_last() for a in arrival]]
-    incoming = first_per_key(batch, keys, order).select(*current.columns)
-    untouched, touched = _touched(current, incoming.select(*keys), keys)
-    rivals = union_all(touched.withColumn("_incoming", F.lit(0)), incoming.withColumn("_incoming", F.lit(1)))
-    winner = first_per_key(rivals, keys, [F.col(time).desc_nulls_last(), F.col("_incoming").desc()])
-    return union_all(untouched, winner.drop("_incoming"))
+    columns = [*current.columns, *[a for a in arrival if a not in current.columns]]
+    order = [F.col(time).desc_nulls_last(), F.col("_incoming").desc(), *[F.col(a).desc_nulls_last() for a in arrival]]
+
+    def newest(old: DataFrame, new: DataFrame) -> DataFrame:
+        missing = [F.lit(None).cast(batch.schema[a].dataType).alias(a) for a in arrival if a not in old.columns]
+        rivals = union_all(old.select("*", *missing, F.lit(0).alias("_incoming")),
+                           new.select(*columns, F.lit(1).alias("_incoming")))
+        return first_per_key(rivals, keys, order).select(*current.columns)
+
+    if not small_batch:
+        return newest(current, batch)
+    named = batch.select(*keys).distinct()
+    return union_all(current.join(named, list(keys), "left_anti"),
+                     newest(current.join(named, list(keys), "left_semi"), batch))
 
 
 def upsert_last(

@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 from ..contracts import FieldMapping, TargetProfile
 from ..functions.keys import checksum, reference_for, row_json
-from ..operators import lookups, ordering, projection, validation
+from ..operators import lookups, ordering, validation
+from ..operators.union import union_all
 from ..plans import delivery
+from ..sources.workspace import materialise
 from .fixtures import (
     AS_OF_SQL, MODEL, REMAP, REMAP_SQL, SCHEMA, STRIP_SQL, SYSTEM, TARGET, as_of, crosswalk, fixture,
     keyed_customer, sql, table, tgt_account,
@@ -208,14 +210,14 @@ def first_delivery(spark: SparkSession, folder: str) -> DataFrame:
     staged = delivery.stage_rows(rows, CUSTOMER, MODEL, ["external_reference"], as_of())
     good, _ = validation.split(staged)
     links = lookups.entity_crosswalk(crosswalk(spark, folder), "customer", TARGET, "account")
-    known = good.join(links, "external_reference", "left")
+    known = materialise(good.join(links, "external_reference", "left"))
     fresh = ordering.allocate_ids(known.filter("target_id IS NULL").drop("target_id"), "external_reference", "target_id",
                                   PROFILE.id_start)
-    ids = known.filter("target_id IS NOT NULL").withColumn("target_id", F.col("target_id").cast("bigint")).unionByName(fresh)
-    account = projection.fan_out(ids, "account", ["external_reference", "target_id"])
-    detail = projection.fan_out(ids, "account_detail", ["external_reference"])
-    linked = lookups.propagate_parent(detail, "account_id", ids)
-    return account.drop("balance").join(linked, "external_reference").withColumnRenamed("target_id", "id")
+    settled = known.filter("target_id IS NOT NULL").withColumn("target_id", F.col("target_id").cast("bigint"))
+    # Both target rows come from one source row, so the parent id is at hand without a join.
+    return union_all(settled, fresh).select(
+        "external_reference", F.col("target_id").alias("id"), "account.name", "account.segment",
+        F.col("target_id").alias("account_id"), "account_detail.balance", "account_detail.opened")
 
 
 @query("entry_first_delivery", sql(

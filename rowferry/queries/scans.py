@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge
 from ..operators.projection import coerce_rows, empty_target
+from ..operators.union import union_all
 from ..sources import contracts as contract_sources
 from ..sources import tables
 from ..sources.snapshots import Snapshots, rebuild
@@ -96,7 +97,7 @@ def batch_append(spark, folder):
 _EVENT_STATE = "user_id, event_id, ts, value"
 
 
-@query("a10_upsert_newer", sql(
+_NEWER = sql(
     "SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, "
     "incoming DESC, event_id DESC) AS n FROM rivals) WHERE n = 1", extra={
         "present": f"SELECT {_EVENT_STATE} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, "
@@ -104,15 +105,27 @@ _EVENT_STATE = "user_id, event_id, ts, value"
         "batch": f"SELECT {_EVENT_STATE} FROM events WHERE event_type = 'click' UNION ALL "
                  "SELECT user_id, event_id + 100000000, ts, value + 1 FROM present WHERE user_id % 2 = 0",
         "rivals": "SELECT *, 0 AS incoming FROM present UNION ALL SELECT *, 1 AS incoming FROM batch",
-    }))
-def upsert_newer(spark, folder):
+    })
+
+
+def _newer(spark, folder, small_batch):
     events = table(spark, folder, "events").select("user_id", "event_id", "ts", "value", "event_type")
     current = merge.first_per_key(events.filter("event_type <> 'click'"), ["user_id"],
                                   [F.col("ts").desc(), F.col("event_id").desc()]).drop("event_type")
     ties = current.filter("user_id % 2 = 0").selectExpr(
         "user_id", "event_id + 100000000 AS event_id", "ts", "value + 1 AS value")
-    batch = events.filter("event_type = 'click'").drop("event_type").unionByName(ties)
-    return merge.upsert_newer(current, batch, ["user_id"], "ts", ["event_id"])
+    batch = union_all(events.filter("event_type = 'click'").drop("event_type"), ties)
+    return merge.upsert_newer(current, batch, ["user_id"], "ts", ["event_id"], small_batch)
+
+
+@query("a10_upsert_newer", _NEWER)
+def upsert_newer(spark, folder):
+    return _newer(spark, folder, False)
+
+
+@query("a10_upsert_newer_small_batch", _NEWER)
+def upsert_newer_small_batch(spark, folder):
+    return _newer(spark, folder, True)
 
 
 @query("a11_upsert_last", sql(
