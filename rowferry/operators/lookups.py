@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import external_reference
 from ..functions.text import match_key
@@ -53,46 +54,57 @@ def resolve_by_key(rows: DataFrame, column: str, lookup: DataFrame, pk: str, tab
 
 def _mask(columns: Sequence[str]) -> Column:
     bits = [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total + bit
-    return total
+    return sum(bits[1:], bits[0])
+
+
+def _lookup_key(given: Column, columns: Sequence[str], schema: T.StructType) -> Column:
+    """Text of the set of given columns and their values, in the types of the lookup."""
+    values = []
+    for i, c in enumerate(columns):
+        dtype = schema[c].dataType
+        value = F.col(c).try_cast(dtype)
+        if isinstance(dtype, (T.DoubleType, T.FloatType)):
+            value = value + F.lit(0.0)  # minus zero equals zero
+        values.append(F.when(given.bitwiseAND(1 << i) != 0, value).alias(f"v{i}"))
+    return F.when(given != 0, F.to_json(F.struct(given.alias("set"), *values)))
 
 
 def resolve_by_values(
-    rows: DataFrame, columns: Sequence[str], lookup: DataFrame, pk: str, wanted: Column | None = None
+    rows: DataFrame, columns: Sequence[str], lookup: DataFrame, pk: str, wanted: Column | None = None,
+    weigh: DataFrame | None = None,
 ) -> DataFrame:
     """Natural-key lookup where only the non-null values of a row have to agree.
 
     Instead of a theta join the lookup is expanded to one row per set of columns a source row may
     supply, so the match is an equality join on that set and its values. The smallest key wins
-    where several rows match. Rows outside `wanted` are not looked up.
+    where several rows match. Rows outside `wanted` are not looked up. With `weigh`, a frame that has
+    the value columns, heavy values are spread; without it Spark broadcasts a lookup that is small.
     """
     sets = F.explode(F.sequence(F.lit(1), F.lit((1 << len(columns)) - 1)))
-    expanded = lookup.select(F.col(pk), *columns, sets.alias("_set")).filter(
+    expanded = lookup.select(pk, *columns, sets.alias("_set")).filter(
         _mask(columns).bitwiseAND(F.col("_set")) == F.col("_set"))
-    value = [F.when(F.col("_set").bitwiseAND(1 << i) != 0, F.col(c)).alias(f"_v{i}")
-             for i, c in enumerate(columns)]
-    entries = expanded.select(pk, "_set", *value) \
-        .groupBy("_set", *[f"_v{i}" for i in range(len(columns))]).agg(F.min(pk).alias("target_id"))
-    mask = _mask(columns) if wanted is None else F.when(wanted, _mask(columns)).otherwise(0)
-    keyed = rows.withColumn("_mask", mask)
-    agree = F.col("_mask") == F.col("_set")
-    for i, c in enumerate(columns):
-        agree = agree & keyed[c].eqNullSafe(F.col(f"_v{i}"))
-    return keyed.join(entries, agree, "left").drop("_mask", "_set", *[f"_v{i}" for i in range(len(columns))])
+    entries = expanded.select(pk, _lookup_key(F.col("_set"), columns, lookup.schema).alias("_key")) \
+        .groupBy("_key").agg(F.min(pk).alias("target_id"))
+    mask = _mask(columns)
+    asked = mask if wanted is None else F.when(wanted, mask).otherwise(0)
+    keyed = rows.withColumn("_key", _lookup_key(asked, columns, lookup.schema))
+    if weigh is None:
+        return keyed.join(entries, "_key", "left").drop("_key")
+    weighed = weigh.select(_lookup_key(mask, columns, lookup.schema).alias("_key"))
+    return spread_join(keyed, entries, "_key", "left", ["external_reference"], weigh=weighed).drop("_key")
 
 
 def match_or_allocate(
     rows: DataFrame, crosswalk: DataFrame, target: DataFrame, pk: str, start: int,
-    natural: Sequence[str] = (),
+    natural: Sequence[str] = (), weigh: DataFrame | None = None,
 ) -> DataFrame:
     """Target id of every row, and how it came about.
 
     `rows` has one row per external_reference; `crosswalk` is (external_reference, target_id) of this
     entity and table. A live crosswalk id is updated; otherwise a target row with the same natural key
     is matched; otherwise a new id is allocated, one per natural key, so that rows describing the same
-    new thing share it. Ids follow the references, so a second run gives the same ones.
+    new thing share it. Ids follow the references, so a second run gives the same ones. `weigh` may name a
+    cheaper frame with the natural columns to find heavy values in.
     """
     id_type = target.schema[pk].dataType
     live = live_crosswalk(crosswalk, target, pk).select(
@@ -100,7 +112,8 @@ def match_or_allocate(
     known = rows.join(live, "external_reference", "left")
     found = F.col("_live")
     if natural:
-        known = resolve_by_values(known, natural, target.select(pk, *natural), pk, F.col("_live").isNull()) \
+        known = resolve_by_values(known, natural, target.select(pk, *natural), pk, F.col("_live").isNull(),
+                                  rows if weigh is None else weigh) \
             .withColumnRenamed("target_id", "_match")
         found = F.coalesce("_live", "_match")
     known = materialise(known)  # read several times below: settled rows, groups, new ids

@@ -16,19 +16,20 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
 
 
 def spread_join(
-    rows: DataFrame, other: DataFrame, key: str, how: str = "left",
-    spread_by: Sequence[str] | None = None, copies: int = 64, share: float = 0.02,
+    rows: DataFrame, other: DataFrame, key: str, how: str = "left", spread_by: Sequence[str] | None = None,
+    copies: int = 64, share: float = 0.02, weigh: DataFrame | None = None,
 ) -> DataFrame:
-    """Left or inner join of many rows to one row per key, with heavy keys cut into `copies` parts.
+    """Join of many rows to a keyed frame, with heavy keys cut into `copies` parts.
 
-    Only heavy keys are copied on the other side, so it grows by 50 * copies rows at most. The part
-    of a row comes from a hash of its values, which keeps a recomputed task identical. Rows without a
-    key match nothing and are parted as well, so they do not meet in one task either.
+    Only heavy keys are copied on the other side: 1 / share keys at most, `copies` times each. The part of
+    a row comes from a hash of its values, which keeps a recomputed task identical. Rows without a key
+    match nothing and are parted as well, so they do not meet in one task either. `weigh` may name a
+    cheaper frame with the same keys to find the heavy ones in.
     """
-    if how not in ("left", "inner"):
+    if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     # heavy_keys returns at most 1 / share rows.
-    heavy = F.broadcast(heavy_keys(rows, key, share).withColumn("_heavy", F.lit(True)))
+    heavy = F.broadcast(heavy_keys(rows if weigh is None else weigh, key, share).withColumn("_heavy", F.lit(True)))
     part = F.pmod(F.xxhash64(*(spread_by or rows.columns)), F.lit(copies)).cast("int")
     parted = rows.join(heavy, key, "left").withColumn(
         "_part", F.when(F.col("_heavy") | F.col(key).isNull(), part).otherwise(0)).drop("_heavy")

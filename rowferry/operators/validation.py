@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..contracts import ENVELOPE_FIELDS, FieldMapping, TableContract, TargetContract
 from ..functions.text import plain_text
 from .projection import ERRORS, compact, project
+from .skew import spread_join
 from .union import union_all
 
 
@@ -103,8 +104,8 @@ def mark_quarantined(outbox: DataFrame, failed: DataFrame, as_of: Column) -> Dat
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose foreign key names no parent row; null keys are not orphans."""
-    return child.filter(F.col(column).isNotNull()).join(
-        parent.select(F.col(key).alias(column)), column, "left_anti")
+    linked = child.filter(F.col(column).isNotNull())
+    return spread_join(linked, parent.select(F.col(key).alias(column)), column, "left_anti", linked.columns)
 
 
 def referential_report(links: Sequence[tuple[str, DataFrame, str, str, DataFrame, str]]) -> DataFrame:

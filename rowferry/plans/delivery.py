@@ -116,7 +116,7 @@ def write_rows(
         else:
             natural = mapped if name in profile.app_assigned else ()
             start = profile.id_start if name in profile.app_assigned else 1
-            ids = match_or_allocate(rows, known, tables[name], pk, start, natural)
+            ids = match_or_allocate(rows, known, tables[name], pk, start, natural, staged.select(f"{name}.*"))
         ids = materialise(ids)
         produced[name] = ids.select(REFERENCE, "target_id")
         tables[name] = _write_table(tables[name], ids, pk, mapped, links)

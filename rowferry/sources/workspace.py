@@ -11,12 +11,15 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names; only without a setting a local one is made."""
+    """A new folder below the one the cluster names; only without a setting a local one is made.
+
+    Everything one application leaves there lies under its id and can be removed when it has ended.
+    """
     base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
     if not base:
         base = tempfile.mkdtemp(prefix="rowferry-")
         spark.conf.set(_SETTING, base)
-    return f"{base.rstrip('/')}/rowferry-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/rowferry/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -20,9 +20,10 @@ def rows(df, *order):
 def test_spread_join_equals_join(spark):
     hot = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 11 = 0 THEN NULL ELSE id % 100 END AS k")
     other = spark.range(90).selectExpr("id AS k", "id * 10 AS v")
-    for how in ("left", "inner"):
-        plain = hot.join(other, "k", how).select("id", "k", "v")
-        spread = skew.spread_join(hot, other, "k", how, ["id"], copies=8).select("id", "k", "v")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        columns = ["id", "k", "v"] if how in ("left", "inner") else ["id", "k"]
+        plain = hot.join(other, "k", how).select(columns)
+        spread = skew.spread_join(hot, other, "k", how, ["id"], copies=8).select(columns)
         assert rows(plain, "id") == rows(spread, "id")
     assert rows(skew.heavy_keys(hot, "k"), "k") == [(7,)]
     with pytest.raises(ValueError):
