@@ -31,8 +31,7 @@ def name_key(c: Column) -> Column:
 def float_text(c: Column) -> Column:
     """A double in shortest plain notation (``12345678.9``, not ``1.23456789E7``)."""
     java = c.cast("string")
-    plain = F.regexp_replace(java.try_cast("decimal(38,22)").cast("string"), r"0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    plain = F.regexp_replace(java.try_cast("decimal(38,22)").cast("string"), r"(\.\d+?)0*$", "$1")
     size = F.abs(c)
     scientific = F.regexp_replace(F.lower(java), r"\.0e", "e")
     scientific = F.regexp_replace(scientific, r"e(\d)", "e+$1")

@@ -15,6 +15,12 @@ from .skew import spread_join
 from .union import union_all
 
 
+# Error texts.
+MISSING = "required target field '{}' is missing or null"
+NOT_ALLOWED = "' is not a valid value for enum '{}'"
+NO_TABLE = "target table '{}' not found in target schema"
+
+
 def column_errors(table: TableContract, schema: T.StructType, value=F.col) -> list[Column]:
     """Required and enum checks of one table; `value` turns a column name into its column."""
     found = {f.name: f.dataType for f in schema.fields}
@@ -28,11 +34,10 @@ def column_errors(table: TableContract, schema: T.StructType, value=F.col) -> li
             missing = c.isNull()
             if present and isinstance(found[column.name], T.StringType):
                 missing = missing | (c == "")
-            text = f"required target field '{column.name}' is missing or null"
-            errors.append(F.when(missing, F.lit(text)))
+            errors.append(F.when(missing, F.lit(MISSING.format(column.name))))
         if column.enum_values and present:
             shown = plain_text(c, found[column.name])
-            text = F.concat(F.lit("'"), shown, F.lit(f"' is not a valid value for enum '{column.name}'"))
+            text = F.concat(F.lit("'"), shown, F.lit(NOT_ALLOWED.format(column.name)))
             errors.append(F.when(~shown.isin(*column.enum_values), text))
     return errors
 
@@ -47,7 +52,7 @@ def transform_rows(
     for name in dict.fromkeys(m.target_table for m in mappings if m.target_table and m.target_column):
         table = contract.table(name)
         if table is None:
-            checks.append(F.lit(f"target table '{name}' not found in target schema"))
+            checks.append(F.lit(NO_TABLE.format(name)))
         else:
             checks += column_errors(table, rows.schema)
     return rows.withColumn(ERRORS, F.concat(ERRORS, compact(checks)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..contracts import FieldMapping, TargetProfile
+from ..contracts import ColumnContract, FieldMapping, ForeignKey, TableContract, TargetContract, TargetProfile
 from ..functions.keys import checksum, reference_for, row_json
 from ..operators import lookups, ordering, validation
 from ..operators.union import union_all
@@ -14,7 +14,7 @@ from ..plans import delivery
 from ..sources.workspace import materialise
 from .fixtures import (
     AS_OF_SQL, MODEL, REMAP, REMAP_SQL, SCHEMA, STRIP_SQL, SYSTEM, TARGET, as_of, crosswalk, fixture,
-    keyed_customer, sql, table, tgt_account,
+    keyed_customer, reference_sql, sql, table, tgt_account,
 )
 from .registry import query
 
@@ -181,6 +181,49 @@ def refresh_summary(spark, folder):
     return counts
 
 
+ORDER_MODEL = TargetContract((
+    MODEL.table("account"),
+    TableContract("order_head", (
+        ColumnContract("id", "bigint", nullable=False, primary_key=True, generated=True), ColumnContract("account_id", "bigint"),
+        ColumnContract("status", "varchar(1)", nullable=False, enum_values=("F", "O", "P")), ColumnContract("total", "double"),
+        ColumnContract("placed", "timestamp")), (ForeignKey("account_id", "account"),)),
+    TableContract("order_note", (
+        ColumnContract("id", "bigint", nullable=False, primary_key=True, generated=True),
+        ColumnContract("head_id", "bigint", nullable=False), ColumnContract("priority", "varchar(6)")),
+        (ForeignKey("head_id", "order_head"),)),
+))
+ORDERS = delivery.Entity("orders", SCHEMA, ("o_orderkey",), (
+    FieldMapping("o_custkey", "order_head", "account_id"), FieldMapping("o_orderstatus", "order_head", "status"),
+    FieldMapping("o_totalprice", "order_head", "total"), FieldMapping("o_orderdate", "order_head", "placed"),
+    FieldMapping("o_orderpriority", "order_note", "priority"),
+), references={"account": ("customer",)})
+
+
+def _orders_refreshed(spark, folder):
+    state = delivery.TargetState({
+        "account": tgt_account(spark, folder),
+        "order_head": spark.createDataFrame([], "id bigint, account_id bigint, status string, total double, placed timestamp_ntz"),
+        "order_note": spark.createDataFrame([], "id bigint, head_id bigint, priority string"),
+    }, crosswalk(spark, folder))
+    return delivery.refresh_entity(table(spark, folder, "orders"), state, ORDERS, ORDER_MODEL, PROFILE, SYSTEM)[0]
+
+
+_ORDER_IDS = {"o": f"SELECT *, row_number() OVER (ORDER BY {reference_sql('orders', 'o_orderkey')}) AS id FROM orders"}
+
+
+@query("k5_order_refresh", sql(
+    "SELECT o.id, t.id AS account_id, o_orderstatus AS status, o_totalprice AS total, o_orderdate AS placed FROM o LEFT JOIN "
+    "tgt_account t ON t.id = 1000 + o_custkey", "tgt_account", extra=_ORDER_IDS))
+def order_refresh(spark, folder):
+    return _orders_refreshed(spark, folder).tables["order_head"]
+
+
+@query("k5_order_notes", sql(
+    "SELECT id, id AS head_id, substr(o_orderpriority, 1, 6) AS priority FROM o", extra=_ORDER_IDS))
+def order_notes(spark, folder):
+    return _orders_refreshed(spark, folder).tables["order_note"]
+
+
 @query("k6_full_rebuild", sql(
     f"SELECT 'account' AS name, count(DISTINCT (substr({STRIP_SQL}, 1, 12), {REMAP_SQL}, c_acctbal)) AS rows, 'delivered' AS state FROM "
     f"src_customer WHERE {_VALID} UNION ALL SELECT 'account_detail', count(*), 'delivered' FROM src_customer WHERE {_VALID} "

@@ -12,5 +12,6 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "16g"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.cache.maxEntries", 2000)
         .getOrCreate()
     )

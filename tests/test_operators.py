@@ -240,9 +240,9 @@ def test_file_states(spark):
      ("duplicate_key", "school", "id", "42")),
     ("1062 (23000): Duplicate entry '42' for key 'school.PRIMARY'", ("duplicate_key", None, "id", "42")),
     ("Duplicate entry '42' for key 'school_pkey'", ("duplicate_key", "school", "id", "42")),
-    ("no row in reference table psgc matches {'code': '0505', 'name': 'x'}", ("reference_match_missing", "psgc", "code", "0505")),
-    ("psgc.id='77' does not exist; psgc is read-only", ("read_only_reference_missing", "psgc", "id", "77")),
-    ("psgc.id=77 does not exist; other is read-only", ("unknown", None, None, None)),
+    ("no row in reference table area matches {'code': '17', 'name': 'x'}", ("reference_match_missing", "area", "code", "17")),
+    ("area.id='77' does not exist; area is read-only", ("read_only_reference_missing", "area", "id", "77")),
+    ("area.id=77 does not exist; other is read-only", ("unknown", None, None, None)),
     ("user.birth date year 20203 is outside supported range", ("data_quality", "user", "birth", "20203")),
     ("connection reset", ("unknown", None, None, None)),
 ])
