@@ -89,5 +89,6 @@ def allocate_ids(
     offsets = F.broadcast(counts.select("_bucket", before.alias("_before")))
     first = start if isinstance(start, Column) else F.lit(start)
     inside = F.row_number().over(W.partitionBy("_bucket").orderBy(key))
-    return bucketed.join(offsets, "_bucket").withColumn(
+    # Every bucket has its offset; the left join keeps the key expression out of a null filter.
+    return bucketed.join(offsets, "_bucket", "left").withColumn(
         column, (first + F.col("_before") + inside - 1).cast("bigint")).drop("_bucket", "_before")

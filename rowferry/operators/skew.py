@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+JOINS = ("left", "inner", "left_semi", "left_anti")
+
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
-    """Keys holding more than the given share of all rows: never more than 1 / share of them."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    """Keys, null among them, holding more than the given share of all rows: at most 1 / share."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
     limit = counts.agg((F.sum("_n") * share).alias("_limit")).scalar()
     return counts.filter(F.col("_n") > limit).select(key)
 
@@ -21,19 +23,24 @@ def spread_join(
 ) -> DataFrame:
     """Join of many rows to a keyed frame, with heavy keys cut into `copies` parts.
 
-    Only heavy keys are copied on the other side: 1 / share keys at most, `copies` times each. The part of
-    a row comes from a hash of its values, which keeps a recomputed task identical. Rows without a key
-    match nothing and are parted as well, so they do not meet in one task either. `weigh` may name a
-    cheaper frame with the same keys to find the heavy ones in.
+    Key counts are looked at first, over `weigh` where a cheaper frame with the same keys exists. Without
+    a heavy key this is a plain join. Otherwise the rows of heavy keys get a part from a hash of their
+    values, which keeps a recomputed task identical, and the other side repeats just those keys: 1 / share
+    of them at most, `copies` times each. A heavy null key matches nothing and is only parted.
     """
-    if how not in ("left", "inner", "left_semi", "left_anti"):
+    if how not in JOINS:
         raise ValueError(f"unsupported join type {how!r}")
-    # heavy_keys returns at most 1 / share rows.
-    heavy = F.broadcast(heavy_keys(rows if weigh is None else weigh, key, share).withColumn("_heavy", F.lit(True)))
+    # At most 1 / share values reach the driver.
+    heavy = [r[0] for r in heavy_keys(rows if weigh is None else weigh, key, share).collect()]
+    if not heavy:
+        return rows.join(other, key, how)
+    values = [v for v in heavy if v is not None]
+
+    def is_heavy() -> Column:
+        return F.col(key).isin(values) if values else F.lit(False)
+
     part = F.pmod(F.xxhash64(*(spread_by or rows.columns)), F.lit(copies)).cast("int")
-    parted = rows.join(heavy, key, "left").withColumn(
-        "_part", F.when(F.col("_heavy") | F.col(key).isNull(), part).otherwise(0)).drop("_heavy")
+    parted = rows.withColumn("_part", F.when(F.col(key).isNull() | is_heavy(), part).otherwise(0))
     every = F.sequence(F.lit(0), F.lit(copies - 1))
-    copied = other.join(heavy, key, "left").withColumn(
-        "_part", F.explode(F.when(F.col("_heavy"), every).otherwise(F.array(F.lit(0))))).drop("_heavy")
+    copied = other.withColumn("_part", F.explode(F.when(is_heavy(), every).otherwise(F.array(F.lit(0)))))
     return parted.join(copied, [key, "_part"], how).drop("_part")

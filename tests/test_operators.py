@@ -25,7 +25,10 @@ def test_spread_join_equals_join(spark):
         plain = hot.join(other, "k", how).select(columns)
         spread = skew.spread_join(hot, other, "k", how, ["id"], copies=8).select(columns)
         assert rows(plain, "id") == rows(spread, "id")
-    assert rows(skew.heavy_keys(hot, "k"), "k") == [(7,)]
+    assert rows(skew.heavy_keys(hot, "k"), "k") == [(None,), (7,)]
+    even = spark.range(1000).selectExpr("id", "id % 100 AS k")
+    assert skew.heavy_keys(even, "k").count() == 0
+    assert rows(skew.spread_join(even, other, "k"), "id") == rows(even.join(other, "k", "left"), "id")
     with pytest.raises(ValueError):
         skew.spread_join(hot, other, "k", "full")
 
