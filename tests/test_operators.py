@@ -6,8 +6,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowferry.operators import compare, diagnose, drift, events, lookups, matching, merge, ordering, skew
+from rowferry.functions.keys import external_reference
+from rowferry.operators import compare, diagnose, drift, events, lookups, matching, merge, ordering, skew, validation
 from rowferry.sources import contracts as contract_sources
 from rowferry.sources.snapshots import Snapshots, rebuild
 from rowferry.sources.workspace import materialise, shared_folder
@@ -310,3 +312,47 @@ def test_snapshots_keep_the_last_version(spark):
 def test_materialise_keeps_rows(spark):
     df = spark.range(100).selectExpr("id", "named_struct('a', id) AS s")
     assert rows(materialise(df), "id") == rows(df, "id")
+
+
+def test_hot_natural_key_shares_one_id(spark):
+    source = spark.range(900).select(
+        F.sha1(F.col("id").cast("string")).alias("external_reference"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 10 == 1, None)
+        .otherwise(F.concat(F.lit("n"), F.col("id") % 50)).alias("name"), (F.col("id") % 2).alias("side"))
+    target = spark.createDataFrame([(3, "n7", 1), (4, "hot", 0)], "id bigint, name string, side bigint")
+    links = spark.createDataFrame([], "external_reference string, target_id string")
+    got = lookups.match_or_allocate(source, links, target, "id", 100, ["name", "side"]).collect()
+    assert len(got) == 900 and len({r.external_reference for r in got}) == 900
+    ids = {}
+    for r in got:
+        ids.setdefault((r.name, r.side), set()).add(r.target_id)
+    assert all(len(v) == 1 for v in ids.values())
+    assert ids[("hot", 0)] == {4} and ids[("n7", 1)] == {3}
+    assert ids[(None, 1)] == {3} and (None, 0) not in ids or ids[(None, 0)] == {4}
+    fresh = sorted({i for v in ids.values() for i in v if i >= 100})
+    assert fresh == list(range(100, 100 + len(fresh)))
+    assert sum(r.action == "insert" for r in got) == len(fresh)
+
+
+def test_hot_reference_value(spark):
+    rows_in = spark.range(600).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 5 WHEN id % 7 = 1 THEN NULL ELSE id % 40 END AS fk")
+    parents = spark.range(0, 40, 2).selectExpr("id AS pk", "id + 1000 AS tid")
+    links = parents.select(
+        F.lit("a").alias("source_entity"), external_reference("S", "x", "a", [(F.col("pk"), T.LongType())])
+        .alias("external_reference"), F.col("tid").cast("string").alias("target_id")).unionByName(
+        spark.createDataFrame([(5,)], "pk bigint").select(
+            F.lit("b").alias("source_entity"), external_reference("S", "x", "b", [(F.col("pk"), T.LongType())])
+            .alias("external_reference"), F.lit("1005").alias("target_id")))
+    target = spark.range(1000, 1040).withColumnRenamed("id", "tid").filter("tid <> 1004")
+    got = lookups.resolve_references(rows_in, "fk", "out", links, target, "tid", ["b", "a"], "S", "x", ["id"])
+    for r in got.collect():
+        alive = r.fk is not None and (r.fk == 5 or (r.fk % 2 == 0 and r.fk != 4))
+        assert r.out == (1000 + r.fk if alive else None)
+    assert got.count() == 600
+
+
+def test_orphans_of_a_hot_key(spark):
+    child = spark.range(300).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 99 WHEN id % 3 = 1 THEN 1 END AS fk")
+    lost = validation.orphans(
+        child, "fk", spark.createDataFrame([(1,)], "k bigint"), "k")
+    assert rows(lost.select("id"), "id") == [(i,) for i in range(0, 300, 3)]
