@@ -107,7 +107,7 @@ def default_timestamp(c: Column, as_of: Column | None = None) -> Column:
 
 
 def cut_to_width(c: Column, width: int | None) -> Column:
-    return c if width is None else F.when(F.length(c) > width, F.left(c, F.lit(width))).otherwise(c)
+    return c if width is None else F.left(c, F.lit(width))
 
 
 def clamp_years(c: Column, last: int = 9999) -> Column:

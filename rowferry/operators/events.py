@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_text
 from .merge import upsert_last
 from .ordering import first_per_key, oldest
 
@@ -150,7 +149,3 @@ def quarantine_listing(quarantine: DataFrame, outbox: DataFrame, limit: int, res
     fields = outbox.select("event_id", "source_entity", F.col("status").alias("outbox_status"), "attempts",
                            "operation", "external_reference")
     return chosen.join(fields, "event_id").orderBy(F.col("created_at").desc(), F.col("event_id").desc()).limit(limit)
-
-
-def event_id_text(df: DataFrame) -> Column:
-    return plain_text(F.col("event_id"), df.schema["event_id"].dataType)

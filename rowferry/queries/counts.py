@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diagnose, metrics, ordering
-from .fixtures import crosswalk, fixture, keyed_customer, outbox, sql, table
+from .fixtures import crosswalk, fixture, keyed_customer, sql, table
 from .registry import query
 
 

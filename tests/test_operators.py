@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.keys import external_reference
-from rowferry.operators import compare, diagnose, drift, events, lookups, matching, merge, ordering, skew, validation
+from rowferry.operators import compare, diagnose, drift, events, lookups, matching, merge, metrics, ordering, skew, validation
 from rowferry.sources import contracts as contract_sources
 from rowferry.sources.snapshots import Snapshots, rebuild
 from rowferry.sources.workspace import materialise, shared_folder
@@ -356,3 +356,21 @@ def test_orphans_of_a_hot_key(spark):
     lost = validation.orphans(
         child, "fk", spark.createDataFrame([(1,)], "k bigint"), "k")
     assert rows(lost.select("id"), "id") == [(i,) for i in range(0, 300, 3)]
+
+
+def test_observed_counts_come_with_the_write(spark):
+    df = spark.createDataFrame([("delivered",), ("delivered",), ("retry",), ("quarantined",)], "outcome string")
+    watched, seen = metrics.observed(df)
+    watched.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"claimed": 4, "delivered": 2, "quarantined": 1, "retried": 1}
+    assert metrics.run_summary(df).first().asDict() == seen.get
+
+
+def test_job_failures_in_every_place(spark):
+    results = ['{"results":[{"entity":"a","status":"FAILED"},{"entity":"b","status":"ok"}]}',
+               '{"redeliver":{"entities":[{"table":"c","status":"done","error":"late"}]},"entities":[{"source_table":"d","status":"skipped"}]}',
+               '{"results":{"results":[],"entities":[{"entity":"e","status":"error"}]}}', "no json", None]
+    df = spark.createDataFrame(list(enumerate(results)), "job_id int, result string")
+    got = metrics.job_failures(df).select("job_id", "entity", "status", "error")
+    assert rows(got, "job_id", "entity") == [
+        (0, "a", "FAILED", None), (1, "c", "done", "late"), (1, "d", "skipped", None), (2, "e", "error", None)]
