@@ -17,13 +17,17 @@ from ..operators.lookups import (
     resolve_references, unresolved,
 )
 from ..operators.merge import scoped_delete
-from ..operators.projection import ERRORS, stage
+from ..operators.projection import ERRORS, stage, usable, without_managed
 from ..operators.union import union_all
 from ..operators.validation import check_staged, quarantine_upsert
 from ..sources.workspace import materialise
 
 REFERENCE = "external_reference"
 
+# Reasons why an event cannot be delivered at all.
+NO_MAPPING = "no approved target mapping for entity"
+NO_VALUES = "mapping produced no target values"
+
 
 @dataclass(frozen=True)
 class Entity:
@@ -176,7 +180,11 @@ def deliver_events(
     head = ["event_id", REFERENCE, "source_entity", "operation", "source_updated_at", "created_at",
             "payload", "payload_checksum"]
     rows = due.select(*head, F.from_json("payload", entity.row_schema).alias("_row")).select(*head, "_row.*")
-    staged = materialise(stage_rows(rows, entity, contract, head, as_of))
+    if usable(without_managed(entity.mappings, contract), rows.columns):
+        staged = materialise(stage_rows(rows, entity, contract, head, as_of))
+    else:
+        reason = NO_VALUES if entity.mappings else NO_MAPPING
+        staged = materialise(due.select(*head, F.array(F.lit(reason)).alias(ERRORS)))
     good = staged.filter(F.size(ERRORS) == 0)
     bad = staged.filter(F.size(ERRORS) > 0)
     latest = materialise(outbox_ops.last_event_per_key(good))

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workspace import is_missing
+
 
 class Snapshots:
     """Versions of one table below a folder.
@@ -21,7 +23,9 @@ class Snapshots:
     def version(self) -> int | None:
         try:
             listed = self.spark.read.schema("version bigint").parquet(f"{self.root}/_list")
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             return None
         return listed.agg(F.max("version")).first()[0]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -22,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/rowferry/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """True when a read failed because nothing has been written to the path yet."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes a frame that several branches share and reads it back.
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators.ordering import first_per_key, latest_per_key
 from ..operators.union import union_all
+from ..sources.workspace import is_missing
 
 # Defaults of the delivery loop.
 BATCH_EVENTS = 100
@@ -83,18 +84,17 @@ class ChangeLog:
         rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
 
     def batch(self, number: int) -> DataFrame:
-        return self._load(f"{self.root}/batch={number}")
+        """Rows of one batch, which must have been written."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/batch={number}")
 
     def rows(self) -> DataFrame:
-        """All rows with their batch number."""
-        with_batch = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
-        return self._load(self.root, with_batch)
-
-    def _load(self, path: str, schema: T.StructType | None = None) -> DataFrame:
-        schema = schema or self.schema
+        """All rows with their batch number; none before the first batch."""
+        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
         try:
-            return self.spark.read.schema(schema).parquet(path)
-        except AnalysisException:
+            return self.spark.read.schema(schema).parquet(self.root)
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             return self.spark.createDataFrame([], schema)
 
 

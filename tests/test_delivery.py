@@ -56,3 +56,19 @@ def test_disabled_entity_is_not_delivered(spark, folder):
     done = delivery.deliver_events(box, off, state, held, first.envelope.filter(F.lit(False)), jobs.CUSTOMER, MODEL,
                                    jobs.PROFILE, SYSTEM, as_of())
     assert same(done.outbox, box) and same(done.target.tables["account"], state.tables["account"])
+
+
+def test_entity_without_mapping_is_quarantined(spark, folder):
+    on = spark.createDataFrame([("customer", "CRM", True)], "source_entity string, target_system string, enabled boolean")
+    held = spark.createDataFrame([], "event_id bigint, errors array<string>, payload_snapshot string")
+    envelope = spark.createDataFrame([], (
+        "event_id string, external_reference string, source_entity string, operation string, source_updated_at timestamp_ntz, "
+        "payload_checksum string, active boolean, accepted_at timestamp_ntz"))
+    bare = delivery.Entity("customer", "erp", ("c_custkey",), (), jobs.ROW)
+    state = jobs._state(spark, folder)
+    done = delivery.deliver_events(jobs._outbox(spark, folder), on, state, held, envelope, bare, MODEL, jobs.PROFILE, SYSTEM,
+                                   as_of())
+    due = jobs._outbox(spark, folder).filter("status = 'pending'").count()
+    assert done.quarantine.count() == due and done.envelope.count() == 0
+    assert {tuple(r.errors) for r in done.quarantine.collect()} == {(delivery.NO_MAPPING,)}
+    assert same(done.target.tables["account"], state.tables["account"])

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from rowferry.sources.workspace import shared_folder
@@ -79,3 +81,13 @@ def test_continuous_loop_stops_between_batches(spark):
     loop.processAllAvailable()
     loop.stop()
     assert log.rows().count() == 2
+
+
+def test_a_lost_batch_is_an_error(spark):
+    schema = spark.createDataFrame([], "event_id bigint, available_at timestamp_ntz").schema
+    delivered = feeds.ChangeLog(spark, shared_folder(spark), schema)
+    waiting = feeds.ChangeLog(spark, shared_folder(spark), schema)
+    assert waiting.rows().count() == 0
+    handle = feeds.hold_until_due(delivered, waiting, lambda rows: F.current_timestamp())
+    with pytest.raises(AnalysisException):
+        handle(spark.createDataFrame([], schema), 1)
