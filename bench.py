@@ -6,6 +6,8 @@ import json
 import os
 import time
 
+from pyspark.sql import SparkSession
+
 from rowferry.queries import QUERIES
 from rowferry.session import local_session
 
@@ -17,6 +19,13 @@ HEADLINES = (
     "f8_keep_last_duplicate", "h1_claim", "h3_retry_or_dead_letter", "h11_snapshot_diff", "i1_contract_diff",
     "i5_fingerprint_monitor", "j4_out_of_order_guard", "j8_change_apply",
 )
+REPEATED = ("k4_event_delivery", "k5_entity_refresh", "k5_order_refresh")
+
+
+def timed(spark: SparkSession, folder: str, name: str) -> float:
+    began = time.perf_counter()
+    QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+    return round(time.perf_counter() - began, 3)
 
 
 def main() -> None:
@@ -25,16 +34,17 @@ def main() -> None:
     spark = local_session(cores, int(cores) if cores.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/region.parquet").count()  # starts the session outside the timings
-    seconds = {}
+    seconds, warm = {}, {}
     for name in HEADLINES:
-        began = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - began, 3)
+        seconds[name] = timed(spark, folder, name)
+        if name in REPEATED:
+            warm[name] = timed(spark, folder, name)
     orders = spark.read.parquet(f"{folder}/orders.parquet").count()
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
+        "warm": warm,
         "sf": folder.rstrip("/").rsplit("sf", 1)[-1], "cores": cores,
-        "refreshed_orders_per_sec": round(orders / seconds["k5_order_refresh"], 1),
+        "refreshed_orders_per_sec": round(orders / warm["k5_order_refresh"], 1),
     }))
     spark.stop()
 
