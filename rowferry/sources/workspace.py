@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +14,38 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names; only without a setting a local one is made.
+class SharedFolderError(RuntimeError):
+    """No folder that the driver and all executors can see."""
 
-    Everything one application leaves there lies under its id and can be removed when it has ended.
-    """
+
+@lru_cache(maxsize=None)
+def _own_folder(application: str) -> str:
+    """A folder of one local process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="rowferry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def base_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names; only a local master may do without the setting."""
     base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="rowferry-")
-        spark.conf.set(_SETTING, base)
-    return f"{base.rstrip('/')}/rowferry/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise SharedFolderError(f"set {_SETTING} to a folder that the driver and all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder; everything one application leaves there lies under its id, see `release`."""
+    return f"{base_folder(spark)}/rowferry/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what this application has staged; frames read from there are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base_folder(spark)}/rowferry/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_missing(error: AnalysisException) -> bool:
