@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.union import separate_union_inputs
 from .shipping import ship
-from . import byte_bpe, exact_dedup, mixing, quality_rules, token_counts
+from . import byte_bpe, exact_dedup, mixing, quality_rules, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +107,16 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@query("op9_secret_scans")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows = secrets.scan(documents(spark, folder))
+    spans = F.col("spans")
+    return rows.select(
+        "doc_id", *[secrets.count_kind(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.spelled(secrets.base_only(spans)), 256).alias("base_sha256"),
+        secrets.spelled(spans).alias("spans"), secrets.count_kind(spans, "random").alias("n_random"))
+
+
 @query("op10_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
         doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
