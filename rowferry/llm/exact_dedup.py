@@ -68,10 +68,11 @@ def recipes(docs: DataFrame, key: str, text: str, fingerprint: Fingerprint = pai
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's id with `keep_id`, `group_size`, `kept` and `text_sha256`."""
     written = materialise(recipes(docs, key, text).withColumn("_row", F.monotonically_increasing_id()))
-    # Counted per task before the shuffle; the join below meets one row per recipe, so a recipe that a third of
-    # all rows share can be split.
-    groups = written.groupBy("recipe").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
-    return written.join(groups, "recipe").select(
+    # Counted per task before the shuffle. The join has one more key than the counts, so both sides are dealt anew and
+    # adaptive execution can split a recipe that a third of all rows share: the other side has one row for it.
+    groups = written.groupBy("recipe").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count("*").alias("group_size")) \
+        .withColumn("_short", F.xxhash64("recipe"))
+    return written.withColumn("_short", F.xxhash64("recipe")).join(groups, ["_short", "recipe"]).select(
         F.col("_id").alias(key), F.col("_keep._id").alias("keep_id"), "group_size",
         (F.col("_row") == F.col("_keep._row")).alias("kept"), "text_sha256")
 
