@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.union import separate_union_inputs
 from .shipping import ship
-from . import byte_bpe, exact_dedup, mixing, quality_rules, secrets, token_counts
+from . import byte_bpe, exact_dedup, html_extract, mixing, quality_classifier, quality_rules, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,14 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = quality_classifier.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return quality_classifier.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op6_mixing", """
     WITH sized AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -107,6 +115,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@query("op8_html_extraction")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    rows = html_extract.main_text(pages, keep=["page_id", "url"])
+    return rows.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("op9_secret_scans")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     rows = secrets.scan(documents(spark, folder))
