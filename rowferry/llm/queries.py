@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.union import separate_union_inputs
 from .shipping import ship
-from . import byte_bpe, exact_dedup, html_extract, mixing, quality_classifier, quality_rules, secrets, token_counts
+from . import (
+    byte_bpe, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality_classifier, quality_rules, secrets, token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +74,21 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op4_ngram_jaccard_join")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_documents(documents(spark, folder))
+
+
+@query("op5_license_scans")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    # A document is a file in the directory of its source and language.
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")),
+                       F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    rows = license_scan.scan(docs.withColumn("path", path), license_scan.STATEMENTS)
+    return rows.select("doc_id", "license", "score", "passages", "license_file", "effective_license", "licensed_by")
+
+
 @query("op6_mixing", """
     WITH sized AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
