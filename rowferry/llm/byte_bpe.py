@@ -20,7 +20,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -162,6 +163,13 @@ def decode(encoded: DataFrame, ranks: bytes, ids: str = "ids", keep: list[str] |
     return rows.mapInArrow(run, schema)
 
 
+def digests(ids: str = "ids", decoded: str = "decoded") -> list[Column]:
+    """Number of tokens, and SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
+    return [F.size(ids).cast("bigint").alias("n_tokens"),
+            F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256).alias("ids_sha256"),
+            F.sha2(decoded, 256).alias("decoded_sha256")]
+
+
 @lru_cache(maxsize=2)
 def reverse_table(ranks: bytes) -> list[bytes]:
     """Bytes of every id, read from the characters that the model spells it with."""
