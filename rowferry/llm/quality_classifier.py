@@ -36,7 +36,10 @@ _PAIRS = 64
 _DENSE = 24
 SIZE = _DENSE + _PAIRS
 _HASH_RANGE = 1 << 31
-_UNITS, _BATCH, _STEP, _DECAY = 24, 512, 3e-3, 1e-4
+_UNITS, _BATCH, _STEP, _DECAY = 24, 128, 3e-3, 0.1
+_EPOCHS, _FEWEST, _MOST = 100, 200, 2000
+"""Passes over the positives, and bounds of the steps that gives."""
+_SEEDS = (7, 8, 9)
 _FARTHEST = 8.0
 
 FEATURES = T.StructType([T.StructField("features", T.BinaryType())])
@@ -106,11 +109,12 @@ class Network:
 class Model:
     centre: np.ndarray
     scale: np.ndarray
-    network: Network
+    networks: tuple[Network, ...]
     prior: float
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        margin = self.network.margin(np.clip((rows - self.centre) / self.scale, -_FARTHEST, _FARTHEST))
+        scaled = np.clip((rows - self.centre) / self.scale, -_FARTHEST, _FARTHEST)
+        margin = np.mean([n.margin(scaled) for n in self.networks], axis=0)
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
@@ -160,18 +164,19 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(u[best] / p[best], 0.05, 0.98))
 
 
-def learn(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 2000, seed: int = 7) -> Model:
-    """Network of least non-negative unbiased risk, with the logistic loss."""
+def learn(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """Networks of least non-negative unbiased risk, with the logistic loss; they differ in their seeds only."""
     if len(positive) == 0 or len(unlabelled) == 0:
         nothing = Network(np.zeros((SIZE, 1)), np.zeros(1), np.zeros(1), np.zeros(1))
-        return Model(np.zeros(SIZE), np.ones(SIZE), nothing, 0.5)
+        return Model(np.zeros(SIZE), np.ones(SIZE), (nothing,), 0.5)
     # Scaled by the trusted texts: what is odd for them is far out.
     centre, scale = positive.mean(0), positive.std(0) + 1e-3
     p, u = (np.clip((x - centre) / scale, -_FARTHEST, _FARTHEST) for x in (positive, unlabelled))
+    steps = int(np.clip(_EPOCHS * len(p) / _BATCH, _FEWEST, _MOST))
     # First half of the two samples is told apart; how the other half's scores spread gives the prior.
-    apart = _descend(p[::2], u[::2], None, steps // 8, seed)
+    apart = _descend(p[::2], u[::2], None, max(60, steps // 8), _SEEDS[0])
     prior = estimate_prior(apart.margin(p[1::2]), apart.margin(u[1::2])) if min(len(p), len(u)) > 1 else 0.5
-    return Model(centre, scale, _descend(p, u, prior, steps, seed), prior)
+    return Model(centre, scale, tuple(_descend(p, u, prior, steps, seed) for seed in _SEEDS), prior)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
