@@ -28,7 +28,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from .batches import Measure, with_text_columns
 from .pretokens import class_runs, class_table, pieces
 
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 """Pieces whose ids a task keeps."""
 LONGEST_REMEMBERED = 48
 
@@ -48,7 +48,6 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-@lru_cache(maxsize=2)
 def read_ranks(ranks: bytes) -> list[bytes]:
     """Tokens in the order of their ids, from lines of a base64 token and its rank."""
     pairs = [line.split() for line in ranks.splitlines() if line.strip()]
@@ -58,13 +57,17 @@ def read_ranks(ranks: bytes) -> list[bytes]:
     return [by_id[i] for i in range(len(by_id))]
 
 
-@lru_cache(maxsize=2)
+def spelled_tokens(ranks: bytes) -> list[str]:
+    """Tokens in the characters that stand for their bytes."""
+    letters = byte_characters()
+    return ["".join(letters[b] for b in token) for token in read_ranks(ranks)]
+
+
 def build_model(ranks: bytes) -> Tokenizer:
     """The library's model: every split of a token into two earlier tokens is a merge of its rank."""
     tokens = read_ranks(ranks)
     ids = {t: i for i, t in enumerate(tokens)}
-    letters = byte_characters()
-    spell = ["".join(letters[b] for b in t) for t in tokens]
+    spell = spelled_tokens(ranks)
     merges = []
     for i, token in enumerate(tokens):
         cuts = [(ids.get(token[:k], i), ids.get(token[k:], i)) for k in range(1, len(token))]
@@ -81,57 +84,37 @@ class _Memory(dict):
         self.model = build_model(ranks)
         self.numbers = list(range(self.model.get_vocab_size()))  # one object for every id
 
-    def encode(self, texts: list[list[str]]) -> list[list[int]]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        unseen = list({p for text in texts for p in text if p not in self})
-        found = self.model.encode_batch_fast(unseen, add_special_tokens=False)
-        self.update((p, tuple(map(self.numbers.__getitem__, e.ids))) for p, e in zip(unseen, found, strict=True))
-        ids = [list(chain.from_iterable(map(self.__getitem__, text))) for text in texts]
-        for p in unseen:
-            if len(p) > LONGEST_REMEMBERED:
-                del self[p]
-        return ids
-
-
-@lru_cache(maxsize=1)
-def _memory(ranks: bytes) -> _Memory:
-    return _Memory(ranks)
-
-
-def _lists(values: np.ndarray, lengths: list[int]) -> pa.Array:
-    ends = np.cumsum([0, *lengths])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-
-
-def encode(docs: DataFrame, ranks: bytes, text: str = "text", offsets: bool = False, keep: list[str] | None = None
-           ) -> DataFrame:
-    """Adds `ids`, and with `offsets` where every token begins in bytes and in characters.
+    def encode(docs: DataFrame, ranks: bytes, text: str = "text", offsets: bool = False, decoded: bool = False,
+           keep: list[str] | None = None) -> DataFrame:
+    """Adds `ids`; with `offsets` where every token begins in bytes and in characters, with `decoded` the ids' bytes.
 
-    A token that begins inside a character is given that character's position.
+    A token that begins inside a character is given that character's position. Decoding right behind the encoder spares
+    a second set of Python workers; `decode` does the same for ids that are at hand.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((ranks, class_runs()))  # a vocabulary file: fixed size
+    schema = T.StructType([*(OFFSETS if offsets else ENCODED).fields, *(DECODED.fields if decoded else [])])
 
     def measure() -> Measure:
         vocabulary, runs = shared.value
-        memory, classes = _memory(vocabulary), class_table(runs)
-        sizes = np.array([len(t) for t in read_ranks(vocabulary)], np.int64)
+        memory, classes, table = _memory(vocabulary), class_table(runs), reverse_table(vocabulary)
+        sizes = np.array([len(t) for t in table], np.int64)
 
         def apply(texts: list[str]) -> list[pa.Array]:
             encoded = memory.encode(pieces(texts, classes))
             lengths = [len(x) for x in encoded]
-            flat = np.fromiter(chain.from_iterable(encoded), np.int32, sum(lengths))
-            if not offsets:
-                return [_lists(flat, lengths)]
-            begins = [np.cumsum(sizes[x]) - sizes[x] if x else np.zeros(0, np.int64) for x in encoded]
-            places = [_characters(t, b) for t, b in zip(texts, begins, strict=True)]
-            join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
-            return [_lists(flat, lengths), _lists(join(begins), lengths), _lists(join(places), lengths)]
+            columns = [_lists(np.fromiter(chain.from_iterable(encoded), np.int32, sum(lengths)), lengths)]
+            if offsets:
+                begins = [np.cumsum(sizes[x]) - sizes[x] if x else np.zeros(0, np.int64) for x in encoded]
+                places = [_characters(t, b) for t, b in zip(texts, begins, strict=True)]
+                columns += [_lists(np.concatenate([np.zeros(0, np.int64), *parts]), lengths) for parts in (begins, places)]
+            if decoded:
+                columns.append(pa.array([b"".join(map(table.__getitem__, x)) for x in encoded], pa.binary()))
+            return columns
 
         return apply
 
-    return with_text_columns(docs, text, OFFSETS if offsets else ENCODED, measure, keep)
+    return with_text_columns(docs, text, schema, measure, keep)
 
 
 def _characters(text: str, byte_starts: np.ndarray) -> np.ndarray:
@@ -172,10 +155,9 @@ def digests(ids: str = "ids", decoded: str = "decoded") -> list[Column]:
 
 @lru_cache(maxsize=2)
 def reverse_table(ranks: bytes) -> list[bytes]:
-    """Bytes of every id, read from the characters that the model spells it with."""
+    """Bytes of every id, read back from the characters that spell it."""
     back = {c: b for b, c in enumerate(byte_characters())}
-    model = build_model(ranks)
-    return [bytes(back[c] for c in model.id_to_token(i)) for i in range(model.get_vocab_size())]
+    return [bytes(back[c] for c in token) for token in spelled_tokens(ranks)]
 
 
 def token_texts(ids: list[int], ranks: bytes) -> list[str]:

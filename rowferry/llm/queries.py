@@ -63,8 +63,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(documents(spark, folder), ranks, keep=["doc_id"])
-    rows = byte_bpe.decode(encoded, ranks)
+    rows = byte_bpe.encode(documents(spark, folder), ranks, decoded=True, keep=["doc_id"])
     return rows.select("doc_id", *byte_bpe.digests())
 
 

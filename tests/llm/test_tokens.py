@@ -57,8 +57,9 @@ def test_classes_of_every_character(classes):
 def test_encode_and_decode(docs_of, ranks, reference):
     texts = strings(400)
     df = docs_of([(i, t, None, None) for i, t in enumerate(texts)] + [(None, None, None, None)], clashing=True)
-    rows = byte_bpe.decode(byte_bpe.encode(df, ranks, offsets=True), ranks).collect()
-    assert len(rows) == len(texts) + 1
+    encoded = byte_bpe.encode(df, ranks, offsets=True, decoded=True).withColumnRenamed("decoded", "at_once")
+    rows = byte_bpe.decode(encoded, ranks).collect()
+    assert len(rows) == len(texts) + 1 and all(r["at_once"] == r["decoded"] for r in rows)
     for row in rows:
         text = row["text"] or ""
         assert row["ids"] == reference.encode_ordinary(text)
