@@ -56,7 +56,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoded_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the bytes they decode to."""
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    rows = byte_bpe.decode(byte_bpe.encode(docs, ranks, keep=["doc_id", "lang", "source"]), ranks)
+    rows = byte_bpe.encode(docs, ranks, decoded=True, keep=["doc_id", "lang", "source"])
     return rows.select("doc_id", "lang", "source", *byte_bpe.digests())
 
 
