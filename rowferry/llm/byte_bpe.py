@@ -84,7 +84,30 @@ class _Memory(dict):
         self.model = build_model(ranks)
         self.numbers = list(range(self.model.get_vocab_size()))  # one object for every id
 
-    def encode(docs: DataFrame, ranks: bytes, text: str = "text", offsets: bool = False, decoded: bool = False,
+    def encode(self, texts: list[list[str]]) -> list[list[int]]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        unseen = list({p for text in texts for p in text if p not in self})
+        found = self.model.encode_batch_fast(unseen, add_special_tokens=False)
+        self.update((p, tuple(map(self.numbers.__getitem__, e.ids))) for p, e in zip(unseen, found, strict=True))
+        ids = [list(chain.from_iterable(map(self.__getitem__, text))) for text in texts]
+        for p in unseen:
+            if len(p) > LONGEST_REMEMBERED:
+                del self[p]
+        return ids
+
+
+@lru_cache(maxsize=1)
+def _memory(ranks: bytes) -> _Memory:
+    return _Memory(ranks)
+
+
+def _lists(values: np.ndarray, lengths: list[int]) -> pa.Array:
+    ends = np.cumsum([0, *lengths])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+
+def encode(docs: DataFrame, ranks: bytes, text: str = "text", offsets: bool = False, decoded: bool = False,
            keep: list[str] | None = None) -> DataFrame:
     """Adds `ids`; with `offsets` where every token begins in bytes and in characters, with `decoded` the ids' bytes.
 
