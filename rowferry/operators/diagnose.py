@@ -16,16 +16,16 @@ READ_ONLY_MISSING = r"(?i)(\w+)\.(\w+)=(?:'([^']+)'|([^;\s]+)) does not exist;\s
 REQUIRED_UNMAPPED = r"(?i)-\s*(\w+)\.(\w+)\s+is required but no source column maps to it"
 YEAR_OUT_OF_RANGE = r"(?i)(\w+)\.(\w+) date year ([0-9]+) is outside supported range"
 JOB_ID = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
-# Reasons against a repair, and advice for an entity.
-COMPOSITE_KEY = "entity has a composite or unknown primary key"
-TARGET_GONE = "target row does not exist; duplicate error may be stale"
-CLAIMED = "target id is already claimed by another crosswalk row"
+# Reasons against a repair, and advice for an entity.
+COMPOSITE_KEY = "no_single_key"
+TARGET_GONE = "target_row_gone"
+CLAIMED = "id_of_another_row"
 ADVICE = {
-    "paused": "resolve or rebaseline the paused entity before retrying delivery",
-    "bare": "deploy the approved proposal to the target first",
-    "empty": "run or retry refresh for this entity; deploy only records the mapping contract",
-    "failed": "inspect the latest job failure and retry only the failed entity after repair",
-    "fine": "target data is present or no blocking signal was found",
+    "paused": "entity_paused",
+    "bare": "no_target_tables",
+    "empty": "targets_empty",
+    "failed": "last_job_failed",
+    "fine": "nothing_in_the_way",
 }
 
 
@@ -104,8 +104,7 @@ def repair_plan(
     reasons = F.filter(F.array(
         F.when(~F.coalesce(single, F.lit(False)), COMPOSITE_KEY),
         F.when(single & ~from_key, F.concat(
-            F.col("target_table"), F.lit(" is mapped from '"), F.coalesce("mapped_column", F.lit("None")),
-            F.lit("', not source primary key '"), F.get("primary_key", F.lit(0)), F.lit("'"))),
+            F.lit("not_mapped_from_key:"), F.coalesce("mapped_column", F.lit("")))),
         F.when(F.col("_there").isNull(), TARGET_GONE),
         F.when(foreign, CLAIMED),
     ), lambda r: r.isNotNull())
@@ -119,17 +118,26 @@ def _reference_of_target_id() -> Column:
     return uuid5(F.concat_ws("|", "source_system", "source_schema", "source_entity", "target_id"))
 
 
+def _one_blank(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, r"\s+", " "))
+
+
 def last_job_per_entity(jobs: DataFrame, entities: DataFrame) -> DataFrame:
     """Newest job whose text names the entity.
 
-    `jobs` is (job_id, created_at, text). Each word of a text keeps only its newest job, and words meet
-    entity names through their substrings, so no entity is ever compared with every job.
+    `jobs` is (job_id, created_at, text). Runs of as many words as the longest name has keep only their newest job,
+    and they meet entity names through their substrings, so no entity is ever compared with every job. White space
+    counts as one blank in names and texts; any other character of a name has to stand in the text.
     """
-    words = jobs.select(F.struct("created_at", "job_id").alias("_job"), F.explode(F.array_distinct(
-        F.split(F.lower("text"), r"\W+"))).alias("_word")).filter(F.col("_word") != "")
+    named = entities.select("source_entity", _one_blank(F.col("source_entity")).alias("_name"))
+    sizes = named.agg(F.greatest(F.max(F.length("_name")), F.lit(1)).alias("_longest"),
+                      F.greatest(F.max(F.size(F.split("_name", " "))), F.lit(1)).alias("_words"))
+    longest, in_name = sizes.select("_longest").scalar(), sizes.select("_words").scalar()
+    split = jobs.select(F.struct("created_at", "job_id").alias("_job"), F.split(_one_blank(F.col("text")), " ").alias("_all")) \
+        .withColumn("_words", in_name)
+    runs = F.transform("_all", lambda _, at: F.array_join(F.slice("_all", at + 1, F.col("_words")), " "))
+    words = split.select("_job", F.explode(F.array_distinct(runs)).alias("_word")).filter(F.col("_word") != "")
     newest = words.groupBy("_word").agg(F.max("_job").alias("_job"))
-    named = entities.select("source_entity", F.lower("source_entity").alias("_name"))
-    longest = named.agg(F.greatest(F.max(F.length("_name")), F.lit(1)).alias("_longest")).scalar()
     pieces = newest.withColumn("_longest", longest).select(
         "_job", F.explode(substrings(F.col("_word"), F.col("_longest"))).alias("_name"))
     return named.join(pieces, "_name").groupBy("source_entity").agg(F.max("_job").alias("_job")) \

@@ -30,7 +30,7 @@ def claim(outbox: DataFrame, control: DataFrame, as_of: Column, limit: int | Non
 
 
 def _mark(outbox: DataFrame, hits: DataFrame, changes: dict) -> DataFrame:
-    flagged = outbox.join(hits.withColumn("_hit", F.lit(True)), "event_id", "left")
+    flagged = outbox.join(hits.distinct().withColumn("_hit", F.lit(True)), "event_id", "left")
     updated = {name: F.when(F.col("_hit"), make()).otherwise(F.col(name)) for name, make in changes.items()}
     return flagged.withColumns(updated).drop("_hit").select(*outbox.columns)
 
@@ -59,8 +59,12 @@ def backoff_seconds(attempt: Column) -> Column:
 
 
 def fail(outbox: DataFrame, failures: DataFrame, as_of: Column, limit: int = MAX_ATTEMPTS) -> DataFrame:
-    """Retry with back-off, or dead letter after the last attempt. `failures` is (event_id, error)."""
-    hits = failures.select("event_id", F.col("error").alias("_error"))
+    """Retry with back-off, or dead letter after the last attempt. `failures` is (event_id, error).
+
+    An event that failed more than once in one pass has one attempt more, with its errors joined.
+    """
+    hits = failures.groupBy("event_id").agg(
+        F.array_join(F.array_sort(F.collect_set(F.coalesce("error", F.lit("")))), "; ").alias("_error"))
     hit = F.col("_error").isNotNull()
     attempt = F.col("attempts") + 1
     terminal = attempt >= limit
@@ -76,6 +80,14 @@ def fail(outbox: DataFrame, failures: DataFrame, as_of: Column, limit: int = MAX
     }).select(*outbox.columns)
 
 
+def failed_attempts(outbox: DataFrame, failures: DataFrame, limit: int = MAX_ATTEMPTS) -> DataFrame:
+    """Audit rows of failed attempts, one per event."""
+    attempt = F.col("attempts") + 1
+    return outbox.join(failures.select("event_id").distinct(), "event_id", "left_semi").select(
+        "event_id", attempt.alias("attempt"), F.when(attempt >= limit, "dead_letter").otherwise("retry").alias("outcome"),
+        F.lit("TRANSPORT").alias("response_code"))
+
+
 def replay(
     outbox: DataFrame, quarantine: DataFrame, wanted: DataFrame, as_of: Column
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -52,6 +52,27 @@ def resolve_by_key(rows: DataFrame, column: str, lookup: DataFrame, pk: str, tab
         "lookup_error", F.when(F.col(column).isNull(), empty).when(F.col("target_id").isNull(), missing))
 
 
+def resolve_reference_row(rows: DataFrame, columns: Sequence[str], lookup: DataFrame, pk: str, table: str) -> DataFrame:
+    """Lookup id by the key where a row has it, else by its other values. Adds target_id and lookup_error."""
+    others = [c for c in columns if c != pk]
+    if pk not in columns:
+        found = resolve_by_values(rows, others, lookup, pk)
+        return found.withColumn("lookup_error", _value_error(others, table))
+    keyed = resolve_by_key(rows, pk, lookup, pk, table)
+    if not others:
+        return keyed
+    by_values = resolve_by_values(keyed.withColumnRenamed("target_id", "_keyed"), others, lookup, pk, F.col(pk).isNull())
+    error = F.when(F.col(pk).isNotNull(), F.col("lookup_error")).otherwise(_value_error(others, table))
+    return by_values.withColumn("lookup_error", error).withColumn("target_id", F.coalesce("_keyed", "target_id")).drop("_keyed")
+
+
+def _value_error(columns: Sequence[str], table: str) -> Column:
+    given = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns])
+    none = F.lit(f"cannot resolve a row in reference table {table}: no lookup values mapped")
+    return F.when(F.col("target_id").isNull(), F.when(given == "", none).otherwise(
+        F.concat(F.lit(f"no row of {table} matches "), given)))
+
+
 def _mask(columns: Sequence[str]) -> Column:
     bits = [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)]
     return sum(bits[1:], bits[0])
@@ -75,13 +96,16 @@ def resolve_by_values(
 ) -> DataFrame:
     """Natural-key lookup where only the non-null values of a row have to agree.
 
-    Instead of a theta join the lookup is expanded to one row per set of columns a source row may
-    supply, so the match is an equality join on that set and its values. The smallest key wins
-    where several rows match. Rows outside `wanted` are not looked up. With `weigh`, a frame that has
-    the value columns, heavy values are spread; without it Spark broadcasts a lookup that is small.
+    Instead of a theta join every lookup row appears once per set of columns that some source row supplies, so the match
+    is an equality join on that set and its values. Only sets that occur are used; a column that is never or always
+    null does not add any. The smallest key wins where several rows match. Rows outside `wanted` are not looked up.
+    With `weigh`, a frame that has the value columns, heavy values are spread; without it Spark broadcasts a
+    lookup that is small.
     """
-    sets = F.explode(F.sequence(F.lit(1), F.lit((1 << len(columns)) - 1)))
-    expanded = lookup.select(pk, *columns, sets.alias("_set")).filter(
+    # Sets are numbers, one per combination of given columns that some row really has.
+    occurring = [r[0] for r in rows.select(_mask(columns).alias("_set")).filter("_set <> 0").distinct().collect()]
+    sets = F.array(*map(F.lit, sorted(occurring))) if occurring else F.array().cast("array<int>")
+    expanded = lookup.select(pk, *columns, F.explode(sets).alias("_set")).filter(
         _mask(columns).bitwiseAND(F.col("_set")) == F.col("_set"))
     entries = expanded.select(pk, _lookup_key(F.col("_set"), columns, lookup.schema).alias("_key")) \
         .groupBy("_key").agg(F.min(pk).alias("target_id"))
@@ -138,13 +162,26 @@ def match_or_allocate(
     return union_all(settled, fresh).drop("_live", "_match")
 
 
-def carried_ids(rows: DataFrame, crosswalk: DataFrame, pk: str) -> DataFrame:
-    """Ids the source itself supplies: the recorded id wins, else the mapped key is used."""
-    known = crosswalk.select("external_reference", F.col("target_id").alias("_known"))
-    return rows.join(known, "external_reference", "left").withColumns({
+def carried_ids(rows: DataFrame, crosswalk: DataFrame, pk: str, target: DataFrame | None = None,
+                order: Sequence[str] = ()) -> DataFrame:
+    """Ids the source itself supplies: the recorded id wins, else the mapped key is used.
+
+    With the target table a recorded id whose row is gone counts as absent, and of rows that end up with one id only the
+    last in the given order (then by reference) writes; the others are a match.
+    """
+    known = crosswalk if target is None else live_crosswalk(crosswalk, target, pk)
+    known = known.select("external_reference", F.col("target_id").alias("_known"))
+    found = rows.join(known, "external_reference", "left").withColumns({
         "target_id": F.coalesce(F.col("_known"), F.col(pk).cast("string")),
         "action": F.when(F.col("_known").isNull(), "insert").otherwise("update"),
     }).drop("_known")
+    if target is None:
+        return found
+    ranks = [*[F.col(c) for c in order], F.col("external_reference")]
+    last = found.filter(F.col("target_id").isNotNull()).groupBy("target_id").agg(
+        F.max(F.struct(*ranks)).alias("_last")).select("target_id", F.col("_last.external_reference").alias("_writer"))
+    return found.join(last, "target_id", "left").withColumn("action", F.when(
+        F.coalesce(F.col("_writer") != F.col("external_reference"), F.lit(False)), "match").otherwise(F.col("action"))).drop("_writer")
 
 
 def propagate_parent(child: DataFrame, column: str, parent_ids: DataFrame) -> DataFrame:
@@ -199,7 +236,8 @@ def reconcile(
     keys = lookup.select(F.col(lookup_pk).alias("_id"), F.inline(entries)).filter(F.col("_key") != "")
     best = keys.groupBy("_key").agg(F.min(F.struct("_order", "_id")).alias("_best"))
     names = F.array(*[F.lit(c) for c in candidates])
-    return source.withColumn("_key", match_key(F.col(match))).join(best, "_key", "left").withColumns({
+    wanted = match_key(F.col(match))  # blank names match nothing: null keeps them out of one hot partition
+    return source.withColumn("_key", F.when(wanted != "", wanted)).join(best, "_key", "left").withColumns({
         "target_id": F.col("_best._id"),
         "matched_on": F.get(names, F.col("_best._order")),
     }).drop("_key", "_best")

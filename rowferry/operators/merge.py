@@ -41,11 +41,13 @@ def upsert_newer(
 def upsert_last(
     current: DataFrame, batch: DataFrame, keys: Sequence[str], arrival: Sequence[str] = (),
 ) -> DataFrame:
-    """Insert or update by key, the last arrival wins; a row made of keys only never updates."""
-    incoming = batch
-    if arrival:
-        incoming = first_per_key(batch, keys, [F.col(a).desc_nulls_last() for a in arrival])
-    incoming = incoming.select(*current.columns)
+    """Insert or update by key, the last arrival wins; a row made of keys only never updates.
+
+    Without an arrival order the greatest of the rows that share a key is taken, so one row per key is left.
+    """
+    rest = [F.col(c).desc_nulls_last() for c in current.columns if c not in keys]
+    order = [F.col(a).desc_nulls_last() for a in arrival] + rest or [F.col(k) for k in keys]
+    incoming = first_per_key(batch, keys, order).select(*current.columns)
     if set(current.columns) <= set(keys):
         return insert_absent(current, incoming, keys)
     return union_all(current.join(incoming.select(*keys), list(keys), "left_anti"), incoming)
@@ -85,6 +87,9 @@ def scoped_delete(
         left[name] = rows.join(mine, pk, "left_anti")
         counts.append(rows.select(pk).join(mine, pk, "left_semi").agg(F.count("*").alias("deleted"))
                       .select(F.lit(name).alias("target_table"), "deleted"))
+    if not counts:
+        none = crosswalk.sparkSession.createDataFrame([], "target_table string, deleted bigint")
+        return left, crosswalk, none
     return left, crosswalk.filter(~owned), union_all(*counts)
 
 

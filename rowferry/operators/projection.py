@@ -131,11 +131,10 @@ def coerce_rows(df: DataFrame, table: TableContract, engine: str | None = None)
 
 def coercion_types(engine: str | None) -> dict[str, str]:
     """Native base name to generic type; both engines when none is named, the second one first."""
-    mysql = dict(coercion._pairs(coercion.MYSQL_TYPES))
-    postgres = dict(coercion._pairs(coercion.POSTGRES_TYPES))
     if engine is None:
-        return {**mysql, **postgres}
-    return mysql if coercion.ENGINES[engine.strip().lower()] == "mysql" else postgres
+        return {**coercion.MYSQL_TYPES, **coercion.POSTGRES_TYPES}
+    known = coercion.ENGINES[engine.strip().lower()]
+    return coercion.MYSQL_TYPES if known == "mysql" else coercion.POSTGRES_TYPES
 
 
 def serialise_nested(df: DataFrame) -> DataFrame:

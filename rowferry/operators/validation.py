@@ -21,8 +21,11 @@ NOT_ALLOWED = "' is not a valid value for enum '{}'"
 NO_TABLE = "target table '{}' not found in target schema"
 
 
-def column_errors(table: TableContract, schema: T.StructType, value=F.col) -> list[Column]:
-    """Required and enum checks of one table; `value` turns a column name into its column."""
+def column_errors(table: TableContract, schema: T.StructType, value=F.col, supplied=None) -> list[Column]:
+    """Required and enum checks of one table; `value` turns a column name into its column.
+
+    `supplied` tells whether a row supplies a column at all; one that is not supplied is not missing.
+    """
     found = {f.name: f.dataType for f in schema.fields}
     errors = []
     for column in table.columns:
@@ -34,6 +37,8 @@ def column_errors(table: TableContract, schema: T.StructType, value=F.col) -> li
             missing = c.isNull()
             if present and isinstance(found[column.name], T.StringType):
                 missing = missing | (c == "")
+            if present and supplied is not None:
+                missing = missing & supplied(column.name)
             errors.append(F.when(missing, F.lit(MISSING.format(column.name))))
         if column.enum_values and present:
             shown = plain_text(c, found[column.name])
@@ -58,16 +63,20 @@ def transform_rows(
     return rows.withColumn(ERRORS, F.concat(ERRORS, compact(checks)))
 
 
-def check_staged(staged: DataFrame, contract: TargetContract) -> DataFrame:
-    """Adds the checks of every staged table to the error list, columns the writer fills excepted."""
+def check_staged(staged: DataFrame, contract: TargetContract, supplied=None) -> DataFrame:
+    """Adds the checks of every staged table to the error list, columns the writer fills excepted.
+
+    `supplied` (table, column) tells whether a row supplies a column; by default all mapped ones are.
+    """
     checks: list[Column] = []
     for field in staged.schema.fields:
         table = contract.table(field.name)
         if table is None or not isinstance(field.dataType, T.StructType):
             continue
         filled = table.managed_columns | {c.name for c in table.columns if c.primary_key}
-        supplied = TableContract(table.name, tuple(c for c in table.columns if c.name not in filled))
-        checks += column_errors(supplied, field.dataType, lambda n, t=field.name: F.col(f"{t}.{n}"))
+        checked = TableContract(table.name, tuple(c for c in table.columns if c.name not in filled))
+        sent = None if supplied is None else lambda n, t=field.name: supplied(t, n)
+        checks += column_errors(checked, field.dataType, lambda n, t=field.name: F.col(f"{t}.{n}"), sent)
     return staged.withColumn(ERRORS, F.concat(ERRORS, compact(checks)))
 
 
@@ -86,8 +95,9 @@ def unknown_columns(mapping: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def quarantine_upsert(quarantine: DataFrame, failed: DataFrame) -> DataFrame:
     """New quarantine content: an event already there gets the new errors and keeps its payload."""
-    incoming = failed.select("event_id", F.col("errors").alias("new_errors"),
-                             F.col("payload_snapshot").alias("new_payload"))
+    incoming = failed.groupBy("event_id").agg(
+        F.array_distinct(F.flatten(F.array_sort(F.collect_list("errors")))).alias("new_errors"),
+        F.min("payload_snapshot").alias("new_payload"))
     return quarantine.join(incoming, "event_id", "full_outer").select(
         "event_id",
         F.coalesce("new_errors", "errors").alias("errors"),
@@ -97,7 +107,8 @@ def quarantine_upsert(quarantine: DataFrame, failed: DataFrame) -> DataFrame:
 
 def mark_quarantined(outbox: DataFrame, failed: DataFrame, as_of: Column) -> DataFrame:
     """Outbox after quarantine: status, error code and the errors joined into one message."""
-    hits = failed.select("event_id", F.array_join("errors", "; ").alias("_message"))
+    every = F.array_distinct(F.flatten(F.array_sort(F.collect_list("errors"))))
+    hits = failed.groupBy("event_id").agg(F.array_join(every, "; ").alias("_message"))
     hit = F.col("_message").isNotNull()
     return outbox.join(hits, "event_id", "left").withColumns({
         "status": F.when(hit, "quarantined").otherwise(F.col("status")),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +13,17 @@ from ..contracts import FieldMapping, TableContract, TargetContract, TargetProfi
 from ..functions.keys import reference_for
 from ..operators import events as outbox_ops
 from ..operators.lookups import (
-    carried_ids, entity_crosswalk, match_or_allocate, propagate_parent, resolve_by_key, resolve_by_values,
+    carried_ids, entity_crosswalk, live_crosswalk, match_or_allocate, propagate_parent, resolve_reference_row,
     resolve_references, unresolved,
 )
 from ..operators.merge import scoped_delete
 from ..operators.projection import ERRORS, stage, usable, without_managed
 from ..operators.union import union_all
-from ..operators.validation import check_staged, quarantine_upsert
+from ..operators.validation import check_staged, mark_quarantined, quarantine_upsert
 from ..sources.workspace import materialise
 
 REFERENCE = "external_reference"
+_GIVEN = "_given_columns"  # source columns that an event's payload has; null when the row is a whole one
 
 # Reasons why an event cannot be delivered at all.
 NO_MAPPING = "no approved target mapping for entity"
@@ -56,6 +57,8 @@ class Delivery:
     quarantine: DataFrame
     envelope: DataFrame
     outcomes: DataFrame
+    audit: DataFrame
+    """Attempts of this pass: accepted, retry or dead letter."""
 
 
 def _crosswalk_after(crosswalk: DataFrame, ids: DataFrame, entity: str, system: str, target: str, table: str
@@ -70,11 +73,14 @@ def _crosswalk_after(crosswalk: DataFrame, ids: DataFrame, entity: str, system:
     return union_all(crosswalk.filter(~mine), kept, incoming)
 
 
-def _write_table(current: DataFrame, rows: DataFrame, pk: str, mapped: Sequence[str], keys: Sequence[str]
-                 ) -> DataFrame:
-    """Inserts and updates by id. Mapped columns are set, foreign keys only when known, others stay."""
+def _write_table(current: DataFrame, rows: DataFrame, pk: str, mapped: Sequence[str], keys: Sequence[str],
+                 sources: dict[str, str]) -> DataFrame:
+    """Inserts and updates by id. Mapped columns are set, foreign keys only when known, others stay.
+
+    A mapped column whose source column the payload does not have stays too; `sources` names the source columns.
+    """
     changed = rows.filter(F.col("action").isin("insert", "update")).select(
-        F.col("target_id").alias(pk), F.struct(*mapped, *keys).alias("_new"))
+        F.col("target_id").alias(pk), F.struct(*mapped, *keys, _GIVEN).alias("_new"))
     both = current.join(changed, pk, "full_outer")
     columns = []
     for f in current.schema.fields:
@@ -83,7 +89,9 @@ def _write_table(current: DataFrame, rows: DataFrame, pk: str, mapped: Sequence[
             columns.append(old)
         elif f.name in mapped:
             new = F.col(f"_new.{f.name}").cast(f.dataType)
-            columns.append(F.when(F.col("_new").isNotNull(), new).otherwise(old).alias(f.name))
+            given = F.col(f"_new.{_GIVEN}")
+            sent = F.col("_new").isNotNull() & (given.isNull() | F.array_contains(given, sources[f.name]))
+            columns.append(F.when(sent, new).otherwise(old).alias(f.name))
         elif f.name in keys:
             columns.append(F.coalesce(F.col(f"_new.{f.name}").cast(f.dataType), old).alias(f.name))
         else:
@@ -91,6 +99,56 @@ def _write_table(current: DataFrame, rows: DataFrame, pk: str, mapped: Sequence[
     return both.select(*columns)
 
 
+def row_failures(
+    staged: DataFrame, key: str, state: TargetState, entity: Entity, contract: TargetContract, profile: TargetProfile,
+    system: str,
+) -> DataFrame | None:
+    """(`key`, `error`) for rows that cannot be written: lookup rows that are not there, required foreign keys and
+    required columns of new rows that stay empty. None when no table of the mapping can fail that way.
+    """
+    names = [f.name for f in staged.schema.fields if contract.table(f.name) is not None]
+    found: list[DataFrame] = []
+    for name in names:
+        table = contract.table(name)
+        mapped = staged.schema[name].dataType.names
+        if _is_lookup(table, mapped, profile):
+            rows = resolve_reference_row(staged.select(key, REFERENCE, f"{name}.*"), mapped, state.tables[name],
+                                         table.primary_key, name)
+            found.append(rows.filter(F.col("lookup_error").isNotNull()).select(key, F.col("lookup_error").alias("error")))
+            continue
+        sources = _sources(entity, name)
+        for fk in table.foreign_keys:
+            column = table.column(fk.column)
+            if column is None or column.nullable or not entity.references.get(fk.ref_table) or fk.column not in sources:
+                continue
+            given = F.col(f"_source.{sources[fk.column]}")
+            rows = resolve_references(
+                staged.select(key, given.alias("_value")), "_value", "_found", state.crosswalk.filter(F.col("target_table") == fk.ref_table),
+                state.tables[fk.ref_table], fk.ref_column, entity.references[fk.ref_table], system, entity.schema, [key])
+            text = F.concat(F.lit(f"required foreign key {name}.{fk.column} has no row for "), F.coalesce(
+                F.col("_value").cast("string"), F.lit("null")))
+            found.append(rows.filter(F.col("_found").isNull()).select(key, text.alias("error")))
+        required = [c.name for c in table.columns if not c.nullable and c.name in mapped and c.name in sources]
+        if required and _GIVEN in staged.columns:
+            absent = F.filter(F.array(*[F.when(~F.array_contains(_GIVEN, sources[c]), F.lit(f"{name}.{c}")) for c in required]),
+                              lambda c: c.isNotNull())
+            missing = staged.select(key, REFERENCE, absent.alias("_absent")).filter(F.size("_absent") > 0)
+            known = live_crosswalk(entity_crosswalk(state.crosswalk, entity.name, profile.name, name), state.tables[name],
+                                   table.primary_key)
+            found.append(missing.join(known.select(REFERENCE), REFERENCE, "left_anti").select(
+                key, F.concat(F.lit("a new row needs "), F.array_join("_absent", ", ")).alias("error")))
+    return union_all(*found) if found else None
+
+
+def _sources(entity: Entity, table: str) -> dict[str, str]:
+    return {m.target_column: m.source_column for m in entity.mappings if m.target_table == table and m.target_column}
+
+
+def _is_lookup(table: TableContract, mapped: Sequence[str], profile: TargetProfile) -> bool:
+    return table.name in profile.lookup_tables or (
+        table.lookup_only and table.name not in profile.app_assigned and table.primary_key not in mapped)
+
+
 def write_rows(
     staged: DataFrame, state: TargetState, entity: Entity, contract: TargetContract, profile: TargetProfile,
     system: str,
@@ -107,23 +165,22 @@ def write_rows(
         misses += missed
         known = entity_crosswalk(crosswalk, entity.name, profile.name, name)
         pk = table.primary_key
-        if name in profile.lookup_tables or (table.lookup_only and name not in profile.app_assigned
-                                             and pk not in mapped):
-            found = resolve_by_key(rows, pk, tables[name], pk, name) if pk in mapped else \
-                resolve_by_values(rows, mapped, tables[name], pk)
-            produced[name] = found.select(REFERENCE, "target_id")
+        if _is_lookup(table, mapped, profile):
+            produced[name] = resolve_reference_row(rows, mapped, tables[name], pk, name).select(REFERENCE, "target_id")
             continue
         if pk in mapped:
-            ids = carried_ids(rows, known, pk).withColumn(
+            ids = carried_ids(rows, known, pk, tables[name]).withColumn(
                 "target_id", F.col("target_id").cast(tables[name].schema[pk].dataType))
             mapped = [c for c in mapped if c != pk]
         else:
-            natural = mapped if name in profile.app_assigned else ()
+            # Foreign keys tell rows apart as well as the mapped values do.
+            natural = [*mapped, *links] if name in profile.app_assigned else ()
             start = profile.id_start if name in profile.app_assigned else 1
-            ids = match_or_allocate(rows, known, tables[name], pk, start, natural, staged.select(f"{name}.*"))
+            rows = materialise(rows) if natural and links else rows
+            ids = match_or_allocate(rows, known, tables[name], pk, start, natural)
         ids = materialise(ids)
         produced[name] = ids.select(REFERENCE, "target_id")
-        tables[name] = _write_table(tables[name], ids, pk, mapped, links)
+        tables[name] = _write_table(tables[name], ids, pk, mapped, links, _sources(entity, name))
         crosswalk = _crosswalk_after(crosswalk, ids, entity.name, system, profile.name, name)
     return TargetState(tables, crosswalk, union_all(*misses) if misses else None)
 
@@ -136,7 +193,8 @@ def _foreign_keys(
     sources = {m.target_column: m.source_column for m in entity.mappings if m.target_table == table.name}
     referring = [fk for fk in table.foreign_keys if fk.column in sources and entity.references.get(fk.ref_table)]
     carried = [F.col(f"_source.{sources[fk.column]}").alias(f"_from_{fk.column}") for fk in referring]
-    rows = staged.select(REFERENCE, F.col(f"{table.name}.*"), *carried)
+    given = F.col(_GIVEN) if _GIVEN in staged.columns else F.lit(None).cast("array<string>")
+    rows = staged.select(REFERENCE, F.col(f"{table.name}.*"), given.alias(_GIVEN), *carried)
     misses: list[DataFrame] = []
     for fk in referring:
         given = f"_from_{fk.column}"
@@ -153,15 +211,31 @@ def _foreign_keys(
     return rows.drop(*[f"_from_{fk.column}" for fk in referring]), links, misses
 
 
-def stage_rows(rows: DataFrame, entity: Entity, contract: TargetContract, keep: Sequence[str], as_of: Column | None
-               ) -> DataFrame:
-    """Staged and checked rows; the source columns of foreign keys ride along in `_source`."""
+def stage_rows(rows: DataFrame, entity: Entity, contract: TargetContract, keep: Sequence[str], as_of: Column | None,
+               given: str | None = None) -> DataFrame:
+    """Staged and checked rows; the source columns of foreign keys ride along in `_source`.
+
+    With `given`, the names a payload has, a required column that is not among them is no error yet.
+    """
     sources = [m.source_column for m in entity.mappings
                if m.target_table and contract.table(m.target_table)
                and m.target_column in contract.table(m.target_table).managed_columns and m.source_column in rows.columns]
     carried = F.struct(*[F.col(c) for c in dict.fromkeys(sources)], F.lit(True).alias("_")).alias("_source")
     return check_staged(stage(rows.withColumn("_source", carried), entity.mappings, contract,
-                              [*keep, "_source"], as_of), contract)
+                              [*keep, "_source"], as_of), contract,
+                        None if given is None else lambda table, column: F.array_contains(
+                            given, _sources(entity, table).get(column, column)))
+
+
+def decode_payload(due: DataFrame, entity: Entity, head: Sequence[str]) -> DataFrame:
+    """Events with the columns of their payload, the names it has, and an error for each value that cannot be read."""
+    keys = F.json_object_keys("payload")
+    row = F.from_json("payload", entity.row_schema)
+    opened = due.select(*head, F.coalesce(keys, F.array().cast("array<string>")).alias(_GIVEN), keys.isNull().alias("_bad"), row.alias("_row"))
+    wrong = [F.when(F.get_json_object("payload", f"$['{f.name}']").isNotNull() & F.col(f"_row.{f.name}").isNull(),
+                    F.lit(f"payload value of {f.name} is no {f.dataType.simpleString()}")) for f in entity.row_schema.fields]
+    errors = F.filter(F.array(F.when(F.col("_bad"), F.lit("payload is no JSON object")), *wrong), lambda e: e.isNotNull())
+    return opened.select(*head, _GIVEN, errors.alias("_payload_errors"), "_row.*")
 
 
 def deliver_events(
@@ -171,43 +245,85 @@ def deliver_events(
 ) -> Delivery:
     """One delivery pass over the due events of an entity.
 
-    Events with errors are quarantined one by one. The good events of a row are reduced to the last,
-    which leaves the state that applying them in order would leave.
+    Events whose content is wrong are quarantined one by one. Events that miss something in the target, such as a
+    lookup row, are tried again later, or end as dead letters. The other events of a row are reduced to the last, which
+    leaves the state that applying them in order would leave.
     """
     due = outbox_ops.claimable(outbox.filter(F.col("source_entity") == entity.name), control, as_of)
     if limit is not None:
         due = outbox_ops.oldest(due, "created_at", "event_id", limit)
     head = ["event_id", REFERENCE, "source_entity", "operation", "source_updated_at", "created_at",
             "payload", "payload_checksum"]
-    rows = due.select(*head, F.from_json("payload", entity.row_schema).alias("_row")).select(*head, "_row.*")
-    if usable(without_managed(entity.mappings, contract), rows.columns):
-        staged = materialise(stage_rows(rows, entity, contract, head, as_of))
+    carry = [*head, _GIVEN, "_payload_errors"]
+    known = [] if entity.row_schema is None else entity.row_schema.names
+    if usable(without_managed(entity.mappings, contract), known):
+        rows = decode_payload(due, entity, head)
+        staged = stage_rows(rows, entity, contract, carry, as_of, given=_GIVEN)
+        staged = materialise(staged.withColumn(ERRORS, F.concat("_payload_errors", ERRORS)).drop("_payload_errors"))
+        good = staged.filter(F.size(ERRORS) == 0)
+        failures = row_failures(good, "event_id", state, entity, contract, profile, system)
     else:
         reason = NO_VALUES if entity.mappings else NO_MAPPING
         staged = materialise(due.select(*head, F.array(F.lit(reason)).alias(ERRORS)))
-    good = staged.filter(F.size(ERRORS) == 0)
+        good, failures = staged.filter(F.size(ERRORS) == 0), None
+    if failures is None:
+        failures = staged.select("event_id", F.lit("").alias("error")).limit(0)
+    failures = materialise(failures)
+    good = good.join(failures.select("event_id").distinct(), "event_id", "left_anti")
     bad = staged.filter(F.size(ERRORS) > 0)
     latest = materialise(outbox_ops.last_event_per_key(good))
     target = write_rows(latest, state, entity, contract, profile, system)
-    outcomes = staged.select("event_id", F.when(F.size(ERRORS) == 0, "delivered").otherwise("quarantined")
-                             .alias("outcome"), F.array_join(ERRORS, "; ").alias("message"))
-    after = apply_outcomes(outbox, outcomes, as_of)
     failed = bad.select("event_id", F.col(ERRORS).alias("errors"), F.col("payload").alias("payload_snapshot"))
+    delivered, accepted = outbox_ops.mark_delivered(outbox, good, as_of)
+    after = outbox_ops.fail(mark_quarantined(delivered, failed, as_of), failures, as_of)
+    outcomes = union_all(
+        good.select("event_id", F.lit("delivered").alias("outcome"), F.lit("").alias("message")),
+        bad.select("event_id", F.lit("quarantined").alias("outcome"), F.array_join(ERRORS, "; ").alias("message")),
+        failures.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("message"))
+        .select("event_id", F.lit("retried").alias("outcome"), "message"))
     return Delivery(target, after, quarantine_upsert(quarantine, failed),
-                    outbox_ops.upsert_envelope(envelope, outbox_ops.envelope(good, as_of)), outcomes)
+                    outbox_ops.upsert_envelope(envelope, outbox_ops.envelope(good, as_of)), outcomes,
+                    union_all(accepted, outbox_ops.failed_attempts(outbox, failures)))
 
 
-def apply_outcomes(outbox: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
-    """Writes delivered and quarantined outcomes into the outbox with one join."""
-    hits = outcomes.select("event_id", F.col("outcome").alias("_outcome"), F.col("message").alias("_message"))
-    hit, done = F.col("_outcome").isNotNull(), F.col("_outcome") == "delivered"
-    return outbox.join(hits, "event_id", "left").withColumns({
-        "status": F.coalesce("_outcome", "status"),
-        "attempts": F.when(done, F.col("attempts") + 1).otherwise(F.col("attempts")),
-        "processed_at": F.when(hit, as_of).otherwise(F.col("processed_at")),
-        "last_error_code": F.when(done, None).when(hit, "VALIDATION").otherwise(F.col("last_error_code")),
-        "last_error_message": F.when(done, None).when(hit, F.col("_message")).otherwise(F.col("last_error_message")),
-    }).select(*outbox.columns)
+def deliver_all(
+    outbox: DataFrame, control: DataFrame, state: TargetState, quarantine: DataFrame, envelope: DataFrame,
+    entities: Sequence[Entity], contract: TargetContract, profile: TargetProfile, system: str, as_of: Column,
+    limit: int | None = None,
+) -> Delivery:
+    """One pass over the due events of all entities, the oldest `limit` of them; entities follow each other by name.
+
+    Entities share the target, so each starts from what the one before left, read back from where it was written.
+    """
+    claimed = materialise(outbox_ops.claim(outbox, control, as_of, limit).filter("status = 'processing'").select("event_id")
+                          .join(outbox.filter(F.col("status").isin("pending", "retry")).select("event_id"), "event_id", "left_semi"))
+    mine = outbox.join(claimed, "event_id", "left_semi")
+    rest = outbox.join(claimed, "event_id", "left_anti")
+    done: Delivery | None = None
+    outcomes, audit = [], []
+    for entity in sorted(entities, key=lambda e: e.name):
+        done = deliver_events(mine, control, state, quarantine, envelope, entity, contract, profile, system, as_of)
+        state, mine = durable(done.target), materialise(done.outbox)
+        quarantine, envelope = materialise(done.quarantine), materialise(done.envelope)
+        outcomes.append(done.outcomes)
+        audit.append(done.audit)
+    if done is None:
+        raise ValueError("no entity to deliver")
+    return Delivery(state, union_all(rest, mine), quarantine, envelope, union_all(*outcomes), union_all(*audit))
+
+
+def durable(state: TargetState) -> TargetState:
+    """The state with every table written, so that later steps neither repeat nor undo what led to it."""
+    return TargetState({n: materialise(df) for n, df in state.tables.items()}, materialise(state.crosswalk), state.unresolved)
+
+
+def entities_of(mappings: DataFrame, known: dict[str, Entity]) -> list[Entity]:
+    """Entities with the mappings of an approved-mapping frame; mappings are settings, a few rows per entity."""
+    found: dict[str, list[FieldMapping]] = {}
+    for r in mappings.orderBy("source_entity", "target_table", "target_column", "source_column").collect():
+        found.setdefault(r["source_entity"], []).append(
+            FieldMapping(r["source_column"], r["target_table"], r["target_column"], r["transform"]))
+    return [replace(entity, mappings=tuple(found.get(name, ()))) for name, entity in sorted(known.items())]
 
 
 def refresh_entity(
@@ -223,24 +339,29 @@ def refresh_entity(
     left, crosswalk, deleted = scoped_delete(scope, state.crosswalk, entity.name, profile.name, kept_back)
     keyed = source.withColumn(REFERENCE, reference_for(source, system, entity.schema, entity.name, entity.keys))
     staged = materialise(stage_rows(keyed, entity, contract, [REFERENCE], as_of))
-    after = write_rows(staged.filter(F.size(ERRORS) == 0), TargetState(left, crosswalk), entity, contract,
-                       profile, system)
-    return after, staged.filter(F.size(ERRORS) > 0).select(REFERENCE, F.col(ERRORS).alias("errors")), deleted
+    good, bad = staged.filter(F.size(ERRORS) == 0), staged.filter(F.size(ERRORS) > 0).select(REFERENCE, F.col(ERRORS).alias("errors"))
+    emptied = TargetState(left, crosswalk)
+    failures = row_failures(good, REFERENCE, emptied, entity, contract, profile, system)
+    if failures is not None:
+        failures = materialise(failures.groupBy(REFERENCE).agg(F.array_sort(F.collect_set("error")).alias("errors")))
+        good, bad = good.join(failures.select(REFERENCE), REFERENCE, "left_anti"), union_all(bad, failures)
+    return write_rows(good, emptied, entity, contract, profile, system), bad, deleted
 
 
 def rebuild_target(
     sources: dict[str, DataFrame], entities: Sequence[Entity], empty: TargetState, contract: TargetContract,
-    profile: TargetProfile, system: str, publish: Callable[[str, TargetState], TargetState] | None = None,
+    profile: TargetProfile, system: str, publish: Callable[[str, TargetState], TargetState],
 ) -> tuple[TargetState, dict[str, str]]:
     """Refreshes every entity from an emptied target; a failing entity is reported and the rest goes on.
 
-    `publish` makes one entity's tables durable, so that a later failure cannot touch them.
+    `publish` runs an entity's refresh and makes its tables durable, so that a failure stays with its entity and no later
+    one can touch what was written; `durable` does for tables without a store of their own.
     """
     state, report = empty, {}
     for entity in entities:
         try:
             after, _, _ = refresh_entity(sources[entity.name], state, entity, contract, profile, system)
-            state = publish(entity.name, after) if publish else after
+            state = publish(entity.name, after)
             report[entity.name] = "delivered"
         except Exception as error:  # one entity must not end the run
             report[entity.name] = f"failed: {error}"

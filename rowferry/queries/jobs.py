@@ -98,14 +98,15 @@ def _job_sql(good: str) -> dict[str, str]:
         "good": good,
         "live": "SELECT x.external_reference, t.id FROM xwalk x JOIN tgt_account t ON CAST(t.id AS VARCHAR) = x.target_id",
         "tried": "SELECT g.*, l.id AS live_id, CASE WHEN l.id IS NULL THEN (SELECT min(t.id) FROM tgt_account t WHERE t.name = "
-                 "g.name AND t.segment = g.segment AND t.balance = g.balance) END AS match_id FROM good g LEFT JOIN live l USING "
+                 "g.name AND t.segment = g.segment AND t.balance = g.balance AND (g.nation_id IS NULL OR t.nation_id = g.nation_id)) END "
+                 "AS match_id FROM good g LEFT JOIN live l USING "
                  "(external_reference)",
-        "groups": "SELECT name, segment, balance, min(external_reference) AS ref FROM tried WHERE live_id IS NULL AND match_id IS "
+        "groups": "SELECT name, segment, balance, nation_id, min(external_reference) AS ref FROM tried WHERE live_id IS NULL AND match_id IS "
                   "NULL GROUP BY ALL",
         "numbered": "SELECT *, 10000000 - 1 + row_number() OVER (ORDER BY ref) AS new_id FROM groups",
         "ids": "SELECT t.*, COALESCE(live_id, match_id, new_id) AS account_id, live_id IS NOT NULL OR n.ref = "
                "t.external_reference AS writes FROM tried t LEFT JOIN numbered n ON live_id IS NULL AND match_id IS NULL AND "
-               "n.name = t.name AND n.segment = t.segment AND n.balance = t.balance",
+               "n.name = t.name AND n.segment = t.segment AND n.balance = t.balance AND n.nation_id IS NOT DISTINCT FROM t.nation_id",
         "accounts": "SELECT COALESCE(t.id, i.account_id) AS id, CASE WHEN i.account_id IS NULL THEN t.name ELSE i.name END AS name, "
                     "CASE WHEN i.account_id IS NULL THEN t.segment ELSE i.segment END AS segment, COALESCE(i.nation_id, "
                     "t.nation_id) AS nation_id, CASE WHEN i.account_id IS NULL THEN t.balance ELSE i.balance END AS balance FROM "
@@ -225,7 +226,7 @@ def order_notes(spark, folder):
 
 
 @query("k6_full_rebuild", sql(
-    f"SELECT 'account' AS name, count(DISTINCT (substr({STRIP_SQL}, 1, 12), {REMAP_SQL}, c_acctbal)) AS rows, 'delivered' AS state FROM "
+    f"SELECT 'account' AS name, count(DISTINCT (substr({STRIP_SQL}, 1, 12), {REMAP_SQL}, c_acctbal, CASE WHEN c_nationkey <> 7 THEN c_nationkey END)) AS rows, 'delivered' AS state FROM "
     f"src_customer WHERE {_VALID} UNION ALL SELECT 'account_detail', count(*), 'delivered' FROM src_customer WHERE {_VALID} "
     "UNION ALL SELECT 'nation', count(*), 'kept' FROM nation UNION ALL SELECT 'supplier', count(*), 'failed' FROM supplier",
     "src_customer"))
@@ -235,7 +236,8 @@ def full_rebuild(spark, folder):
     empty = delivery.TargetState(
         {"account": tgt_account(spark, folder).limit(0), "account_detail": spark.createDataFrame([], _DETAIL),
          "nation": table(spark, folder, "nation").select("n_nationkey", "n_name")}, _nation_links(spark, folder))
-    state, report = delivery.rebuild_target(sources, [broken, CUSTOMER], empty, MODEL, PROFILE, SYSTEM)
+    state, report = delivery.rebuild_target(sources, [broken, CUSTOMER], empty, MODEL, PROFILE, SYSTEM,
+                                            lambda _, state: delivery.durable(state))
     states = {"account": report["customer"], "account_detail": report["customer"], "nation": "kept",
               "supplier": report["supplier"].split(":")[0]}
     frames = {**{n: state.tables[n] for n in ("account", "account_detail", "nation")}, "supplier": sources["supplier"]}

@@ -279,10 +279,9 @@ _REPAIR = {
                "e.source_entity",
     "judged": "SELECT p.*, EXISTS (SELECT 1 FROM owned o WHERE o.target_id = p.target_id AND NOT (o.source_entity = "
               "p.source_entity AND p.from_key IS NULL)) AS conflict FROM planned p",
-    "texts": "SELECT *, concat_ws('; ', CASE WHEN COALESCE(composite, true) THEN 'entity has a composite or unknown primary key' "
-             "END, CASE WHEN NOT composite AND mapped_column <> 'id' THEN 'account is mapped from ''' || mapped_column || ''', not "
-             "source primary key ''id''' END, CASE WHEN NOT there THEN 'target row does not exist; duplicate error may be stale' "
-             "END, CASE WHEN conflict THEN 'target id is already claimed by another crosswalk row' END) AS reasons FROM judged",
+    "texts": "SELECT *, concat_ws('; ', CASE WHEN COALESCE(composite, true) THEN 'no_single_key' "
+             "END, CASE WHEN NOT composite AND mapped_column <> 'id' THEN 'not_mapped_from_key:' || mapped_column END, CASE WHEN "
+             "NOT there THEN 'target_row_gone' END, CASE WHEN conflict THEN 'id_of_another_row' END) AS reasons FROM judged",
 }
 
 
@@ -385,17 +384,17 @@ _DIAGNOSE = {
             "j.job_id AS latest_job, t.source_entity IS NULL AS bare, COALESCE(f.n, 0) AS fails FROM entities e LEFT JOIN latest "
             "l USING (source_entity) LEFT JOIN links k USING (source_entity) LEFT JOIN totals t USING (source_entity) LEFT JOIN "
             "named j USING (source_entity) LEFT JOIN fails f ON f.job_id = j.job_id",
-    "advised": "SELECT *, concat_ws('; ', CASE WHEN status = 'paused' THEN 'resolve or rebaseline the paused entity before "
-               "retrying delivery' END, CASE WHEN bare THEN 'deploy the approved proposal to the target first' END, CASE WHEN "
-               "NOT bare AND target_rows = 0 THEN 'run or retry refresh for this entity; deploy only records the mapping "
-               "contract' END, CASE WHEN fails > 0 THEN 'inspect the latest job failure and retry only the failed entity after "
-               "repair' END) AS a FROM wide",
+    "advised": "SELECT *, concat_ws('; ', CASE WHEN status = 'paused' THEN 'entity_paused' "
+               "END, CASE WHEN bare THEN 'no_target_tables' END, CASE WHEN "
+               "NOT bare AND target_rows = 0 THEN 'targets_empty' "
+               "END, CASE WHEN fails > 0 THEN 'last_job_failed' "
+               "END) AS a FROM wide",
 }
 
 
 @query("d22_delivery_diagnosis", sql(
     "SELECT source_entity, status, control_enabled, latest_proposal_id, latest_proposal_status, crosswalk_rows, target_rows, "
-    "latest_job, CASE WHEN a = '' THEN 'target data is present or no blocking signal was found' ELSE a END AS recommendations "
+    "latest_job, CASE WHEN a = '' THEN 'nothing_in_the_way' ELSE a END AS recommendations "
     "FROM advised", "entities", "footprints", "catalog_v2_kept", extra=_DIAGNOSE))
 def delivery_diagnosis(spark, folder):
     base = fixture(spark, folder, "entities")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,24 +22,31 @@ class Snapshots:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def version(self) -> int | None:
+    def _newest(self) -> tuple[int, str] | None:
         try:
-            listed = self.spark.read.schema("version bigint").parquet(f"{self.root}/_list")
+            listed = self.spark.read.schema("version bigint, folder string").parquet(f"{self.root}/_list")
         except AnalysisException as error:
             if not is_missing(error):
                 raise
             return None
-        return listed.agg(F.max("version")).first()[0]
+        # Two publishers may take the same number; their folders differ, and every reader picks the same one.
+        found = listed.agg(F.max(F.struct("version", "folder")).alias("newest")).first()["newest"]
+        return None if found is None else (found["version"], found["folder"])
+
+    def version(self) -> int | None:
+        newest = self._newest()
+        return None if newest is None else newest[0]
 
     def current(self) -> DataFrame | None:
-        version = self.version()
-        return None if version is None else self.spark.read.parquet(f"{self.root}/v{version}")
+        newest = self._newest()
+        return None if newest is None else self.spark.read.parquet(f"{self.root}/{newest[1]}")
 
     def publish(self, df: DataFrame) -> int:
         version = (self.version() or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        self.spark.range(version, version + 1, numPartitions=1).withColumnRenamed("id", "version") \
-            .write.mode("append").parquet(f"{self.root}/_list")
+        folder = f"v{version}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        self.spark.range(version, version + 1, numPartitions=1).select(
+            F.col("id").alias("version"), F.lit(folder).alias("folder")).write.mode("append").parquet(f"{self.root}/_list")
         return version
 
 

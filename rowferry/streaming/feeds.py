@@ -16,10 +16,9 @@ from pyspark.sql import types as T
 
 from ..operators.ordering import first_per_key, latest_per_key
 from ..operators.union import union_all
-from ..sources.workspace import is_missing
+from ..sources.workspace import is_missing, materialise
 
-# Defaults of the delivery loop.
-BATCH_EVENTS = 100
+# Fixed value: pause of the delivery loop.
 INTERVAL_SECONDS = 300
 
 # Operation codes of change envelopes.
@@ -41,19 +40,27 @@ def read_topic(spark: SparkSession, servers: str, topic: str, options: dict[str,
         .options(**(options or {})).load().select(F.col("value").cast("string").alias("value"))
 
 
-def decode_envelope(feed: DataFrame, row: T.StructType | str, value: str = "value") -> DataFrame:
+def decode_envelope(feed: DataFrame, row: T.StructType | str, value: str = "value", report: bool = False) -> DataFrame:
     """Change envelopes ``{op, ts_ms, before, after}`` to rows with operation and source_updated_at.
 
-    A deletion carries its last row image and becomes a deactivation.
+    A deletion carries its last row image and becomes a deactivation. An envelope that cannot be read, has no
+    known operation, time or row image is no change: such rows are left out, or, with `report`, all rows come back
+    with the raw envelope and an `errors` array, for `route`.
     """
     inner = row if isinstance(row, str) else row.simpleString()
     schema = T._parse_datatype_string(f"struct<op:string,ts_ms:bigint,before:{inner},after:{inner}>")
     codes = F.create_map(*[F.lit(x) for pair in OPERATIONS.items() for x in pair])
-    parsed = feed.select(F.from_json(value, schema).alias("e"))
+    parsed = feed.select(F.col(value).alias("envelope"), F.from_json(value, schema).alias("e"))
     image = F.when(F.col("e.op") == "d", F.col("e.before")).otherwise(F.col("e.after"))
-    return parsed.select(
-        codes[F.col("e.op")].alias("operation"), F.timestamp_millis("e.ts_ms").alias("source_updated_at"),
-        image.alias("row")).select("operation", "source_updated_at", "row.*")
+    decoded = parsed.select("envelope", codes[F.col("e.op")].alias("operation"),
+                            F.timestamp_millis("e.ts_ms").alias("source_updated_at"), image.alias("row"))
+    errors = F.filter(F.array(
+        F.when(F.col("operation").isNull(), F.lit("no known operation")),
+        F.when(F.col("source_updated_at").isNull(), F.lit("no time of change")),
+        F.when(F.col("row").isNull(), F.lit("no row image"))), lambda e: e.isNotNull())
+    if report:
+        return decoded.select("operation", "source_updated_at", "row.*", "envelope", errors.alias("errors"))
+    return decoded.filter(F.size(errors) == 0).select("operation", "source_updated_at", "row.*")
 
 
 def drain(
@@ -83,6 +90,10 @@ class ChangeLog:
     def write(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
 
+    def write_base(self, rows: DataFrame) -> None:
+        """State from before the first batch, in a folder no batch number reaches."""
+        self.write(rows, -1)
+
     def batch(self, number: int) -> DataFrame:
         """Rows of one batch, which must have been written."""
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/batch={number}")
@@ -104,8 +115,8 @@ def applied(log: ChangeLog, keys: Sequence[str], time: str, *ties: str) -> DataF
 
 
 def compact(log: ChangeLog, keys: Sequence[str], time: str, *ties: str, into: ChangeLog) -> None:
-    """Writes the current state as batch 0 of another log; later batches then go there."""
-    into.write(applied(log, keys, time, *ties), 0)
+    """Writes the current state as the base of another log; a stream that starts there at batch 0 leaves it alone."""
+    into.write_base(applied(log, keys, time, *ties))
 
 
 def newest_in_batch(keys: Sequence[str], time: str, *ties: str) -> Callable[[DataFrame], DataFrame]:
@@ -138,18 +149,46 @@ def hold_until_due(
 ) -> Callable[[DataFrame, int], None]:
     """Batch handler that delivers due events and carries the others to the next batch.
 
-    Only the events still waiting are rewritten. The clock is a column, so a repeated batch decides
-    the same way when it derives from the rows.
+    Only the events still waiting are rewritten. The clock is read once per batch, and the batch is split by that moment
+    in one frame that is read twice, so no event falls between the two logs. An event without a due time waits.
     """
     def handle(rows: DataFrame, batch: int) -> None:
         pending = union_all(rows, waiting.batch(batch - 1)) if batch > 0 else rows
-        now = clock(rows)
-        delivered.write(pending.filter(F.col("available_at") <= now), batch)
-        waiting.write(pending.filter(F.col("available_at") > now), batch)
+        moment = fixed_clock(rows.sparkSession, clock(rows), pending.schema["available_at"].dataType)
+        marked = pending.withColumn("_due", F.coalesce(F.col("available_at") <= moment, F.lit(False))).persist()
+        delivered.write(marked.filter("_due").drop("_due"), batch)
+        waiting.write(marked.filter("not _due").drop("_due"), batch)
+        marked.unpersist()
 
     return handle
 
 
+def fixed_clock(spark: SparkSession, clock: Column, kind: T.DataType) -> Column:
+    """The moment a clock column shows now, as a literal."""
+    shown = spark.range(1).select(clock.cast(kind).cast("string").alias("now")).first()[0]
+    return F.lit(shown).cast(kind)
+
+
+def deliver_due(delivered: ChangeLog, waiting: ChangeLog, clock: Column, key: str = "event_id") -> int:
+    """Delivers waiting events that have become due, without new input; to be called between batches.
+
+    They are written as part of the newest batch's delivery, so the next batch, which carries on that batch's waiting
+    events, must not deliver them again: the waiting folder of that batch is replaced. Returns the events delivered.
+    """
+    last = waiting.rows().agg(F.max("batch")).first()[0]
+    if last is None:
+        return 0
+    now = fixed_clock(waiting.spark, clock, waiting.schema["available_at"].dataType)
+    pending = waiting.batch(last)
+    due = materialise(pending.filter(F.col("available_at") <= now))
+    kept = materialise(pending.join(due.select(key), key, "left_anti").select(*waiting.schema.names))
+    before = materialise(delivered.batch(last).join(due.select(key), key, "left_anti").select(*delivered.schema.names))
+    # Delivered first: should the second write fail, a repeat finds the same events and replaces them.
+    delivered.write(union_all(before, due.select(*delivered.schema.names)), last)
+    waiting.write(kept, last)
+    return due.count()
+
+
 def still_waiting(delivered: ChangeLog, waiting: ChangeLog, key: str = "event_id") -> DataFrame:
     """Events that are not delivered yet, each once."""
     held = first_per_key(waiting.rows(), [key], [F.col("batch").desc()]).drop("batch")
@@ -157,10 +196,36 @@ def still_waiting(delivered: ChangeLog, waiting: ChangeLog, key: str = "event_id
 
 
 def distinct_events(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """Drops re-delivered events. State is kept for the delay only, so it does not grow."""
+    """Drops re-delivered events. State is kept for the delay only, so it does not grow.
+
+    Events later than the delay are dropped by Spark without a trace: where none may be lost, use
+    `keep_distinct`, or `late_events` next to this.
+    """
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def keep_distinct(log: ChangeLog, key: str, time: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler that keeps every event once however late it comes: repeats meet the log by key."""
+    def handle(rows: DataFrame, batch: int) -> None:
+        known = log.rows().filter(F.col("batch") != batch).select(key)
+        log.write(latest_per_key(rows, [key], time).join(known, key, "left_anti").select(*log.schema.names), batch)
+
+    return handle
+
+
+def late_events(log: ChangeLog, late: ChangeLog, time: str, delay: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler for two logs: events within the delay of the newest one seen before, and the later ones."""
+    def handle(rows: DataFrame, batch: int) -> None:
+        seen = log.rows().filter(F.col("batch") < batch).agg(F.max(time)).first()[0]
+        is_late = F.lit(False) if seen is None else F.col(time) < F.lit(seen) - F.expr(f"INTERVAL {delay}")
+        marked = rows.withColumn("_late", F.coalesce(is_late, F.lit(False))).persist()
+        log.write(marked.filter("not _late").drop("_late"), batch)
+        late.write(marked.filter("_late").drop("_late"), batch)
+        marked.unpersist()
+
+    return handle
+
+
 def throughput(events: DataFrame, time: str, width: str, by: str, delay: str | None = None) -> DataFrame:
     """Events per time window and status; with a delay it is a bounded streaming aggregate."""
     source = events.withWatermark(time, delay) if delay else events
