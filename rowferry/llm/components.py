@@ -9,17 +9,23 @@ from ..operators.union import union_all
 from ..sources.workspace import materialise
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Adds a second key to join on. The join then deals its sides anew instead of following the aggregate of one of
+    them, and adaptive execution can split a vertex with very many edges."""
+    return rows.withColumn("_again", F.xxhash64("u"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links the larger neighbours of every vertex to the smallest of its neighbourhood."""
     both = union_all(edges, edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("_least")).withColumn("_least", F.least("u", "_least"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_least").alias("v"))
+    return _keyed(both).join(_keyed(least), ["_again", "u"]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_least").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a vertex and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("_least"))
-    others = edges.join(least, "u").filter(F.col("v") != F.col("_least")).select(F.col("v").alias("u"), F.col("_least").alias("v"))
+    others = _keyed(edges).join(_keyed(least), ["_again", "u"]).filter(F.col("v") != F.col("_least")).select(F.col("v").alias("u"), F.col("_least").alias("v"))
     return union_all(others, least.select("u", F.col("_least").alias("v")))
 
 
