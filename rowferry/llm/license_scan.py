@@ -137,7 +137,10 @@ def scan(files: DataFrame, statements: Sequence[Statement], path: str = "path",
         F.coalesce("_n", F.lit(0)).cast("bigint").alias("passages"),
         (F.col("_hit").isNotNull() & named).alias("license_file")))
     nearest = _nearest(own)
-    inherited = own.withColumn("_directory", directory(F.col("_path"))).join(nearest, "_directory", "left")
+    # Joined on one key more than the directories were grouped by: a directory with very many files can then be split.
+    again = F.xxhash64("_directory")
+    inherited = own.withColumn("_directory", directory(F.col("_path"))).withColumn("_again", again).join(
+        nearest.withColumn("_again", again), ["_again", "_directory"], "left")
     return inherited.select(
         *others, "license", "score", "passages", "license_file",
         F.coalesce("license", "_license").alias("effective_license"),
