@@ -176,6 +176,21 @@ def impacted_by_breaking(changes: DataFrame, footprints: DataFrame) -> DataFrame
     return affected_entities(footprints, changes.filter("breaking")).select("source_entity")
 
 
+def drift_report(changes: DataFrame, impacted: DataFrame, pair: str, fingerprint: Column, as_of: Column) -> DataFrame:
+    """One row: what differs between two contracts, whether any of it breaks, and which entities it stops.
+
+    A contract's columns are few; the differences of one comparison make one row.
+    """
+    change = F.struct("table_name", "column_name", "kind", "breaking")
+    found = changes.agg(F.array_sort(F.collect_list(change)).alias("differences"),
+                        F.coalesce(F.bool_or("breaking"), F.lit(False)).alias("breaking"))
+    stopped = impacted.agg(F.array_sort(F.collect_set("source_entity")).alias("impacted_entities"))
+    # Both sides are one row of an aggregate without keys.
+    return found.withColumn("_one", F.lit(1)).join(stopped.withColumn("_one", F.lit(1)), "_one").select(
+        F.lit(pair).alias("drift_pair"), fingerprint.alias("fingerprint"), "differences", "impacted_entities", "breaking",
+        as_of.alias("detected_at"))
+
+
 def pause_entities(control: DataFrame, mappings: DataFrame, impacted: DataFrame, fingerprint: Column
                    ) -> tuple[DataFrame, DataFrame]:
     """Disables impacted entities and pauses their approved mappings; everything else stays."""

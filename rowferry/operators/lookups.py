@@ -243,6 +243,17 @@ def reconcile(
     }).drop("_key", "_best")
 
 
+def reconciled_crosswalk(matched: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """Crosswalk with the links of a reconciliation, one per key; writing them again changes nothing.
+
+    `matched` has the crosswalk keys and `target_id`; rows without a match add nothing.
+    """
+    links = matched.filter(F.col("target_id").isNotNull()).groupBy(*CROSSWALK_KEY).agg(
+        F.min("target_id").cast("string").alias("_id"))
+    return crosswalk.join(links, list(CROSSWALK_KEY), "full_outer").withColumn(
+        "target_id", F.coalesce("_id", "target_id")).select(*CROSSWALK_KEY, "target_id")
+
+
 def referenced_rows(
     write_set: dict[str, DataFrame], links: Sequence[tuple[str, str, str, str]], lookups: dict[str, DataFrame],
 ) -> dict[str, DataFrame]:

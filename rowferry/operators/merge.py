@@ -64,6 +64,21 @@ def unseen(rows: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(seen.select(*keys), list(keys), "left_anti")
 
 
+def backfill_events(rows: DataFrame, seen: DataFrame, entity: str, target_system: str, payload: Sequence[str], as_of: Column
+                    ) -> DataFrame:
+    """Pending outbox events, with payload and checksum, for the rows of an entity that have had none.
+
+    `seen` is (source_entity, external_reference) of the events so far.
+    """
+    mine = seen.filter(F.col("source_entity") == entity)
+    fresh = unseen(rows, mine, ["external_reference"])
+    document = row_json(fresh, [*payload, "external_reference"])
+    return fresh.select(
+        "external_reference", F.lit(entity).alias("source_entity"), F.lit(target_system).alias("target_system"),
+        F.lit("backfill").alias("operation"), document.alias("payload"), checksum(document).alias("payload_checksum"),
+        F.lit("pending").alias("status"), F.lit(0).alias("attempts"), as_of.alias("available_at"), as_of.alias("created_at"))
+
+
 def scoped_delete(
     tables: Mapping[str, tuple[DataFrame, str]], crosswalk: DataFrame, entity: str, system: str,
     lookups: Sequence[str] = (),
