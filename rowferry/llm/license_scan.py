@@ -56,6 +56,7 @@ BEFORE, AFTER = 60, 100
 """Characters of a passage before and from the word that speaks of licences."""
 SIMILAR = 0.75
 FILE_NAME = r"(?i)(?:^|/)(?:un)?licen[sc]e[^/]*$|(?:^|/)copying[^/]*$"
+PARTS = 8
 _WORD = "[a-z0-9]+"
 _RESULT = ("license", "score", "passages", "license_file", "effective_license", "licensed_by")
 
@@ -72,6 +73,26 @@ def passages(text: Column) -> Column:
     return F.when(text.rlike(f"(?i){SPEAKS}"), F.filter(mention, lambda m: m.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
+def mainly_license(text: Column) -> Column:
+    """Whether lines that speak of licences make up half of a text or more."""
+    spoken = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"(?i){SPEAKS}"))
+    size = F.aggregate(spoken, F.lit(0), lambda total, line: total + F.length(line) + 1)
+    return F.when(text.rlike(f"(?i){SPEAKS}"), size * 2 >= F.length(text)).otherwise(False)
+
+
+def document_path(key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> Column:
+    """A path for documents that have none: parts in the directory of a language in that of a source.
+
+    A document that is mainly a licence statement is a licence file, of its source, language or part by its number.
+    """
+    number, name = F.coalesce(F.col(key), F.lit(0)), F.coalesce(F.col(key).cast("string"), F.lit("-"))
+    part = F.concat(F.lit("part"), F.pmod(number, F.lit(PARTS)).cast("string"))
+    steps = F.array(F.lit(""), F.coalesce(source, F.lit("-")), F.coalesce(lang, F.lit("-")), part)
+    above = F.slice(steps, F.lit(1), (2 + F.pmod(F.floor(number / PARTS), F.lit(3))).cast("int"))
+    return F.when(mainly_license(F.coalesce(F.col(text), F.lit(""))), F.concat(F.array_join(above, "/"), F.lit("/LICENSE."), name)) \
+        .otherwise(F.concat(F.array_join(steps, "/"), F.lit("/"), name))
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 

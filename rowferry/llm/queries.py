@@ -83,10 +83,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_license_scans")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    # A document is a file in the directory of its source and language.
-    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")),
-                       F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    rows = license_scan.scan(docs.withColumn("path", path), license_scan.STATEMENTS)
+    rows = license_scan.scan(docs.withColumn("path", license_scan.document_path()), license_scan.STATEMENTS)
     return rows.select("doc_id", "license", "score", "passages", "license_file", "effective_license", "licensed_by")
 
 

@@ -104,6 +104,36 @@ def test_every_license_line_is_found(documents, spark, folder):
         assert r["license"] in expected if expected else r["license"] is None
 
 
+def test_document_paths_inherit(documents, spark, tmp_path):
+    lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0."]
+    columns = "doc_id long, text string, lang string, source string"
+    planted = spark.createDataFrame(
+        [(10**6 + k, lines[k % 3] + " and so on" * (k % 2), ["en", "de"][k % 2], f"src{k % 5}") for k in range(30)]
+        + [(None, lines[0], None, None), (-7, "plain", None, None), (10**6 + 99, lines[0] + " but there is much more to say" * 9, "en", "src1")], columns)
+    documents.select("doc_id", "text", "lang", "source").unionByName(planted).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("path", license_scan.document_path())
+    paths = {r["doc_id"]: r["path"] for r in docs.collect()}
+    rows = QUERIES["op5_license_scans"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(paths)
+    files = {}
+    for r in rows:
+        path = paths[r["doc_id"]]
+        assert r["license_file"] == (r["license"] is not None and path.rsplit("/", 1)[1].startswith("LICENSE"))
+        if r["license_file"]:
+            files.setdefault(path.rsplit("/", 1)[0], []).append((-r["score"], path, r["license"]))
+    assert {d.count("/") for d in files} == {1, 2, 3} and 10**6 + 99 not in {r["doc_id"] for r in rows if r["license_file"]}
+    inherited = 0
+    for r in rows:
+        above = paths[r["doc_id"]].rsplit("/", 1)[0]
+        while above and above not in files:
+            above = above.rsplit("/", 1)[0]
+        _, by, license = min(files[above]) if above else (0, None, None)
+        inherited += r["license"] is None and by is not None
+        expected = (r["license"], paths[r["doc_id"]]) if r["license"] else (license, by)
+        assert (r["effective_license"], r["licensed_by"]) == expected
+    assert inherited > 50
+
+
 def page(host, number, body):
     return (number, f"http://{host}/{number}", body)
 
