@@ -2,7 +2,8 @@
 
 Around every word that speaks of licences a passage is taken. Passages become sparse vectors over the words of the
 templates, weighted by term frequency and by how rare a word is among all texts; the most similar template
-above a threshold names the licence. A file without one of its own takes that of the licence file (a file so named) in
+above a threshold names the licence. The whole text of a licence file, and a whole BSD text in any file, is first compared
+with whole licence texts, and the identifiers of SPDX lines are looked up as they stand. A file without one of its own takes that of the licence file (a file so named) in
 the nearest directory above it, found by joining directories and their ancestors.
 
 Null and empty texts have no licence of their own; a null path is in no directory. Of equally similar templates the
@@ -14,8 +15,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +53,17 @@ STATEMENTS = (
     Statement("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     Statement("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
     Statement("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    Statement("EPL-2.0", "Made available under the terms of the Eclipse Public License 2.0"),
+    Statement("Zlib", "This software is provided 'as-is', without any express or implied warranty"),
+    Statement("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-SPEAKS = r"licen[sc]ed?\b|licen[sc]es?\b|permission is hereby|redistribution and use|public domain|spdx-license"
+SPEAKS = r"licen[sc]ed?\b|licen[sc]es?\b|permission is hereby|redistribution and use|public domain|spdx-license|provided 'as-is'"
+SPDX = r"(?i)spdx-license-identifier:[\x20\t]*([^\r\n]*)"
+TEXTS = Path(__file__).parent / "license_texts"
+"""Whole licence texts by identifier, read by the driver."""
+WHOLE = r"(?is)redistribution\s+and\s+use\s+in\s+source\b.{0,4000}?possibility[\s*#/;-]+of[\s*#/;-]+such[\s*#/;-]+damage"
+"""Stretches compared with whole texts in any file: licences that begin alike and differ further on."""
+WHOLE_SIMILAR = 0.9
 BEFORE, AFTER = 60, 100
 """Characters of a passage before and from the word that speaks of licences."""
 SIMILAR = 0.75
@@ -145,12 +157,27 @@ def scan(files: DataFrame, statements: Sequence[Statement], path: str = "path",
     others = [c for c in files.columns if c != text]
     weights = rarity(files, text, vocabulary(statements))
     content = F.coalesce(files[text], F.lit(""))
+    named = F.coalesce(files[path].rlike(FILE_NAME), F.lit(False))
+    none = F.array().cast("array<string>")
+    tagged = F.when(content.rlike(SPDX), F.regexp_extract_all(content, F.lit(SPDX), F.lit(1))).otherwise(none)
+    stretches = F.when(content.rlike(WHOLE), F.regexp_extract_all(content, F.lit(WHOLE), F.lit(0))).otherwise(none)
+    # Identifiers are not statements: cosine would take an unknown one for a known one.
+    stated = F.when(content.rlike(SPDX), F.regexp_replace(content, SPDX, "")).otherwise(content)
     rows = materialise(files.select(
         *others, F.monotonically_increasing_id().alias("_row"), files[path].alias("_path"),
-        passages(content).alias("_passages")))
+        passages(stated).alias("_passages"), tagged.alias("_tagged"),
+        F.when(named, F.concat(F.array(content), stretches)).otherwise(stretches).alias("_wholes")))
     found = rows.filter(F.size("_passages") > 0).select("_row", F.posexplode("_passages").alias("_at", "passage"))
     hits = similarities(found, statements, weights).filter("license is not null")
-    best = hits.groupBy("_row").agg(F.max(F.struct("score", (-F.col("_at")).alias("_order"), "license")).alias("_hit"),
+    texts = whole_texts()
+    wholes = whole_similarities(rows.filter(F.size("_wholes") > 0).select("_row", F.posexplode("_wholes").alias("_at", "whole")), texts)
+    names = F.regexp_extract_all(F.array_join("_tagged", " "), F.lit(r"[A-Za-z0-9.+-]+"), F.lit(0))
+    tags = rows.filter(F.size("_tagged") > 0).select("_row", F.posexplode(names).alias("_at", "_name")).select(
+        "_row", "_at", spdx_license(F.col("_name"), [*texts, *[s.license for s in statements]]).alias("license"),
+        F.lit(1.0).alias("score")).filter("license is not null")
+    hits = hits.withColumn("_sure", F.lit(0)).unionByName(tags.withColumn("_sure", F.lit(1))).unionByName(
+        wholes.withColumn("_sure", F.lit(2)))
+    best = hits.groupBy("_row").agg(F.max(F.struct("_sure", "score", (-F.col("_at")).alias("_order"), "license")).alias("_hit"),
                                     F.count("*").alias("_n"))
     named = F.coalesce(F.col("_path").rlike(FILE_NAME), F.lit(False))
     own = materialise(rows.join(best, "_row", "left").select(
@@ -168,6 +195,42 @@ def scan(files: DataFrame, statements: Sequence[Statement], path: str = "path",
         F.when(F.col("license").isNotNull(), F.col("_path")).otherwise(F.col("_by")).alias("licensed_by"))
 
 
+def whole_texts() -> dict[str, str]:
+    """Whole licence texts. That of the AGPL is the GPL's by its own name, from which it hardly differs otherwise."""
+    texts = {p.stem: p.read_text(encoding="utf-8").lower() for p in sorted(TEXTS.glob("*.txt"))}
+    return texts | {"AGPL-3.0": texts["GPL-3.0"].replace("gnu general", "gnu affero general")}
+
+
+def whole_similarities(found: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """(`_row`, `license`, `score`) of every text in `found` (`_row`, `_at`, `whole`) that is like a whole licence text.
+
+    Words are weighted by how rare they are among the licence texts.
+    """
+    counted = {k: Counter(re.findall(_WORD, t)) for k, t in texts.items()}
+    among = Counter(w for words in counted.values() for w in words)
+    rarity = {w: math.log((len(texts) + 1) / (n + 1)) + 1 for w, n in among.items()}
+    norms = {k: math.sqrt(sum((n * rarity[w]) ** 2 for w, n in words.items())) for k, words in counted.items()}
+    session = found.sparkSession
+    # Of the size of the licence texts, whatever the input.
+    weights = F.broadcast(session.createDataFrame(list(rarity.items()), "word string, rarity double"))
+    units = F.broadcast(session.createDataFrame(
+        [(k, w, n * rarity[w] / norms[k]) for k, words in counted.items() for w, n in words.items()],
+        "license string, word string, unit double"))
+    each = found.select("_row", "_at", F.explode(terms(F.col("whole"))).alias("word")).groupBy("_row", "_at", "word").agg(
+        F.count("*").alias("tf")).join(weights, "word").withColumn("weight", F.col("tf") * F.col("rarity"))
+    norm = each.groupBy("_row", "_at").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dots = each.join(units, "word").groupBy("_row", "_at", "license").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    scored = dots.join(norm, ["_row", "_at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
+    best = scored.groupBy("_row", "_at").agg(F.max(F.struct("score", "license")).alias("_best"))
+    return best.select("_row", "_at", "_best.license", "_best.score").filter(F.col("score") >= WHOLE_SIMILAR)
+
+
+def spdx_license(name: Column, known: Sequence[str]) -> Column:
+    """The licence of an SPDX identifier, null if unknown; `-only`, `-or-later` and `+` do not change it."""
+    bare = F.regexp_replace(F.lower(name), r"(?:-only|-or-later|\+)$", "")
+    return F.create_map(*[F.lit(x) for k in sorted(set(known)) for x in (k.lower(), k)])[bare]
+
+
 def directory(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 

@@ -134,6 +134,20 @@ def test_document_paths_inherit(documents, spark, tmp_path):
     assert inherited > 50
 
 
+def test_whole_texts_and_identifiers(spark):
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in license_scan.TEXTS.glob("*.txt")}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "Zlib"} < set(texts)
+    owned = "Copyright (c) 2020, Jane Doe and others. All rights reserved.\n\n"
+    files = [(f"/{k}/LICENSE", owned + t, k) for k, t in texts.items()]
+    files += [(f"/{k}/a.c", "/*\n * " + texts[k].replace("\n", "\n * ") + "*/\n" + "int the_sum(int a, int b);\n" * 200, k) for k in ("BSD-2-Clause", "BSD-3-Clause")]
+    lines = {"GPL-2.0-only": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1+": "LGPL-2.1", "AGPL-3.0-only": "AGPL-3.0", "mit": "MIT",
+             "MPL-2.0": "MPL-2.0", "EPL-2.0": "EPL-2.0", "(Apache-2.0 OR MIT)": "Apache-2.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "Unheard-1.0": None}
+    files += [(f"/spdx/{k}.py", f"# SPDX-License-Identifier: {name}\nimport the, of, public", license) for k, (name, license) in enumerate(lines.items())]
+    df = spark.createDataFrame([f[:2] for f in files], "path string, text string")
+    got = {r["path"]: r["license"] for r in license_scan.scan(df, license_scan.STATEMENTS).collect()}
+    assert got == {path: license for path, _, license in files}
+
+
 def page(host, number, body):
     return (number, f"http://{host}/{number}", body)
 
