@@ -29,7 +29,11 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGNED = 8
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+# A run ends at an inner "=", as of NAME=value; what stands at the end of a run pads it.
+_PAD = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
+RUN = r"[A-Za-z0-9+/_-]{20,}" + _PAD
+# What is tested of a run that fits no alphabet, as it holds signs of two: its parts between those of one of them.
+PARTS = (r"[A-Za-z0-9_-]{20,}" + _PAD, r"[A-Za-z0-9+/]{20,}" + _PAD)
 
 # Alphabets by what a run looks like, most special first.
 ENCODINGS = (
@@ -48,6 +52,7 @@ REJECTED = 0.001
 """A run is not random when the battery's corrected p-value is below this."""
 FALSE_FINDS = 0.001
 """Accepted share of false finds in a length class."""
+_RANDOM = KINDS.index("random")
 _BINS = 4
 _STRONGEST = 400
 
@@ -59,11 +64,35 @@ def _matches(text: Column, kind: int, pattern: str, group: int, least: int) -> C
     found = F.transform(F.arrays_zip(whole.alias("w"), value.alias("v")), lambda m, at: F.struct(
         F.lit(kind).alias("kind"), F.length(F.get(gaps, at)).alias("gap"), F.length(m["w"]).alias("width"),
         (F.length(m["v"]) >= least).alias("good"),
-        F.when(F.lit(KINDS[kind] == "random"), m["w"]).alias("run")))
+        F.when(F.lit(kind == _RANDOM), m["w"]).alias("run")))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(
         "array<struct<kind:int,gap:int,width:int,good:boolean,run:string>>"))
 
 
+def _with_parts(runs: Column, split: int) -> Column:
+    """Runs, with those of two alphabets replaced by their parts and a rest of no width, so that positions stay.
+
+    The first way to split also gives the runs of one alphabet, the second one only passes over them.
+    """
+    kind = _RANDOM + split
+
+    def pieces(run: Column) -> Column:
+        # A match inside a run is told where the run begins; the rest brings the position to the end of the run.
+        parts = F.transform(_matches(run["run"], _RANDOM, PARTS[split], 0, 0), lambda p, at: _piece(
+            kind, p["gap"] + F.when(at == 0, run["gap"]).otherwise(0), p["width"], p["run"]))
+        used = F.aggregate(parts, F.lit(0), lambda total, p: total + p["gap"] + p["width"])
+        rest = F.array(_piece(kind, run["gap"] + run["width"] - used, F.lit(0), F.lit(None).cast("string")))
+        one = F.array(_piece(kind, run["gap"], run["width"], run["run"] if split == 0 else F.lit(None).cast("string")))
+        return F.when(run["run"].rlike("[+/]") & run["run"].rlike("[_-]"), F.concat(parts, rest)).otherwise(one)
+
+    return F.flatten(F.transform(runs, pieces))
+
+
+def _piece(kind: int, gap: Column, width: Column, run: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), gap.cast("int").alias("gap"), width.cast("int").alias("width"),
+                    F.lit(True).alias("good"), run.alias("run"))
+
+
 def _class_size(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("bigint")
 
@@ -145,10 +174,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float =
     content = F.coalesce(docs[text], F.lit(""))
     found = F.concat(
         _matches(content, 0, ASSIGN, 2, ASSIGNED), _matches(content, 1, ACCESS, 0, 0),
-        _matches(content, 2, HEX, 0, 0), _matches(content, 3, RUN, 0, 0))
-    rows = materialise(docs.select(
-        docs[key].alias("_id"), F.monotonically_increasing_id().alias("_row"), found.alias("_found"),
-        *[_class_size(content, chars).alias(f"_{name}") for name, chars in CLASSES.items()]))
+        _matches(content, 2, HEX, 0, 0))
+    matched = docs.select(
+        docs[key].alias("_id"), found.alias("_base"), _matches(content, _RANDOM, RUN, 0, 0).alias("_runs"),
+        *[_class_size(content, chars).alias(f"_{name}") for name, chars in CLASSES.items()])
+    rows = materialise(matched.select(
+        "_id", F.monotonically_increasing_id().alias("_row"),
+        F.concat("_base", _with_parts(F.col("_runs"), 0), _with_parts(F.col("_runs"), 1)).alias("_found"),
+        *[f"_{name}" for name in CLASSES]))
     totals = rows.agg(*[F.coalesce(F.sum(f"_{name}"), F.lit(0)).alias(name) for name in CLASSES]).first().asDict()
     every = sum(totals.values()) + len(totals)
     shares = {name: (n + 1) / every for name, n in totals.items()}
@@ -174,8 +207,21 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float =
     chosen = spans.join(least, "length_class", "left").withColumn(
         "chosen", F.coalesce(is_base | (wins & ~F.col("covered")), F.lit(False)))
     span = F.when(F.col("chosen"), F.struct(F.col("start").cast("bigint").alias("start"), "kind", F.col("end").cast("bigint").alias("end")))
-    return chosen.groupBy("_row", "_id").agg(F.sort_array(F.collect_list(span)).alias("spans")) \
-        .select(F.col("_id").alias(key), "spans")
+    spans = chosen.groupBy("_row", "_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return spans.select(F.col("_id").alias(key), _settled(F.col("spans")).alias("spans"))
+
+
+def _of_kind(kind: int) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
+def _settled(spans: Column) -> Column:
+    """Of overlapping parts those of the first way to split stay; all parts become random spans."""
+    first, second = (F.filter(spans, _of_kind(_RANDOM + k)) for k in range(2))
+    free = F.filter(second, lambda s: ~F.exists(first, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    merged = F.sort_array(F.concat(F.filter(spans, lambda s: s["kind"] <= _RANDOM), F.transform(free, lambda s: F.struct(
+        s["start"].alias("start"), F.lit(_RANDOM).alias("kind"), s["end"].alias("end")))))
+    return F.when(F.size(second) > 0, merged).otherwise(spans)
 
 
 def count_kind(spans: Column, kind: str) -> Column:

@@ -45,6 +45,22 @@ def test_random_runs(docs_of):
     assert not any(found[i] for i in range(len(keys), len(texts)))
 
 
+def test_random_runs_after_names_and_in_paths(docs_of):
+    rng = random.Random(7)
+    key = lambda n, more="": "".join(rng.choices(string.ascii_letters + string.digits + more, k=n))
+    a, b, c, d, e = key(32), key(40), key(40), key(48), key(43)
+    cases = [(f"x AWS_SECRET_ACCESS_KEY={a} y", [a]), (f"é private_key={b}\n", [b]), (f"https://h.example/f?sig={c}&v=1", [c]),
+             (f"https://h.example/example/my-app/{d}", [d]), (f"a-name {e}= z", [f"{e}="]), (f"k={a}=={b}", [a, b]),
+             (f"see a/my-app/{a} and key={b}, then b/my_app/{c}/v1", [a, b, c]),
+             ("key: AWS_SECRET_ACCESS_KEY=kT9fQz2LmX7vBc4Rp8sWnY3hJd6gUe1A", ["kT9fQz2LmX7vBc4Rp8sWnY3hJd6gUe1A"]),
+             ("some-long-path/of_parts/with-many/words_in/it-2024/and_more", [])]
+    prose = "The quick brown fox jumps over lazy dogs and returns. " * 400
+    texts = [t for t, _ in cases] + [prose]
+    rows = secrets.scan(docs_of([(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"]:s["end"]] for s in r["spans"]] for r in rows}
+    assert [found[i] for i in range(len(texts))] == [f for _, f in cases] + [[]]
+
+
 def test_secret_query(spark, folder):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     rows = QUERIES["op9_secret_scans"](spark, folder).collect()
