@@ -1,6 +1,7 @@
 """Main text of web pages by a consensus of each host's pages.
 
-Every page scores its own containers by the running text in them and votes for the path of the best one, with tags
+Every page scores its own containers by the running text in them and votes for the path of the best one, or of the
+article or main element around it, with tags
 and class names generalised (numbers dropped). Spark counts the votes of a host, and each page is extracted again from
 the containers on the winning path; a page without such a container, or without a host, uses its own best one.
 
@@ -188,7 +189,20 @@ def best_path(page: Page) -> str | None:
             scores[holder] = scores.get(holder, 0.0) + weight * size
             holder = inside[page.nodes[holder].parent]
     top = max(scores.items(), key=lambda s: (s[1], -s[0]), default=None)
-    return None if top is None else "/".join(page.nodes[top[0]].path)
+    return None if top is None else "/".join(page.nodes[_whole(page, inside, top[0])].path)
+
+
+def _whole(page: Page, inside: list[int], holder: int) -> int:
+    """The outermost article around a container, else the outermost main element; else what a quotation stands in."""
+    found: dict[str, int] = {}
+    up = holder
+    while up > 0:
+        if page.nodes[up].tag in ("article", "main"):
+            found[page.nodes[up].tag] = up
+        up = page.nodes[up].parent
+    while page.nodes[holder].tag == "blockquote" and (up := inside[page.nodes[holder].parent]) >= 0:
+        holder = up
+    return found.get("article", found.get("main", holder))
 
 
 def _containers(page: Page) -> list[int]:

@@ -197,6 +197,23 @@ def test_broken_markup(text, expected):
     assert html_extract.extract(parsed, html_extract.best_path(parsed)) == expected
 
 
+def text_of(html_text):
+    parsed = html_extract.parse(html_text)
+    return html_extract.extract(parsed, html_extract.best_path(parsed))
+
+
+BODY = "body text goes on and on " * 9
+
+
+@pytest.mark.parametrize("text,expected", [
+    (f"<body><p>site</p><article><h1>title</h1><p>lead</p><div class='article-body'><p>{BODY}</p></div></article>", f"title lead {BODY}"),
+    (f"<body><article><p>before</p><blockquote>{BODY}</blockquote><p>after</p></article>", f"before {BODY}after"),
+    (f"<main><h1>title</h1><table><tr><td>{BODY}</table></main>", f"title {BODY}"),
+    (f"<body><p>site<div id='c'><p>before<blockquote>{BODY}</blockquote>after</div>", f"before {BODY}after")])
+def test_nothing_around_the_longest_part_is_lost(text, expected):
+    assert text_of(text) == expected
+
+
 def test_pages(spark, folder):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in QUERIES["op8_html_extraction"](spark, folder).collect():
