@@ -44,8 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Removes what this application has staged; frames read from there are of no use afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base_folder(spark)}/rowferry/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, f"{base_folder(spark)}/rowferry/{spark.sparkContext.applicationId}")
 
 
 def is_missing(error: AnalysisException) -> bool:
@@ -53,12 +52,23 @@ def is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def staged(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes a frame and reads it back; with the folder, for `discard`."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes a frame that several branches share and reads it back.
 
     The copy is on shared storage, so losing an executor does not recompute the branch.
     """
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a staged copy that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
