@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.union import separate_union_inputs
+from ..sources.workspace import shared_folder
 from .shipping import ship
 from . import (
-    byte_bpe, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality_classifier, quality_rules, secrets, token_counts,
+    byte_bpe, exact_dedup, hard_negatives, html_extract, license_scan, mixing, ngram_join, quality_classifier, quality_rules,
+    secrets, token_counts, vector_codes, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +156,104 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, folder))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Complete Lloyd rounds: `a0` to `a{rounds}` are the assignments, `b0` to `b{rounds}` the codebooks."""
+    steps = []
+    for k in range(rounds + 1):
+        if k:
+            steps.append(f"""
+    m{k} AS (
+        SELECT p, e, o, floor(sum(v[o]) / count(*)) AS x
+        FROM parts JOIN a{k - 1} USING (r, p), generate_series(1, 16) AS g(o) GROUP BY p, e, o),
+    b{k} AS (
+        SELECT b.p, b.e, coalesce(n.c, b.c) AS c
+        FROM b{k - 1} AS b LEFT JOIN (SELECT p, e, list(x ORDER BY o) AS c FROM m{k} GROUP BY p, e) AS n USING (p, e))""")
+        steps.append(f"""
+    a{k} AS (
+        SELECT r, p, key % 256 AS e, key // 256 AS d FROM (
+            SELECT r, p, min((list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c))::BIGINT * 256 + e) AS key
+            FROM parts JOIN b{k} USING (p) GROUP BY r, p))""")
+    return ",".join(steps)
+
+
+@query("op11_vector_codes", f"""
+    WITH kept AS (
+        SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, * FROM (
+            SELECT vec_id, label, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)),
+    parts AS (SELECT r, p, v[16 * p + 1 : 16 * p + 16] AS v FROM kept, generate_series(0, 3) AS g(p)),
+    b0 AS (SELECT p, r - 1 AS e, v AS c FROM parts WHERE r <= 256),{_lloyd_sql(vector_codes.ROUNDS)},
+    coded AS (
+        SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{vector_codes.ROUNDS} GROUP BY r),
+    digest AS (
+        SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, o)) AS codebooks_sha256
+        FROM (SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS o FROM b{vector_codes.ROUNDS}))
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+    FROM kept JOIN coded USING (r), digest
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    found = vector_codes.compress(vectors)
+    if found is None:
+        return spark.createDataFrame([], vectors.select("vec_id").schema.add("code", "string").add("error", "bigint").add(
+            "label_error", "bigint").add("codebooks_sha256", "string"))
+    rows = found.rows.select(F.col("id").alias("vec_id"), "label", vector_codes.code_string(F.col("codes")).alias("code"),
+                             vector_codes.total_error(F.col("errors")).alias("error"))
+    return vector_codes.with_label_error(rows).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(found.books)).alias("codebooks_sha256"))
+
+
+NEGATIVES = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
+
+
+@query("op12_hard_negatives", """
+    WITH kept AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+        FROM kept AS a JOIN kept AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    positives AS (
+        SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+    ranked AS (
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+            id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+    SELECT * FROM ranked WHERE rank <= 3
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(rows, label=label, anchors=F.col("id") % 50 == 0)
+    return spark.createDataFrame([], NEGATIVES) if found is None else found
+
+
+@query("op13_warc", """
+    WITH sized AS (
+        SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+    grouped AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM sized)
+    SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+    FROM grouped
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    path = shared_folder(spark)
+    warc.write(pages, path)
+    needed = ["record_type", "record_id", "concurrent_to", "refers_to", "payload", "payload_bytes", "payload_sha1", "error"]
+    captures = warc.assemble(warc.read(spark, path, payload_of=("metadata",)).select(*needed))
+    page = warc.metadata_field("page_id").cast(pages.schema["page_id"].dataType)
+    size, digest = F.col("capture.payload_bytes"), F.col("capture.payload_sha1")
+    rows = warc.with_targets(captures.withColumn("page_id", page), {"page_id": F.col("page_id"), "size": size, "digest": digest})
+    revisit = F.col("capture.record_type") == "revisit"
+    return rows.select(
+        "page_id", F.when(revisit, F.col("target.size")).otherwise(size).alias("payload_bytes"),
+        F.when(revisit, F.col("target.digest")).otherwise(digest).alias("payload_digest"),
+        F.col("capture.record_type").alias("record_type"), F.col("target.page_id").alias("refers_to"))
