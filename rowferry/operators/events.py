@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .merge import upsert_last
-from .ordering import first_per_key, oldest
+from .ordering import oldest
 
 # Fixed values of the retry policy.
 MAX_ATTEMPTS = 8
@@ -113,12 +113,6 @@ def cancel_pending(outbox: DataFrame, entity: str) -> DataFrame:
     })
 
 
-def last_event_per_key(events: DataFrame) -> DataFrame:
-    """The event that decides the state of each row, which replaces applying them one by one."""
-    order = [F.col(c).desc_nulls_last() for c in ("source_updated_at", "created_at", "event_id")]
-    return first_per_key(events, ["source_entity", "external_reference"], order)
-
-
 def envelope(events: DataFrame, accepted_at: Column) -> DataFrame:
     """Delivery envelope of accepted events; a deactivation only clears the active flag."""
     return events.select(

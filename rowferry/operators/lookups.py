@@ -12,7 +12,7 @@ from ..functions.keys import external_reference
 from ..functions.text import match_key
 from ..sources.workspace import materialise
 from .ordering import allocate_ids, first_match
-from .skew import spread_join
+from .skew import is_small, spread_join
 from .union import union_all
 
 CROSSWALK_KEY = ("source_system", "source_entity", "external_reference", "target_system", "target_table")
@@ -73,21 +73,25 @@ def _value_error(columns: Sequence[str], table: str) -> Column:
         F.concat(F.lit(f"no row of {table} matches "), given)))
 
 
-def _mask(columns: Sequence[str]) -> Column:
-    bits = [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)]
-    return sum(bits[1:], bits[0])
+def _comparable(column: str, dtype: T.DataType) -> Column:
+    """A value in the type of the lookup; null where it is not given or does not fit."""
+    value = F.col(column).try_cast(dtype)
+    return value + F.lit(0.0) if isinstance(dtype, (T.DoubleType, T.FloatType)) else value  # minus zero equals zero
 
 
-def _lookup_key(given: Column, columns: Sequence[str], schema: T.StructType) -> Column:
-    """Text of the set of given columns and their values, in the types of the lookup."""
-    values = []
-    for i, c in enumerate(columns):
-        dtype = schema[c].dataType
-        value = F.col(c).try_cast(dtype)
-        if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            value = value + F.lit(0.0)  # minus zero equals zero
-        values.append(F.when(given.bitwiseAND(1 << i) != 0, value).alias(f"v{i}"))
-    return F.when(given != 0, F.to_json(F.struct(given.alias("set"), *values)))
+def _natural_key(columns: Sequence[str], schema: T.StructType) -> Column:
+    """Text of the given columns of a row and their values; null if none is given, or if one does not fit its type."""
+    values = [_comparable(c, schema[c].dataType) for c in columns]
+    fits = [F.col(c).isNull() | v.isNotNull() for c, v in zip(columns, values)]
+    given = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in columns])
+    whole = F.forall(F.array(*fits), lambda f: f)
+    return F.when(given & whole, F.to_json(F.struct(*[v.cast("string").alias(f"v{i}") for i, v in enumerate(values)])))
+
+
+def _by_selectivity(lookup: DataFrame, columns: Sequence[str]) -> list[int]:
+    """Places of the columns, those with most distinct values first: one pass, one row."""
+    counts = lookup.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return sorted(range(len(columns)), key=lambda i: (-counts[i], i))
 
 
 def resolve_by_values(
@@ -96,26 +100,34 @@ def resolve_by_values(
 ) -> DataFrame:
     """Natural-key lookup where only the non-null values of a row have to agree.
 
-    Instead of a theta join every lookup row appears once per set of columns that some source row supplies, so the match
-    is an equality join on that set and its values. Only sets that occur are used; a column that is never or always
-    null does not add any. The smallest key wins where several rows match. Rows outside `wanted` are not looked up.
-    With `weigh`, a frame that has the value columns, heavy values are spread; without it Spark broadcasts a
-    lookup that is small.
+    Equal sets of given values are looked up once. Each meets the lookup on its most selective given column, an equality
+    join in which the other given columns are compared; the smallest key of what is left wins. Any number of columns and of
+    sets of given columns may occur: what reaches the driver is one row of distinct counts and the columns joined on.
+    Rows outside `wanted` are not looked up. With `weigh`, a frame that has the value columns, heavy values are spread on
+    the way back to the rows; without it Spark broadcasts what was found if that is small.
     """
-    # Sets are numbers, one per combination of given columns that some row really has.
-    occurring = [r[0] for r in rows.select(_mask(columns).alias("_set")).filter("_set <> 0").distinct().collect()]
-    sets = F.array(*map(F.lit, sorted(occurring))) if occurring else F.array().cast("array<int>")
-    expanded = lookup.select(pk, *columns, F.explode(sets).alias("_set")).filter(
-        _mask(columns).bitwiseAND(F.col("_set")) == F.col("_set"))
-    entries = expanded.select(pk, _lookup_key(F.col("_set"), columns, lookup.schema).alias("_key")) \
-        .groupBy("_key").agg(F.min(pk).alias("target_id"))
-    mask = _mask(columns)
-    asked = mask if wanted is None else F.when(wanted, mask).otherwise(0)
-    keyed = rows.withColumn("_key", _lookup_key(asked, columns, lookup.schema))
+    schema = lookup.select(*columns).schema
+    key = _natural_key(columns, schema)
+    keyed = rows.withColumn("_key", key if wanted is None else F.when(wanted, key))
+    values = [_comparable(c, schema[c].dataType).alias(f"_v{i}") for i, c in enumerate(columns)]
+    asked = keyed.filter(F.col("_key").isNotNull()).select("_key", *values).dropDuplicates(["_key"])
+    order = _by_selectivity(lookup, columns)
+    on = F.coalesce(*[F.when(F.col(f"_v{i}").isNotNull(), F.lit(i)) for i in order])
+    value_of = lambda i: F.concat(F.lit(f"{i}:"), F.col(f"_v{i}").cast("string"))
+    asked = asked.withColumns({"_on": on, "_value": F.coalesce(*[F.when(F.col(f"_v{i}").isNotNull(), value_of(i)) for i in order])})
+    joined_on = list(range(len(columns)))
+    if not is_small(lookup):  # a large lookup is repeated for the columns that are joined on, no more
+        asked = materialise(asked)
+        joined_on = sorted(r[0] for r in asked.select("_on").distinct().collect())  # no more than there are columns
+    offered = lookup.select(F.col(pk).alias("_pk"), *[_comparable(c, schema[c].dataType).alias(f"_v{i}") for i, c in enumerate(columns)])
+    entries = F.filter(F.array(*[value_of(i) for i in joined_on]) if joined_on else F.array().cast("array<string>"), lambda v: v.isNotNull())
+    offered = offered.select("_pk", *[F.col(f"_v{i}").alias(f"_w{i}") for i in range(len(columns))], F.explode(entries).alias("_value"))
+    agree = F.forall(F.array(*[F.col(f"_v{i}").isNull() | F.coalesce(F.col(f"_v{i}") == F.col(f"_w{i}"), F.lit(False))
+                               for i in range(len(columns))]), lambda same: same)
+    found = asked.drop("_on").join(offered, "_value").filter(agree).groupBy("_key").agg(F.min("_pk").alias("target_id"))
     if weigh is None:
-        return keyed.join(entries, "_key", "left").drop("_key")
-    weighed = weigh.select(_lookup_key(mask, columns, lookup.schema).alias("_key"))
-    return spread_join(keyed, entries, "_key", "left", ["external_reference"], weigh=weighed).drop("_key")
+        return keyed.join(found, "_key", "left").drop("_key")
+    return spread_join(keyed, found, "_key", "left", ["external_reference"], weigh=weigh.select(key.alias("_key"))).drop("_key")
 
 
 def match_or_allocate(
@@ -147,8 +159,8 @@ def match_or_allocate(
     first = F.greatest(F.lit(start), F.coalesce(F.max(pk) + 1, F.lit(start))).cast("bigint")
     first_id = target.agg(first.alias("_first")).scalar()
     if natural:
-        blank = _mask(natural) == 0
-        same = F.when(blank, F.col("external_reference")).otherwise(F.to_json(F.struct(*natural)))
+        given = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in natural])
+        same = F.when(given, F.to_json(F.struct(*natural))).otherwise(F.col("external_reference"))
         fresh = fresh.withColumn("_same", same)
         groups = fresh.groupBy("_same").agg(F.min("external_reference").alias("_ref"))
         ids = allocate_ids(groups, "_ref", "target_id", first_id).select(

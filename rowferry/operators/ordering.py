@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.workspace import materialise
+from .skew import is_small
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """The first k rows of every key in the given order."""
@@ -72,23 +75,30 @@ def oldest(df: DataFrame, time: str, tie: str, n: int) -> DataFrame:
     return df.orderBy(F.col(time).asc(), F.col(tie).asc()).limit(n)
 
 
-def allocate_ids(
-    keys: DataFrame, key: str, column: str, start: int | Column, bucket_digits: int = 3
-) -> DataFrame:
-    """Consecutive ids in the order of a unique hex key (a UUID), without a one-task window.
+ROWS_PER_RANGE, MOST_RANGES = 1_000_000, 10_000
+
+
+def allocate_ids(keys: DataFrame, key: str, column: str, start: int | Column, ranges: int | None = None) -> DataFrame:
+    """Consecutive ids in the order of a unique key, without a one-task window.
 
-    The first hex digits put the keys into ordered buckets of even size. Bucket counts (at most
-    16 ** digits rows) give every bucket its first id, and rows are numbered inside their bucket.
-    Ids depend on the keys alone, so a retried task or a repeated run gives the same ids.
+    Spark samples the keys and deals them into ranges, whose number follows the count (`MOST_RANGES` at most), and each range
+    is ordered and written with the places of its rows. The number of rows of each range gives the first id of the next. Ids depend
+    on the keys alone, so a retried task or a repeated run gives the same ones, whatever the sample was. Keys may
+    be of any type that has an order, and cluster as they like. Keys that Spark would broadcast are numbered in one task.
     """
-    bucketed = keys.withColumn("_bucket", F.substring(key, 1, bucket_digits))
-    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(
-        F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # At most 16 ** bucket_digits rows: small enough to broadcast and to order in one task.
-    offsets = F.broadcast(counts.select("_bucket", before.alias("_before")))
+    if ranges is None and is_small(keys):
+        first = start if isinstance(start, Column) else F.lit(start)
+        return keys.withColumn(column, (first + F.row_number().over(W.orderBy(key)) - 1).cast("bigint"))
+    if ranges is None:
+        ranges = max(1, min(MOST_RANGES, -(-keys.count() // ROWS_PER_RANGE)))
+    # Partition number and place in the partition, in one number; written, so that both stay what they are.
+    ordered = keys.repartitionByRange(ranges, F.col(key)).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(ordered)
+    of, place = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(of.alias("_range")).agg((F.max(place) + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # As many rows as ranges: small enough to broadcast and to order in one task.
+    offsets = F.broadcast(counts.select("_range", before.alias("_before")))
     first = start if isinstance(start, Column) else F.lit(start)
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(key))
-    # Every bucket has its offset; the left join keeps the key expression out of a null filter.
-    return bucketed.join(offsets, "_bucket", "left").withColumn(
-        column, (first + F.col("_before") + inside - 1).cast("bigint")).drop("_bucket", "_before")
+    return placed.withColumn("_range", of).join(offsets, "_range").withColumn(
+        column, (first + F.col("_before") + place).cast("bigint")).drop("_at", "_range", "_before")

@@ -13,7 +13,7 @@ from ..contracts import FieldMapping, TableContract, TargetContract, TargetProfi
 from ..functions.keys import reference_for
 from ..operators import events as outbox_ops
 from ..operators.lookups import (
-    carried_ids, entity_crosswalk, live_crosswalk, match_or_allocate, propagate_parent, resolve_reference_row,
+    CROSSWALK_KEY, carried_ids, entity_crosswalk, live_crosswalk, match_or_allocate, propagate_parent, resolve_reference_row,
     resolve_references, unresolved,
 )
 from ..operators.merge import scoped_delete
@@ -23,6 +23,8 @@ from ..operators.validation import check_staged, mark_quarantined, quarantine_up
 from ..sources.workspace import materialise
 
 REFERENCE = "external_reference"
+CROSSWALK = "crosswalk"
+_ORDER = "_event_order"
 _GIVEN = "_given_columns"  # source columns that an event's payload has; null when the row is a whole one
 
 # Reasons why an event cannot be delivered at all.
@@ -48,6 +50,25 @@ class TargetState:
     tables: dict[str, DataFrame]
     crosswalk: DataFrame
     unresolved: DataFrame | None = None
+    changed: dict[str, DataFrame] = field(default_factory=dict)
+    """Written rows of every table that was touched, `crosswalk` among them, each with its present values."""
+    before: dict[str, DataFrame] = field(default_factory=dict)
+    """What touched tables were before, so that a table is never more than this and one set of changes."""
+
+    def changing(self, name: str, rows: DataFrame, keys: Sequence[str]) -> TargetState:
+        """The state after some rows of a table, or of the crosswalk, were inserted or replaced. The rows are at hand."""
+        before = self.before.get(name, self.crosswalk if name == CROSSWALK else self.tables[name])
+        if name in self.changed:
+            rows = materialise(overlay(self.changed[name], rows, keys))
+        now = overlay(before, rows, keys)
+        tables = self.tables if name == CROSSWALK else {**self.tables, name: now}
+        return replace(self, tables=tables, crosswalk=now if name == CROSSWALK else self.crosswalk,
+                       changed={**self.changed, name: rows}, before={**self.before, name: before})
+
+
+def overlay(current: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A table with some of its rows replaced, and others added."""
+    return union_all(current.join(rows.select(*keys), list(keys), "left_anti").select(*current.columns), rows)
 
 
 @dataclass
@@ -59,29 +80,28 @@ class Delivery:
     outcomes: DataFrame
     audit: DataFrame
     """Attempts of this pass: accepted, retry or dead letter."""
+    changed: dict[str, DataFrame] = field(default_factory=dict)
+    """Rows of the outbox, the quarantine and the envelope that this pass touched."""
 
 
-def _crosswalk_after(crosswalk: DataFrame, ids: DataFrame, entity: str, system: str, target: str, table: str
-                     ) -> DataFrame:
-    incoming = ids.select(
+def _links(ids: DataFrame, entity: str, system: str, target: str, table: str) -> DataFrame:
+    """Crosswalk rows of written ids."""
+    return ids.select(
         F.lit(system).alias("source_system"), F.lit(entity).alias("source_entity"), REFERENCE,
         F.lit(target).alias("target_system"), F.lit(table).alias("target_table"),
         F.col("target_id").cast("string").alias("target_id"))
-    mine = ((F.col("source_entity") == entity) & (F.col("source_system") == system)
-            & (F.col("target_system") == target) & (F.col("target_table") == table))
-    kept = crosswalk.filter(mine).join(incoming.select(REFERENCE), REFERENCE, "left_anti")
-    return union_all(crosswalk.filter(~mine), kept, incoming)
 
 
-def _write_table(current: DataFrame, rows: DataFrame, pk: str, mapped: Sequence[str], keys: Sequence[str],
-                 sources: dict[str, str]) -> DataFrame:
-    """Inserts and updates by id. Mapped columns are set, foreign keys only when known, others stay.
+def _written_rows(current: DataFrame, rows: DataFrame, pk: str, mapped: Sequence[str], keys: Sequence[str],
+                  sources: dict[str, str]) -> DataFrame:
+    """Rows that are inserted or updated, by id. Mapped columns are set, foreign keys only when known, others stay.
 
-    A mapped column whose source column the payload does not have stays too; `sources` names the source columns.
+    A mapped column whose source column the payload does not have stays too; `sources` names the source columns. Of rows that
+    share an id the last one writes, by event and then by reference.
     """
-    changed = rows.filter(F.col("action").isin("insert", "update")).select(
-        F.col("target_id").alias(pk), F.struct(*mapped, *keys, _GIVEN).alias("_new"))
-    both = current.join(changed, pk, "full_outer")
+    changed = rows.filter(F.col("action").isin("insert", "update")).groupBy(F.col("target_id").alias(pk)).agg(
+        F.max_by(F.struct(*mapped, *keys, _GIVEN), F.struct(_ORDER, REFERENCE)).alias("_new"))
+    both = changed.join(current, pk, "left")
     columns = []
     for f in current.schema.fields:
         old = F.col(f.name)
@@ -90,7 +110,7 @@ def _write_table(current: DataFrame, rows: DataFrame, pk: str, mapped: Sequence[
         elif f.name in mapped:
             new = F.col(f"_new.{f.name}").cast(f.dataType)
             given = F.col(f"_new.{_GIVEN}")
-            sent = F.col("_new").isNotNull() & (given.isNull() | F.array_contains(given, sources[f.name]))
+            sent = given.isNull() | F.array_contains(given, sources[f.name])
             columns.append(F.when(sent, new).otherwise(old).alias(f.name))
         elif f.name in keys:
             columns.append(F.coalesce(F.col(f"_new.{f.name}").cast(f.dataType), old).alias(f.name))
@@ -101,45 +121,108 @@ def _write_table(current: DataFrame, rows: DataFrame, pk: str, mapped: Sequence[
 
 def row_failures(
     staged: DataFrame, key: str, state: TargetState, entity: Entity, contract: TargetContract, profile: TargetProfile,
-    system: str,
+    system: str, order: Column | None = None,
 ) -> DataFrame | None:
     """(`key`, `error`) for rows that cannot be written: lookup rows that are not there, required foreign keys and
     required columns of new rows that stay empty. None when no table of the mapping can fail that way.
+
+    With `order`, rows of one reference are events that follow each other: a new row's required columns may have come
+    with an earlier event that does not fail itself.
     """
     names = [f.name for f in staged.schema.fields if contract.table(f.name) is not None]
+    partial = _GIVEN in staged.columns
     found: list[DataFrame] = []
+    needed: dict[str, dict[str, str]] = {}
     for name in names:
         table = contract.table(name)
         mapped = staged.schema[name].dataType.names
+        sources = _sources(entity, name)
         if _is_lookup(table, mapped, profile):
-            rows = resolve_reference_row(staged.select(key, REFERENCE, f"{name}.*"), mapped, state.tables[name],
+            # An event that gives none of the values leaves the lookup alone.
+            asked = staged.filter(_gives(*[sources[c] for c in mapped if c in sources])) if partial else staged
+            rows = resolve_reference_row(asked.select(key, REFERENCE, f"{name}.*"), mapped, state.tables[name],
                                          table.primary_key, name)
             found.append(rows.filter(F.col("lookup_error").isNotNull()).select(key, F.col("lookup_error").alias("error")))
             continue
-        sources = _sources(entity, name)
+        needed[name] = {c.name: sources[c.name] for c in table.columns if not c.nullable and c.name in mapped and c.name in sources}
         for fk in table.foreign_keys:
             column = table.column(fk.column)
             if column is None or column.nullable or not entity.references.get(fk.ref_table) or fk.column not in sources:
                 continue
+            needed[name][fk.column] = sources[fk.column]
             given = F.col(f"_source.{sources[fk.column]}")
+            asked = staged.filter(_gives(sources[fk.column])) if partial else staged
             rows = resolve_references(
-                staged.select(key, given.alias("_value")), "_value", "_found", state.crosswalk.filter(F.col("target_table") == fk.ref_table),
+                asked.select(key, given.alias("_value")), "_value", "_found", state.crosswalk.filter(F.col("target_table") == fk.ref_table),
                 state.tables[fk.ref_table], fk.ref_column, entity.references[fk.ref_table], system, entity.schema, [key])
             text = F.concat(F.lit(f"required foreign key {name}.{fk.column} has no row for "), F.coalesce(
                 F.col("_value").cast("string"), F.lit("null")))
             found.append(rows.filter(F.col("_found").isNull()).select(key, text.alias("error")))
-        required = [c.name for c in table.columns if not c.nullable and c.name in mapped and c.name in sources]
-        if required and _GIVEN in staged.columns:
-            absent = F.filter(F.array(*[F.when(~F.array_contains(_GIVEN, sources[c]), F.lit(f"{name}.{c}")) for c in required]),
-                              lambda c: c.isNotNull())
-            missing = staged.select(key, REFERENCE, absent.alias("_absent")).filter(F.size("_absent") > 0)
+    needed = {name: columns for name, columns in needed.items() if columns}
+    if partial and needed:
+        others = materialise(union_all(*found)) if found else None
+        sound = staged if others is None else staged.join(others.select(key).distinct(), key, "left_anti")
+        found = [others] if others is not None else []
+        for name, columns in needed.items():
             known = live_crosswalk(entity_crosswalk(state.crosswalk, entity.name, profile.name, name), state.tables[name],
-                                   table.primary_key)
-            found.append(missing.join(known.select(REFERENCE), REFERENCE, "left_anti").select(
-                key, F.concat(F.lit("a new row needs "), F.array_join("_absent", ", ")).alias("error")))
+                                   contract.table(name).primary_key)
+            found.append(_incomplete(sound, key, name, columns, known, order))
     return union_all(*found) if found else None
 
 
+def _gives(*sources: str) -> Column:
+    """Whether the payload of a row has one of the source columns; a row without a list of names has all."""
+    return F.col(_GIVEN).isNull() | F.arrays_overlap(_GIVEN, F.array(*map(F.lit, sources)))
+
+
+def _incomplete(events: DataFrame, key: str, name: str, columns: dict[str, str], known: DataFrame, order: Column | None) -> DataFrame:
+    """Events of rows that the target does not have yet, without a required column up to then."""
+    new = events.filter(~F.forall(F.array(*[_gives(s) for s in columns.values()]), lambda c: c)).join(
+        known.select(REFERENCE), REFERENCE, "left_anti")
+    lacks = {c: ~_gives(s) for c, s in columns.items()}
+    if order is not None:
+        # The first event with each column, one row per reference: no event has to meet all others of its reference.
+        first = events.groupBy(REFERENCE).agg(*[F.min(F.when(_gives(s), order)).alias(f"_first_{c}") for c, s in columns.items()])
+        new = new.join(first, REFERENCE)
+        lacks = {c: lack & (F.col(f"_first_{c}").isNull() | (F.col(f"_first_{c}") > order)) for c, lack in lacks.items()}
+    absent = F.filter(F.array(*[F.when(lack, F.lit(f"{name}.{c}")) for c, lack in lacks.items()]), lambda c: c.isNotNull())
+    return new.select(key, absent.alias("_absent")).filter(F.size("_absent") > 0).select(
+        key, F.concat(F.lit("a new row needs "), F.array_join("_absent", ", ")).alias("error"))
+
+
+def folded_events(events: DataFrame, entity: Entity, contract: TargetContract, head: Sequence[str]) -> DataFrame:
+    """Staged events of every row as one: each column from the last event that has it.
+
+    That is the state which applying the events in order would leave. Everything is an aggregate that is combined before the
+    shuffle, so a row with a third of all events sends one row per task. Columns that no event has stay absent.
+    """
+    order = event_order()
+
+    def last(value: Column, *sources: str) -> Column:
+        return F.max_by(value, F.when(_gives(*sources), order))
+
+    parts = [F.max_by(F.struct(*[c for c in head if c != REFERENCE]), order).alias("_head")]
+    tables = [f for f in events.schema.fields if contract.table(f.name) is not None]
+    for table in tables:
+        sources = _sources(entity, table.name)
+        parts += [last(F.col(f"{table.name}.{c}"), sources.get(c, c)).alias(f"_{table.name}.{c}") for c in table.dataType.names]
+    carried = [c for c in events.schema["_source"].dataType.names if c != "_"]
+    parts += [last(F.col(f"_source.{c}"), c).alias(f"_source.{c}") for c in carried]
+    known = sorted({m.source_column for m in entity.mappings})
+    parts += [F.max(F.col(_GIVEN).isNull()).alias("_whole"), *[F.max(_gives(c)).alias(f"_gives.{c}") for c in known]]
+    rows = events.groupBy(REFERENCE).agg(*parts)
+    given = F.filter(F.array(*[F.when(F.col(f"`_gives.{c}`"), F.lit(c)) for c in known]), lambda c: c.isNotNull())
+    return rows.select(
+        REFERENCE, "_head.*", F.when(F.col("_whole"), F.lit(None)).otherwise(given).alias(_GIVEN),
+        F.struct(*[F.col(f"`_source.{c}`").alias(c) for c in carried], F.lit(True).alias("_")).alias("_source"),
+        *[F.struct(*[F.col(f"`_{t.name}.{c}`").alias(c) for c in t.dataType.names]).alias(t.name) for t in tables])
+
+
+def event_order() -> Column:
+    """Events by the time of their change; a missing time counts as earliest."""
+    return F.struct("source_updated_at", "created_at", "event_id")
+
+
 def _sources(entity: Entity, table: str) -> dict[str, str]:
     return {m.target_column: m.source_column for m in entity.mappings if m.target_table == table and m.target_column}
 
@@ -153,9 +236,12 @@ def write_rows(
     staged: DataFrame, state: TargetState, entity: Entity, contract: TargetContract, profile: TargetProfile,
     system: str,
 ) -> TargetState:
-    """Writes staged rows, one per reference, into all their tables, parents first."""
+    """Writes staged rows, one per reference, into all their tables, parents first.
+
+    Only the rows written are stored; tables are read as what they were with these rows laid over.
+    """
     names = [f.name for f in staged.schema.fields if contract.table(f.name) is not None]
-    tables, crosswalk = dict(state.tables), state.crosswalk
+    now = replace(state, unresolved=None)
     produced: dict[str, DataFrame] = {}
     misses: list[DataFrame] = []
     for name in contract.parents_first(names):
@@ -163,26 +249,26 @@ def write_rows(
         mapped = staged.schema[name].dataType.names
         rows, links, missed = _foreign_keys(staged, table, entity, state, produced, system)
         misses += missed
-        known = entity_crosswalk(crosswalk, entity.name, profile.name, name)
+        known = entity_crosswalk(now.crosswalk, entity.name, profile.name, name)
         pk = table.primary_key
         if _is_lookup(table, mapped, profile):
-            produced[name] = resolve_reference_row(rows, mapped, tables[name], pk, name).select(REFERENCE, "target_id")
+            produced[name] = resolve_reference_row(rows, mapped, now.tables[name], pk, name).select(REFERENCE, "target_id")
             continue
         if pk in mapped:
-            ids = carried_ids(rows, known, pk, tables[name]).withColumn(
-                "target_id", F.col("target_id").cast(tables[name].schema[pk].dataType))
+            ids = carried_ids(rows, known, pk, now.tables[name]).withColumn(
+                "target_id", F.col("target_id").cast(now.tables[name].schema[pk].dataType))
             mapped = [c for c in mapped if c != pk]
         else:
             # Foreign keys tell rows apart as well as the mapped values do.
             natural = [*mapped, *links] if name in profile.app_assigned else ()
             start = profile.id_start if name in profile.app_assigned else 1
             rows = materialise(rows) if natural and links else rows
-            ids = match_or_allocate(rows, known, tables[name], pk, start, natural)
+            ids = match_or_allocate(rows, known, now.tables[name], pk, start, natural)
         ids = materialise(ids)
         produced[name] = ids.select(REFERENCE, "target_id")
-        tables[name] = _write_table(tables[name], ids, pk, mapped, links, _sources(entity, name))
-        crosswalk = _crosswalk_after(crosswalk, ids, entity.name, system, profile.name, name)
-    return TargetState(tables, crosswalk, union_all(*misses) if misses else None)
+        now = now.changing(name, materialise(_written_rows(now.tables[name], ids, pk, mapped, links, _sources(entity, name))), [pk])
+        now = now.changing(CROSSWALK, _links(ids, entity.name, system, profile.name, name), CROSSWALK_KEY)
+    return replace(now, unresolved=union_all(*misses) if misses else None)
 
 
 def _foreign_keys(
@@ -194,7 +280,11 @@ def _foreign_keys(
     referring = [fk for fk in table.foreign_keys if fk.column in sources and entity.references.get(fk.ref_table)]
     carried = [F.col(f"_source.{sources[fk.column]}").alias(f"_from_{fk.column}") for fk in referring]
     given = F.col(_GIVEN) if _GIVEN in staged.columns else F.lit(None).cast("array<string>")
-    rows = staged.select(REFERENCE, F.col(f"{table.name}.*"), given.alias(_GIVEN), *carried)
+    mapped = [sources[c] for c in staged.schema[table.name].dataType.names if c in sources]
+    if _GIVEN in staged.columns:  # a payload without any column of a table has no row for it
+        staged = staged.filter(_gives(*mapped, *[sources[fk.column] for fk in referring]))
+    follows = event_order() if "event_id" in staged.columns else F.lit(0)
+    rows = staged.select(REFERENCE, F.col(f"{table.name}.*"), given.alias(_GIVEN), follows.alias(_ORDER), *carried)
     misses: list[DataFrame] = []
     for fk in referring:
         given = f"_from_{fk.column}"
@@ -246,8 +336,8 @@ def deliver_events(
     """One delivery pass over the due events of an entity.
 
     Events whose content is wrong are quarantined one by one. Events that miss something in the target, such as a
-    lookup row, are tried again later, or end as dead letters. The other events of a row are reduced to the last, which
-    leaves the state that applying them in order would leave.
+    lookup row, are tried again later, or end as dead letters. The other events of a row are folded into one, column by
+    column, which leaves the state that applying them in order would leave.
     """
     due = outbox_ops.claimable(outbox.filter(F.col("source_entity") == entity.name), control, as_of)
     if limit is not None:
@@ -261,7 +351,7 @@ def deliver_events(
         staged = stage_rows(rows, entity, contract, carry, as_of, given=_GIVEN)
         staged = materialise(staged.withColumn(ERRORS, F.concat("_payload_errors", ERRORS)).drop("_payload_errors"))
         good = staged.filter(F.size(ERRORS) == 0)
-        failures = row_failures(good, "event_id", state, entity, contract, profile, system)
+        failures = row_failures(good, "event_id", state, entity, contract, profile, system, event_order())
     else:
         reason = NO_VALUES if entity.mappings else NO_MAPPING
         staged = materialise(due.select(*head, F.array(F.lit(reason)).alias(ERRORS)))
@@ -271,8 +361,8 @@ def deliver_events(
     failures = materialise(failures)
     good = good.join(failures.select("event_id").distinct(), "event_id", "left_anti")
     bad = staged.filter(F.size(ERRORS) > 0)
-    latest = materialise(outbox_ops.last_event_per_key(good))
-    target = write_rows(latest, state, entity, contract, profile, system)
+    target = state if not usable(without_managed(entity.mappings, contract), known) else write_rows(
+        materialise(folded_events(good, entity, contract, head)), state, entity, contract, profile, system)
     failed = bad.select("event_id", F.col(ERRORS).alias("errors"), F.col("payload").alias("payload_snapshot"))
     delivered, accepted = outbox_ops.mark_delivered(outbox, good, as_of)
     after = outbox_ops.fail(mark_quarantined(delivered, failed, as_of), failures, as_of)
@@ -293,23 +383,39 @@ def deliver_all(
 ) -> Delivery:
     """One pass over the due events of all entities, the oldest `limit` of them; entities follow each other by name.
 
-    Entities share the target, so each starts from what the one before left, read back from where it was written.
+    Entities share the target, so each starts from what the one before left. Events of other entities stay as they are.
     """
-    claimed = materialise(outbox_ops.claim(outbox, control, as_of, limit).filter("status = 'processing'").select("event_id")
-                          .join(outbox.filter(F.col("status").isin("pending", "retry")).select("event_id"), "event_id", "left_semi"))
-    mine = outbox.join(claimed, "event_id", "left_semi")
-    rest = outbox.join(claimed, "event_id", "left_anti")
-    done: Delivery | None = None
-    outcomes, audit = [], []
+    ready = outbox_ops.claimable(outbox, control, as_of).select(*outbox.columns)
+    claimed = materialise(ready if limit is None else outbox_ops.oldest(ready, "created_at", "event_id", limit))
+    ids = claimed.select("event_id")
+    of = {r["source_entity"] for r in claimed.select("source_entity").distinct().collect()}  # as many as there are entities
+    # Each entity meets its own events alone, and every table is stored as the rows that the pass writes.
+    named = F.col("event_id").cast("string")
+    held = materialise(quarantine.join(ids, "event_id", "left_semi"))
+    letters = materialise(envelope.join(ids.select(named.alias("event_id")), "event_id", "left_semi"))
+    after, kept, sent, outcomes, audit, misses = [], [], [], [], [], []
     for entity in sorted(entities, key=lambda e: e.name):
-        done = deliver_events(mine, control, state, quarantine, envelope, entity, contract, profile, system, as_of)
-        state, mine = durable(done.target), materialise(done.outbox)
-        quarantine, envelope = materialise(done.quarantine), materialise(done.envelope)
-        outcomes.append(done.outcomes)
-        audit.append(done.audit)
-    if done is None:
-        raise ValueError("no entity to deliver")
-    return Delivery(state, union_all(rest, mine), quarantine, envelope, union_all(*outcomes), union_all(*audit))
+        if entity.name not in of:
+            continue
+        mine = claimed.filter(F.col("source_entity") == entity.name)
+        some = mine.select("event_id")
+        done = deliver_events(mine, control, state, held.join(some, "event_id", "left_semi"),
+                              letters.join(some.select(named.alias("event_id")), "event_id", "left_semi"), entity, contract, profile,
+                              system, as_of)
+        state = done.target
+        for parts, frame in ((after, done.outbox), (kept, done.quarantine), (sent, done.envelope), (outcomes, done.outcomes), (audit, done.audit)):
+            parts.append(materialise(frame))
+        misses += [state.unresolved] if state.unresolved is not None else []
+    if not after:
+        nothing = outbox.limit(0)
+        none = nothing.select("event_id", F.lit("").alias("outcome"), F.lit("").alias("message"))
+        tried = nothing.select("event_id", F.lit(0).alias("attempt"), F.lit("").alias("outcome"), F.lit("").alias("response_code"))
+        return Delivery(state, outbox, quarantine, envelope, none, tried)
+    changed = {"outbox": union_all(*after), "quarantine": union_all(*kept), "envelope": union_all(*sent)}
+    return Delivery(
+        replace(state, unresolved=union_all(*misses) if misses else None), overlay(outbox, changed["outbox"], ["event_id"]),
+        overlay(quarantine, changed["quarantine"], ["event_id"]), overlay(envelope, changed["envelope"], ["event_id"]),
+        union_all(*outcomes), union_all(*audit), changed)
 
 
 def durable(state: TargetState) -> TargetState:

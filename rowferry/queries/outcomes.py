@@ -89,6 +89,51 @@ def partial_payload(spark, folder):
     return _delivery(spark, folder).target.tables["account"].join(known, "id", "left_semi").select("id", "balance")
 
 
+def _followed(spark: SparkSession, folder: str) -> delivery.Delivery:
+    """A whole event per customer, a later one with the name alone, and for every fourth one with the segment alone between
+    them in time, whose id is the highest."""
+    rows = keyed_customer(spark, folder)
+    changed = rows.withColumn("c_acctbal", F.col("c_acctbal") + 3)
+    renamed = rows.withColumn("c_name", F.expr("'N' || c_custkey"))
+    moved = rows.filter("c_custkey % 4 = 0").withColumn("c_mktsegment", F.lit("AUTOMOBILE"))
+    box = None
+    for number, day, frame, names in ((0, 0, changed, ROW.fieldNames()), (1, 2, renamed, ["c_custkey", "c_name"]), (2, 1, moved, ["c_mktsegment"])):
+        at = F.expr(f"TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '{day}' DAY")
+        some = _events(frame, "customer", f"c_custkey * 8 + {number}", row_json(frame, names)).withColumns(
+            {"created_at": at, "source_updated_at": at, "attempts": F.lit(0)})
+        box = some if box is None else box.unionByName(some)
+    return delivery.deliver_events(
+        box, spark.createDataFrame([("customer", TARGET, True)], _SWITCH), _state(spark, folder),
+        spark.createDataFrame([], _HELD), spark.createDataFrame([], _LETTERS), CUSTOMER, TargetContract((ACCOUNT, ACCOUNT_DETAIL, NATION)),
+        PROFILE, SYSTEM, as_of())
+
+
+_IN_ORDER = {"rows_in_order": (
+    f"SELECT c.*, t.id IS NOT NULL AS known, t.balance AS old_balance, t.segment AS old_segment, NOT (COALESCE({STRIP_SQL}, '') = '' OR "
+    f"{REMAP_SQL} = 'FURNITURE') AS whole_is_good FROM keyed_customer c LEFT JOIN tgt_account t ON t.id = 1000 + c.c_custkey")}
+
+
+@query("k4_folded_events", sql(
+    "SELECT c_custkey, 'N' || c_custkey AS name, CASE WHEN c_custkey % 4 = 0 AND (whole_is_good OR known) THEN 'AUTO' WHEN whole_is_good "
+    f"THEN {REMAP_SQL} ELSE old_segment END AS segment, CASE WHEN whole_is_good THEN c_acctbal + 3 ELSE old_balance END AS balance FROM "
+    "rows_in_order", "keyed_customer", "tgt_account", extra=_IN_ORDER))
+def folded_events(spark, folder):
+    """Accounts after events that have some of the columns each."""
+    done = _followed(spark, folder).target
+    links = lookups.entity_crosswalk(done.crosswalk, "customer", TARGET, "account").withColumn("id", F.col("target_id").cast("bigint"))
+    keys = keyed_customer(spark, folder).select("external_reference", "c_custkey")
+    return done.tables["account"].join(links, "id").join(keys, "external_reference").select("c_custkey", "name", "segment", "balance")
+
+
+@query("k4_folded_outcomes", sql(
+    "SELECT c_custkey * 8 AS event_id, CASE WHEN whole_is_good THEN 'delivered' ELSE 'quarantined' END AS status FROM rows_in_order UNION "
+    "ALL SELECT c_custkey * 8 + 1, 'delivered' FROM rows_in_order UNION ALL SELECT c_custkey * 8 + 2, CASE WHEN whole_is_good OR known "
+    "THEN 'delivered' ELSE 'retry' END FROM rows_in_order WHERE c_custkey % 4 = 0", "keyed_customer", "tgt_account", extra=_IN_ORDER))
+def folded_outcomes(spark, folder):
+    """A new row that still lacks its name when an event comes has to wait, though a later event brings it."""
+    return _followed(spark, folder).outbox.select("event_id", "status")
+
+
 @query("k4_many_entities", sql(
     "SELECT source_entity, status, count(*) AS events FROM (SELECT 'customer' AS source_entity, CASE WHEN c_custkey % 5 = 1 OR "
     f"COALESCE({STRIP_SQL}, '') = '' OR {REMAP_SQL} = 'FURNITURE' THEN 'quarantined' ELSE 'delivered' END AS status FROM "

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.events import claimable
 from ..operators.union import union_all
 from ..sources.tables import since
 from ..sources.workspace import shared_folder
 from ..streaming import feeds
-from .fixtures import AS_OF_SQL, as_of, control, outbox, sql, table
+from .fixtures import AS_OF_SQL, as_of, outbox, sql, table
 from .registry import query
 
 BATCHES = 4
@@ -62,9 +61,16 @@ def _envelopes(spark, folder):
             after.alias("after"))).alias("value"))
 
     base = 1_700_000_000_000
-    return envelope(orders, "c", base, none, row) \
-        .unionByName(envelope(orders.filter("o_orderkey % 7 = 0"), "u", base + 1_000_000_000, row, changed)) \
-        .unionByName(envelope(orders.filter("o_orderkey % 10 = 1"), "d", base + 2_000_000_000, row, none))
+    broken = [  # later than what is right, so that none of them could be taken in unseen
+        envelope(orders.filter("o_orderkey % 52 = 0"), "x", base + 3_000_000_000, none, changed),
+        envelope(orders.filter("o_orderkey % 52 = 13"), "u", base + 3_000_000_000, row, none),
+        envelope(orders.filter("o_orderkey % 52 = 26"), "u", base + 3_000_000_000, row, changed).select(
+            F.regexp_replace("value", '"ts_ms":[0-9]*', '"ts_ms":"soon"').alias("value")),
+        envelope(orders.filter("o_orderkey % 52 = 39"), "d", base + 3_000_000_000, row, none).select(
+            F.substring("value", 1, 20).alias("value"))]
+    return union_all(
+        envelope(orders, "c", base, none, row), envelope(orders.filter("o_orderkey % 7 = 0"), "u", base + 1_000_000_000, row, changed),
+        envelope(orders.filter("o_orderkey % 10 = 1"), "d", base + 2_000_000_000, row, none), *broken)
 
 
 _ENVELOPE_SQL = (
@@ -73,37 +79,32 @@ _ENVELOPE_SQL = (
     "1702000000000 + o_orderkey, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 = 1")
 
 
-def _decoded(spark, folder):
-    return feeds.decode_envelope(_stream(spark, _envelopes(spark, folder)), _ORDER)
+_CHANGE = T.StructType([T.StructField("operation", T.StringType()), T.StructField("source_updated_at", T.TimestampType()), *_ORDER.fields])
+_BROKEN = T.StructType([T.StructField("envelope", T.StringType()), T.StructField("errors", T.ArrayType(T.StringType()))])
 
 
-@query("a6_envelope_source", sql("SELECT operation, ms, o_orderkey, o_orderstatus FROM e", extra={"e": _ENVELOPE_SQL}))
-def envelope_source(spark, folder):
-    decoded = _decoded(spark, folder)
-    log = _log(spark, decoded.schema)
-    feeds.drain(decoded, _keep(log), shared_folder(spark))
-    return log.rows().select("operation", F.unix_millis("source_updated_at").alias("ms"), "o_orderkey", "o_orderstatus")
-
-
-_DUE = ("SELECT * FROM outbox JOIN control USING (source_entity, target_system) WHERE enabled AND status IN ('pending', 'retry') "
-        f"AND available_at <= {AS_OF_SQL}")
+def _changes(spark, folder, reduce=None):
+    """(good, broken) logs of a feed in which some envelopes are broken."""
+    good, bad = _log(spark, _CHANGE), _log(spark, _BROKEN)
+    feeds.drain(feeds.decode_envelope(_stream(spark, _envelopes(spark, folder)), _ORDER), feeds.route(good, bad, reduce=reduce),
+                shared_folder(spark))
+    return good, bad
 
 
-@query("j1_delivery_loop", sql(
-    "SELECT source_entity, external_reference, event_id, operation FROM (SELECT *, row_number() OVER (PARTITION BY source_entity, "
-    "external_reference ORDER BY source_updated_at DESC, event_id DESC) AS n FROM due) WHERE n = 1", "outbox", "control",
-    extra={"due": _DUE}))
-def delivery_loop(spark, folder):
-    box = outbox(spark, folder)
-    log = _log(spark, box.schema)
-    keys = ["source_entity", "external_reference"]
-    newest = feeds.newest_in_batch(keys, "source_updated_at", "event_id")
+@query("a6_envelope_source", sql("SELECT operation, ms, o_orderkey, o_orderstatus FROM e", extra={"e": _ENVELOPE_SQL}))
+def envelope_source(spark, folder):
+    good, _ = _changes(spark, folder)
+    return good.rows().select("operation", F.unix_millis("source_updated_at").alias("ms"), "o_orderkey", "o_orderstatus")
 
-    def deliver(rows, batch):
-        log.write(newest(claimable(rows, control(spark, folder), as_of())).select(*log.schema.names), batch)
 
-    feeds.drain(_stream(spark, box), deliver, shared_folder(spark))
-    return feeds.applied(log, keys, "source_updated_at", "event_id").select(*keys, "event_id", "operation")
+@query("a6_broken_envelopes", (
+    "SELECT errors, count(*) AS envelopes FROM (SELECT CASE o_orderkey % 52 WHEN 0 THEN 'no known operation' WHEN 13 THEN 'no row image' "
+    "WHEN 26 THEN 'no time of change' ELSE 'no known operation;no time of change;no row image' END AS errors FROM orders WHERE o_orderkey "
+    "% 13 = 0) GROUP BY errors"))
+def broken_envelopes(spark, folder):
+    """What cannot be read is set apart with all that is wrong with it."""
+    _, bad = _changes(spark, folder)
+    return bad.rows().groupBy(F.array_join("errors", ";").alias("errors")).agg(F.count("*").alias("envelopes"))
 
 
 @query("j2_resumable_cursor", "SELECT event_id, 1::BIGINT AS times FROM events")
@@ -118,12 +119,14 @@ def resumable_cursor(spark, folder):
 
 @query("j3_idempotent_replay", "SELECT event_id, 1::BIGINT AS times FROM events")
 def idempotent_replay(spark, folder):
-    source = table(spark, folder, "events")
-    sent = ("event_id", "CAST(ts AS TIMESTAMP) AS ts")
-    again = union_all(source.selectExpr(*sent), source.filter("event_type IN ('click', 'error')").selectExpr(*sent))
-    distinct = feeds.distinct_events(_stream(spark, again), "event_id", "ts", "60 days")
-    log = _log(spark, again.schema)
-    feeds.drain(distinct, _keep(log), shared_folder(spark))
+    """Every event once: repeats come in the same run and in a later one, together with events that are weeks late."""
+    sent = table(spark, folder, "events").selectExpr("event_id", "event_type", "CAST(ts AS TIMESTAMP) AS ts")
+    late = (F.col("event_type") == "error") | (F.col("event_id") % 10 == 0)
+    log, path, checkpoint = _log(spark, sent.schema), shared_folder(spark), shared_folder(spark)
+    first = sent.filter(~late)
+    for part in (union_all(first, first.filter("event_type = 'click'")), union_all(sent.filter(late), sent.filter("event_id % 3 = 0"))):
+        _stage(spark, part, path)
+        feeds.drain(feeds.distinct_events(_stream(spark, sent, path), ["event_id"]), _keep(log), checkpoint)
     return log.rows().groupBy("event_id").agg(F.count("*").alias("times"))
 
 
@@ -157,13 +160,19 @@ def poison_rows(spark, folder):
 
 
 @query("j6_delayed_retry", sql(
-    f"SELECT event_id, CASE WHEN available_at <= {AS_OF_SQL} THEN 'delivered' ELSE 'waiting' END AS state FROM outbox_base",
-    "outbox_base"))
+    f"SELECT event_id, CASE WHEN available_at <= {AS_OF_SQL} THEN 'delivered' WHEN available_at <= {AS_OF_SQL} + INTERVAL '1' DAY THEN "
+    "'delivered on a quiet feed' ELSE 'waiting' END AS state FROM outbox_base", "outbox_base"))
 def delayed_retry(spark, folder):
+    """The feed ends; a day later, without a new file, what is due by then leaves."""
     box = outbox(spark, folder).select("event_id", "available_at", "created_at")
     delivered, waiting = _log(spark, box.schema), _log(spark, box.schema)
-    feeds.drain(_stream(spark, box), feeds.hold_until_due(delivered, waiting, lambda rows: as_of()), shared_folder(spark))
-    return delivered.rows().select("event_id", F.lit("delivered").alias("state")).unionByName(
+    path, checkpoint, ends = _stage(spark, box), shared_folder(spark), []
+    for days in (0, 1):
+        handle = feeds.hold_until_due(delivered, waiting, lambda rows, days=days: as_of() + F.make_dt_interval(F.lit(days)))
+        feeds.drain(feeds.with_heartbeat(_stream(spark, box, path)), handle, checkpoint)
+        ends.append(waiting.rows().agg(F.max("batch")).first()[0])  # one number
+    when = F.when(F.col("batch") <= ends[0], "delivered").otherwise("delivered on a quiet feed")
+    return delivered.rows().select("event_id", when.alias("state")).unionByName(
         feeds.still_waiting(delivered, waiting).select("event_id", F.lit("waiting").alias("state")))
 
 
@@ -182,9 +191,6 @@ def throughput(spark, folder):
     "SELECT o_orderkey, o_orderstatus, operation <> 'deactivate' AS active FROM (SELECT *, row_number() OVER (PARTITION BY "
     "o_orderkey ORDER BY ms DESC) AS n FROM e) WHERE n = 1", extra={"e": _ENVELOPE_SQL}))
 def change_apply(spark, folder):
-    decoded = _decoded(spark, folder)
-    log = _log(spark, decoded.schema)
-    feeds.drain(decoded, feeds.apply_changes(log, feeds.newest_in_batch(["o_orderkey"], "source_updated_at")),
-                shared_folder(spark))
-    current = feeds.applied(log, ["o_orderkey"], "source_updated_at")
+    good, _ = _changes(spark, folder, feeds.newest_in_batch(["o_orderkey"], "source_updated_at"))
+    current = feeds.applied(good, ["o_orderkey"], "source_updated_at")
     return current.select("o_orderkey", "o_orderstatus", (F.col("operation") != "deactivate").alias("active"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators.ordering import first_per_key, latest_per_key
 from ..operators.union import union_all
-from ..sources.workspace import is_missing, materialise
+from ..sources.workspace import is_missing
 
 # Fixed value: pause of the delivery loop.
 INTERVAL_SECONDS = 300
@@ -40,12 +40,12 @@ def read_topic(spark: SparkSession, servers: str, topic: str, options: dict[str,
         .options(**(options or {})).load().select(F.col("value").cast("string").alias("value"))
 
 
-def decode_envelope(feed: DataFrame, row: T.StructType | str, value: str = "value", report: bool = False) -> DataFrame:
+def decode_envelope(feed: DataFrame, row: T.StructType | str, value: str = "value") -> DataFrame:
     """Change envelopes ``{op, ts_ms, before, after}`` to rows with operation and source_updated_at.
 
     A deletion carries its last row image and becomes a deactivation. An envelope that cannot be read, has no
-    known operation, time or row image is no change: such rows are left out, or, with `report`, all rows come back
-    with the raw envelope and an `errors` array, for `route`.
+    known operation, time or row image is no change. All rows come back, with the raw envelope and an `errors` array, for
+    `route`.
     """
     inner = row if isinstance(row, str) else row.simpleString()
     schema = T._parse_datatype_string(f"struct<op:string,ts_ms:bigint,before:{inner},after:{inner}>")
@@ -58,9 +58,7 @@ def decode_envelope(feed: DataFrame, row: T.StructType | str, value: str = "valu
         F.when(F.col("operation").isNull(), F.lit("no known operation")),
         F.when(F.col("source_updated_at").isNull(), F.lit("no time of change")),
         F.when(F.col("row").isNull(), F.lit("no row image"))), lambda e: e.isNotNull())
-    if report:
-        return decoded.select("operation", "source_updated_at", "row.*", "envelope", errors.alias("errors"))
-    return decoded.filter(F.size(errors) == 0).select("operation", "source_updated_at", "row.*")
+    return decoded.select("operation", "source_updated_at", "row.*", "envelope", errors.alias("errors"))
 
 
 def drain(
@@ -132,13 +130,18 @@ def apply_changes(
 
 
 def route(
-    good: ChangeLog, bad: ChangeLog, check: Callable[[DataFrame], DataFrame]
+    good: ChangeLog, bad: ChangeLog, check: Callable[[DataFrame], DataFrame] | None = None,
+    reduce: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """Batch handler that writes rows without errors to one log and the others to a second one."""
+    """Batch handler that writes rows without errors to one log and the others, with their errors, to a second one.
+
+    `check` adds the errors where the rows do not have them yet; `reduce` may bring the good rows down to one per key.
+    """
     def handle(rows: DataFrame, batch: int) -> None:
-        checked = check(rows).persist()
-        good.write(checked.filter(F.size("errors") == 0).drop("errors"), batch)
-        bad.write(checked.filter(F.size("errors") > 0), batch)
+        checked = (check(rows) if check else rows).persist()
+        sound = checked.filter(F.size("errors") == 0).select(*good.schema.names)
+        good.write(reduce(sound) if reduce else sound, batch)
+        bad.write(checked.filter(F.size("errors") > 0).select(*bad.schema.names), batch)
         checked.unpersist()
 
     return handle
@@ -169,24 +172,14 @@ def fixed_clock(spark: SparkSession, clock: Column, kind: T.DataType) -> Column:
     return F.lit(shown).cast(kind)
 
 
-def deliver_due(delivered: ChangeLog, waiting: ChangeLog, clock: Column, key: str = "event_id") -> int:
-    """Delivers waiting events that have become due, without new input; to be called between batches.
+def with_heartbeat(stream: DataFrame) -> DataFrame:
+    """The stream with a source beside it that has something in every trigger but adds no rows.
 
-    They are written as part of the newest batch's delivery, so the next batch, which carries on that batch's waiting
-    events, must not deliver them again: the waiting folder of that batch is replaced. Returns the events delivered.
+    A batch then runs although the feed is quiet, so what waits for its time leaves at the next trigger.
     """
-    last = waiting.rows().agg(F.max("batch")).first()[0]
-    if last is None:
-        return 0
-    now = fixed_clock(waiting.spark, clock, waiting.schema["available_at"].dataType)
-    pending = waiting.batch(last)
-    due = materialise(pending.filter(F.col("available_at") <= now))
-    kept = materialise(pending.join(due.select(key), key, "left_anti").select(*waiting.schema.names))
-    before = materialise(delivered.batch(last).join(due.select(key), key, "left_anti").select(*delivered.schema.names))
-    # Delivered first: should the second write fail, a repeat finds the same events and replaces them.
-    delivered.write(union_all(before, due.select(*delivered.schema.names)), last)
-    waiting.write(kept, last)
-    return due.count()
+    beat = stream.sparkSession.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    nothing = beat.filter(F.col("value") < 0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields])
+    return stream.unionByName(nothing)
 
 
 def still_waiting(delivered: ChangeLog, waiting: ChangeLog, key: str = "event_id") -> DataFrame:
@@ -195,35 +188,23 @@ def still_waiting(delivered: ChangeLog, waiting: ChangeLog, key: str = "event_id
     return held.join(delivered.rows().select(key), key, "left_anti")
 
 
-def distinct_events(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """Drops re-delivered events. State is kept for the delay only, so it does not grow.
-
-    Events later than the delay are dropped by Spark without a trace: where none may be lost, use
-    `keep_distinct`, or `late_events` next to this.
-    """
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+# Fixed value: the state store that keeps its keys on disk.
+_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def keep_distinct(log: ChangeLog, key: str, time: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler that keeps every event once however late it comes: repeats meet the log by key."""
-    def handle(rows: DataFrame, batch: int) -> None:
-        known = log.rows().filter(F.col("batch") != batch).select(key)
-        log.write(latest_per_key(rows, [key], time).join(known, key, "left_anti").select(*log.schema.names), batch)
-
-    return handle
+def distinct_events(stream: DataFrame, keys: Sequence[str], time: str | None = None, delay: str | None = None) -> DataFrame:
+    """Drops re-delivered events.
 
-
-def late_events(log: ChangeLog, late: ChangeLog, time: str, delay: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler for two logs: events within the delay of the newest one seen before, and the later ones."""
-    def handle(rows: DataFrame, batch: int) -> None:
-        seen = log.rows().filter(F.col("batch") < batch).agg(F.max(time)).first()[0]
-        is_late = F.lit(False) if seen is None else F.col(time) < F.lit(seen) - F.expr(f"INTERVAL {delay}")
-        marked = rows.withColumn("_late", F.coalesce(is_late, F.lit(False))).persist()
-        log.write(marked.filter("not _late").drop("_late"), batch)
-        late.write(marked.filter("_late").drop("_late"), batch)
-        marked.unpersist()
-
-    return handle
+    Without a delay every key is remembered, so nothing is lost however late it comes. Keys live in the state store on
+    the disks of the executors, dealt by key, and only changes go to the checkpoint: a batch costs what it brings, not what was seen
+    before. With a time and a delay the state is kept for the delay only, and later events are dropped by Spark.
+    """
+    if delay is not None:
+        return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+    conf = stream.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", _ON_DISK)
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return stream.dropDuplicates(list(keys))
 
 
 def throughput(events: DataFrame, time: str, width: str, by: str, delay: str | None = None) -> DataFrame:

@@ -1,5 +1,9 @@
 """The composed jobs: two runs, hot keys, isolation of failures."""
 
+import datetime as dt
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from rowferry.operators import validation
@@ -72,3 +76,64 @@ def test_entity_without_mapping_is_quarantined(spark, folder):
     assert done.quarantine.count() == due and done.envelope.count() == 0
     assert {tuple(r.errors) for r in done.quarantine.collect()} == {(delivery.NO_MAPPING,)}
     assert same(done.target.tables["account"], state.tables["account"])
+
+
+def _event(spark, number, reference, names, minute, **values):
+    row = {"c_custkey": 1, "c_name": "A", "c_mktsegment": "AUTOMOBILE", "c_acctbal": 1.0, "c_nationkey": 1, "opened_on": "2020-01-01"} | values
+    payload = json.dumps({n: row[n] for n in names})
+    at = dt.datetime(2024, 1, 1, 0, minute)
+    return (number, reference, "customer", "CRM", "update", payload, "x", "pending", 0, at, at, at, None, None, None)
+
+
+_BOX = ("event_id bigint, external_reference string, source_entity string, target_system string, operation string, payload string, "
+        "payload_checksum string, status string, attempts int, created_at timestamp_ntz, available_at timestamp_ntz, source_updated_at "
+        "timestamp_ntz, processed_at timestamp_ntz, last_error_code string, last_error_message string")
+
+
+def test_events_of_a_row_are_applied_in_order(spark, folder):
+    """One pass over all events equals a pass for each event, also where most events are of one row."""
+    rng = random.Random(3)
+    names = ["c_acctbal", "c_mktsegment", "c_name", "c_nationkey", "opened_on"]
+    references = [f"ref{k}" for k in (0, 0, 0, 1, 2)]
+    box = []
+    for number in range(11):
+        # Every row begins with a whole event; names are distinct, so that no row is taken for another one.
+        reference = f"ref{number}" if number < 3 else rng.choice(references)
+        given = ["c_custkey", *names] if number < 3 else ["c_custkey", *[n for n in names if rng.random() < 0.4]]
+        segment = rng.choice(["AUTOMOBILE", "BUILDING", "HOUSEHOLD"])
+        box.append(_event(spark, 100 - number if number > 2 else number, reference, given, number, c_name=f"{reference}.{number}",
+                          c_mktsegment=segment, c_acctbal=float(number), c_nationkey=rng.choice([1, 2, 3]), opened_on=f"2020-01-{1 + number % 28:02}"))
+    on = spark.createDataFrame([("customer", "CRM", True)], "source_entity string, target_system string, enabled boolean")
+    held = spark.createDataFrame([], "event_id bigint, errors array<string>, payload_snapshot string")
+    letters = jobs._delivered(spark, folder).envelope.limit(0)
+    empty = jobs._state(spark, folder)
+    empty.tables["account"] = empty.tables["account"].limit(0)
+
+    def after(state, events):
+        done = delivery.deliver_events(spark.createDataFrame(events, _BOX), on, state, held, letters, jobs.CUSTOMER, MODEL, jobs.PROFILE,
+                                       SYSTEM, as_of())
+        assert done.outbox.filter("status <> 'delivered'").count() == 0
+        return delivery.durable(done.target)
+
+    together = after(empty, box)
+    one_by_one = after(empty, box[:3])
+    for event in box[3:]:
+        one_by_one = after(one_by_one, [event])
+    for name in ("account", "account_detail"):
+        assert same(together.tables[name], one_by_one.tables[name])
+    assert same(together.crosswalk, one_by_one.crosswalk)
+
+
+def test_rows_that_share_an_id_leave_one_row(spark, folder):
+    """Two references with one recorded id: the last event writes, and the table keeps one row."""
+    state = jobs._state(spark, folder)
+    links = state.crosswalk.limit(1).select("source_system", F.lit("customer").alias("source_entity"), F.explode(F.array(
+        F.lit("ref1"), F.lit("ref2"))).alias("external_reference"), "target_system", F.lit("account").alias("target_table"), F.lit("1003").alias("target_id"))
+    state.crosswalk = state.crosswalk.filter("target_table = 'nation'").unionByName(links)
+    names = ["c_custkey", "c_name", "c_mktsegment", "c_acctbal", "opened_on"]
+    box = [_event(spark, 1, "ref2", names, 5, c_name="late"), _event(spark, 2, "ref1", names, 1, c_name="early")]
+    on = spark.createDataFrame([("customer", "CRM", True)], "source_entity string, target_system string, enabled boolean")
+    held = spark.createDataFrame([], "event_id bigint, errors array<string>, payload_snapshot string")
+    done = delivery.deliver_events(spark.createDataFrame(box, _BOX), on, state, held, jobs._delivered(spark, folder).envelope.limit(0),
+                                   jobs.CUSTOMER, MODEL, jobs.PROFILE, SYSTEM, as_of())
+    assert [r.name for r in done.target.tables["account"].filter("id = 1003").collect()] == ["late"]

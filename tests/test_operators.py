@@ -40,7 +40,7 @@ def test_allocation_is_dense_ordered_and_stable(spark):
     first = ordering.allocate_ids(keys, "ref", "id", 100)
     got = rows(first.select("ref", "id"), "ref")
     assert [i for _, i in got] == list(range(100, 5100))
-    again = ordering.allocate_ids(keys.repartition(13), "ref", "id", 100, bucket_digits=1)
+    again = ordering.allocate_ids(keys.repartition(13), "ref", "id", 100, ranges=3)
     assert rows(again.select("ref", "id"), "ref") == got
 
 

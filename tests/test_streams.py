@@ -6,8 +6,10 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from rowferry.queries import loops
 from rowferry.sources.workspace import shared_folder
-from rowferry.streaming import feeds
+from rowferry.streaming import delivering, feeds
+from rowferry.streaming.commits import MOST_FOLDERS, Commits
 
 SCHEMA = "event_id bigint, k int, ts timestamp, v string"
 
@@ -65,7 +67,7 @@ def test_duplicates_over_batches_are_dropped(spark):
     for part in ([1, 2, 3], [2, 3, 4], [4, 5, 5]):
         events(spark, *part).coalesce(1).write.mode("append").parquet(path)
     schema = events(spark, 1).schema
-    stream = feeds.distinct_events(feeds.read_feed(spark, path, schema, files_per_batch=1), "event_id", "ts", "1 hour")
+    stream = feeds.distinct_events(feeds.read_feed(spark, path, schema, files_per_batch=1), ["event_id"], "ts", "1 hour")
     log = feeds.ChangeLog(spark, shared_folder(spark), schema)
     feeds.drain(stream, lambda rows, batch: log.write(rows, batch), shared_folder(spark))
     assert sorted(r.event_id for r in log.rows().collect()) == [1, 2, 3, 4, 5]
@@ -91,3 +93,85 @@ def test_a_lost_batch_is_an_error(spark):
     handle = feeds.hold_until_due(delivered, waiting, lambda rows: F.current_timestamp())
     with pytest.raises(AnalysisException):
         handle(spark.createDataFrame([], schema), 1)
+
+
+def test_nothing_is_lost_however_late(spark):
+    path, checkpoint = shared_folder(spark), shared_folder(spark)
+    schema = events(spark, 1).schema
+    log = feeds.ChangeLog(spark, shared_folder(spark), schema)
+    for part in ([900_000, 900_001], [1, 900_000], [2, 1, 2], [900_001, 3]):  # minutes: the second batch is 20 months late
+        events(spark, *part).coalesce(1).write.mode("append").parquet(path)
+        stream = feeds.distinct_events(feeds.read_feed(spark, path, schema, files_per_batch=1), ["event_id"])
+        feeds.drain(stream, lambda rows, batch: log.write(rows, batch), checkpoint)
+    assert sorted(r.event_id for r in log.rows().collect()) == [1, 2, 3, 900_000, 900_001]
+
+
+def test_a_due_event_leaves_a_quiet_feed(spark):
+    schema = "event_id bigint, available_at timestamp_ntz"
+    path, checkpoint = shared_folder(spark), shared_folder(spark)
+    day = [dt.datetime(2024, 1, d) for d in range(1, 6)]
+    frame = spark.createDataFrame([(1, day[0]), (2, day[2]), (3, day[4]), (4, None)], schema)
+    frame.coalesce(1).write.parquet(path)
+    delivered = feeds.ChangeLog(spark, shared_folder(spark), frame.schema)
+    waiting = feeds.ChangeLog(spark, shared_folder(spark), frame.schema)
+    left = []
+    for now in (day[0], day[1], day[3]):  # one file in the feed, three runs
+        handle = feeds.hold_until_due(delivered, waiting, lambda rows, now=now: F.lit(now).cast("timestamp_ntz"))
+        feeds.drain(feeds.with_heartbeat(feeds.read_feed(spark, path, frame.schema)), handle, checkpoint)
+        left.append(sorted(r.event_id for r in delivered.rows().collect()))
+    assert left == [[1], [1], [1, 2]]
+    assert sorted(r.event_id for r in feeds.still_waiting(delivered, waiting).collect()) == [3, 4]
+
+
+def _numbered(spark, rows):
+    return spark.createDataFrame(rows, "k bigint, v string")
+
+
+def test_commits_show_whole_batches(spark):
+    store = Commits(spark, shared_folder(spark), {"a": ["k"], "b": ["k"]})
+    assert store.batches() == []
+    store.start({"a": _numbered(spark, [(k, "old") for k in range(100)]), "b": _numbered(spark, [])})
+    store.start({"a": _numbered(spark, []), "b": _numbered(spark, [])})  # it is there already
+    expected = {k: "old" for k in range(100)}
+    for batch in range(20):
+        rows = {(batch * 7 + j) % 130: f"{batch}.{j}" for j in range(5)}
+        assert store.commit(batch, {"a": _numbered(spark, list(rows.items()))})
+        assert not store.commit(batch, {"a": _numbered(spark, [(1, "again")])})
+        expected |= rows
+        assert dict(map(tuple, store.read()["a"].collect())) == expected
+    assert store.read()["b"].count() == 0 and len(store._manifest(19)["a"]) <= MOST_FOLDERS
+    # A batch that failed after writing a folder but before its manifest leaves nothing to see.
+    store._store("a", 20, _numbered(spark, [(1, "lost")]))
+    assert dict(map(tuple, store.read()["a"].collect())) == expected
+    assert dict(map(tuple, store.read(before=19)["a"].collect())) != expected
+
+
+def same_rows(a, b):
+    columns = sorted(a.columns)
+    return sorted(map(str, a.select(columns).collect())) == sorted(map(str, b.select(columns).collect()))
+
+
+def test_the_loop_in_passes_equals_one_pass(spark, folder):
+    """A limit that takes several passes, and every batch twice: the same tables as one pass, but for allocated ids."""
+    whole, parts = loops.looped(spark, folder), loops.looped(spark, folder, limit=700, again=True)
+    assert len(parts.batches()) > len(whole.batches())
+    one, many = whole.read(), parts.read()
+    for name in ("account", "quarantine", "audit"):
+        assert same_rows(one[name], many[name])
+    assert same_rows(one["envelope"], many["envelope"]) and same_rows(one["outbox"], many["outbox"])
+    for name in ("order_head", "order_note", "account_detail"):
+        ids = [c for c in ("id", "head_id") if c in one[name].columns]
+        assert same_rows(one[name].drop(*ids), many[name].drop(*ids))
+        assert many[name].select("id").distinct().count() == many[name].count()
+    links = lambda frames: frames[delivering._CROSSWALK].drop("target_id")
+    assert same_rows(links(one), links(many))
+
+
+def test_the_loop_with_nothing_to_do(spark, folder):
+    commits = loops.looped(spark, folder)
+    before = {n: df.count() for n, df in commits.read().items()}
+    last = commits.batches()[-1]
+    empty = loops._feed(spark, folder)[0].limit(0)
+    switch = spark.createDataFrame([("customer", "CRM", False)], "source_entity string, target_system string, enabled boolean")
+    delivering.pass_over(commits, switch, [loops._CUSTOMER], loops._MODEL, loops._PROFILE, "SRC", loops.as_of)(empty, last + 1)
+    assert {n: df.count() for n, df in commits.read().items()} == before and commits.done(last + 1)
