@@ -5,9 +5,12 @@ article or main element around it, with tags
 and class names generalised (numbers dropped). Spark counts the votes of a host, and each page is extracted again from
 the containers on the winning path; a page without such a container, or without a host, uses its own best one.
 
-Left out, inside a container too, are navigation, asides, forms, scripts, styles and parts whose class, id or
-role says that they are menus, headers, footers, notices, adverts or reader comments. Block texts have their character
-references decoded and white space reduced to single blanks; blocks are joined by a blank.
+Left out, inside a container too, are navigation, asides, form controls, scripts and styles. A class, id or role that names
+a menu, header, footer, notice, advert or form decides only for a part that is small beside the page's text, or
+rich in links: what holds most of the text is never left out for its name, nor are an article's headings. Reader comments go
+whatever their size. Where no article or main element says so, the container is widened while what stands around it
+holds much text as well. Block texts have their character references decoded and white space reduced to single blanks; blocks are
+joined by a blank.
 
 Null and empty pages give an empty text. Repeated rows are extracted alike (and vote each), an empty table gives an
 empty result, and input columns named like a result column are replaced. Broken markup is read as it comes.
@@ -33,26 +36,30 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("""address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th
     thead tr ul""".split())
-LEFT_OUT = frozenset("""nav aside footer form head script style noscript template iframe svg math canvas object button select
+LEFT_OUT = frozenset("""nav aside footer head script style noscript template iframe svg math canvas object button select label
     textarea input dialog menu audio video""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 ENDS_PARAGRAPH = BLOCKS - {"br", "option", "body", "html"}
 # A new one of these ends an open one, unless the scope given begins in between.
 ENDED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
             "option": ({"option"}, {"select"})}
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
-WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist
-    consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices
-    pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup social
-    sponsor sponsored subscribe subscription toolbar widget widgets""".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar".split())
+# Words of class names and ids: of comments, of what is hardly ever text, of what may be text, and those that turn them round.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+PLAIN = frozenset("""ad ads advert adverts advertisement advertising breadcrumb breadcrumbs consent cookie cookies footer gdpr
+    masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup sidebar sponsor sponsored""".split())
+VAGUE = frozenset("""banner header promo promotion recommended related reply share sharing signup social subscribe subscription
+    toolbar widget widgets""".split())
+TURNED = frozenset("no non not with without has hoc free".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[|<[!?][^>]*>"
     r"|<(?P<raw>script|style|template|noscript|textarea|iframe|svg|math|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*+)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LEVELS = 8
 
@@ -65,9 +72,14 @@ class Node:
     tag: str
     parent: int
     path: tuple[str, ...]
-    worded: bool = False
+    named: int = 0
+    """What class, id or tag say: one of `_VAGUE` to `_COMMENT`, or nothing."""
     out: bool = False
     article: bool = False
+    """Inside an article or main element, or one itself."""
+    text: int = 0
+    links: int = 0
+    """Characters of text below, and of those in links."""
 
 
 @dataclass(slots=True)
@@ -77,16 +89,31 @@ class Page:
     """Text runs in page order: node, number of the block, raw text."""
 
 
-def _attributes(rest: str) -> tuple[str, str, str, bool]:
-    found = {"class": "", "id": "", "role": ""}
-    hidden = False
+_VAGUE, _VAGUE_ALONE, _PLAIN, _PLAIN_ALONE, _FORM, _COMMENT = range(1, 7)
+
+
+def _attributes(rest: str) -> dict[str, str]:
+    """Attributes one after another, by their whole lower-case names; the first of a name counts."""
+    found: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(rest):
-        name = name.lower()
-        if name == "hidden":
-            hidden = True
-        else:
-            found[name] = found[name] or a or b or c
-    return found["class"], found["id"], found["role"], hidden
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def _named(names: str) -> int:
+    """What the most telling of some class names and ids says."""
+    most = 0
+    for name in names.split():
+        words = [w.lower() for w in _PARTS.findall(name)]
+        if not words or not TURNED.isdisjoint(words):
+            continue
+        if not COMMENTS.isdisjoint(words):
+            most = max(most, _COMMENT)
+        elif not PLAIN.isdisjoint(words):
+            most = max(most, _PLAIN_ALONE if PLAIN.issuperset(words) else _PLAIN)
+        elif not VAGUE.isdisjoint(words):
+            most = max(most, _VAGUE_ALONE if VAGUE.issuperset(words) else _VAGUE)
+    return most
 
 
 def parse(page: str) -> Page:
@@ -120,13 +147,13 @@ def parse(page: str) -> Page:
             stack.append(len(nodes) - 1)
     if at < len(page):
         result.runs.append((stack[-1], block, page[at:]))
-    _settle(nodes)
+    _settle(result)
     return result
 
 
 def _describe(nodes: list[Node], node: Node, rest: str) -> None:
-    names, number, role, hidden = _attributes(rest) if rest.strip() else ("", "", "", False)
-    words = {w.lower() for w in _PARTS.findall(f"{names} {number}")}
+    given = _attributes(rest) if rest.strip() else {}
+    names, role = given.get("class", ""), given.get("role", "").strip().lower()
     step = node.tag
     if names and node.tag in CONTAINERS:
         step += "." + ".".join(sorted({re.sub(r"\d+", "", c) for c in names.split()} - {""}))
@@ -134,9 +161,15 @@ def _describe(nodes: list[Node], node: Node, rest: str) -> None:
         path = nodes[node.parent].path
         node.path = path if path[-1:] == (step,) else (*path[1 - _LEVELS:], step)
     inside = nodes[node.parent].article
-    node.article = inside or node.tag == "article"
-    node.out = node.tag in LEFT_OUT or hidden or role.lower() in ROLES or (node.tag == "header" and not inside)
-    node.worded = bool(words & WORDS) and node.tag not in ("html", "body", "main", "article")
+    node.article = inside or node.tag in ("article", "main")
+    node.out = nodes[node.parent].out or node.tag in LEFT_OUT or "hidden" in given or role in ROLES or (
+        node.tag == "header" and not inside)
+    named = _named(f"{names} {given.get('id', '')}")
+    if node.tag == "form" or role == "form":
+        named = max(named, _FORM)
+    if node.tag in ("html", "body", "main") or (node.tag == "article" and named != _COMMENT) or (node.tag in HEADINGS and inside):
+        named = 0
+    node.named = named
 
 
 def _close(nodes: list[Node], stack: list[int], tag: str) -> None:
@@ -158,21 +191,57 @@ def _end(nodes: list[Node], stack: list[int], tags: set[str], scopes: set[str])
             return
 
 
-def _settle(nodes: list[Node]) -> None:
-    """Parts named as left out are left out, unless they hold an article; so is all below them."""
-    holds = set()
+def _settle(page: Page) -> None:
+    """Decides which of the named parts are left out, from the text in them; so is all below them."""
+    nodes = page.nodes
+    linked = [False] * len(nodes)
+    for k, node in enumerate(nodes):
+        linked[k] = node.tag == "a" or (node.parent >= 0 and linked[node.parent])
+    for k, _, raw in page.runs:
+        if not nodes[k].out:
+            size = 0 if raw.isspace() else len(raw)
+            nodes[k].text += size
+            nodes[k].links += size if linked[k] else 0
+    for node in reversed(nodes[1:]):
+        nodes[node.parent].text += node.text
+        nodes[node.parent].links += node.links
+    holds = _holders(nodes)
+    for k, node in enumerate(nodes):
+        node.out = node.out or (node.parent >= 0 and nodes[node.parent].out) or (
+            node.named > 0 and k not in holds and _is_beside(node, nodes[0].text))
+
+
+def _holders(nodes: list[Node]) -> set[int]:
+    """What stands around an article or main element that is in no other one and is no comment."""
+    holds: set[int] = set()
     for node in nodes:
         up = node.parent
-        while node.tag in ("article", "main") and up > 0 and up not in holds:
-            holds.add(up)
-            up = nodes[up].parent
-    for k, node in enumerate(nodes):
-        node.out = node.out or (node.worded and k not in holds) or (node.parent >= 0 and nodes[node.parent].out)
+        if node.tag in ("article", "main") and not nodes[up].article and node.named != _COMMENT:
+            while up > 0 and up not in holds:
+                holds.add(up)
+                up = nodes[up].parent
+    return holds
+
+
+def _is_beside(node: Node, total: int) -> bool:
+    """Whether a named part is no part of the page's main text."""
+    rich = 3 * node.links >= node.text
+    small = 4 * node.text <= total
+    if node.named == _COMMENT:
+        return node.text < total
+    if node.named == _PLAIN_ALONE:
+        return 10 * node.text <= 9 * total
+    if node.named in (_FORM, _PLAIN):
+        return small or (rich and 2 * node.text <= total)
+    if node.named == _VAGUE_ALONE and not node.article:
+        return small or (rich and 2 * node.text <= total)
+    return rich and 2 * node.text <= total
 
 
 def best_path(page: Page) -> str | None:
     """Path of the container with most running text: a block counts for its container, half for the next one up."""
     scores: dict[int, float] = {}
+    running = [0] * len(page.nodes)
     linked = {k for k, n in enumerate(page.nodes) if n.tag == "a"}
     inside = _containers(page)
     for node, _, raw in page.runs:
@@ -182,6 +251,7 @@ def best_path(page: Page) -> str | None:
         if not size:
             continue
         size = -size if node in linked else size
+        running[node] += size
         holder = inside[node]
         for weight in (1.0, 0.5):
             if holder < 0:
@@ -189,19 +259,27 @@ def best_path(page: Page) -> str | None:
             scores[holder] = scores.get(holder, 0.0) + weight * size
             holder = inside[page.nodes[holder].parent]
     top = max(scores.items(), key=lambda s: (s[1], -s[0]), default=None)
-    return None if top is None else "/".join(page.nodes[_whole(page, inside, top[0])].path)
+    if top is None:
+        return None
+    for k in range(len(running) - 1, 0, -1):
+        running[page.nodes[k].parent] += running[k]
+    return "/".join(page.nodes[_whole(page, inside, top[0], running)].path)
 
 
-def _whole(page: Page, inside: list[int], holder: int) -> int:
-    """The outermost article around a container, else the outermost main element; else what a quotation stands in."""
+def _whole(page: Page, inside: list[int], holder: int, running: list[int]) -> int:
+    """The outermost article around a container, else the outermost main element; else what a quotation stands in, and
+    what holds a third as much running text again around the container."""
     found: dict[str, int] = {}
     up = holder
     while up > 0:
         if page.nodes[up].tag in ("article", "main"):
             found[page.nodes[up].tag] = up
         up = page.nodes[up].parent
-    while page.nodes[holder].tag == "blockquote" and (up := inside[page.nodes[holder].parent]) >= 0:
-        holder = up
+    up = inside[page.nodes[holder].parent]
+    while up >= 0 and not found:
+        if page.nodes[holder].tag == "blockquote" or 3 * (running[up] - running[holder]) >= running[holder]:
+            holder = up
+        up = inside[page.nodes[up].parent]
     return found.get("article", found.get("main", holder))
 
 

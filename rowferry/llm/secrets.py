@@ -113,46 +113,76 @@ def _alphabet(run: Column) -> Column:
     return reduce(lambda rest, case: F.when(case[0], F.lit(case[1])).otherwise(rest), reversed(cases), F.lit(None).cast("string"))
 
 
-def _equals(value: int) -> Callable[[Column], Column]:
-    return lambda x: x == value
+_SUMS = ("n", "total", "squares", "products", "ups", "changes", "first", "last", *[f"bin{b}" for b in range(_BINS)])
 
 
-def randomness(run: Column) -> Column:
-    """Corrected p-value of the battery: small when a run is not random in its alphabet."""
-    bare = F.regexp_replace(run, "=+$", "")
-    alphabet = _alphabet(run)
-    size, n = F.length(alphabet).cast("double"), F.length(bare).cast("double")
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sums(bare: Column, alphabet: Column) -> Column:
+    """What the battery needs of a run, gathered in one pass over its characters."""
+    size = F.length(alphabet).cast("double")
     places = F.transform(F.split(bare, "(?!^)(?!$)"), lambda c: (F.position(c, alphabet) - 1).cast("double"))
-    with_bins = F.transform(places, lambda v: F.floor(v * _BINS / size))
+
+    def step(s: Column, v: Column) -> Column:
+        high, was_high = v * 2 >= size, s["last"] * 2 >= size
+        one = lambda condition: F.when(condition, F.lit(1.0)).otherwise(F.lit(0.0))
+        begun = s["n"] > 0
+        bins = [(s[f"bin{b}"] + one(F.floor(v * _BINS / size) == b)).alias(f"bin{b}") for b in range(_BINS)]
+        return F.struct(
+            (s["n"] + 1).alias("n"), (s["total"] + v).alias("total"), (s["squares"] + v * v).alias("squares"),
+            (s["products"] + s["last"] * v).alias("products"), (s["ups"] + one(high)).alias("ups"),
+            (s["changes"] + one(begun & (high != was_high))).alias("changes"),
+            F.when(begun, s["first"]).otherwise(v).alias("first"), v.alias("last"), *bins)
+
+    none = F.struct(*[F.lit(0.0).alias(name) for name in _SUMS])
+    return F.aggregate(places, none, step)
+
+
+def _battery(s: Column) -> Column:
+    """Corrected p-value from the sums of a run."""
+    n, average = s["n"], s["total"] / s["n"]
     expected = n / _BINS
-    in_bin = [F.size(F.filter(with_bins, _equals(b))) for b in range(_BINS)]
-    chi = reduce(lambda a, b: a + b, [F.pow(n_bin - expected, F.lit(2.0)) / expected for n_bin in in_bin])
+    chi = reduce(lambda a, b: a + b, [F.pow(s[f"bin{b}"] - expected, F.lit(2.0)) / expected for b in range(_BINS)])
     freedom = _BINS - 1
     even = _normal_tail((F.pow(chi / freedom, F.lit(1 / 3)) - (1 - 2 / (9 * freedom))) / math.sqrt(2 / (9 * freedom)))
-    high = F.transform(places, lambda v: v * 2 >= size)
-    ups = F.size(F.filter(high, lambda x: x)).cast("double")
-    downs = n - ups
-    changes = F.size(F.filter(F.arrays_zip(F.slice(high, F.lit(1), F.size(high) - 1).alias("a"),
-                                           F.slice(high, F.lit(2), F.size(high) - 1).alias("b")), lambda p: p["a"] != p["b"]))
+    ups, downs = s["ups"], n - s["ups"]
     mean = 1 + 2 * ups * downs / n
     spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))
-    runs = F.when((ups == 0) | (downs == 0), F.lit(0.0)).otherwise(_both_tails((changes + 1 - mean) / spread))
-    average = F.aggregate(places, F.lit(0.0), lambda a, v: a + v) / n
-    variance = F.aggregate(places, F.lit(0.0), lambda a, v: a + (v - average) * (v - average))
-    pairs = F.arrays_zip(F.slice(places, F.lit(1), F.size(places) - 1).alias("a"),
-                         F.slice(places, F.lit(2), F.size(places) - 1).alias("b"))
-    together = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - average) * (p["b"] - average))
-    serial = F.when(variance <= 0, F.lit(0.0)).otherwise(
-        _both_tails((together / variance + 1 / n) * F.sqrt(n)))
+    runs = F.when((ups == 0) | (downs == 0), F.lit(0.0)).otherwise(_both_tails((s["changes"] + 1 - mean) / spread))
+    variance = s["squares"] - n * average * average
+    # Products of neighbours about the average: every place but the last has one behind it.
+    together = s["products"] - average * (2 * s["total"] - s["first"] - s["last"]) + (n - 1) * average * average
+    serial = F.when(variance <= 1e-9, F.lit(0.0)).otherwise(_both_tails((together / variance + 1 / n) * F.sqrt(n)))
     return F.least(F.lit(1.0), 3 * F.least(even, runs, serial))
 
 
+def _bare(run: Column) -> Column:
+    return F.regexp_replace(run, "=+$", "")
+
+
+def randomness(run: Column) -> Column:
+    """Corrected p-value of the battery: small when a run is not random in its alphabet. The cost follows the length."""
+    return _bound(F.struct(_bare(run).alias("bare"), _alphabet(run).alias("alphabet")), lambda r: F.when(
+        F.length(r["bare"]) > 1, _bound(_sums(r["bare"], r["alphabet"]), _battery)))
+
+
+def _measured(run: Column) -> Column:
+    """Length, alphabet size, characters of every class, and the battery's p-value of a run; null if it is not tested."""
+    tested = run.rlike("[0-9]") & run.rlike("[A-Za-z]") & ~run.rlike(UUID)
+    return F.when(tested, _bound(F.struct(_bare(run).alias("bare"), _alphabet(run).alias("alphabet")), lambda r: F.when(
+        r["alphabet"].isNotNull(), F.struct(
+            F.length(run).alias("width"), F.length(r["bare"]).alias("n"), F.length(r["alphabet"]).alias("size"),
+            *[_class_size(r["bare"], chars).alias(name) for name, chars in CLASSES.items()],
+            _bound(_sums(r["bare"], r["alphabet"]), _battery).alias("p")))))
+
+
 def _advantage(run: Column, shares: dict[str, float]) -> Column:
-    """Log likelihood of an even alphabet over that of characters by the classes of the corpus."""
-    bare = F.regexp_replace(run, "=+$", "")
-    even = -F.log(F.length(_alphabet(run)).cast("double")) * F.length(bare)
-    corpus = reduce(lambda a, b: a + b, [
-        _class_size(bare, chars) * math.log(shares[name] / len(chars)) for name, chars in CLASSES.items()])
+    """Log likelihood of an even alphabet over that of characters by the classes of the corpus, of a measured run."""
+    even = -F.log(run["size"].cast("double")) * run["n"]
+    corpus = reduce(lambda a, b: a + b, [run[name] * math.log(shares[name] / len(chars)) for name, chars in CLASSES.items()])
     return even - corpus
 
 
@@ -178,10 +208,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float =
     matched = docs.select(
         docs[key].alias("_id"), found.alias("_base"), _matches(content, _RANDOM, RUN, 0, 0).alias("_runs"),
         *[_class_size(content, chars).alias(f"_{name}") for name, chars in CLASSES.items()])
+    # Runs are tested where their text is read, before anything is shuffled; the runs themselves go no further.
+    parts = F.concat("_base", _with_parts(F.col("_runs"), 0), _with_parts(F.col("_runs"), 1))
+    measured = F.transform(parts, lambda m: F.struct(
+        m["kind"].alias("kind"), m["gap"].alias("gap"), m["width"].alias("width"), m["good"].alias("good"), _measured(m["run"]).alias("run")))
     rows = materialise(matched.select(
-        "_id", F.monotonically_increasing_id().alias("_row"),
-        F.concat("_base", _with_parts(F.col("_runs"), 0), _with_parts(F.col("_runs"), 1)).alias("_found"),
-        *[f"_{name}" for name in CLASSES]))
+        "_id", F.monotonically_increasing_id().alias("_row"), measured.alias("_found"), *[f"_{name}" for name in CLASSES]))
     totals = rows.agg(*[F.coalesce(F.sum(f"_{name}"), F.lit(0)).alias(name) for name in CLASSES]).first().asDict()
     every = sum(totals.values()) + len(totals)
     shares = {name: (n + 1) / every for name, n in totals.items()}
@@ -196,32 +228,22 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float =
     covered = F.coalesce(F.max(base_end).over(row.rowsBetween(W.unboundedPreceding, -1)) > F.col("start"), F.lit(False)) \
         | F.coalesce(F.min(base_start).over(row.rowsBetween(1, W.unboundedFollowing)) < F.col("end"), F.lit(False))
     run = F.col("run")
-    tested = run.rlike("[0-9]") & run.rlike("[A-Za-z]") & ~run.rlike(UUID) & _alphabet(run).isNotNull()
     spans = materialise(spans.withColumn("covered", covered).withColumns({
-        "length_class": F.when(tested, F.floor(F.log2(F.length(run).cast("double")) * 2).cast("int")),
-        "advantage": F.when(tested, _advantage(run, shares)),
-        "p_random": F.when(tested, randomness(run)),
-    }).withColumn("level", F.floor(F.least(F.greatest(F.col("advantage"), F.lit(0.0)), F.lit(float(_STRONGEST)))).cast("int")))
+        "length_class": F.floor(F.log2(run["width"].cast("double")) * 2).cast("int"),
+        "advantage": _advantage(run, shares), "p_random": run["p"],
+    }).withColumn("level", F.floor(F.least(F.greatest(F.col("advantage"), F.lit(0.0)), F.lit(float(_STRONGEST)))).cast("int")).drop("run"))
     least = _thresholds(spans.filter("length_class is not null"), rate)
     wins = F.col("least_level").isNotNull() & (F.col("level") >= F.col("least_level")) & (F.col("p_random") >= REJECTED)
     chosen = spans.join(least, "length_class", "left").withColumn(
         "chosen", F.coalesce(is_base | (wins & ~F.col("covered")), F.lit(False)))
-    span = F.when(F.col("chosen"), F.struct(F.col("start").cast("bigint").alias("start"), "kind", F.col("end").cast("bigint").alias("end")))
-    spans = chosen.groupBy("_row", "_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    return spans.select(F.col("_id").alias(key), _settled(F.col("spans")).alias("spans"))
-
-
-def _of_kind(kind: int) -> Callable[[Column], Column]:
-    return lambda s: s["kind"] == kind
-
-
-def _settled(spans: Column) -> Column:
-    """Of overlapping parts those of the first way to split stay; all parts become random spans."""
-    first, second = (F.filter(spans, _of_kind(_RANDOM + k)) for k in range(2))
-    free = F.filter(second, lambda s: ~F.exists(first, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-    merged = F.sort_array(F.concat(F.filter(spans, lambda s: s["kind"] <= _RANDOM), F.transform(free, lambda s: F.struct(
-        s["start"].alias("start"), F.lit(_RANDOM).alias("kind"), s["end"].alias("end")))))
-    return F.when(F.size(second) > 0, merged).otherwise(spans)
+    # Of overlapping parts those of the first way to split stay; all parts become random spans.
+    is_first = F.col("chosen") & (F.col("kind") == _RANDOM)
+    meets = F.coalesce(F.max(F.when(is_first, F.col("end"))).over(row.rowsBetween(W.unboundedPreceding, -1)) > F.col("start"), F.lit(False)) \
+        | F.coalesce(F.min(F.when(is_first, F.col("start"))).over(row.rowsBetween(1, W.unboundedFollowing)) < F.col("end"), F.lit(False))
+    stays = chosen.withColumn("chosen", F.col("chosen") & ~((F.col("kind") > _RANDOM) & meets))
+    span = F.when(F.col("chosen"), F.struct(F.col("start").cast("bigint").alias("start"), F.least("kind", F.lit(_RANDOM)).alias("kind"),
+                                            F.col("end").cast("bigint").alias("end")))
+    return stays.groupBy("_row", "_id").agg(F.sort_array(F.collect_list(span)).alias("spans")).select(F.col("_id").alias(key), "spans")
 
 
 def count_kind(spans: Column, kind: str) -> Column:

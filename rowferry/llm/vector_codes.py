@@ -117,7 +117,7 @@ def _sums(rows: DataFrame, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = met.groupBy("part", "entry").agg(F.sum("n").alias("n"), F.array(*[
         F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums"))
     counts, sums = np.zeros((parts, entries), np.int64), np.zeros((parts, entries, width), np.int64)
-    for r in total.toLocalIterator():  # one row per entry at most
+    for r in total.collect():  # one row per entry at most
         counts[r["part"], r["entry"]], sums[r["part"], r["entry"]] = r["n"], r["sums"]
     return counts, sums
 

@@ -136,7 +136,7 @@ def _headers(block: bytes) -> dict[str, list[str]]:
     name = ""
     for line in block.decode("utf-8", "replace").split(CRLF)[1:]:
         if line[:1] in (" ", "\t") and name:
-            found[name][-1] += " " + line.strip()
+            found[name][-1] = f"{found[name][-1]} {line.strip()}".strip()
         elif ":" in line:
             name, value = (x.strip() for x in line.split(":", 1))
             name = name.lower()
@@ -163,6 +163,8 @@ class RecordStream:
                     return
                 block = bytes(self.buffer[:end])
                 del self.buffer[:end + len(mark)]
+                if not block.strip():
+                    continue
                 head = _headers(block.lstrip()) if block.lstrip().startswith(b"WARC/") else {}
                 length = head.get("content-length", [""])[0]
                 if not (length.isascii() and length.isdigit()):

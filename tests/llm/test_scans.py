@@ -1,4 +1,5 @@
 import html
+import math
 import random
 import re
 import string
@@ -45,6 +46,57 @@ def test_random_runs(docs_of):
     assert not any(found[i] for i in range(len(keys), len(texts)))
 
 
+def plain_battery(run):
+    """Chi-squared over four bins, runs and serial correlation of a run in its alphabet, written out."""
+    bare = run.rstrip("=")
+    alphabet = next(a for _, pattern, a in secrets.ENCODINGS if re.match(pattern, run))
+    size, n = len(alphabet), len(bare)
+    places = [alphabet.index(c) for c in bare]
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * (c := min(8, max(-8, z))) + 0.07056 * c ** 3))
+    both = lambda z: min(1.0, 2 * tail(abs(z)))
+    counts = [sum(v * 4 // size == b for v in places) for b in range(4)]
+    chi = sum((c - n / 4) ** 2 / (n / 4) for c in counts)
+    even = tail(((chi / 3) ** (1 / 3) - (1 - 2 / 27)) / math.sqrt(2 / 27))
+    high = [2 * v >= size for v in places]
+    ups = sum(high)
+    changes = sum(a != b for a, b in zip(high, high[1:]))
+    mean = 1 + 2 * ups * (n - ups) / n
+    runs = 0.0 if ups in (0, n) else both((changes + 1 - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1))))
+    average = sum(places) / n
+    variance = sum((v - average) ** 2 for v in places)
+    together = sum((a - average) * (b - average) for a, b in zip(places, places[1:]))
+    serial = 0.0 if variance <= 1e-9 else both((together / variance + 1 / n) * math.sqrt(n))
+    return min(1.0, 3 * min(even, runs, serial))
+
+
+def test_battery_against_a_plain_one(spark):
+    rng = random.Random(17)
+    alphabets = [a for _, _, a in secrets.ENCODINGS]
+    texts = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 300))) + "=" * rng.randint(0, 2) for _ in range(300)]
+    texts += ["".join(rng.choices("ab1", k=40)) for _ in range(20)] + ["abc123" * 9, "a" * 40, "a1" * 30, "0" * 39 + "a"]
+    texts = [t for t in texts if any(re.match(pattern, t) for _, pattern, _ in secrets.ENCODINGS)]
+    df = spark.createDataFrame([(t,) for t in texts], "run string")
+    for r in df.select("run", secrets.randomness(F.col("run")).alias("p")).collect():
+        assert r["p"] == pytest.approx(plain_battery(r["run"]), rel=1e-6, abs=1e-9)
+
+
+def test_very_long_runs_end(docs_of):
+    rng = random.Random(18)
+    image = "".join(rng.choices(string.ascii_letters + string.digits, k=200_000))
+    mixed = "".join(rng.choices(string.ascii_letters + string.digits + "+/-_", k=50_000))
+    rows = secrets.scan(docs_of([(1, f"data {image} end", None, None), (2, mixed, None, None), (3, "word1 " * 50_000, None, None),
+                                 (4, "a1" * 100_000, None, None), (5, "The quick brown fox jumps. " * 50_000, None, None)])).collect()
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in rows}
+    assert spans[1] == [(5, 200_005)] and spans[3] == [] and spans[4] == []
+
+
+def test_secrets_of_empty_tables_and_repeated_rows(docs_of):
+    assert secrets.scan(docs_of([], clashing=True)).collect() == []
+    row = (5, "password=abcdefgh12", None, None)
+    got = [(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in secrets.scan(docs_of([row, row, (None, None, None, None)])).collect()]
+    assert sorted(got, key=repr) == [(5, [(0, 0, 19)]), (5, [(0, 0, 19)]), (None, [])]
+
+
 def test_random_runs_after_names_and_in_paths(docs_of):
     rng = random.Random(7)
     key = lambda n, more="": "".join(rng.choices(string.ascii_letters + string.digits + more, k=n))
@@ -202,18 +254,55 @@ def text_of(html_text):
     return html_extract.extract(parsed, html_extract.best_path(parsed))
 
 
-BODY = "body text goes on and on " * 9
+BODY = " ".join(["body text goes on and on"] * 9)
+MORE = " ".join(["another part says more"] * 8)
 
 
 @pytest.mark.parametrize("text,expected", [
     (f"<body><p>site</p><article><h1>title</h1><p>lead</p><div class='article-body'><p>{BODY}</p></div></article>", f"title lead {BODY}"),
-    (f"<body><article><p>before</p><blockquote>{BODY}</blockquote><p>after</p></article>", f"before {BODY}after"),
+    (f"<body><article><p>before</p><blockquote>{BODY}</blockquote><p>after</p></article>", f"before {BODY} after"),
     (f"<main><h1>title</h1><table><tr><td>{BODY}</table></main>", f"title {BODY}"),
-    (f"<body><p>site<div id='c'><p>before<blockquote>{BODY}</blockquote>after</div>", f"before {BODY}after")])
+    (f"<body><p>site<div id='c'><p>before<blockquote>{BODY}</blockquote>after</div>", f"before {BODY} after"),
+    # Containers that stand next to each other.
+    (f"<body><div id=c><div class=s>{BODY}</div><div class=t>{MORE}</div></div><div id='nav'>menu</div>", f"{BODY} {MORE}"),
+    (f"<body><p>x</p><section><h2>one</h2><p>{BODY}</section><section><h2>two</h2><p>{MORE}</section>", f"x one {BODY} two {MORE}"),
+])
 def test_nothing_around_the_longest_part_is_lost(text, expected):
     assert text_of(text) == expected
 
 
+@pytest.mark.parametrize("attributes", [
+    "style='overflow:hidden'", 'aria-hidden="false"', "title='a hidden gem'", "data-class='nav'", "data-role=navigation", 'data-x="class=sidebar"',
+    "class='content no-sidebar'", "id='page-with-sidebar'", "class=has-comments-not", "data-hidden", "id = 'share-price'", "class='menu-open'"])
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_attributes_that_say_nothing(attributes, tag):
+    assert text_of(f"<body><{tag} {attributes}><p>{BODY}</p></{tag}></body>") == BODY
+
+
+@pytest.mark.parametrize("part", [
+    "<h2 class='section-header'>a heading</h2>", "<div class='entry-header'><h1>a heading</h1></div>", "<p class='related'>a related thought</p>",
+    "<div id='share-price'>12 of them</div>", "<h3 id='comments'>a word on comments</h3>", "<p class='ad-hoc'>made ad hoc</p>",
+    "<div class='social'>social life</div>", "<header><p>lead</p></header>"])
+def test_parts_of_an_article_stay(part):
+    words = re.sub("<[^>]*>", "", part)
+    assert text_of(f"<body><article>{part}<p>{BODY}</p></article>") == f"{words} {BODY}"
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='related'><a href=1>one</a> <a href=2>two</a></div>", "<div class='ad'>buy</div>", "<div id='ad-3'>buy now</div>",
+    "<section class='comments'><article class='comment'><p>nice</p></article><article class='comment'>me too</article></section>",
+    f"<div class='commentList'><p>{MORE}</p><p>{MORE}</p></div>", "<div hidden>x</div>", "<div role='navigation'>x</div>",
+    "<form><label>name</label><input name=a><textarea>x</textarea><p>send us</p></form>", "<p class='notice'>moved</p>", "<aside>x</aside>",
+    "<div class=\"sidebar\">x</div>", "<ul class='share'><li><a>here</a><li><a>there</a></ul>", "<footer>x</footer>"])
+def test_parts_that_go(part):
+    assert text_of(f"<body><article><p>{BODY}</p>{part}</article>{part}") == BODY
+
+
+def test_a_page_inside_a_form():
+    controls = "<input name=q><button>go</button><select><option>a<option>b</select><textarea>t</textarea>"
+    assert text_of(f"<body><form id='main-form'>{controls}<div id='content'><h1>title</h1><p>{BODY}</p></div></form>") == f"title {BODY}"
+
+
 def test_pages(spark, folder):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in QUERIES["op8_html_extraction"](spark, folder).collect():
