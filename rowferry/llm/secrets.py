@@ -141,11 +141,13 @@ def _sums(bare: Column, alphabet: Column) -> Column:
     return F.aggregate(places, none, step)
 
 
-def _battery(s: Column) -> Column:
-    """Corrected p-value from the sums of a run."""
+def _battery(s: Column, size: Column) -> Column:
+    """Corrected p-value from the sums of a run in an alphabet of some size."""
     n, average = s["n"], s["total"] / s["n"]
-    expected = n / _BINS
-    chi = reduce(lambda a, b: a + b, [F.pow(s[f"bin{b}"] - expected, F.lit(2.0)) / expected for b in range(_BINS)])
+    # Bins of an alphabet that they do not divide differ by a character.
+    begins = [F.ceil(size * b / _BINS) for b in range(_BINS + 1)]
+    expected = [n * (begins[b + 1] - begins[b]) / size for b in range(_BINS)]
+    chi = reduce(lambda a, b: a + b, [F.pow(s[f"bin{b}"] - expected[b], F.lit(2.0)) / expected[b] for b in range(_BINS)])
     freedom = _BINS - 1
     even = _normal_tail((F.pow(chi / freedom, F.lit(1 / 3)) - (1 - 2 / (9 * freedom))) / math.sqrt(2 / (9 * freedom)))
     ups, downs = s["ups"], n - s["ups"]
@@ -159,6 +161,11 @@ def _battery(s: Column) -> Column:
     return F.least(F.lit(1.0), 3 * F.least(even, runs, serial))
 
 
+def _tested(run: Column) -> Column:
+    """The battery's p-value of a bare run and its alphabet."""
+    return _bound(_sums(run["bare"], run["alphabet"]), lambda s: _battery(s, F.length(run["alphabet"]).cast("double")))
+
+
 def _bare(run: Column) -> Column:
     return F.regexp_replace(run, "=+$", "")
 
@@ -166,7 +173,7 @@ def _bare(run: Column) -> Column:
 def randomness(run: Column) -> Column:
     """Corrected p-value of the battery: small when a run is not random in its alphabet. The cost follows the length."""
     return _bound(F.struct(_bare(run).alias("bare"), _alphabet(run).alias("alphabet")), lambda r: F.when(
-        F.length(r["bare"]) > 1, _bound(_sums(r["bare"], r["alphabet"]), _battery)))
+        F.length(r["bare"]) > 1, _tested(r)))
 
 
 def _measured(run: Column) -> Column:
@@ -176,7 +183,7 @@ def _measured(run: Column) -> Column:
         r["alphabet"].isNotNull(), F.struct(
             F.length(run).alias("width"), F.length(r["bare"]).alias("n"), F.length(r["alphabet"]).alias("size"),
             *[_class_size(r["bare"], chars).alias(name) for name, chars in CLASSES.items()],
-            _bound(_sums(r["bare"], r["alphabet"]), _battery).alias("p")))))
+            _tested(r).alias("p")))))
 
 
 def _advantage(run: Column, shares: dict[str, float]) -> Column:
