@@ -109,20 +109,21 @@ def resolve_by_values(
     schema = lookup.select(*columns).schema
     key = _natural_key(columns, schema)
     keyed = rows.withColumn("_key", key if wanted is None else F.when(wanted, key))
-    values = [_comparable(c, schema[c].dataType).alias(f"_v{i}") for i, c in enumerate(columns)]
-    asked = keyed.filter(F.col("_key").isNotNull()).select("_key", *values).dropDuplicates(["_key"])
+    # One struct of values instead of a column each: the optimiser follows every renamed column through each filter.
+    values = F.struct(*[_comparable(c, schema[c].dataType).alias(f"v{i}") for i, c in enumerate(columns)])
+    asked = keyed.filter(F.col("_key").isNotNull()).select("_key", values.alias("_v")).dropDuplicates(["_key"])
     order = _by_selectivity(lookup, columns)
-    on = F.coalesce(*[F.when(F.col(f"_v{i}").isNotNull(), F.lit(i)) for i in order])
-    value_of = lambda i: F.concat(F.lit(f"{i}:"), F.col(f"_v{i}").cast("string"))
-    asked = asked.withColumns({"_on": on, "_value": F.coalesce(*[F.when(F.col(f"_v{i}").isNotNull(), value_of(i)) for i in order])})
+    text_of = lambda side, i: F.concat(F.lit(f"{i}:"), F.col(f"{side}.v{i}").cast("string"))
+    on = F.coalesce(*[F.when(F.col(f"_v.v{i}").isNotNull(), F.lit(i)) for i in order])
+    asked = asked.withColumns({"_on": on, "_value": F.coalesce(*[text_of("_v", i) for i in order])})
     joined_on = list(range(len(columns)))
     if not is_small(lookup):  # a large lookup is repeated for the columns that are joined on, no more
         asked = materialise(asked)
         joined_on = sorted(r[0] for r in asked.select("_on").distinct().collect())  # no more than there are columns
-    offered = lookup.select(F.col(pk).alias("_pk"), *[_comparable(c, schema[c].dataType).alias(f"_v{i}") for i, c in enumerate(columns)])
-    entries = F.filter(F.array(*[value_of(i) for i in joined_on]) if joined_on else F.array().cast("array<string>"), lambda v: v.isNotNull())
-    offered = offered.select("_pk", *[F.col(f"_v{i}").alias(f"_w{i}") for i in range(len(columns))], F.explode(entries).alias("_value"))
-    agree = F.forall(F.array(*[F.col(f"_v{i}").isNull() | F.coalesce(F.col(f"_v{i}") == F.col(f"_w{i}"), F.lit(False))
+    offered = lookup.select(F.col(pk).alias("_pk"), values.alias("_w"))
+    entries = F.array(*[text_of("_w", i) for i in joined_on]) if joined_on else F.array().cast("array<string>")
+    offered = offered.select("_pk", "_w", F.explode(F.filter(entries, lambda v: v.isNotNull())).alias("_value"))
+    agree = F.forall(F.array(*[F.col(f"_v.v{i}").isNull() | F.coalesce(F.col(f"_v.v{i}") == F.col(f"_w.v{i}"), F.lit(False))
                                for i in range(len(columns))]), lambda same: same)
     found = asked.drop("_on").join(offered, "_value").filter(agree).groupBy("_key").agg(F.min("_pk").alias("target_id"))
     if weigh is None:
@@ -269,17 +270,25 @@ def reconciled_crosswalk(matched: DataFrame, crosswalk: DataFrame) -> DataFrame:
 def referenced_rows(
     write_set: dict[str, DataFrame], links: Sequence[tuple[str, str, str, str]], lookups: dict[str, DataFrame],
 ) -> dict[str, DataFrame]:
-    """Lookup rows the write set needs, parents of parents included.
+    """Lookup rows the write set needs, and those that these need in turn, until nothing new comes.
 
-    `links` are (child, column, parent, key), children before their parents.
+    `links` are (child, column, parent, key) in any order; a lookup table may refer to itself. A round reads the rows that the
+    round before found, so there are as many rounds as the longest chain of references has rows.
     """
-    kept = dict(write_set)
+    keys = {parent: key for _, _, parent, key in links}
     needed: dict[str, DataFrame] = {}
-    for child, column, parent, key in links:
-        if child == parent or parent in write_set:
-            continue
-        rows = kept.get(child, needed.get(child))
-        used = rows.select(F.col(column).alias(key)).filter(F.col(key).isNotNull()).distinct()
-        hit = lookups[parent].join(used, key, "left_semi")
-        needed[parent] = union_all(needed[parent], hit).distinct() if parent in needed else hit
+    edge = dict(write_set)
+    while edge:
+        hits: dict[str, list[DataFrame]] = {}
+        for child, column, parent, key in links:
+            if child in edge and parent not in write_set:
+                hits.setdefault(parent, []).append(edge[child].select(F.col(column).alias(key)).filter(F.col(key).isNotNull()))
+        edge = {}
+        for parent, used in hits.items():
+            key = keys[parent]
+            rows = lookups[parent].join(union_all(*used).distinct(), key, "left_semi")
+            rows = materialise(rows.join(needed[parent].select(key), key, "left_anti") if parent in needed else rows)
+            if parent not in needed or not rows.isEmpty():
+                edge[parent] = rows
+                needed[parent] = union_all(needed[parent], rows) if parent in needed else rows
     return needed

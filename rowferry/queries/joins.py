@@ -425,3 +425,21 @@ def referential_subset(spark, folder):
     needed = lookups.referenced_rows(written, links, {n: table(spark, folder, n) for n in ("nation", "region")})
     return needed["nation"].selectExpr("'nation' AS table_name", "n_nationkey AS id").unionByName(
         needed["region"].selectExpr("'region' AS table_name", "r_regionkey AS id"))
+
+
+_TREE = ("WITH RECURSIVE used(id) AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45 AND l_partkey % 4 = 1 UNION SELECT p_partkey // 5 "
+         "FROM part JOIN used ON p_partkey = id WHERE p_partkey >= 5), found AS (SELECT DISTINCT id FROM used JOIN part ON p_partkey = id) ")
+
+
+@query("d23_own_parents", (
+    _TREE + "SELECT 'category' AS table_name, id::BIGINT AS id FROM found UNION ALL SELECT 'region', r_regionkey FROM region WHERE r_regionkey IN "
+    "(SELECT id % 7 FROM found)"))
+def own_parents(spark, folder):
+    """Lookup rows with parents in their own table, several levels up, and a second lookup table behind them."""
+    categories = table(spark, folder, "part").selectExpr(
+        "p_partkey AS id", "CASE WHEN p_partkey >= 5 THEN p_partkey DIV 5 END AS parent_id", "p_partkey % 7 AS region_id")
+    regions = table(spark, folder, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS id")
+    written = {"lineitem": table(spark, folder, "lineitem").filter("l_quantity > 45 AND l_partkey % 4 = 1")}
+    links = [("category", "region_id", "region", "id"), ("lineitem", "l_partkey", "category", "id"), ("category", "parent_id", "category", "id")]
+    needed = lookups.referenced_rows(written, links, {"category": categories, "region": regions})
+    return needed["category"].selectExpr("'category' AS table_name", "id").unionByName(needed["region"].selectExpr("'region' AS table_name", "id"))

@@ -162,16 +162,35 @@ def many_entities(spark, folder):
 
 
 @query("d4_foreign_key_in_match", (
-    f"WITH r AS (SELECT n_nationkey, n_regionkey, {reference_sql('nation', 'n_nationkey')} AS ref FROM nation), g AS (SELECT "
-    "n_regionkey, min(ref) AS first_ref FROM r GROUP BY ALL), n AS (SELECT n_regionkey, 100 - 1 + row_number() OVER (ORDER BY "
-    "first_ref) AS target_id FROM g) SELECT n_nationkey, target_id FROM r JOIN n USING (n_regionkey)"))
+    f"WITH r AS (SELECT c_custkey, c_nationkey, {reference_sql('customer', 'c_custkey')} AS ref FROM customer), g AS (SELECT "
+    "c_nationkey, min(ref) AS first_ref FROM r GROUP BY ALL), n AS (SELECT c_nationkey, 100 - 1 + row_number() OVER (ORDER BY "
+    "first_ref) AS target_id FROM g) SELECT c_custkey, target_id FROM r JOIN n USING (c_nationkey)"))
 def foreign_key_in_match(spark, folder):
-    """Rows of one name in different regions are different things; in one region they are the same."""
-    rows = table(spark, folder, "nation").select("n_nationkey", F.lit("Central").alias("name"), F.col("n_regionkey").alias("region_id"))
-    rows = rows.withColumn("external_reference", reference_for(rows, SYSTEM, SCHEMA, "nation", ["n_nationkey"]))
-    target = spark.createDataFrame([], "id bigint, name string, region_id int")
+    """Rows of one name in different nations are different things; in one nation they are the same."""
+    rows = table(spark, folder, "customer").select("c_custkey", F.lit("Central").alias("name"), F.col("c_nationkey").alias("nation_id"))
+    rows = rows.withColumn("external_reference", reference_for(rows, SYSTEM, SCHEMA, "customer", ["c_custkey"]))
+    target = spark.createDataFrame([], "id bigint, name string, nation_id int")
     links = spark.createDataFrame([], "external_reference string, target_id string")
-    return lookups.match_or_allocate(rows, links, target, "id", 100, ["name", "region_id"]).select("n_nationkey", "target_id")
+    return lookups.match_or_allocate(rows, links, target, "id", 100, ["name", "nation_id"]).select("c_custkey", "target_id")
+
+
+_MANY = [f"v{k}" for k in range(70)]
+# Of column k a customer gives a value where the bits of its key, scattered, say so; the last column is always given.
+_GIVES = "CAST((c_custkey * 7919 + 104729) % 1000003 * ({k} + 13) % 1009 AS BIGINT) % 3 = 0"
+
+
+@query("d3_many_patterns", (
+    "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 4 AND c_custkey % 200 IN (SELECT s_suppkey FROM supplier) THEN c_custkey % 200 END AS target_id "
+    "FROM customer"))
+def many_patterns(spark, folder):
+    """Seventy lookup columns, of which nearly every row gives other ones; every fifth row gives one value that disagrees."""
+    lookup = table(spark, folder, "supplier").select("s_suppkey", *[
+        (F.col("s_suppkey") + k if k in (0, 69) else F.col("s_suppkey") % (k + 2)).alias(c) for k, c in enumerate(_MANY)])
+    of = "c_custkey % 200"
+    rows = table(spark, folder, "customer").select("c_custkey", *[
+        F.expr(f"CASE WHEN {_GIVES.format(k=k)} OR {k} = 69 THEN " + (f"{of} + {k}" if k in (0, 69) else f"{of} % {k + 2}")
+               + (" + CASE WHEN c_custkey % 5 = 4 THEN 1000000 ELSE 0 END" if k == 69 else "") + " END").alias(c) for k, c in enumerate(_MANY)])
+    return lookups.resolve_by_values(rows, _MANY, lookup, "s_suppkey").select("c_custkey", F.col("target_id").cast("bigint").alias("target_id"))
 
 
 _WIDE = [f"v{k}" for k in range(20)]
@@ -240,11 +259,11 @@ def backfill_events(spark, folder):
 
 @query("d9_crosswalk_write", sql(
     f"SELECT {reference_sql('customer', 'c_custkey')} AS external_reference, CAST(n_nationkey AS VARCHAR) AS target_id FROM customer JOIN "
-    "nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0"))
+    "nation ON n_nationkey = c_nationkey"))
 def crosswalk_write(spark, folder):
     """Links found by name, written twice: the second time changes nothing."""
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    places = table(spark, folder, "customer").filter("c_custkey % 2 = 0").join(
+    places = table(spark, folder, "customer").join(
         nations.select(F.col("n_nationkey").alias("c_nationkey"), F.lower("n_name").alias("place")), "c_nationkey")
     places = places.select("c_custkey", "place").withColumn("external_reference", reference_for(
         places.select("c_custkey"), SYSTEM, SCHEMA, "customer", ["c_custkey"]))

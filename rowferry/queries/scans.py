@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..contracts import ColumnContract, ForeignKey, TableContract, TargetContract
 from ..operators import merge
 from ..operators.projection import coerce_rows, empty_target
 from ..operators.union import union_all
 from ..sources import contracts as contract_sources
-from ..sources import tables
+from ..sources import tables, targets
 from ..sources.snapshots import Snapshots, rebuild
 from ..sources.workspace import shared_folder
-from .fixtures import ACCOUNT, as_of, crosswalk, keyed_customer, outbox, sql, table, tgt_account
+from .fixtures import ACCOUNT, NATION, as_of, crosswalk, keyed_customer, outbox, sql, table, tgt_account
 from .registry import query
 
-COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+RELATIONAL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+COUNTED = (*RELATIONAL, "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query("a1_table_scan", "SELECT * FROM lineitem")
@@ -46,25 +48,48 @@ def change_feed(spark, folder):
     return feed.select("event_id", "external_reference", "operation", "payload", "created_at")
 
 
+# Columns of the given tables with the types of a contract, as the SQL cannot look them up.
 _TYPES = {
     "region": {"r_regionkey": "integer", "r_name": "string"},
     "nation": {"n_nationkey": "integer", "n_name": "string", "n_regionkey": "integer"},
     "customer": {"c_custkey": "integer", "c_name": "string", "c_nationkey": "integer", "c_acctbal": "float",
                  "c_mktsegment": "string"},
+    "supplier": {"s_suppkey": "integer", "s_name": "string", "s_nationkey": "integer", "s_acctbal": "float"},
+    "part": {"p_partkey": "integer", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "integer",
+             "p_retailprice": "float"},
     "orders": {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string", "o_totalprice": "float",
                "o_orderdate": "datetime", "o_orderpriority": "string"},
+    "lineitem": {"l_orderkey": "integer", "l_partkey": "integer", "l_suppkey": "integer", "l_linenumber": "integer",
+                 "l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_tax": "float", "l_returnflag": "string",
+                 "l_linestatus": "string", "l_shipdate": "datetime"},
+    "events": {"event_id": "integer", "ts": "datetime", "user_id": "integer", "event_type": "string", "value": "float", "props": "string"},
 }
-_PRIMARY = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey"}
+_PRIMARY = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
+            "orders": "o_orderkey", "events": "event_id"}
 
 
 @query("a7_contract_catalog", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, CAST({i} AS INTEGER) AS position, '{c}' AS column_name, '{d}' AS data_type, "
-    f"{'true' if _PRIMARY[t] == c else 'false'} AS is_primary_key, count(*) AS rows FROM {t}"
+    f"SELECT '{t}' AS table_name, CAST({i} AS INTEGER) AS position, '{c}' AS column_name, '{d}' AS data_type, true AS nullable, "
+    f"{'true' if _PRIMARY.get(t) == c else 'false'} AS is_primary_key, count(*) AS rows FROM {t}"
     for t, cols in _TYPES.items() for i, (c, d) in enumerate(cols.items())))
 def contract_catalog(spark, folder):
-    frames = {t: table(spark, folder, t) for t in _TYPES}
+    frames = {t: table(spark, folder, t) for t in RELATIONAL}
     listed = contract_sources.from_schemas(spark, {t: df.schema for t, df in frames.items()}, _PRIMARY)
-    return listed.drop("nullable").join(tables.row_counts(frames), "table_name")
+    return listed.join(tables.row_counts(frames), "table_name")
+
+
+_REFERS = [("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"),
+           ("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_partkey", "part"),
+           ("lineitem", "l_suppkey", "supplier")]
+
+
+@query("a7_foreign_keys", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{p}' AS ref_table, '{_PRIMARY[p]}' AS ref_column WHERE EXISTS (SELECT 1 FROM {t} "
+    f"WHERE {c} IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {_PRIMARY[p]} FROM {p}))"
+    for t, c, p in _REFERS))
+def foreign_keys(spark, folder):
+    """Found by their values, as files declare none."""
+    return contract_sources.foreign_keys({t: table(spark, folder, t) for t in RELATIONAL}, _PRIMARY)
 
 
 _DOCUMENT = (
@@ -196,6 +221,68 @@ def create_target(spark, folder):
     return spark.read.schema(empty.schema).parquet(path)
 
 
+_WHOLE = TargetContract((ACCOUNT, NATION, TableContract("account_detail", (
+    ColumnContract("id", "bigint", nullable=False, primary_key=True), ColumnContract("account_id", "bigint", nullable=False),
+    ColumnContract("balance", "double"), ColumnContract("parent_id", "bigint")),
+    (ForeignKey("account_id", "account"), ForeignKey("parent_id", "account_detail")))))
+
+
+def _loaded(spark, folder):
+    """(created columns, rejected rows, folder) of a contract's tables filled with customers and their orders.
+
+    Customers of nation 7 have no nation, every eleventh has no name, and every fifth comes twice; an order's parent is another order.
+    """
+    root = shared_folder(spark)
+    created = targets.create(spark, _WHOLE, root)
+    nations = table(spark, folder, "nation").filter("n_nationkey <> 7").select("n_nationkey", "n_name")
+    accounts = table(spark, folder, "customer").selectExpr(
+        "c_custkey AS id", "CASE WHEN c_custkey % 11 <> 0 THEN substr(c_name, 1, 12) END AS name", "c_mktsegment AS segment",
+        "c_nationkey AS nation_id", "c_acctbal AS balance")
+    again = accounts.filter("id % 5 = 0").withColumn("balance", F.col("balance") + 20000)
+    details = table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS id", "o_custkey AS account_id", "o_totalprice AS balance",
+        "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey DIV 3 WHEN o_orderkey % 3 = 1 THEN -1 END AS parent_id")
+    rejected = targets.load(spark, _WHOLE, root, {"account": union_all(accounts, again), "nation": nations, "account_detail": details},
+                            {"account": ["balance"], "nation": ["n_name"], "account_detail": ["id"]})
+    return created, rejected, root
+
+
+_LET_IN = {
+    "twice": "SELECT c_custkey, c_nationkey, c_custkey % 11 <> 0 AS named, false AS later FROM customer UNION ALL SELECT c_custkey, c_nationkey, "
+             "c_custkey % 11 <> 0, true FROM customer WHERE c_custkey % 5 = 0",
+    "good": "SELECT c_custkey FROM twice WHERE named AND c_nationkey <> 7 AND NOT later",
+    "details": "SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM good) AS owned, o_orderkey % 3 = 1 OR (o_orderkey % 3 = 0 AND o_orderkey // 3 "
+               "NOT IN (SELECT o_orderkey FROM orders)) AS lost FROM orders",
+    # An order whose parent is turned away has none.
+    "bad": "WITH RECURSIVE b(id) AS (SELECT o_orderkey FROM details WHERE lost OR NOT owned UNION SELECT o_orderkey FROM details JOIN b ON "
+           "o_orderkey % 3 = 0 AND o_orderkey // 3 = id) SELECT id FROM b",
+}
+
+
+@query("a14_created_tables", sql(
+    "SELECT 'nation' AS table_name, 0::INTEGER AS wave, 2::BIGINT AS columns, 2::BIGINT AS required, 0::BIGINT AS refs, (SELECT count(*) FROM nation "
+    "WHERE n_nationkey <> 7) AS rows UNION ALL SELECT 'account', 1, 5, 2, 1, (SELECT count(*) FROM good) UNION ALL SELECT 'account_detail', 2, 4, 2, "
+    "2, (SELECT count(*) FROM details WHERE owned AND NOT lost AND o_orderkey NOT IN (SELECT id FROM bad))", extra=_LET_IN))
+def created_tables(spark, folder):
+    """Every table of a contract, with its wave, its constraints and the rows they let in."""
+    created, _, root = _loaded(spark, folder)
+    counts = tables.row_counts({t.name: targets.stored(spark, _WHOLE, root, t.name) for t in _WHOLE.tables})
+    shape = created.groupBy("table_name", "wave").agg(F.count("*").alias("columns"), F.count_if(~F.col("nullable")).alias("required"),
+                                                      F.count("ref_table").alias("refs"))
+    return shape.join(counts, "table_name")
+
+
+@query("a14_rejected_rows", sql(
+    "SELECT table_name, errors, count(*) AS rows FROM (SELECT 'account' AS table_name, concat_ws('; ', CASE WHEN NOT named THEN 'name is null' "
+    "END, CASE WHEN later THEN 'id is there already' END, CASE WHEN c_nationkey = 7 THEN 'nation_id has no row in nation' END) AS errors FROM twice "
+    "UNION ALL SELECT 'account_detail', concat_ws('; ', CASE WHEN NOT owned THEN 'account_id has no row in account' END, CASE WHEN lost OR "
+    "(owned AND o_orderkey IN (SELECT id FROM bad)) THEN 'parent_id has no row in account_detail' END) FROM details) WHERE errors <> '' GROUP BY ALL", extra=_LET_IN))
+def rejected_rows(spark, folder):
+    """What NOT NULL, key and foreign key turn away, with all reasons of a row."""
+    _, rejected, _ = _loaded(spark, folder)
+    return rejected.groupBy("table_name", F.array_join("errors", "; ").alias("errors")).agg(F.count("*").alias("rows"))
+
+
 @query("g1_backfill_unseen", sql(
     "SELECT external_reference, 'backfill' AS operation FROM keyed_customer WHERE external_reference NOT IN "
     "(SELECT external_reference FROM xwalk)", "keyed_customer", "xwalk"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coercion import contract_type
+from ..operators.union import union_all
 
 CATALOG = ("table_name string, position int, column_name string, data_type string, nullable boolean,"
            " is_primary_key boolean")
@@ -34,6 +35,38 @@ def from_schemas(
     return spark.createDataFrame(rows, CATALOG)
 
 
+def inclusions(frames: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFrame:
+    """(table_name, column_name, ref_table, ref_column): columns all of whose values are among those of a key column.
+
+    The distinct values of all columns that may refer are merged by value, so a value is one small group however often it
+    occurs, and a column is included in a key when it shares as many values with it as it has. Null values refer to nothing;
+    a column without values is included in nothing. Whole numbers and texts are compared, by kind.
+    """
+    kinds = {T.StringType: "text", **{t: "number" for t in (T.ByteType, T.ShortType, T.IntegerType, T.LongType)}}
+    names, parts = [], []
+    for table, df in sorted(frames.items()):
+        for f in df.schema.fields:
+            if type(f.dataType) in kinds:
+                value = F.concat(F.lit(f"{kinds[type(f.dataType)]}:"), F.col(f"`{f.name}`").cast("string"))
+                parts.append(df.select(value.alias("value"), F.lit(len(names)).alias("at")).filter(F.col("value").isNotNull()).distinct())
+                names.append((table, f.name))
+    is_key = [i for i, (t, c) in enumerate(names) if keys.get(t) == c]
+    merged = union_all(*parts).groupBy("value").agg(F.collect_set("at").alias("held"))  # no more than there are columns
+    counts = merged.select(F.explode("held").alias("at"), F.filter("held", lambda i: i.isin(is_key)).alias("keys")) \
+        .select("at", F.explode(F.concat("keys", F.array(F.lit(-1)))).alias("of")).groupBy("at", "of").agg(F.count("*").alias("n"))
+    whole = counts.filter("of = -1").select("at", F.col("n").alias("all"))
+    table_of, column_of = (F.array(*[F.lit(n[k]) for n in names]) for k in (0, 1))
+    return counts.filter("of >= 0 and of <> at").join(whole, "at").filter("n = all").select(
+        F.get(table_of, "at").alias("table_name"), F.get(column_of, "at").alias("column_name"),
+        F.get(table_of, "of").alias("ref_table"), F.get(column_of, "of").alias("ref_column"))
+
+
+def foreign_keys(frames: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFrame:
+    """Inclusions whose columns have the same name past a table prefix: what can be known without declared keys."""
+    stem = lambda c: F.regexp_replace(c, "^[a-z]{1,2}_", "")
+    return inclusions(frames, keys).filter((stem("column_name") == stem("ref_column")) & (F.col("table_name") != F.col("ref_table")))
+
+
 def from_export(exports: DataFrame, document: str, *keep: str) -> DataFrame:
     """Catalog rows of JSON exports ``{table: [{name, type, nullable, primary_key}]}``."""
     tables = exports.select(*keep, F.explode(F.from_json(document, EXPORT)).alias("table_name", "_columns"))

@@ -374,3 +374,44 @@ def test_job_failures_in_every_place(spark):
     got = metrics.job_failures(df).select("job_id", "entity", "status", "error")
     assert rows(got, "job_id", "entity") == [
         (0, "a", "FAILED", None), (1, "c", "done", "late"), (1, "d", "skipped", None), (2, "e", "error", None)]
+
+
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_lookup_by_any_given_values(spark, broadcast):
+    """Random sets of given values, some of few different values, against comparing all pairs; without broadcast also through the shuffle."""
+    rng = random.Random(4)
+    columns = [f"c{k}" for k in range(8)]
+    value = lambda k: rng.choice([None, *range(1 + k)])
+    lookup = [(n, *[value(k) for k in range(8)]) for n in range(60)]
+    asked = [(n, *[value(k) if rng.random() < 0.5 else None for k in range(8)]) for n in range(300)]
+    schema = ", ".join(["id bigint", *[f"{c} int" for c in columns]])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        source = spark.createDataFrame(asked, schema).withColumnRenamed("id", "n").withColumn("external_reference", F.col("n").cast("string"))
+        got = lookups.resolve_by_values(source, columns, spark.createDataFrame(lookup, schema), "id", weigh=source)
+        found = dict(rows(got.select("n", "target_id"), "n"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for n, *given in asked:
+        fits = [i for i, *have in lookup if any(g is not None for g in given) and all(g is None or g == h for g, h in zip(given, have))]
+        assert found[n] == min(fits, default=None)
+
+
+def test_ids_of_any_keys(spark):
+    keys = ["", "a", "a" * 300, "zz", "é", "漢", *[f"same-{k:05}" for k in range(2000)], *[str(k) for k in range(500)]]
+    df = spark.createDataFrame([(k,) for k in keys], "ref string").repartition(6)
+    expected = [(k, i) for i, k in enumerate(sorted(keys, key=str.encode), 7)]
+    for ranges in (None, 1, 5, 64):
+        got = ordering.allocate_ids(df, "ref", "id", 7, ranges=ranges)
+        assert sorted(map(tuple, got.select("ref", "id").collect()), key=lambda r: r[1]) == expected
+
+
+def test_small_shares_are_split(spark):
+    """A key with 1.9 % of the rows gets parts, more of them the larger its share is."""
+    skewed = spark.range(200_000).selectExpr("id", "CASE WHEN id % 53 = 0 THEN -1 WHEN id % 3 = 0 THEN -2 ELSE id END AS k")
+    shares = dict(skew.key_shares(skewed, "k", 0.01))
+    assert set(shares) == {-1, -2} and abs(shares[-1] - 1 / 53) < 0.001
+    other = spark.createDataFrame([(-1, "x"), (-2, "y"), (5, "z")], "k bigint, v string")
+    joined = skew.spread_join(skewed, other, "k", "inner", ["id"], share=0.01)
+    assert joined.count() == skewed.join(other, "k").count()
