@@ -30,13 +30,16 @@ from .pretokens import code_points
 from .shingles import WORD, WordNumbers, window_hashes
 
 POSITIVES, UNLABELLED = 8_000, 16_000
-"""Expected rows of the samples that are learnt from."""
+"""Expected rows of the fitting sample: documents marked good, and documents without a label. Both are bounded whatever the
+number of documents is; texts to score are not."""
 THRESHOLD = 0.7
 _PAIRS = 64
 _DENSE = 24
 SIZE = _DENSE + _PAIRS
 _HASH_RANGE = 1 << 31
-_UNITS, _BATCH, _STEP, _DECAY = 24, 128, 3e-3, 0.1
+_UNITS, _BATCH, _STEP, _DECAY = 24, 128, 3e-3, 0.03
+# These settings had the best accuracy of eight sets on teaching rows whose remainder is 3, learnt from those whose remainder is 0
+# or 1; held-out rows had no part in it.
 _EPOCHS, _FEWEST, _MOST = 100, 200, 2000
 """Passes over the positives, and bounds of the steps that gives."""
 _SEEDS = (7, 8, 9)

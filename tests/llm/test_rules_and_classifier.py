@@ -90,3 +90,33 @@ def test_nothing_to_learn_from(docs_of, spark):
     rows = quality_classifier.score(df, model).collect()
     assert len(rows) == len(ROWS) and {r["score"] for r in rows} == {0.0, 0.5}
     assert all(r["score"] == 0 for r in rows if not (r["text"] or "").strip())
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(0, 1, (7, 5))
+    values = [rng.normal(0, 1, (5, 4)), rng.normal(0, 1, 4), rng.normal(0, 1, 4), rng.normal(0, 1, 1)]
+    loss = lambda: np.logaddexp(0, quality_classifier.Network(*values).margin(rows)).mean()
+    margins = quality_classifier.Network(*values).margin(rows)
+    found = quality_classifier.Network(*values).slopes(rows, 1 / (1 + np.exp(-margins)))
+    for value, slope in zip(values, found, strict=True):
+        for at in np.ndindex(value.shape):
+            kept = value[at]
+            value[at] = kept + 1e-6
+            above = loss()
+            value[at] = kept - 1e-6
+            below = loss()
+            value[at] = kept
+            assert abs((above - below) / 2e-6 - slope[at]) < 1e-5
+
+
+def test_prior_against_a_plain_one():
+    rng = np.random.default_rng(3)
+    positive, mixed = rng.normal(1, 1, 400), np.concatenate([rng.normal(1, 1, 300), rng.normal(-2, 1, 200)])
+    best = None
+    for k in range(45):
+        cut = np.quantile(positive, 0.02 + k * (0.9 - 0.02) / 44)
+        p, u = sum(x >= cut for x in positive) / 400, sum(x >= cut for x in mixed) / 500
+        bound = (u + 1 / 400 ** 0.5 + 1 / 500 ** 0.5) / p
+        best = min(best, (bound, u / p)) if best else (bound, u / p)
+    assert quality_classifier.estimate_prior(positive, mixed) == pytest.approx(best[1])
