@@ -2,6 +2,7 @@ import pytest
 
 from rowferry.contracts import ColumnContract, ContractError, FieldMapping, ForeignKey, TableContract, TargetContract
 from rowferry.operators import projection, validation
+from rowferry.sources import targets
 
 SITES = TargetContract((
     TableContract("site", (ColumnContract("id", "int", False, True), ColumnContract("place", "varchar(10)")),
@@ -16,8 +17,7 @@ SITES = TargetContract((
 
 def test_order_and_lookups():
     assert SITES.parents_first(["detail", "site", "site_kind"]) == ["site_kind", "site", "detail"]
-    assert SITES.lookups_of(["detail"]) == ["site", "site_kind"]
-    assert SITES.lookups_of(["detail", "site"]) == ["site_kind"]
+    assert targets.waves(SITES) == [["site_kind"], ["site"], ["detail"]]
     assert SITES.table("site").lookup_only and not SITES.table("detail").lookup_only
 
 
@@ -26,6 +26,8 @@ def test_cycle_is_refused():
                            TableContract("b", (), (ForeignKey("a_id", "a"),))))
     with pytest.raises(ContractError, match="cycle"):
         loop.parents_first(["a", "b"])
+    with pytest.raises(ContractError, match="cycle"):
+        targets.waves(loop)
     with pytest.raises(ContractError, match="not part"):
         SITES.parents_first(["unknown"])
 
