@@ -15,7 +15,8 @@ from tests.test_queries import TYPES, _key
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(name, spark, folder):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for table in ("documents", "embeddings", "pages"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     df = QUERIES[name](spark, folder)
     result = duck.execute(ORACLES[name])
     described = {d[0]: str(d[1]) for d in result.description}
