@@ -8,9 +8,10 @@ begin, which token ends there and how the count there differs. The last token of
 model leaves apart from the token before it; that check on two tokens is the library's own merge result.
 
 The bytes of a batch are cut into chunks of equal length that step through the transducer together. A
-chunk in which a piece begins maps every state to the same last state; the bytes before that
-border, and chunks without one, are run again from the state the chunks before lead to. Composing
-these chunk maps in order leaves exact counts.
+chunk in which a piece begins maps every state to the same last state. Any other chunk is a map from
+states to states with the count changes on the way, known where states are likely to occur. These maps are composed in a
+prefix scan by doubling, which gives the state that every chunk begins in; with it all bytes before a
+first border are counted at once. Counts are exact, however long a piece is.
 
 Null texts count as empty and have no tokens; repeated rows and other columns do not matter, and an empty
 table gives an empty one. Special strings inside a text are one token each, as the library takes them.
@@ -37,6 +38,9 @@ CHUNK = 1024
 MOST_STATES = 400_000
 """States kept at once (some 400 bytes each with what they need); then only those in use are kept."""
 
+GUESSES = 4
+"""Rounds in which all chunk maps are extended; then only those that the scan stops at, so work stays linear."""
+
 _START, _DEAD = 0, 1
 _ZERO = 128  # count changes are stored above this
 _NONE = -1
@@ -44,6 +48,16 @@ _NONE = -1
 COUNTED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType())])
 
 
+def _reached(follow: np.ndarray, roots: np.ndarray, steps: int) -> np.ndarray:
+    """Marks what `follow` leads to from the roots: maps over 1, 2, 4 and more steps, each composed of the one before."""
+    marked = np.zeros(len(follow), bool)
+    marked[roots] = True
+    for _ in range(steps.bit_length()):
+        marked[follow[marked]] = True
+        follow = follow[follow]
+    return marked
+
+
 class Transitions:
     """Hash table from a state and a byte to the next state and the count change, looked up by whole arrays."""
 
@@ -109,6 +123,7 @@ class Transducer:
         self.numbers = {t: i for i, t in enumerate(self.tokens)}  # 0: nothing stands before
         self.beginnings = {t[:k] for t in self.tokens for k in range(len(t) + 1)}
         self.most = max(most, 4)
+        self.held: list[np.ndarray] = []  # state numbers that outlive a run
         self.reset([])
 
     def reset(self, live: list[int]) -> list[int]:
@@ -168,7 +183,11 @@ class Transducer:
         return value
 
     def changes(self, data: np.ndarray, resets: np.ndarray) -> np.ndarray:
-        """Count change of every byte; `resets` marks bytes that begin a piece."""
+        """Count change of every byte; `resets` marks bytes that begin a piece, the first byte among them.
+
+        What the bytes of a chunk change before a piece begins in it stands as one sum on its first byte.
+        """
+        self.held = []
         if len(self.states) > self.most:
             self.reset([])
         lanes = -(-len(data) // CHUNK)
@@ -179,69 +198,103 @@ class Transducer:
         enter[len(data):] = _DEAD
         bytes_of, enter = padded.reshape(lanes, CHUNK).T.copy(), enter.reshape(lanes, CHUNK).T.copy()
         out = np.full((CHUNK, lanes), _ZERO, np.uint8)
-        exits = self._run(bytes_of, enter, np.full(lanes, _DEAD, np.int64), out, np.full(lanes, CHUNK))
         begins = enter != _NONE
         heads = np.where(begins.any(0), begins.argmax(0), CHUNK)
-        known = heads < CHUNK  # chunks that map every state to one
-        todo = np.flatnonzero(heads > 0)
-        while len(todo):
-            ready = todo[known[todo - 1]]
-            part = np.full((CHUNK, len(ready)), _ZERO, np.uint8)
-            # A start of the whole chunk is masked: only the bytes before it are run again.
-            last, longest = self._run(bytes_of[:, ready], np.full((CHUNK, len(ready)), _NONE, np.int8),
-                                      exits[ready - 1], part, heads[ready], exits), heads[ready]
-            for lane, column, head in zip(ready, range(len(ready)), longest, strict=True):
-                out[:head, lane] = part[:head, column]
-            through = ~known[ready]
-            exits[ready[through]] = last[through]
-            known[ready] = True
-            todo = todo[~np.isin(todo, ready)]
-        return out.T.reshape(-1)[:len(data)].astype(np.int64) - _ZERO
-
-    def _run(self, data: np.ndarray, enter: np.ndarray, states: np.ndarray, out: np.ndarray, lengths: np.ndarray,
-             others: np.ndarray | None = None) -> np.ndarray:
-        """Steps chunks together from the given states; returns the states after `lengths` bytes."""
-        states, longest = states.astype(np.int64), int(lengths.max(initial=0))
-        if len(states) == 1 and others is not None:
-            return self._run_one(data[:, 0], int(states[0]), out[:, 0], longest)
-        last = states.copy()
+        exits, _ = self._run(bytes_of, np.full(lanes, _DEAD, np.int64), np.full(lanes, CHUNK), enter, out)
+        exits = self._exits(bytes_of, exits, heads == CHUNK)
+        late = np.flatnonzero(heads > 0)
+        _, sums = self._run(bytes_of[:, late], exits[late - 1], heads[late])
+        changes = out.T.reshape(-1).astype(np.int64) - _ZERO
+        changes[late * CHUNK] += sums
+        return changes[:len(data)]
+
+    def _exits(self, data: np.ndarray, exits: np.ndarray, through: np.ndarray) -> np.ndarray:
+        """State in which every chunk ends, given those of chunks in which a piece begins; `through` marks the others.
+
+        A chunk of the others is a map from states to states, known at some: at the begin of a piece, at what
+        the chunk before ends in, and so on. All chunks extend their maps at once. The maps are composed by a scan, and
+        once it comes from the true first state through all chunks they are known well enough. Maps that
+        do not meet in a few rounds are extended only where the scan stopped.
+        """
+        if not through.any():
+            return exits
+        lanes = len(exits)
+        place = np.flatnonzero(through)  # a place of a map: its chunk, the state it begins and the one it ends in
+        first = ~through[place - 1]
+        begin, end = np.where(first, exits[place - 1], _START), np.zeros(0, np.int64)
+        chunk, rounds = place, 0
+        while True:
+            new = slice(len(end), None)
+            self.held = [exits, begin, end]
+            found, _ = self._run(data[:, chunk[new]], begin[new], np.full(len(chunk) - len(end), CHUNK))
+            self.held = []
+            end = np.concatenate([end, found])
+            rounds += 1
+            keys = chunk << 32 | begin
+            order = np.argsort(keys)
+            after = np.minimum(chunk + 1, lanes - 1)
+            goes_on = (chunk + 1 < lanes) & through[after]
+            wanted = after << 32 | end
+            at = order[np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)]
+            met = goes_on & (keys[at] == wanted)
+            true = _reached(np.where(met, at, np.arange(len(keys))), np.flatnonzero(first), lanes)
+            open_ends = goes_on & ~met
+            if not (open_ends & true).any():
+                exits[chunk[true]] = end[true]
+                return exits
+            more = np.unique(wanted[open_ends if rounds < GUESSES else open_ends & true])
+            chunk = np.concatenate([chunk, more >> 32])
+            begin = np.concatenate([begin, more & 0xFFFFFFFF])
+
+    def _run(self, data: np.ndarray, states: np.ndarray, lengths: np.ndarray, enter: np.ndarray | None = None,
+             out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Steps chunks together from the given states; returns the states after `lengths` bytes and the sums of changes."""
+        longest = int(lengths.max(initial=0))
+        if len(states) == 1 and enter is None:
+            return self._run_one(data[:longest, 0], int(states[0]))
+        order = np.argsort(-lengths, kind="stable")
+        if (lengths != longest).any():
+            data = data[:longest, order]
+        states, sums = states[order].astype(np.int64), np.zeros(len(states), np.int64)
+        going = np.searchsorted(-lengths[order], -np.arange(longest))  # chunks longer than the bytes read
         for at in range(longest):
-            states = np.where(enter[at] != _NONE, enter[at], states)
-            entries = (states << 8) + data[at]
+            n = going[at]
+            if enter is not None:
+                states[:n] = np.where(enter[at, :n] != _NONE, enter[at, :n], states[:n])
+            entries = (states[:n] << 8) + data[at, :n]
             values = self.transitions.find(entries)
             missing = values < 0
             if missing.any():
                 if len(self.states) > self.most:
-                    states, last, others = self._begin_anew(states, last, others)
-                    entries = (states << 8) + data[at]
+                    self._begin_anew([states, *self.held])
+                    entries = (states[:n] << 8) + data[at, :n]
                     missing = self.transitions.find(entries) < 0
                 for entry in np.unique(entries[missing]).tolist():
                     self.step(entry)
                 values = self.transitions.find(entries)
-            states = (values >> 8).astype(np.int64)
-            out[at] = values & 255
-            ended = lengths == at + 1
-            last[ended] = states[ended]
-        return last
-
-    def _begin_anew(self, states: np.ndarray, last: np.ndarray, others: np.ndarray | None):
-        live = np.unique(np.concatenate([states, last, *([] if others is None else [others])])).tolist()
-        new = dict(zip(live, self.reset(live), strict=True))
-        renumber = lambda x: np.array([new[s] for s in x.tolist()], np.int64)
-        if others is not None:
-            others[:] = renumber(others)
-        return renumber(states), renumber(last), others
-
-    def _run_one(self, data: np.ndarray, state: int, out: np.ndarray, length: int) -> np.ndarray:
-        values = []
-        for byte in data[:length].tolist():
+            states[:n] = values >> 8
+            sums[:n] += (values & 255) - _ZERO
+            if out is not None:
+                out[at] = values & 255
+        back = np.argsort(order, kind="stable")
+        return states[back], sums[back]
+
+    def _begin_anew(self, arrays: list[np.ndarray]) -> None:
+        """Forgets states that none of the arrays names; the arrays get the new numbers."""
+        live = np.unique(np.concatenate(arrays))
+        new = np.array(self.reset(live.tolist()), np.int64)
+        for numbers in arrays:
+            numbers[:] = new[np.searchsorted(live, numbers)]
+
+    def _run_one(self, data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray]:
+        total = 0
+        for byte in data.tolist():
             value = self.transitions.get(state << 8 | byte)
             if value < 0:
                 value = self.step(state << 8 | byte)
             state = value >> 8
-            values.append(value & 255)
-        out[:length] = values
-        return np.array([state], np.int64)
+            total += (value & 255) - _ZERO
+        return np.array([state], np.int64), np.array([total], np.int64)
 
     def count(self, texts: list[str], classes: np.ndarray) -> np.ndarray:
         """Tokens of every text."""

@@ -99,6 +99,43 @@ def test_counts_with_a_small_table(classes):
         assert machine.count(part, classes).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in part]
 
 
+def test_long_pieces_in_one_scan(classes):
+    """Pieces over hundreds of chunks, alone and between others, with maps that meet soon and maps that hardly do."""
+    content = vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_str(content.decode())
+    rng = random.Random(8)
+    texts = ["a" * 200_000, "ab" * 50_001, "x " + "é" * 40_000, "".join(rng.choices("etaoin", k=60_000)) + " the end", "=" * 65_536, "漢" * 9000]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    machine = token_counts.Transducer(content)
+    assert [int(machine.count([t], classes)[0]) for t in texts] == want
+    assert machine.count(texts, classes).tolist() == want
+    few = token_counts.Transducer(content, most=300)
+    assert few.count([t[:5000] for t in texts], classes).tolist() == [
+        len(library.encode(t[:5000], add_special_tokens=False).ids) for t in texts]
+
+
+def test_reached_is_what_single_steps_reach():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        size = int(rng.integers(1, 40))
+        follow = np.minimum(np.arange(size) + rng.integers(0, 4, size), size - 1)
+        roots = rng.integers(0, size, 3)
+        want = set()
+        for at in roots.tolist():
+            while at not in want:
+                want.add(at)
+                at = int(follow[at])
+        assert set(np.flatnonzero(token_counts._reached(follow, roots, size)).tolist()) == want
+
+
+def test_no_texts_to_count(docs_of, spark):
+    content = vocabulary("byte_bpe_50k.json")
+    empty = docs_of([(1, "x", None, None)]).limit(0)
+    assert token_counts.count_tokens(empty, content).collect() == []
+    rows = token_counts.count_tokens(docs_of([(1, "", None, None), (1, "", None, None), (2, None, None, None)]), content).collect()
+    assert [(r["n_tokens"], r["n_bytes"]) for r in rows] == [(0, 0)] * 3
+
+
 def test_chunk_maps_compose(classes):
     """A piece over many chunks: every chunk starts from the state the one before ends in."""
     content = vocabulary("byte_bpe_50k.json")
