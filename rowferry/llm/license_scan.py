@@ -2,8 +2,9 @@
 
 Around every word that speaks of licences a passage is taken. Passages become sparse vectors over the words of the
 templates, weighted by term frequency and by how rare a word is among all texts; the most similar template
-above a threshold names the licence. The whole text of a licence file, and a whole BSD text in any file, is first compared
-with whole licence texts, and the identifiers of SPDX lines are looked up as they stand. A file without one of its own takes that of the licence file (a file so named) in
+above a threshold names the licence. The whole text of a licence file is first compared with whole licence texts. In any file, what
+follows the opening words of a licence text or of a usual file header is compared with that text or header, as many words as it has.
+The identifiers of SPDX lines are looked up as they stand. A file without one of its own takes that of the licence file (a file so named) in
 the nearest directory above it, found by joining directories and their ancestors.
 
 Null and empty texts have no licence of their own; a null path is in no directory. Of equally similar templates the
@@ -18,6 +19,8 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -61,14 +64,59 @@ SPEAKS = r"licen[sc]ed?\b|licen[sc]es?\b|permission is hereby|redistribution and
 SPDX = r"(?i)spdx-license-identifier:[\x20\t]*([^\r\n]*)"
 TEXTS = Path(__file__).parent / "license_texts"
 """Whole licence texts by identifier, read by the driver."""
-WHOLE = r"(?is)redistribution\s+and\s+use\s+in\s+source\b.{0,4000}?possibility[\s*#/;-]+of[\s*#/;-]+such[\s*#/;-]+damage"
-"""Stretches compared with whole texts in any file: licences that begin alike and differ further on."""
+OPENING = 8
+"""Words at the beginning of a licence text or header by which it is found in other files."""
+
+
+@dataclass(frozen=True)
+class Header:
+    """The usual header of source files, as a licence text gives it between an opening and a closing."""
+
+    license: str
+    text: str
+    opening: str
+    closing: str
+    needs: tuple[str, ...] = ()
+    instead: tuple[str, str] = ("", "")
+
+
+# Where the headers stand in the licence texts (in lower-case words), what tells apart those that read
+# alike, and the name that takes the place of another in headers of licences that only refer to a text.
+_FREE = "free software you can redistribute it and or modify"
+_POST = "boston ma 02110 1301 usa"
+_SITE = "see https www gnu org licenses"
+HEADERS = (
+    Header("Apache-2.0", "Apache-2.0", "licensed under the apache license version 2 0", "limitations under the license"),
+    Header("GPL-2.0", "GPL-2.0", _FREE, _POST, ("gnu general public", "version 2 of")),
+    Header("GPL-3.0", "GPL-3.0", _FREE, _SITE, ("gnu general public", "version 3 of")),
+    Header("LGPL-2.1", "LGPL-2.1", _FREE, _POST, ("gnu lesser general public", "version 2 1 of")),
+    Header("LGPL-3.0", "GPL-3.0", _FREE, _SITE, ("gnu lesser general public", "version 3 of"), ("gnu general", "gnu lesser general")),
+    Header("AGPL-3.0", "GPL-3.0", _FREE, _SITE, ("gnu affero general public", "version 3 of"), ("gnu general", "gnu affero general")),
+    Header("MPL-2.0", "MPL-2.0", "this source code form is subject to the terms", "mozilla org mpl 2 0"),
+)
+
+
+@dataclass(frozen=True)
+class Template:
+    """What a licence file or a stretch of a file is compared with."""
+
+    name: str
+    license: str
+    words: tuple[str, ...]
+    needs: tuple[str, ...] = ()
+
+    @property
+    def opening(self) -> tuple[str, ...]:
+        return self.words[:OPENING]
+
+
 WHOLE_SIMILAR = 0.9
 BEFORE, AFTER = 60, 100
 """Characters of a passage before and from the word that speaks of licences."""
 SIMILAR = 0.75
 FILE_NAME = r"(?i)(?:^|/)(?:un)?licen[sc]e[^/]*$|(?:^|/)copying[^/]*$"
 PARTS = 8
+STRETCHES = "array<struct<_only: string, _words: array<string>>>"
 _WORD = "[a-z0-9]+"
 _RESULT = ("license", "score", "passages", "license_file", "effective_license", "licensed_by")
 
@@ -160,17 +208,22 @@ def scan(files: DataFrame, statements: Sequence[Statement], path: str = "path",
     named = F.coalesce(files[path].rlike(FILE_NAME), F.lit(False))
     none = F.array().cast("array<string>")
     tagged = F.when(content.rlike(SPDX), F.regexp_extract_all(content, F.lit(SPDX), F.lit(1))).otherwise(none)
-    stretches = F.when(content.rlike(WHOLE), F.regexp_extract_all(content, F.lit(WHOLE), F.lit(0))).otherwise(none)
+    texts = whole_texts()
+    made = templates(texts)
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("_only"), terms(content).alias("_words")))
     # Identifiers are not statements: cosine would take an unknown one for a known one.
     stated = F.when(content.rlike(SPDX), F.regexp_replace(content, SPDX, "")).otherwise(content)
-    rows = materialise(files.select(
+    joined = F.when(content.rlike(_opened(made)), F.concat(F.lit(" "), F.array_join(terms(content), " "), F.lit(" ")))
+    read = files.select(
         *others, F.monotonically_increasing_id().alias("_row"), files[path].alias("_path"),
-        passages(stated).alias("_passages"), tagged.alias("_tagged"),
-        F.when(named, F.concat(F.array(content), stretches)).otherwise(stretches).alias("_wholes")))
+        passages(stated).alias("_passages"), tagged.alias("_tagged"), joined.alias("_joined"),
+        F.when(named, whole).otherwise(F.array().cast(STRETCHES)).alias("_whole"))
+    rows = materialise(read.withColumn("_wholes", F.concat("_whole", F.when(
+        F.col("_joined").isNotNull(), stretches(F.col("_joined"), made)).otherwise(F.array().cast(STRETCHES)))).drop("_joined", "_whole"))
     found = rows.filter(F.size("_passages") > 0).select("_row", F.posexplode("_passages").alias("_at", "passage"))
     hits = similarities(found, statements, weights).filter("license is not null")
-    texts = whole_texts()
-    wholes = whole_similarities(rows.filter(F.size("_wholes") > 0).select("_row", F.posexplode("_wholes").alias("_at", "whole")), texts)
+    compared = rows.filter(F.size("_wholes") > 0).select("_row", F.posexplode("_wholes").alias("_at", "_one"))
+    wholes = whole_similarities(compared.select("_row", "_at", "_one.*"), made)
     names = F.regexp_extract_all(F.array_join("_tagged", " "), F.lit(r"[A-Za-z0-9.+-]+"), F.lit(0))
     tags = rows.filter(F.size("_tagged") > 0).select("_row", F.posexplode(names).alias("_at", "_name")).select(
         "_row", "_at", spdx_license(F.col("_name"), [*texts, *[s.license for s in statements]]).alias("license"),
@@ -196,30 +249,81 @@ def scan(files: DataFrame, statements: Sequence[Statement], path: str = "path",
 
 
 def whole_texts() -> dict[str, str]:
-    """Whole licence texts. That of the AGPL is the GPL's by its own name, from which it hardly differs otherwise."""
+    """Whole licence texts. That of the AGPL is the GPL's by its own name and date, from which it hardly differs otherwise."""
     texts = {p.stem: p.read_text(encoding="utf-8").lower() for p in sorted(TEXTS.glob("*.txt"))}
-    return texts | {"AGPL-3.0": texts["GPL-3.0"].replace("gnu general", "gnu affero general")}
+    affero = texts["GPL-3.0"].replace("gnu general", "gnu affero general").replace("29 june 2007", "19 november 2007")
+    return texts | {"AGPL-3.0": affero}
+
+
+def templates(texts: dict[str, str], headers: Sequence[Header] = HEADERS) -> list[Template]:
+    """Whole texts and the headers cut out of them, as words."""
+    words = {k: re.findall(_WORD, t) for k, t in texts.items()}
+    made = [Template(k, k, tuple(w)) for k, w in words.items()]
+    for header in headers:
+        text = " ".join(words[header.text])
+        begin = text.index(header.opening)
+        end = text.index(header.closing, begin) + len(header.closing)
+        cut = text[begin:end].replace(*header.instead) if header.instead[0] else text[begin:end]
+        made.append(Template(f"{header.license} header", header.license, tuple(cut.split()), header.needs))
+    return made
+
+
+def _opened(made: Sequence[Template]) -> str:
+    """A pattern of the openings, whatever stands between their words."""
+    between = "[^a-z0-9]+"
+    return "(?i)" + "|".join(sorted({rf"\b{between.join(t.opening)}\b" for t in made}))
+
+
+def stretches(joined: Column, made: Sequence[Template]) -> Column:
+    """(`_only`, `_words`): after every opening as many words as each of its templates has.
+
+    `joined` holds a text's words with one blank around each. A stretch ends where its opening comes again,
+    so stretches of one template do not overlap.
+    """
+    groups: dict[tuple[str, ...], list[Template]] = {}
+    for t in made:
+        groups.setdefault(t.opening, []).append(t)
+    found = [_after(joined, f" {' '.join(opening)} ", group) for opening, group in groups.items()]
+    none = F.array().cast(STRETCHES)
+    return F.flatten(F.array(*[F.coalesce(f, none) for f in found]))
+
+
+def _after(joined: Column, mark: str, group: Sequence[Template]) -> Column:
+    """The stretches of one opening."""
+
+    def cut(part: Column) -> Column:
+        each = []
+        for t in group:
+            words = F.slice(F.split(F.trim(part), " "), 1, len(t.words))
+            there = [F.array_join(words, " ").contains(phrase) for phrase in t.needs]
+            wanted = F.struct(F.lit(t.name).alias("_only"), words.alias("_words"))
+            each.append(F.when(reduce(and_, there), wanted) if there else wanted)
+        return F.filter(F.array(*each), lambda one: one.isNotNull())
+
+    parts = F.filter(F.split(joined, f"(?={mark})", -1), lambda part: part.startswith(mark))
+    return F.when(joined.contains(mark), F.flatten(F.transform(parts, cut)))
 
 
-def whole_similarities(found: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """(`_row`, `license`, `score`) of every text in `found` (`_row`, `_at`, `whole`) that is like a whole licence text.
+def whole_similarities(found: DataFrame, made: Sequence[Template]) -> DataFrame:
+    """(`_row`, `_at`, `license`, `score`) of the words in `found` (`_row`, `_at`, `_only`, `_words`) that are like a template.
 
-    Words are weighted by how rare they are among the licence texts.
+    Words are weighted by how rare they are among the templates. `_only` names the one template to compare with, null: all.
     """
-    counted = {k: Counter(re.findall(_WORD, t)) for k, t in texts.items()}
+    counted = {t: Counter(t.words) for t in made}
     among = Counter(w for words in counted.values() for w in words)
-    rarity = {w: math.log((len(texts) + 1) / (n + 1)) + 1 for w, n in among.items()}
-    norms = {k: math.sqrt(sum((n * rarity[w]) ** 2 for w, n in words.items())) for k, words in counted.items()}
+    rarity = {w: math.log((len(made) + 1) / (n + 1)) + 1 for w, n in among.items()}
+    norms = {t: math.sqrt(sum((n * rarity[w]) ** 2 for w, n in words.items())) for t, words in counted.items()}
     session = found.sparkSession
     # Of the size of the licence texts, whatever the input.
     weights = F.broadcast(session.createDataFrame(list(rarity.items()), "word string, rarity double"))
     units = F.broadcast(session.createDataFrame(
-        [(k, w, n * rarity[w] / norms[k]) for k, words in counted.items() for w, n in words.items()],
-        "license string, word string, unit double"))
-    each = found.select("_row", "_at", F.explode(terms(F.col("whole"))).alias("word")).groupBy("_row", "_at", "word").agg(
+        [(t.name, t.license, w, n * rarity[w] / norms[t]) for t, words in counted.items() for w, n in words.items()],
+        "name string, license string, word string, unit double"))
+    each = found.select("_row", "_at", "_only", F.explode("_words").alias("word")).groupBy("_row", "_at", "_only", "word").agg(
         F.count("*").alias("tf")).join(weights, "word").withColumn("weight", F.col("tf") * F.col("rarity"))
     norm = each.groupBy("_row", "_at").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = each.join(units, "word").groupBy("_row", "_at", "license").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    dots = each.join(units, "word").filter("_only is null or _only = name").groupBy("_row", "_at", "name", "license").agg(
+        F.sum(F.col("weight") * F.col("unit")).alias("dot"))
     scored = dots.join(norm, ["_row", "_at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
     best = scored.groupBy("_row", "_at").agg(F.max(F.struct("score", "license")).alias("_best"))
     return best.select("_row", "_at", "_best.license", "_best.score").filter(F.col("score") >= WHOLE_SIMILAR)

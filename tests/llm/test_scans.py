@@ -217,6 +217,43 @@ def test_whole_texts_and_identifiers(spark):
     assert got == {path: license for path, _, license in files}
 
 
+def test_headers_and_whole_texts_in_any_file(spark):
+    """Headers and whole texts between code, also on one line and behind a very long text; half a header is none of them."""
+    made = {t.name: t for t in license_scan.templates(license_scan.whole_texts())}
+    code = "int total(int a) { return a; }\n" * 300
+    files = []
+    for name, t in made.items():
+        words = " ".join(t.words)
+        files += [(f"/a/{name}.c", f"/* {words} */\n{code}", t.license), (f"/b/{name}.c", f"{code * 20}// {words.upper()}\n{code}", t.license)]
+    gpl = " ".join(made["GPL-2.0 header"].words)
+    files += [("/c/twice.c", f"{gpl} {code} {gpl}", "GPL-2.0"), ("/c/part.c", " ".join(made["MIT"].words[:30]), None)]
+    newer = ("/c/newer.c", gpl.replace("version 2 of", "version 3 of"))
+    df = spark.createDataFrame([*[f[:2] for f in files], newer], "path string, text string")
+    rows = license_scan.scan(df, (license_scan.Statement("none", "unheard words"),)).collect()
+    got = {r["path"]: r["license"] for r in rows}
+    assert got.pop("/c/newer.c") in (None, "GPL-3.0")
+    assert got == {path: license for path, _, license in files}
+
+
+def test_whole_similarities_by_hand(spark):
+    made = license_scan.templates(license_scan.whole_texts())
+    among = {w: sum(w in t.words for t in made) for t in made for w in t.words}
+
+    def vector(words):
+        return {w: words.count(w) * (math.log((len(made) + 1) / (among[w] + 1)) + 1) for w in set(words) & set(among)}
+
+    def cosine(a, b):
+        return sum(v * b.get(w, 0) for w, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    short = [t for t in made if len(t.words) < 400]
+    rows = [(k, 0, None, [w for n, w in enumerate(t.words) if n % 17]) for k, t in enumerate(short)]
+    found = spark.createDataFrame(rows, "_row long, _at int, _only string, _words array<string>")
+    got = {r["_row"]: (r["license"], r["score"]) for r in license_scan.whole_similarities(found, made).collect()}
+    for k, _, _, words in rows:
+        score, license = max((round(cosine(vector(words), vector(list(t.words))), 9), t.license) for t in made)
+        assert score < license_scan.WHOLE_SIMILAR or (got[k][0] == license and abs(got[k][1] - score) < 1e-8)
+
+
 def page(host, number, body):
     return (number, f"http://{host}/{number}", body)
 
