@@ -1,4 +1,4 @@
-"""Reading error texts, finding ownership conflicts and planning safe repairs."""
+"""Reading error texts, finding ownership conflicts, planning and applying safe repairs."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import uuid5
 from ..functions.text import substrings
+from .lookups import CROSSWALK_KEY
 
 # Message formats of the target engines and of the delivery itself.
 DUPLICATE_POSTGRES = r'(?is)unique constraint "(\w+)_pkey".*?key \((\w+)\)=\(([^)]+)\) already exists'
@@ -20,6 +21,7 @@ JOB_ID = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
 COMPOSITE_KEY = "no_single_key"
 TARGET_GONE = "target_row_gone"
 CLAIMED = "id_of_another_row"
+REPAIRED = "crosswalk_repaired"
 ADVICE = {
     "paused": "entity_paused",
     "bare": "no_target_tables",
@@ -109,10 +111,37 @@ def repair_plan(
         F.when(foreign, CLAIMED),
     ), lambda r: r.isNotNull())
     return joined.withColumn("reasons", reasons).select(
-        "error_id", "source_entity", "target_table", "target_id", "external_reference",
+        "error_id", "source_system", "source_entity", "target_table", "target_id", "external_reference",
         (F.size("reasons") == 0).alias("safe_to_repair"), "reasons")
 
 
+def apply_repairs(
+    plan: DataFrame, crosswalk: DataFrame, target_system: str, actor: str, at: Column,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The crosswalk with all safe repairs of a plan recorded, one audit row for each, and the plan with what became of it.
+
+    Repeated errors of one row are one repair. Rows that are each safe but claim the same target id cannot all have it:
+    the row with the first error gets it, as if the errors were repaired one after another, and the others are refused.
+    A crosswalk row that is there already gets the id and the time and keeps its other columns.
+    """
+    target, row = ["target_table", "target_id"], ["source_system", "source_entity", "external_reference"]
+    first = plan.filter("safe_to_repair").groupBy(*target).agg(F.min(F.struct("error_id", *row)).alias("_first"))
+    repairs = first.select(*target, *[F.col(f"_first.{c}").alias(c) for c in row])
+    new = repairs.select(
+        *row, F.lit(target_system).alias("target_system"), "target_table", F.col("target_id").alias("_id"), at.alias("_at"))
+    renewed = crosswalk.join(new, list(CROSSWALK_KEY), "full_outer") \
+        .withColumns({"target_id": F.coalesce("_id", "target_id"), "updated_at": F.coalesce("_at", "updated_at")})
+    audit = repairs.select(
+        "source_entity", F.lit(REPAIRED).alias("action"),
+        F.to_json(F.struct("external_reference", "target_id", "target_table")).alias("details"),
+        F.lit(actor).alias("performed_by"), at.alias("performed_at"))
+    done = plan.join(repairs.withColumn("_done", F.lit(True)), [*target, *row], "left")
+    applied = F.col("safe_to_repair") & F.col("_done").isNotNull()
+    outcome = done.select(*plan.columns[:-1], F.when(F.col("safe_to_repair") & ~applied, F.array(F.lit(CLAIMED)))
+                          .otherwise(F.col("reasons")).alias("reasons"), applied.alias("applied"))
+    return renewed.select(*crosswalk.columns), audit, outcome
+
+
 def _reference_of_target_id() -> Column:
     """Reference a source row has when its key equals the target id of the error."""
     return uuid5(F.concat_ws("|", "source_system", "source_schema", "source_entity", "target_id"))

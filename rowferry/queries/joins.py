@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keys import reference_for
+from ..functions.keys import reference_for, uuid5
 from ..functions.text import strip
 from ..operators import compare, diagnose, drift, lookups, matching
 from ..operators.events import claimable, quarantine_listing
@@ -300,6 +300,64 @@ def repair_plan(spark, folder):
                        F.array_join("reasons", "; ").alias("reasons"), "external_reference")
 
 
+# The same ids are claimed for a second entity, and some crosswalk rows are there without an id.
+_CONTESTED = ("event_id + 10000000000 AS error_id", "'ent_' || CAST((user_id + 1) % 50 AS STRING) AS source_entity",
+              "'account' AS target_table", "CAST(user_id AS STRING) AS target_id")
+_REPAIRED = _REPAIR | {
+    "errs": f"SELECT {', '.join(_DUPES)} FROM events WHERE event_type = 'error' UNION ALL SELECT {', '.join(_CONTESTED)} "
+            "FROM events WHERE event_type = 'error' AND event_id % 3 = 0",
+    "safe": "SELECT error_id, source_entity, target_id, " + uuid5_sql("'SRC|erp|' || source_entity || '|' || target_id")
+            + " AS external_reference FROM texts WHERE reasons = ''",
+    "repairs": "SELECT * FROM safe QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY error_id) = 1",
+    "before": "SELECT source_entity, external_reference, target_id, 'earlier' AS updated_at FROM owned UNION ALL SELECT "
+              "'ent_' || CAST(c_custkey % 50 AS VARCHAR), " + uuid5_sql("'SRC|erp|ent_' || CAST(c_custkey % 50 AS VARCHAR) || '|' || "
+              "CAST(c_custkey AS VARCHAR)") + ", NULL, 'earlier' FROM customer WHERE c_custkey % 4 = 1",
+}
+
+
+def _repairs(spark, folder):
+    events = table(spark, folder, "events").filter("event_type = 'error'")
+    errors = events.selectExpr(*_DUPES).unionByName(events.filter("event_id % 3 = 0").selectExpr(*_CONTESTED))
+    entities = table(spark, folder, "supplier").selectExpr(*_ENTITY).withColumn(
+        "primary_key", F.when(F.col("composite"), F.array(F.lit("id"), F.lit("part"))).otherwise(F.array(F.lit("id")))
+    ).drop("composite")
+    customers = table(spark, folder, "customer")
+    waiting = customers.filter("c_custkey % 4 = 1").selectExpr(
+        "'ent_' || CAST(c_custkey % 50 AS STRING) AS source_entity", "'account' AS target_table", "CAST(c_custkey AS STRING) AS _id")
+    waiting = waiting.select("source_entity", uuid5(F.concat_ws("|", F.lit("SRC"), F.lit("erp"), "source_entity", "_id")).alias(
+        "external_reference"), "target_table", F.lit(None).cast("string").alias("target_id"))
+    owned = customers.filter("c_custkey % 4 = 0").selectExpr(*_OWNED).unionByName(waiting).select(
+        F.lit("SRC").alias("source_system"), "*", F.lit("DST").alias("target_system"), F.lit("earlier").alias("updated_at"))
+    targets = tgt_account(spark, folder).selectExpr("'account' AS target_table", "CAST(id - 1000 AS STRING) AS target_id")
+    plan = diagnose.repair_plan(errors, entities, targets, owned)
+    return diagnose.apply_repairs(plan, owned, "DST", "operator", F.lit("now"))
+
+
+@query("d17_repaired_crosswalk", sql(
+    "SELECT COALESCE(b.source_entity, r.source_entity) AS source_entity, COALESCE(b.external_reference, r.external_reference) AS "
+    "external_reference, COALESCE(r.target_id, b.target_id) AS target_id, CASE WHEN r.target_id IS NULL THEN b.updated_at ELSE 'now' "
+    "END AS updated_at FROM before b FULL JOIN repairs r ON b.source_entity = r.source_entity AND b.external_reference = "
+    "r.external_reference", "tgt_account", extra=_REPAIRED))
+def repaired_crosswalk(spark, folder):
+    return _repairs(spark, folder)[0].select("source_entity", "external_reference", "target_id", "updated_at")
+
+
+@query("d17_repair_audit", sql(
+    "SELECT source_entity, 'crosswalk_repaired' AS action, '{\"external_reference\":\"' || external_reference || '\",\"target_id\":\"' || "
+    "target_id || '\",\"target_table\":\"account\"}' AS details, 'operator' AS performed_by FROM repairs", "tgt_account", extra=_REPAIRED))
+def repair_audit(spark, folder):
+    return _repairs(spark, folder)[1].drop("performed_at")
+
+
+@query("d17_repair_outcomes", sql(
+    "SELECT t.error_id, t.source_entity, t.target_id, r.target_id IS NOT NULL AS applied, CASE WHEN reasons = '' AND r.target_id IS NULL "
+    "THEN 'id_of_another_row' ELSE reasons END AS reasons FROM texts t LEFT JOIN repairs r ON t.reasons = '' AND r.target_id = "
+    "t.target_id AND r.source_entity = t.source_entity", "tgt_account", extra=_REPAIRED))
+def repair_outcomes(spark, folder):
+    return _repairs(spark, folder)[2].select(
+        "error_id", "source_entity", "target_id", "applied", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query("d18_affected_entities", sql(
     "SELECT source_entity, string_agg(DISTINCT table_name, ',' ORDER BY table_name) AS affected_tables FROM footprints WHERE "
     "table_name IN (SELECT DISTINCT table_name FROM catalog_v1 WHERE position = 3 AND nullable) GROUP BY source_entity",

@@ -19,6 +19,40 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
 
+def test_repairs_are_as_if_applied_one_after_another(spark):
+    """Contested ids, repeated errors, refused repairs, a crosswalk row without an id, and empty plans."""
+    rng = random.Random(11)
+    plan = []
+    for error in range(200):
+        entity, number = f"e{rng.randrange(4)}", str(rng.randrange(30))
+        safe = rng.random() < 0.7
+        plan.append((error, "SRC", entity, "t", number, f"{entity}:{number}", safe, [] if safe else [diagnose.TARGET_GONE]))
+    before = [("SRC", "e0", f"e0:{k}", "DST", "t", None, "old", "kept") for k in range(5)] + [
+        ("SRC", "e9", "other", "DST", "t", "900", "old", "kept")]
+    owner, done = {}, []
+    for error, _, entity, _, number, reference, safe, _ in plan:
+        mine = safe and owner.setdefault(number, (entity, reference)) == (entity, reference)
+        done.append((error, mine, [] if mine else [diagnose.CLAIMED if safe else diagnose.TARGET_GONE]))
+    after = {(b[1], b[2]): (b[5], b[6], b[7]) for b in before}
+    for number, key in owner.items():
+        after[key] = (number, "new", after[key][2] if key in after else None)
+    planned = spark.createDataFrame(plan, "error_id long, source_system string, source_entity string, target_table string, target_id string, "
+                                    "external_reference string, safe_to_repair boolean, reasons array<string>")
+    crosswalk = spark.createDataFrame(before, "source_system string, source_entity string, external_reference string, target_system string, "
+                                      "target_table string, target_id string, updated_at string, note string")
+    renewed, audit, outcome = diagnose.apply_repairs(planned, crosswalk, "DST", "me", F.lit("new"))
+    assert {(r["source_entity"], r["external_reference"]): (r["target_id"], r["updated_at"], r["note"]) for r in renewed.collect()} == after
+    assert renewed.columns == crosswalk.columns and renewed.count() == len(after)
+    assert rows(outcome.select("error_id", "applied", "reasons"), "error_id") == done
+    assert sorted((r["source_entity"], json.loads(r["details"])["target_id"]) for r in audit.collect()) == sorted(
+        (entity, number) for number, (entity, _) in owner.items())
+    # A second pass over the same plan changes nothing, and an empty plan neither.
+    again, _, _ = diagnose.apply_repairs(planned, renewed, "DST", "me", F.lit("new"))
+    assert rows(again, *again.columns) == rows(renewed, *again.columns)
+    same, none, _ = diagnose.apply_repairs(planned.limit(0), crosswalk, "DST", "me", F.lit("new"))
+    assert rows(same, *same.columns) == rows(crosswalk, *same.columns) and none.count() == 0
+
+
 def test_spread_join_equals_join(spark):
     hot = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 11 = 0 THEN NULL ELSE id % 100 END AS k")
     other = spark.range(90).selectExpr("id AS k", "id * 10 AS v")
