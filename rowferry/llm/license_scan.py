@@ -20,7 +20,7 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -213,7 +213,7 @@ def scan(files: DataFrame, statements: Sequence[Statement], path: str = "path",
     whole = F.array(F.struct(F.lit(None).cast("string").alias("_only"), terms(content).alias("_words")))
     # Identifiers are not statements: cosine would take an unknown one for a known one.
     stated = F.when(content.rlike(SPDX), F.regexp_replace(content, SPDX, "")).otherwise(content)
-    joined = F.when(content.rlike(_opened(made)), F.concat(F.lit(" "), F.array_join(terms(content), " "), F.lit(" ")))
+    joined = F.when(_holds_opening(content, made), F.concat(F.lit(" "), F.array_join(terms(content), " "), F.lit(" ")))
     read = files.select(
         *others, F.monotonically_increasing_id().alias("_row"), files[path].alias("_path"),
         passages(stated).alias("_passages"), tagged.alias("_tagged"), joined.alias("_joined"),
@@ -274,6 +274,14 @@ def _opened(made: Sequence[Template]) -> str:
     return "(?i)" + "|".join(sorted({rf"\b{between.join(t.opening)}\b" for t in made}))
 
 
+def _holds_opening(text: Column, made: Sequence[Template]) -> Column:
+    """Whether an opening stands in a text. Its longest words are looked for first, which is much cheaper than the pattern."""
+    rare = {tuple(sorted(t.opening, key=len)[-3:]) for t in made}
+    some = F.transform(F.array(F.lower(text)), lambda low: reduce(or_, [
+        reduce(and_, [low.contains(w) for w in words]) for words in sorted(rare)]))
+    return F.get(some, F.lit(0)) & text.rlike(_opened(made))
+
+
 def stretches(joined: Column, made: Sequence[Template]) -> Column:
     """(`_only`, `_words`): after every opening as many words as each of its templates has.
 
