@@ -449,3 +449,16 @@ def test_small_shares_are_split(spark):
     other = spark.createDataFrame([(-1, "x"), (-2, "y"), (5, "z")], "k bigint, v string")
     joined = skew.spread_join(skewed, other, "k", "inner", ["id"], share=0.01)
     assert joined.count() == skewed.join(other, "k").count()
+
+
+def test_a_column_is_held_by_bits_of_its_values(spark):
+    """More columns than one whole number has bits for, and no sets of columns kept per value."""
+    wide = spark.createDataFrame([tuple(range(k, k + 70)) for k in (0, 70)] + [(None,) * 70], ", ".join(f"x_{k} int" for k in range(70)))
+    keys = spark.createDataFrame([(k, str(k)) for k in [*range(0, 60), *range(65, 200)] * 2], "x_5 bigint, x_text string")
+    frames = {"keyed": keys, "wide": wide, "empty": keys.limit(0).select(F.col("x_5").alias("x_0"))}
+    found = contract_sources.inclusions(frames, {"keyed": "x_5", "wide": "x_5"})
+    expected = [("wide", f"x_{k}", "keyed", "x_5") for k in range(70) if not 60 <= k < 65]
+    assert sorted(rows(found, "table_name")) == sorted(expected)
+    assert rows(contract_sources.foreign_keys(frames, {"keyed": "x_5"}), "column_name") == [("wide", "x_5", "keyed", "x_5")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "collect_set" not in plan
