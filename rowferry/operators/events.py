@@ -15,10 +15,13 @@ REPLAYABLE = ("quarantined", "dead_letter", "delivered")
 
 
 def claimable(outbox: DataFrame, control: DataFrame, as_of: Column) -> DataFrame:
-    """Due events of enabled entities. The control table is one row per entity."""
+    """Due events of enabled entities. The control table is one row per entity.
+
+    It is sent to the events, as events dealt by entity would be one task per entity.
+    """
     enabled = control.filter(F.col("enabled")).select("source_entity", "target_system")
     due = outbox.filter(F.col("status").isin("pending", "retry") & (F.col("available_at") <= as_of))
-    return due.join(enabled, ["source_entity", "target_system"])
+    return due.join(F.broadcast(enabled), ["source_entity", "target_system"])
 
 
 def claim(outbox: DataFrame, control: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:

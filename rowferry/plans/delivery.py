@@ -322,7 +322,8 @@ def decode_payload(due: DataFrame, entity: Entity, head: Sequence[str]) -> DataF
     keys = F.json_object_keys("payload")
     row = F.from_json("payload", entity.row_schema)
     opened = due.select(*head, F.coalesce(keys, F.array().cast("array<string>")).alias(_GIVEN), keys.isNull().alias("_bad"), row.alias("_row"))
-    wrong = [F.when(F.get_json_object("payload", f"$['{f.name}']").isNotNull() & F.col(f"_row.{f.name}").isNull(),
+    # The value is looked for only where the row has none, as every search reads the payload anew.
+    wrong = [F.when(F.col(f"_row.{f.name}").isNull() & F.get_json_object("payload", f"$['{f.name}']").isNotNull(),
                     F.lit(f"payload value of {f.name} is no {f.dataType.simpleString()}")) for f in entity.row_schema.fields]
     errors = F.filter(F.array(F.when(F.col("_bad"), F.lit("payload is no JSON object")), *wrong), lambda e: e.isNotNull())
     return opened.select(*head, _GIVEN, errors.alias("_payload_errors"), "_row.*")
@@ -361,8 +362,10 @@ def deliver_events(
     failures = materialise(failures)
     good = good.join(failures.select("event_id").distinct(), "event_id", "left_anti")
     bad = staged.filter(F.size(ERRORS) > 0)
+    # Of a row's last event the order goes on; payloads are long, and all that is wanted of them is staged.
     target = state if not usable(without_managed(entity.mappings, contract), known) else write_rows(
-        materialise(folded_events(good, entity, contract, head)), state, entity, contract, profile, system)
+        materialise(folded_events(good, entity, contract, ["event_id", "source_updated_at", "created_at"])),
+        state, entity, contract, profile, system)
     failed = bad.select("event_id", F.col(ERRORS).alias("errors"), F.col("payload").alias("payload_snapshot"))
     delivered, accepted = outbox_ops.mark_delivered(outbox, good, as_of)
     after = outbox_ops.fail(mark_quarantined(delivered, failed, as_of), failures, as_of)
@@ -386,7 +389,8 @@ def deliver_all(
     Entities share the target, so each starts from what the one before left. Events of other entities stay as they are.
     """
     ready = outbox_ops.claimable(outbox, control, as_of).select(*outbox.columns)
-    claimed = materialise(ready if limit is None else outbox_ops.oldest(ready, "created_at", "event_id", limit))
+    claimed = ready if limit is None else outbox_ops.oldest(ready, "created_at", "event_id", limit)
+    claimed = materialise(claimed.repartition("event_id"))  # however few files or tasks the events come from
     ids = claimed.select("event_id")
     of = {r["source_entity"] for r in claimed.select("source_entity").distinct().collect()}  # as many as there are entities
     # Each entity meets its own events alone, and every table is stored as the rows that the pass writes.

@@ -462,3 +462,25 @@ def test_a_column_is_held_by_bits_of_its_values(spark):
     assert rows(contract_sources.foreign_keys(frames, {"keyed": "x_5"}), "column_name") == [("wide", "x_5", "keyed", "x_5")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "collect_set" not in plan
+
+
+def test_events_of_one_entity_are_claimed_in_many_tasks(spark):
+    box = spark.range(0, 4000, 1, 8).selectExpr(
+        "id AS event_id", "CASE WHEN id % 100 = 0 THEN 'other' ELSE 'one' END AS source_entity", "'T' AS target_system", "'pending' AS status",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS available_at")
+    control = spark.createDataFrame([("one", "T", True), ("other", "T", False)], "source_entity string, target_system string, enabled boolean")
+    due = events.claimable(box, control, F.expr("TIMESTAMP_NTZ '2024-01-02 00:00:00'"))
+    held = [r["n"] for r in due.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 3960 and max(held) <= 500
+
+
+@pytest.mark.parametrize("n", [1, 40, 41, 90, 300, 900])
+def test_the_oldest_of_many_are_not_brought_into_one_task(spark, n, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 40)
+    monkeypatch.setattr(ordering, "is_small", lambda df: False)
+    at = [None if k % 50 == 0 else dt.datetime(2024, 1, 1 + k * 7 % 5) for k in range(400)]
+    box = spark.createDataFrame([(k, t, "p" * k) for k, t in enumerate(at)], "event_id bigint, at timestamp_ntz, payload string")
+    found = ordering.oldest(box, "at", "event_id", n)
+    order = sorted(range(400), key=lambda k: (at[k] is not None, at[k] or dt.datetime.min, k))
+    assert sorted(r.event_id for r in found.collect()) == sorted(order[:n]) and found.columns == box.columns
+    assert ("TakeOrdered" in found._jdf.queryExecution().executedPlan().toString()) == (n <= 40)
