@@ -30,7 +30,9 @@ _PROFILE = TargetProfile(TARGET, lookup_tables=frozenset({"nation"}))
 _AUDIT = "event_id bigint, attempt int, outcome string, response_code string"
 _TABLES = ("account", "account_detail", "nation", "order_head", "order_note")
 PASS = 10_000
-"""Events that a pass claims."""
+"""Events that a worker claims."""
+SHARE = 0.75
+"""Share of the due events that the workers of a pass claim together, where that is more than one worker claims."""
 
 
 def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +69,7 @@ def looped(spark: SparkSession, folder: str, limit: int = PASS, again: bool = Fa
         "audit": spark.createDataFrame([], _AUDIT)})
     switch = spark.createDataFrame([("customer", TARGET, True), ("orders", TARGET, True)], _SWITCH)
     entities = [_CUSTOMER, replace(ORDERS, row_schema=table(spark, folder, "orders").select(*_ORDER_COLUMNS).schema)]
-    once = delivering.pass_over(commits, switch, entities, _MODEL, _PROFILE, SYSTEM, as_of, limit)
+    once = delivering.pass_over(commits, switch, entities, _MODEL, _PROFILE, SYSTEM, as_of, limit, SHARE)
 
     def handle(rows: DataFrame, batch: int) -> None:
         once(rows, batch)

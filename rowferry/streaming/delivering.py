@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,13 +38,17 @@ def target_of(frames: dict[str, DataFrame]) -> delivery.TargetState:
 
 def pass_over(
     commits: Commits, control: DataFrame, entities: Sequence[delivery.Entity], contract: TargetContract, profile: TargetProfile,
-    system: str, clock: Callable[[], Column], limit: int = LIMIT,
+    system: str, clock: Callable[[], Column], limit: int = LIMIT, share: float = 0.0,
 ) -> Callable[[DataFrame, int], None]:
     """Batch handler: new events join the outbox, the oldest due ones are delivered, and all tables change together.
 
     The changes of target tables, crosswalk, outbox, quarantine, envelope and audit are committed under the number of the batch.
     A batch that is repeated, after its commit or before it, leaves the same state. An event that the outbox has already is not taken
     in again.
+
+    `limit` is what one worker claims. Workers may be at work side by side, each skipping what others have claimed; a pass is one
+    worker or, with `share`, as many as claim that share of what is due. A backlog then takes a number of passes that grows with
+    its logarithm, and no event is claimed before an older one. An event is claimed by one pass, whatever the number of workers.
     """
     def handle(rows: DataFrame, batch: int) -> None:
         if commits.done(batch):
@@ -51,8 +56,11 @@ def pass_over(
         now = commits.read(batch)
         box = now["outbox"]
         fresh = materialise(rows.dropDuplicates(["event_id"]).join(box.select("event_id"), "event_id", "left_anti").select(*box.columns))
-        done = delivery.deliver_all(union_all(box, fresh), control, target_of(now), now["quarantine"], now["envelope"], entities,
-                                    contract, profile, system, clock(), limit)
+        box, moment = union_all(box, fresh), clock()
+        due = outbox_ops.claimable(box, control, moment).count() if share else 0
+        workers = max(1, math.ceil(share * due / limit))
+        done = delivery.deliver_all(box, control, target_of(now), now["quarantine"], now["envelope"], entities,
+                                    contract, profile, system, moment, workers * limit)
         changed = dict(done.target.changed)
         links = changed.pop(delivery.CROSSWALK, None)
         touched = done.changed.get("outbox")

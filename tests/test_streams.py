@@ -175,3 +175,12 @@ def test_the_loop_with_nothing_to_do(spark, folder):
     switch = spark.createDataFrame([("customer", "CRM", False)], "source_entity string, target_system string, enabled boolean")
     delivering.pass_over(commits, switch, [loops._CUSTOMER], loops._MODEL, loops._PROFILE, "SRC", loops.as_of)(empty, last + 1)
     assert {n: df.count() for n, df in commits.read().items()} == before and commits.done(last + 1)
+
+
+def test_a_backlog_takes_few_passes(spark, folder):
+    """Workers side by side: passes by the logarithm of the backlog, every event claimed once and older ones first."""
+    commits = loops.looped(spark, folder, limit=200)
+    now = commits.read()
+    assert len(commits.batches()) <= 6  # one worker at a time would need nine passes and the start
+    assert now["audit"].count() == now["audit"].select("event_id").distinct().count()
+    assert now["outbox"].filter("status = 'pending'").isEmpty()
