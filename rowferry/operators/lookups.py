@@ -42,6 +42,23 @@ def live_crosswalk(crosswalk: DataFrame, target: DataFrame, pk: str) -> DataFram
     return crosswalk.join(target.select(F.col(pk).cast("string").alias("target_id")), "target_id", "left_semi")
 
 
+def rows_of(table: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Rows of a table whose key is among the asked ones.
+
+    In a large table the keys are looked for alone first, so that its rows are brought to the asked keys only where some are there.
+    """
+    asked = asked.select(key)
+    if is_small(table):
+        return table.join(asked, key, "left_semi")
+    there = materialise(table.select(key).join(asked, key, "left_semi"))
+    return table.limit(0) if there.isEmpty() else table.join(there, key, "left_semi")
+
+
+def live_links(rows: DataFrame, crosswalk: DataFrame, target: DataFrame, pk: str) -> DataFrame:
+    """The part of `live_crosswalk` that belongs to the references of the rows."""
+    return live_crosswalk(rows_of(crosswalk, rows, "external_reference"), target, pk)
+
+
 def resolve_by_key(rows: DataFrame, column: str, lookup: DataFrame, pk: str, table: str) -> DataFrame:
     """Checks a supplied lookup id. Adds target_id, or lookup_error; nothing is ever inserted."""
     found = lookup.select(F.col(pk).alias(column), F.col(pk).alias("target_id"))
@@ -144,7 +161,7 @@ def match_or_allocate(
     cheaper frame with the natural columns to find heavy values in.
     """
     id_type = target.schema[pk].dataType
-    live = live_crosswalk(crosswalk, target, pk).select(
+    live = live_links(rows, crosswalk, target, pk).select(
         "external_reference", F.col("target_id").cast(id_type).alias("_live"))
     known = rows.join(live, "external_reference", "left")
     found = F.col("_live")
@@ -182,7 +199,7 @@ def carried_ids(rows: DataFrame, crosswalk: DataFrame, pk: str, target: DataFram
     With the target table a recorded id whose row is gone counts as absent, and of rows that end up with one id only the
     last in the given order (then by reference) writes; the others are a match.
     """
-    known = crosswalk if target is None else live_crosswalk(crosswalk, target, pk)
+    known = crosswalk if target is None else live_links(rows, crosswalk, target, pk)
     known = known.select("external_reference", F.col("target_id").alias("_known"))
     found = rows.join(known, "external_reference", "left").withColumns({
         "target_id": F.coalesce(F.col("_known"), F.col(pk).cast("string")),
@@ -216,15 +233,14 @@ def resolve_references(
     back to the rows spreads heavy values.
     """
     dtype = rows.schema[column].dataType
-    live = live_crosswalk(crosswalk.filter(F.col("target_id").isNotNull()), parent, parent_pk)
+    links = crosswalk.filter(F.col("target_id").isNotNull()).select("source_entity", "external_reference", "target_id")
     values = rows.select(column).filter(F.col(column).isNotNull()).distinct()
     options = F.array(*[
         F.struct(F.lit(i).alias("_order"), F.lit(name).alias("source_entity"),
                  external_reference(system, schema, name, [(F.col(column), dtype)]).alias("external_reference"))
         for i, name in enumerate(sorted(entities))])
     candidates = values.select(column, F.inline(options))
-    hits = candidates.join(live.select("source_entity", "external_reference", "target_id"),
-                           ["source_entity", "external_reference"])
+    hits = live_crosswalk(candidates.join(links, ["source_entity", "external_reference"]), parent, parent_pk)
     found = first_match(hits, [column], "_order", "target_id").select(
         column, F.col("target_id").cast(parent.schema[parent_pk].dataType).alias(output))
     return spread_join(rows, found, column, "left", row_key)

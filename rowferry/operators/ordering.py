@@ -33,6 +33,21 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def by_repeats(df: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key occurs once, rows whose key may be repeated); nulls are equal.
+
+    Hashes of the keys are counted alone. Where few repeat, the rows of the others need not be brought together by key. All rows
+    may be repeated where Spark would broadcast them, and so may keys that share a hash.
+    """
+    if is_small(df):
+        return df.limit(0), df
+    hashed = F.xxhash64(*keys)
+    again = materialise(df.groupBy(hashed.alias("_again")).count().filter(F.col("count") > 1).select("_again"))
+    if again.isEmpty():
+        return df, df.limit(0)
+    return df.join(again, hashed == F.col("_again"), "left_anti"), df.join(again, hashed == F.col("_again"), "left_semi")
+
+
 def keep_last(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """Removes earlier duplicates by an explicit row order."""
     return first_per_key(df, keys, [F.col(c).desc() for c in order])
@@ -75,11 +90,22 @@ ROWS_PER_RANGE, MOST_RANGES = 100_000, 10_000
 
 
 def oldest(df: DataFrame, time: str, tie: str, n: int) -> DataFrame:
-    """The oldest n rows, missing times first. A limit brings them into one task, so more than a range of them are numbered."""
+    """The oldest n rows, missing times first.
+
+    A limit brings them into one task, so for more than a range of them the ages alone are numbered, and the rows up to the n-th
+    age are taken where they lie.
+    """
     if n <= ROWS_PER_RANGE:
         return df.orderBy(F.col(time).asc(), F.col(tie).asc()).limit(n)
-    aged = df.withColumn("_age", F.struct(time, tie))
-    return allocate_ids(aged, "_age", "_place", 1).filter(F.col("_place") <= n).select(*df.columns)
+    age = F.struct(time, tie)
+    places = allocate_ids(df.select(age.alias("_age")), "_age", "_place", 1)
+    edge = places.filter(F.col("_place") == n).select("_age").scalar()
+    same = places.filter(F.col("_age") == edge).agg(F.count("*").alias("rows"), F.count_if(F.col("_place") <= n).alias("taken")).first()
+    if same["rows"] == 0:  # there are fewer
+        return df
+    if same["rows"] == same["taken"]:
+        return df.filter(age <= edge)
+    return df.filter(age < edge).unionByName(df.filter(age == edge).limit(same["taken"]))
 
 
 def allocate_ids(keys: DataFrame, key: str, column: str, start: int | Column, ranges: int | None = None) -> DataFrame:

@@ -13,14 +13,15 @@ from ..contracts import FieldMapping, TableContract, TargetContract, TargetProfi
 from ..functions.keys import reference_for
 from ..operators import events as outbox_ops
 from ..operators.lookups import (
-    CROSSWALK_KEY, carried_ids, entity_crosswalk, live_crosswalk, match_or_allocate, propagate_parent, resolve_reference_row,
-    resolve_references, unresolved,
+    CROSSWALK_KEY, carried_ids, entity_crosswalk, live_links, match_or_allocate, propagate_parent, resolve_reference_row,
+    resolve_references, rows_of, unresolved,
 )
 from ..operators.merge import scoped_delete
+from ..operators.ordering import by_repeats
 from ..operators.projection import ERRORS, stage, usable, without_managed
 from ..operators.union import union_all
 from ..operators.validation import check_staged, mark_quarantined, quarantine_upsert
-from ..sources.workspace import materialise
+from ..sources.workspace import materialise, materialise_all
 
 REFERENCE = "external_reference"
 CROSSWALK = "crosswalk"
@@ -99,9 +100,12 @@ def _written_rows(current: DataFrame, rows: DataFrame, pk: str, mapped: Sequence
     A mapped column whose source column the payload does not have stays too; `sources` names the source columns. Of rows that
     share an id the last one writes, by event and then by reference.
     """
-    changed = rows.filter(F.col("action").isin("insert", "update")).groupBy(F.col("target_id").alias(pk)).agg(
-        F.max_by(F.struct(*mapped, *keys, _GIVEN), F.struct(_ORDER, REFERENCE)).alias("_new"))
-    both = changed.join(current, pk, "left")
+    writing = rows.filter(F.col("action").isin("insert", "update"))
+    new, of = F.struct(*mapped, *keys, _GIVEN), F.col("target_id").alias(pk)
+    single, several = by_repeats(writing, "target_id")
+    changed = union_all(single.select(of, new.alias("_new")),
+                        several.groupBy(of).agg(F.max_by(new, F.struct(_ORDER, REFERENCE)).alias("_new")))
+    both = changed.join(rows_of(current, writing.select(of), pk), pk, "left")
     columns = []
     for f in current.schema.fields:
         old = F.col(f.name)
@@ -164,9 +168,8 @@ def row_failures(
         sound = staged if others is None else staged.join(others.select(key).distinct(), key, "left_anti")
         found = [others] if others is not None else []
         for name, columns in needed.items():
-            known = live_crosswalk(entity_crosswalk(state.crosswalk, entity.name, profile.name, name), state.tables[name],
-                                   contract.table(name).primary_key)
-            found.append(_incomplete(sound, key, name, columns, known, order))
+            known = entity_crosswalk(state.crosswalk, entity.name, profile.name, name)
+            found += _incomplete(sound, key, name, columns, known, state.tables[name], contract.table(name).primary_key, order)
     return union_all(*found) if found else None
 
 
@@ -175,10 +178,13 @@ def _gives(*sources: str) -> Column:
     return F.col(_GIVEN).isNull() | F.arrays_overlap(_GIVEN, F.array(*map(F.lit, sources)))
 
 
-def _incomplete(events: DataFrame, key: str, name: str, columns: dict[str, str], known: DataFrame, order: Column | None) -> DataFrame:
-    """Events of rows that the target does not have yet, without a required column up to then."""
-    new = events.filter(~F.forall(F.array(*[_gives(s) for s in columns.values()]), lambda c: c)).join(
-        known.select(REFERENCE), REFERENCE, "left_anti")
+def _incomplete(events: DataFrame, key: str, name: str, columns: dict[str, str], links: DataFrame, target: DataFrame, pk: str,
+                order: Column | None) -> list[DataFrame]:
+    """Events of rows that the target does not have yet, without a required column up to then; no frame if all events are whole."""
+    partial = events.filter(~F.forall(F.array(*[_gives(s) for s in columns.values()]), lambda c: c))
+    if partial.isEmpty():
+        return []
+    new = partial.join(live_links(partial, links, target, pk).select(REFERENCE), REFERENCE, "left_anti")
     lacks = {c: ~_gives(s) for c, s in columns.items()}
     if order is not None:
         # The first event with each column, one row per reference: no event has to meet all others of its reference.
@@ -186,31 +192,34 @@ def _incomplete(events: DataFrame, key: str, name: str, columns: dict[str, str],
         new = new.join(first, REFERENCE)
         lacks = {c: lack & (F.col(f"_first_{c}").isNull() | (F.col(f"_first_{c}") > order)) for c, lack in lacks.items()}
     absent = F.filter(F.array(*[F.when(lack, F.lit(f"{name}.{c}")) for c, lack in lacks.items()]), lambda c: c.isNotNull())
-    return new.select(key, absent.alias("_absent")).filter(F.size("_absent") > 0).select(
-        key, F.concat(F.lit("a new row needs "), F.array_join("_absent", ", ")).alias("error"))
+    return [new.select(key, absent.alias("_absent")).filter(F.size("_absent") > 0).select(
+        key, F.concat(F.lit("a new row needs "), F.array_join("_absent", ", ")).alias("error"))]
 
 
 def folded_events(events: DataFrame, entity: Entity, contract: TargetContract, head: Sequence[str]) -> DataFrame:
     """Staged events of every row as one: each column from the last event that has it.
 
     That is the state which applying the events in order would leave. Everything is an aggregate that is combined before the
-    shuffle, so a row with a third of all events sends one row per task. Columns that no event has stay absent.
+    shuffle, so a row with a third of all events sends one row per task. Columns that no event has stay absent. A row's only event
+    is the row, and needs no aggregate.
     """
     order = event_order()
-
-    def last(value: Column, *sources: str) -> Column:
-        return F.max_by(value, F.when(_gives(*sources), order))
-
-    parts = [F.max_by(F.struct(*[c for c in head if c != REFERENCE]), order).alias("_head")]
     tables = [f for f in events.schema.fields if contract.table(f.name) is not None]
-    for table in tables:
-        sources = _sources(entity, table.name)
-        parts += [last(F.col(f"{table.name}.{c}"), sources.get(c, c)).alias(f"_{table.name}.{c}") for c in table.dataType.names]
     carried = [c for c in events.schema["_source"].dataType.names if c != "_"]
-    parts += [last(F.col(f"_source.{c}"), c).alias(f"_source.{c}") for c in carried]
     known = sorted({m.source_column for m in entity.mappings})
-    parts += [F.max(F.col(_GIVEN).isNull()).alias("_whole"), *[F.max(_gives(c)).alias(f"_gives.{c}") for c in known]]
-    rows = events.groupBy(REFERENCE).agg(*parts)
+
+    def parts(last: Callable[[Column, Column], Column], some: Callable[[Column], Column]) -> list[Column]:
+        found = [last(F.struct(*[c for c in head if c != REFERENCE]), F.lit(True)).alias("_head")]
+        for table in tables:
+            sources = _sources(entity, table.name)
+            found += [last(F.col(f"{table.name}.{c}"), _gives(sources.get(c, c))).alias(f"_{table.name}.{c}") for c in table.dataType.names]
+        found += [last(F.col(f"_source.{c}"), _gives(c)).alias(f"_source.{c}") for c in carried]
+        return found + [some(F.col(_GIVEN).isNull()).alias("_whole"), *[some(_gives(c)).alias(f"_gives.{c}") for c in known]]
+
+    single, several = by_repeats(events, REFERENCE)
+    rows = union_all(
+        single.select(REFERENCE, *parts(lambda value, given: F.when(given, value), lambda c: c)),
+        several.groupBy(REFERENCE).agg(*parts(lambda value, given: F.max_by(value, F.when(given, order)), F.max)))
     given = F.filter(F.array(*[F.when(F.col(f"`_gives.{c}`"), F.lit(c)) for c in known]), lambda c: c.isNotNull())
     return rows.select(
         REFERENCE, "_head.*", F.when(F.col("_whole"), F.lit(None)).otherwise(given).alias(_GIVEN),
@@ -244,6 +253,7 @@ def write_rows(
     now = replace(state, unresolved=None)
     produced: dict[str, DataFrame] = {}
     misses: list[DataFrame] = []
+    links_of: list[DataFrame] = []
     for name in contract.parents_first(names):
         table = contract.table(name)
         mapped = staged.schema[name].dataType.names
@@ -267,7 +277,9 @@ def write_rows(
         ids = materialise(ids)
         produced[name] = ids.select(REFERENCE, "target_id")
         now = now.changing(name, materialise(_written_rows(now.tables[name], ids, pk, mapped, links, _sources(entity, name))), [pk])
-        now = now.changing(CROSSWALK, _links(ids, entity.name, system, profile.name, name), CROSSWALK_KEY)
+        links_of.append(_links(ids, entity.name, system, profile.name, name))
+    if links_of:  # of one entity, so links of different tables have different keys
+        now = now.changing(CROSSWALK, union_all(*links_of), CROSSWALK_KEY)
     return replace(now, unresolved=union_all(*misses) if misses else None)
 
 
@@ -350,7 +362,9 @@ def deliver_events(
     if usable(without_managed(entity.mappings, contract), known):
         rows = decode_payload(due, entity, head)
         staged = stage_rows(rows, entity, contract, carry, as_of, given=_GIVEN)
-        staged = materialise(staged.withColumn(ERRORS, F.concat("_payload_errors", ERRORS)).drop("_payload_errors"))
+        staged = staged.withColumn(ERRORS, F.concat("_payload_errors", ERRORS)).drop("_payload_errors")
+        # Payloads are long, and what is read of them later is what is wrong.
+        staged = materialise(staged.withColumn("payload", F.when(F.size(ERRORS) > 0, F.col("payload"))))
         good = staged.filter(F.size(ERRORS) == 0)
         failures = row_failures(good, "event_id", state, entity, contract, profile, system, event_order())
     else:
@@ -362,7 +376,7 @@ def deliver_events(
     failures = materialise(failures)
     good = good.join(failures.select("event_id").distinct(), "event_id", "left_anti")
     bad = staged.filter(F.size(ERRORS) > 0)
-    # Of a row's last event the order goes on; payloads are long, and all that is wanted of them is staged.
+    # Of a row's last event the order goes on.
     target = state if not usable(without_managed(entity.mappings, contract), known) else write_rows(
         materialise(folded_events(good, entity, contract, ["event_id", "source_updated_at", "created_at"])),
         state, entity, contract, profile, system)
@@ -395,8 +409,7 @@ def deliver_all(
     of = {r["source_entity"] for r in claimed.select("source_entity").distinct().collect()}  # as many as there are entities
     # Each entity meets its own events alone, and every table is stored as the rows that the pass writes.
     named = F.col("event_id").cast("string")
-    held = materialise(quarantine.join(ids, "event_id", "left_semi"))
-    letters = materialise(envelope.join(ids.select(named.alias("event_id")), "event_id", "left_semi"))
+    held, letters = materialise_all(rows_of(quarantine, ids, "event_id"), rows_of(envelope, ids.select(named.alias("event_id")), "event_id"))
     after, kept, sent, outcomes, audit, misses = [], [], [], [], [], []
     for entity in sorted(entities, key=lambda e: e.name):
         if entity.name not in of:
@@ -407,8 +420,9 @@ def deliver_all(
                               letters.join(some.select(named.alias("event_id")), "event_id", "left_semi"), entity, contract, profile,
                               system, as_of)
         state = done.target
-        for parts, frame in ((after, done.outbox), (kept, done.quarantine), (sent, done.envelope), (outcomes, done.outcomes), (audit, done.audit)):
-            parts.append(materialise(frame))
+        for parts, frame in zip((after, kept, sent, audit), materialise_all(done.outbox, done.quarantine, done.envelope, done.audit)):
+            parts.append(frame)
+        outcomes.append(done.outcomes)
         misses += [state.unresolved] if state.unresolved is not None else []
     if not after:
         nothing = outbox.limit(0)

@@ -20,7 +20,7 @@ from .fixtures import (
 from .jobs import _DETAIL, CUSTOMER, ORDER_MODEL, ORDERS, ROW, _nation_links
 from .outcomes import _BAD, _HELD, _LETTERS, _SWITCH, _events
 from .registry import query
-from .streams import _stage
+from .streams import feed_files
 
 # Customers bring the ids of their accounts, so that ids do not depend on how events fall into passes.
 _CUSTOMER = replace(CUSTOMER, mappings=(*CUSTOMER.mappings, FieldMapping("c_custkey", "account", "id")))
@@ -35,9 +35,14 @@ SHARE = 0.75
 """Share of the due events that the workers of a pass claim together, where that is more than one worker claims."""
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table dealt to all tasks before events are made of them, as events are long and costly to make."""
+    return rows.repartition(feed_files(rows.sparkSession))
+
+
 def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Events of customers, with words for balances, later events of single columns and repeats; then those of their orders."""
-    rows = keyed_customer(spark, folder)
+    rows = _spread(keyed_customer(spark, folder))
     changed = rows.withColumn("c_acctbal", F.col("c_acctbal") + 3)
     whole = row_json(changed, ROW.fieldNames())
     wrong = F.regexp_replace(whole, '"c_acctbal":[^,}]*', '"c_acctbal":"abc"')
@@ -47,7 +52,7 @@ def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     later = _events(moved, "customer", "c_custkey * 8 + 1", row_json(moved, ["c_mktsegment"])).withColumns(
         {"created_at": at, "source_updated_at": at})
     customers = union_all(first, later).withColumn("attempts", F.lit(0))
-    orders = table(spark, folder, "orders").select(*_ORDER_COLUMNS)
+    orders = _spread(table(spark, folder, "orders").select(*_ORDER_COLUMNS))
     orders = orders.withColumn("external_reference", reference_for(orders, SYSTEM, SCHEMA, "orders", ["o_orderkey"]))
     heads = _events(orders, "orders", "10000000000 + o_orderkey", row_json(orders, _ORDER_COLUMNS)).withColumns(
         {"created_at": at + F.make_dt_interval(F.lit(1)), "attempts": F.lit(0)})
@@ -78,7 +83,7 @@ def looped(spark: SparkSession, folder: str, limit: int = PASS, again: bool = Fa
 
     path, checkpoint = shared_folder(spark), shared_folder(spark)
     for part in parts:
-        _stage(spark, part, path)
+        part.coalesce(feed_files(spark)).write.mode("append").parquet(path)
         ahead = True
         while ahead:  # the heartbeat gives every drain a batch, with new files or without
             feeds.drain(feeds.with_heartbeat(feeds.read_feed(spark, path, part.schema)), handle, checkpoint)

@@ -16,18 +16,20 @@ from .registry import query
 BATCHES = 4
 
 
+def feed_files(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _stage(spark: SparkSession, rows: DataFrame, path: str | None = None) -> str:
     """Lays a feed out as files; their number follows the cluster."""
     path = path or shared_folder(spark)
-    files = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.repartition(files).write.mode("append").parquet(path)
+    rows.repartition(feed_files(spark)).write.mode("append").parquet(path)
     return path
 
 
 def _stream(spark: SparkSession, rows: DataFrame, path: str | None = None) -> DataFrame:
     path = path or _stage(spark, rows)
-    files = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return feeds.read_feed(spark, path, rows.schema, files_per_batch=max(1, files // BATCHES))
+    return feeds.read_feed(spark, path, rows.schema, files_per_batch=max(1, feed_files(spark) // BATCHES))
 
 
 def _log(spark: SparkSession, schema: T.StructType) -> feeds.ChangeLog:

@@ -6,12 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+# Fixed value: frames that are written at a time.
+WRITERS = 4
 
 
 class SharedFolderError(RuntimeError):
@@ -68,6 +71,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return staged(df)[0]
 
 
+def materialise_all(*frames: DataFrame) -> list[DataFrame]:
+    """Frames that do not depend on each other, written side by side: the small ones do not wait for the large."""
+    with ThreadPoolExecutor(WRITERS) as pool:
+        return list(pool.map(materialise, frames))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a staged copy that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,22 +3,23 @@
 A batch writes the changed rows of every table it touches into new folders and then one manifest, named by the batch, that
 lists the folders in force. Readers follow the newest manifest, so they see all of a batch or nothing of it, and a
 batch that is repeated finds its manifest, or starts again from the one before. A table is its oldest folder with the later
-ones laid over it, newest row per key; when there are many, or together they are as large as the oldest, the commit writes
-the table anew. A row is therefore rewritten a number of times that grows with the logarithm of the table.
+ones laid over it, newest row per key; when there are many, or together they would be as large as the oldest, the commit writes
+the table anew, the changed rows with it. A row is therefore rewritten a number of times that grows with the logarithm of the table.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import first_per_key
+from ..operators.ordering import by_repeats, first_per_key
 from ..operators.union import union_all
-from ..sources.workspace import discard, is_missing
+from ..sources.workspace import WRITERS, discard, is_missing
 
 MOST_FOLDERS = 8
 _MANIFEST = "name string, at int, folder string, rows bigint"
@@ -87,13 +88,24 @@ class Commits:
         return True
 
     def _write(self, batch: int, before: dict[str, list[tuple[str, int]]], changed: dict[str, DataFrame]) -> None:
-        after = dict(before)
-        for name, rows in changed.items():
-            folder = self._store(name, batch, rows)
-            folders = [*before.get(name, []), folder] if folder[1] or name not in before else before[name]
-            if len(folders) > MOST_FOLDERS or (len(folders) > 2 and sum(n for _, n in folders[1:]) >= folders[0][1]):
-                folders = [self._store(name, batch, self._table(name, folders))]
-            after[name] = folders
+        def stored(name: str) -> list[tuple[str, int]]:
+            rows, folders = changed[name], before.get(name)
+            if folders is None:
+                return [self._store(name, batch, rows)]
+            count = rows.count()
+            if not count:
+                return folders
+            if len(folders) < MOST_FOLDERS and sum(n for _, n in folders[1:]) + count < folders[0][1]:
+                return [*folders, self._store(name, batch, rows)]
+            keys = self.keys[name]
+            single, several = by_repeats(rows, *keys)
+            rows = union_all(single, first_per_key(several, keys, [F.col(k) for k in keys]))
+            if any(n for _, n in folders):
+                rows = union_all(self._table(name, folders).join(rows.select(*keys), keys, "left_anti").select(*rows.columns), rows)
+            return [self._store(name, batch, rows)]
+
+        with ThreadPoolExecutor(WRITERS) as pool:  # tables do not depend on each other
+            after = before | dict(zip(changed, pool.map(stored, changed)))
         rows = [(name, k, folder, n) for name, folders in after.items() for k, (folder, n) in enumerate(folders)]
         self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/batch={batch}")
 

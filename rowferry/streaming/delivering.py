@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..contracts import TargetContract, TargetProfile
 from ..operators import events as outbox_ops
@@ -36,6 +37,20 @@ def target_of(frames: dict[str, DataFrame]) -> delivery.TargetState:
     return delivery.TargetState({n: df for n, df in frames.items() if n not in _OWN and n != _CROSSWALK}, frames[_CROSSWALK])
 
 
+def arrived(rows: DataFrame, box: DataFrame) -> DataFrame:
+    """Each event once that the outbox does not have.
+
+    Ids are looked at alone, so that only rows whose id comes again, or is in the outbox, are brought together.
+    """
+    ids = union_all(rows.select("event_id", F.lit(1).alias("_came"), F.lit(0).alias("_had")),
+                    box.select("event_id", F.lit(0).alias("_came"), F.lit(1).alias("_had")))
+    counted = ids.groupBy(F.col("event_id").alias("_again")).agg(F.sum("_came").alias("_came"), F.sum("_had").alias("_had"))
+    again = materialise(counted.filter("_came > 0 AND _came + _had > 1").select("_again"))
+    same = F.col("event_id").eqNullSafe(F.col("_again"))
+    others = rows.join(again, same, "left_semi").dropDuplicates(["event_id"]).join(box.select("event_id"), "event_id", "left_anti")
+    return materialise(union_all(rows.join(again, same, "left_anti").select(*box.columns), others.select(*box.columns)))
+
+
 def pass_over(
     commits: Commits, control: DataFrame, entities: Sequence[delivery.Entity], contract: TargetContract, profile: TargetProfile,
     system: str, clock: Callable[[], Column], limit: int = LIMIT, share: float = 0.0,
@@ -55,16 +70,20 @@ def pass_over(
             return
         now = commits.read(batch)
         box = now["outbox"]
-        fresh = materialise(rows.dropDuplicates(["event_id"]).join(box.select("event_id"), "event_id", "left_anti").select(*box.columns))
-        box, moment = union_all(box, fresh), clock()
+        fresh = None if rows.isEmpty() else arrived(rows, box)
+        box, moment = box if fresh is None else union_all(box, fresh), clock()
         due = outbox_ops.claimable(box, control, moment).count() if share else 0
-        workers = max(1, math.ceil(share * due / limit))
+        most = limit * max(1, math.ceil(share * due / limit))
         done = delivery.deliver_all(box, control, target_of(now), now["quarantine"], now["envelope"], entities,
-                                    contract, profile, system, moment, workers * limit)
+                                    contract, profile, system, moment, None if share and due <= most else most)
         changed = dict(done.target.changed)
         links = changed.pop(delivery.CROSSWALK, None)
         touched = done.changed.get("outbox")
-        changed["outbox"] = fresh if touched is None else delivery.overlay(fresh, touched, ["event_id"])
+        if fresh is not None and touched is not None:  # written, as the commit counts its rows and looks at their keys
+            waiting = materialise(fresh.join(touched.select("event_id"), "event_id", "left_anti").select(*touched.columns))
+            changed["outbox"] = union_all(waiting, touched)
+        elif fresh is not None or touched is not None:
+            changed["outbox"] = touched if fresh is None else fresh
         changed |= {n: df for n, df in done.changed.items() if n != "outbox"}
         if links is not None:
             changed[_CROSSWALK] = links

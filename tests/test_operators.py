@@ -484,3 +484,36 @@ def test_the_oldest_of_many_are_not_brought_into_one_task(spark, n, monkeypatch)
     order = sorted(range(400), key=lambda k: (at[k] is not None, at[k] or dt.datetime.min, k))
     assert sorted(r.event_id for r in found.collect()) == sorted(order[:n]) and found.columns == box.columns
     assert ("TakeOrdered" in found._jdf.queryExecution().executedPlan().toString()) == (n <= 40)
+
+
+def test_only_ages_are_numbered_for_the_oldest(spark, monkeypatch):
+    """Whole rows are taken where they lie, and of rows of one age no more than asked for."""
+    numbered = []
+    plain = ordering.allocate_ids
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 40)
+    monkeypatch.setattr(ordering, "allocate_ids", lambda keys, *rest: numbered.append(keys.columns) or plain(keys, *rest))
+    box = spark.range(300).selectExpr("id DIV 3 AS event_id", "CAST(NULL AS TIMESTAMP_NTZ) AS at", "'p' || id AS payload")
+    for n in (60, 61, 62, 299, 301):
+        found = ordering.oldest(box, "at", "event_id", n).collect()
+        assert sorted(r.event_id for r in found) == [k // 3 for k in range(min(n, 300))]
+        assert len({r.payload for r in found}) == len(found)
+    assert numbered == [["_age"]] * 5
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_rows_apart_by_repeated_keys(spark, monkeypatch, small):
+    monkeypatch.setattr(ordering, "is_small", lambda df: small)
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, "c"), (2, None)], "k bigint, v string")
+    single, several = ordering.by_repeats(df, "k", "v")
+    assert sorted(map(str, single.collect())) == ([] if small else ["Row(k=1, v='a')", "Row(k=2, v=None)"])
+    assert single.count() + several.count() == 6
+    assert all(ordering.by_repeats(df.dropDuplicates(), "k", "v")[small].count() == n for n in [4])
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_rows_of_asked_keys(spark, monkeypatch, small):
+    monkeypatch.setattr(lookups, "is_small", lambda df: small)
+    held = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k bigint, v string")
+    asked = spark.createDataFrame([(1,), (1,), (None,), (9,)], "k bigint")
+    assert sorted(r.v for r in lookups.rows_of(held, asked, "k").collect()) == ["a", "b"]
+    assert lookups.rows_of(held, asked.filter("k = 9"), "k").collect() == []

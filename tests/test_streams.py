@@ -184,3 +184,26 @@ def test_a_backlog_takes_few_passes(spark, folder):
     assert len(commits.batches()) <= 6  # one worker at a time would need nine passes and the start
     assert now["audit"].count() == now["audit"].select("event_id").distinct().count()
     assert now["outbox"].filter("status = 'pending'").isEmpty()
+
+
+def test_many_changed_rows_are_written_once(spark, monkeypatch):
+    """Rows that outnumber the table go into the new base at once, one row per key, and an empty base is not carried on."""
+    store = Commits(spark, shared_folder(spark), {"a": ["k"]})
+    store.start({"a": _numbered(spark, [])})
+    written = []
+    plain = Commits._store
+    monkeypatch.setattr(Commits, "_store", lambda self, name, *rest: written.append(name) or plain(self, name, *rest))
+    expected = {}
+    for batch, keys in enumerate((range(10), range(5, 40), range(3), range(30, 90))):
+        store.commit(batch, {"a": _numbered(spark, [(k, f"{batch}.{k}") for k in keys] * 2)})
+        expected |= {k: f"{batch}.{k}" for k in keys}
+        assert sorted(map(tuple, store.read()["a"].collect())) == sorted(expected.items())
+    assert len(written) == 4 and [len(store._manifest(b)["a"]) for b in range(4)] == [1, 1, 2, 1]
+
+
+def test_arrived_events(spark):
+    """Repeats once, events that the outbox has not at all; the whole rows of other events meet no shuffle."""
+    box, rows = events(spark, 1, 2, 50), events(spark, 2, 3, 3, 4, 7)
+    assert sorted(r.event_id for r in delivering.arrived(rows, box).collect()) == [3, 4, 7]
+    unknown = rows.withColumn("event_id", F.when(F.col("event_id") != 3, F.col("event_id")))
+    assert sorted(str(r.event_id) for r in delivering.arrived(unknown, box).collect()) == ["4", "7", "None"]
